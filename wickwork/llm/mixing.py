@@ -3,8 +3,8 @@
 Each source gets a token target; a document's expected number of copies is target over source size. The whole part is
 certain, the fraction is an inclusion probability. A flight moves the fractions of three documents at a time along the
 direction that keeps both their expected tokens and their expected number, until one is decided; so each chunk ends
-with at most two undecided documents and exact totals. The undecided meet once more by source; at most two a source are
-left for landing, where the choice nearest to the token total is taken.
+with at most two undecided documents and exact totals. The undecided meet once more by source, with a few small documents
+held back for it; there the tokens lost by rounding are spread over ever smaller documents.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents flown together in one task, on average.
 CHUNK = 40_000
+#: The smallest documents of a source that one chunk keeps open for landing.
+RESERVE = 256
 _NEAR = 1e-9
 
 
 def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Probabilities after the flight: all but two at most are 0 or 1; the sums of p and p*size stay."""
+    """Probabilities after the flight: all but two at most are 0 or 1, and the sums of p and p*size stay."""
     p = p.tolist()
     size, draw = size.tolist(), draw.tolist()
     open_: list[int] = []
@@ -34,10 +36,8 @@ def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
             continue
         open_.append(i)
         while len(open_) == 3:
-            a, b, c = open_
-            u = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
-            if u == (0, 0, 0):
-                u = (1, -1, 0)
+            a, b, c = (size[k] for k in open_)
+            u = (c - b, a - c, b - a) if not a == b == c else (1, -1, 0)
             up = min((1 - p[k]) / v if v > 0 else p[k] / -v for k, v in zip(open_, u, strict=True) if v)
             down = min(p[k] / v if v > 0 else (1 - p[k]) / -v for k, v in zip(open_, u, strict=True) if v)
             step = up if draw[i] * (up + down) < down else -down
@@ -51,14 +51,21 @@ def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
-def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """0 or 1 for the few left, nearest to their expected tokens; the first of equal choices."""
-    left = np.flatnonzero((p > 0) & (p < 1))
-    if len(left):
-        want = float((p[left] * size[left]).sum())
-        best = min(range(1 << len(left)), key=lambda m: abs(sum(size[k] for j, k in enumerate(left) if m >> j & 1) - want))
-        p = p.copy()
-        p[left] = [float(best >> j & 1) for j in range(len(left))]
+def land(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """0 or 1 for all, from the largest document (first) to the smallest.
+
+    The larger half flies and the two left open are rounded; the tokens that this adds or loses change the
+    probabilities of the smaller half, which is landed in the same way. So the error ends on the smallest documents.
+    """
+    p = p.copy()
+    if ((p > 0) & (p < 1)).any():
+        half = max(1, len(p) - len(p) // 2)
+        done = np.round(fly(p[:half], size[:half], draw[:half]))
+        rest = p[half:]
+        if rest.size and (tokens := size[half:].sum()):
+            lost = float(((p[:half] - done) * size[:half]).sum())
+            rest = np.clip(rest + lost / tokens, 0, 1)
+        return np.concatenate([done, land(rest, size[half:], draw[half:])])
     return p
 
 
@@ -129,22 +136,25 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
             .select("k", "no_source", "source_key", "source_size", "target", "size", "n", "sure", "more", "p"))
     schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
 
-    def flight(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
+    def flight(pdf: pd.DataFrame, chunk: int = -1, last: bool = False) -> pd.DataFrame:
         # Largest first, so that what is left open in the end is small.
         pdf = pdf.sort_values(["no_source", "source_key", "size", "k"], ascending=[True, True, False, True]).reset_index(drop=True)
         p, size = pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(float)
         draw = _draws(pdf["k"].to_numpy())
         for at in pdf.groupby(["no_source", "source_key"], sort=False).indices.values():
-            p[at] = fly(p[at], size[at], draw[at])
             if last:
-                p[at] = land(p[at], size[at])
+                p[at] = land(p[at], size[at], draw[at])
+                continue
+            if chunk == 0:
+                at = at[: len(at) - min(RESERVE, len(at) // 2)]
+            p[at] = fly(p[at], size[at], draw[at])
         pdf["p"] = p
         return pdf
 
     flown = cut(rows.withColumn("chunk", F.pmod("k", F.lit(chunks))).groupBy("chunk")
-                .applyInPandas(lambda pdf: flight(pdf.drop(columns="chunk"), False), schema))
+                .applyInPandas(lambda pdf: flight(pdf.drop(columns="chunk"), int(pdf["chunk"].iloc[0])), schema))
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
-    landed = flown.filter(undecided).groupBy("no_source", "source_key").applyInPandas(lambda pdf: flight(pdf, True), schema)
+    landed = flown.filter(undecided).groupBy("no_source", "source_key").applyInPandas(lambda pdf: flight(pdf, last=True), schema)
     done = flown.filter(~undecided).unionByName(landed).select("k", "source_size", "target", "n", "sure", (F.col("more") + F.col("p")).cast("long").alias("more"))
     return sized, done
 
