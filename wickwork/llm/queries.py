@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wickwork.llm import mixing, packing
+from wickwork.llm import jaccard, mixing, packing, scoring, substrings
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -17,14 +17,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), **tokenizer_files())
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op6_packing": op6_packing}
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_mixing": op2_mixing, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_packing": op6_packing, "op10_ppm": op10_ppm}
 
 ORACLE_SQL: dict[str, str] = {}
