@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.components import Forest, components
-from wickwork.llm.shared import cut
+from wickwork.llm.shared import WORD, cut
 from wickwork.llm.textkernel import LOWER, Hashes, chunks, mix, words
 
 WIDTH = 4
@@ -221,7 +221,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     component unless it is alone. Other columns are dropped. Words have A-Z lower-cased and no length limit.
     """
     rows = cut(_described(docs, width))
-    links = links_between(rows, docs, width, percent)
+    nodes = rows.filter("n > 0").groupBy("s", "t").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
+    placed = cut(nodes.select("s", "k", F.explode("bands").alias("bucket")))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        texts = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).join(wanted, "k").select("s", "text")
+        return texts.mapInArrow(_sets(width), "s long, items array<long>").dropDuplicates(["s"])
+
+    links = links_between(placed, fetch, percent)
     classes = components(links)
     named = rows.filter("n > 0").select("doc_id", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
     named = named.select("doc_id", "n", "root")
@@ -230,21 +237,35 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that of the smallest doc_id, of equal ones the least hash.
+
+    Rows without words all stay. Columns are as they were.
+    """
+    classes = cut(near_duplicates(docs, width, percent).distinct())
+    first = classes.filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_first"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", F.xxhash64("doc_id", "text").alias("k"))
+    kept = kept.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    empty = ~F.coalesce("doc.text", F.lit("")).rlike(WORD)
+    one = kept.filter(~empty).groupBy("doc_id").agg(F.min_by("doc", "k").alias("doc"))
+    return kept.filter(empty).select("doc.*").unionByName(one.select("doc.*"))
+
+
 def _described(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     return keyed.mapInArrow(_describe(width), f"doc_id {kind}, k long, n long, s long, t long, bands array<long>")
 
 
-def links_between(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) between nodes ``s`` that join all nodes which link, directly or over others."""
-    nodes = rows.filter("n > 0").groupBy("s", "t").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    placed = cut(nodes.select("s", "k", "n", F.explode("bands").alias("bucket")))
+def links_between(placed: DataFrame, fetch, percent: int) -> DataFrame:
+    """Links (u, v) between nodes that join all nodes which link, directly or over others.
+
+    ``placed`` has a row (s, k, bucket) for each bucket of node ``s``, ``k`` saying where its text is; ``fetch`` makes
+    (s, items), the sets, from wanted (k, s).
+    """
     buckets = cut(placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("s").alias("pivot")).filter("m > 1"))
-    members = cut(placed.join(buckets, "bucket").select("bucket", "m", "pivot", "s", "k", "n"))
-    items = cut(docs.select("text", F.xxhash64("doc_id", "text").alias("k"))
-                .join(members.groupBy("k").agg(F.first("s").alias("s")), "k").select("s", "text")
-                .mapInArrow(_sets(width), "s long, items array<long>").dropDuplicates(["s"]))
+    members = cut(placed.join(buckets, "bucket").select("bucket", "m", "pivot", "s", "k"))
+    items = cut(fetch(members.select("k", "s").distinct()))
     pairs = members.groupBy("s").agg(F.min("pivot").alias("pivot")).filter("s <> pivot")
     found = (pairs.join(items, "s").join(items.select(F.col("s").alias("pivot"), F.col("items").alias("other")), "pivot")
              .select("s", "pivot", "items", "other").mapInArrow(_verify(percent), "u long, v long"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wickwork.llm import jaccard, mixing, packing, scoring, substrings
+from wickwork.llm import jaccard, lines, mixing, neighbours, packing, scoring, substrings, toxicity, urls, vectordups
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -29,14 +30,45 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_vectordups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordups.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_mixing": op2_mixing, "op3_ngram_jaccard": op3_ngram_jaccard, "op6_packing": op6_packing, "op10_ppm": op10_ppm}
+QUERIES = {
+    "op1_substrings": op1_substrings,
+    "op2_mixing": op2_mixing,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_toxicity": op4_toxicity,
+    "op5_lines": op5_lines,
+    "op6_packing": op6_packing,
+    "op7_neighbours": op7_neighbours,
+    "op8_vectordups": op8_vectordups,
+    "op9_urls": op9_urls,
+    "op10_ppm": op10_ppm,
+}
 
 ORACLE_SQL: dict[str, str] = {}
