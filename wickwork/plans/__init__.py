@@ -1 +1,6 @@
-"""Part of wickwork."""
+"""Registered queries and the SQL that checks them."""
+
+from wickwork.plans import scans
+from wickwork.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "scans"]
