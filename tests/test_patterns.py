@@ -20,9 +20,8 @@ def path(*legs):
 
 def frame(spark, series: dict[str, list[float]], wick=0.002, loud_last=1):
     rows = []
-    days = {}
     for symbol, close in series.items():
-        n = len(close)
+        close, n = [float(c) for c in close], len(close)
         days = pd.bdate_range(end="2025-06-02", periods=n)
         for i, c in enumerate(close):
             o = close[i - 1] if i else c
@@ -33,8 +32,6 @@ def frame(spark, series: dict[str, list[float]], wick=0.002, loud_last=1):
 DOUBLE_BOTTOM = path(112, (120, 160), (84, 60), (80, 8), (92, 14), (81.5, 14), (92.3, 14), (92.6, 1))
 HEAD = path(112, (120, 160), (92, 80), (80, 10), (90, 12), (70, 14), (90.5, 14), (81, 12), (90, 12), (92.5, 1), (93, 1))
 CUP_PATH = [*path(40, (100, 220)), *[100 - 25 * np.sin(np.pi * k / 100) for k in range(1, 101)], *path(100, (94, 8), (97, 7), (101.5, 1), (102, 1))[1:]]
-WEDGE = [*path(95, (105, 230)), *path(105, (100, 4), (108, 10), (96, 12), (103, 10), (91.5, 14), (92.5, 2), (94, 2), (95.0, 2), (95.5, 1))[1:]]
-
 
 def found(spark, series, pattern, rules=None, status="CONFIRMED"):
     rules = rules or profile("tuned", min_reward_risk=None)

@@ -230,8 +230,22 @@ def breakouts(c: DataFrame, e: DataFrame) -> DataFrame:
     return c.join(hit, ["symbol", "cand", "start"], "left")
 
 
-def states(c: DataFrame, e: DataFrame, rules: dict, pattern: str, days: DataFrame | None = None) -> DataFrame:
-    """Signals of one pattern as of bars d (all bars, or those of ``days`` (symbol, d)), before the best are picked."""
+def in_window(s: DataFrame, e: DataFrame, rules: dict, pattern: str, bars: int) -> DataFrame:
+    """States as a scan of the last ``bars`` bars sees them: all anchors are pivots inside it, and the decline into the
+    first one is measured from the highs inside it. (The averages need at most 240 bars; the true range of the window's
+    first 14 bars is not taken anew.)"""
+    share = rules[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
+    start, first = F.col("d") - (bars - 1), F.floor(F.col("cand") / 100000)
+    s = s.filter(first >= start + 5)
+    top = interval(s.select("symbol", "cand", "d"), e, F.greatest(first - 60, start), first, F.max("jhigh").alias("_top"))
+    ok = F.lit(False) if share is None else F.col("_top") - F.col("anchors")[0]["price"] >= share * F.col("height")
+    return s.join(top, ["symbol", "cand", "d"]).withColumn("decline_ok", ok).drop("_top")
+
+
+def states(c: DataFrame, e: DataFrame, rules: dict, pattern: str, days: DataFrame | None = None, bars: int | None = None) -> DataFrame:
+    """Signals of one pattern as of bars d (all bars, or those of ``days`` (symbol, d)), before the best are picked.
+
+    With ``bars`` each scan sees that many bars (double bottoms and inverse head and shoulders)."""
     line = lambda at: F.col("v0") + F.col("slope") * (at - F.col("i0"))
     b = e.select("symbol", F.col("idx").alias("d"), "day", "close", "sma50", "sma200", "uptrend", "strong_down", "trend").filter(F.col("d") >= HISTORY - 1)
     if days is not None:
@@ -242,6 +256,8 @@ def states(c: DataFrame, e: DataFrame, rules: dict, pattern: str, days: DataFram
     age = F.col("d") - F.col("fb")
     s = s.filter(F.when(F.col("above"), true((age >= 0) & (age <= max_age(rules, pattern)) & (F.col("close") <= F.col("at_break") * (1 + rules["max_runaway"])))).otherwise(
         (F.col("close") >= F.col("now") * (1 - rules["watch_proximity"])) & (F.col("floor").isNull() | (F.col("close") > F.col("floor")))))
+    if bars is not None:
+        s = in_window(s, e, rules, pattern, bars)
     # Trend rules of the day.
     if pattern == CUP:
         ok = F.col("decline_ok") | (true(F.col("sma50") > F.col("sma200")) if rules["cup_sma_or"] else F.lit(False))
@@ -285,9 +301,9 @@ def best(signals: DataFrame) -> DataFrame:
     return signals.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def scan(e: DataFrame, rules: dict, patterns=PATTERNS, days: DataFrame | None = None) -> DataFrame:
+def scan(e: DataFrame, rules: dict, patterns=PATTERNS, days: DataFrame | None = None, bars: int | None = None) -> DataFrame:
     """The signals of ``patterns`` as of the bars of ``days``, or of every bar."""
-    found = [states(DETECTORS[p](e, rules), e, rules, p, days) for p in patterns]
+    found = [states(DETECTORS[p](e, rules), e, rules, p, days, bars) for p in patterns]
     return best(reduce(DataFrame.unionByName, found))
 
 

@@ -237,6 +237,17 @@ def walk_forward_members(spark, sf_dir):
     return replay.first_seen(rows).select("symbol", "day", "pattern", "stop")
 
 
+_Q = profile("tuned")
+
+
+@query(o.with_(o.BARS, o.enriched(_Q), o.double_bottom(_Q), o.signals(_Q, DOUBLE, "sig", bars=250)) + "SELECT symbol, pattern, stop, min(d) AS d FROM sig WHERE status = 'CONFIRMED' GROUP BY 1, 2, 3")
+def walk_forward_bars_window(spark, sf_dir):
+    """First reports of double bottoms when each scan sees the last 250 bars."""
+    e = enriched(spark, sf_dir, TUNED)
+    s = det.scan(e, TUNED, (DOUBLE,), bars=250).filter("status = 'CONFIRMED'")
+    return s.groupBy("symbol", "pattern", "stop").agg(F.min("d").alias("d"))
+
+
 @query(o.with_(o.BARS) + "SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM bars WHERE day <= DATE '2000-12-31' ORDER BY day DESC LIMIT 63)")
 def scan_sessions(spark, sf_dir):
     return replay.sessions(src.bars(spark, sf_dir), 63, "2000-12-31")

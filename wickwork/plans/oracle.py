@@ -157,7 +157,7 @@ CANDIDATES = {CUP: (cup_handle, "cand_cup"), IHS: (inverse_hs, "cand_ihs"), DOUB
 SIGNAL = "symbol, d, day, pattern, status, entry, stop, risk_pct, target, score, last_close, bars_since_break, volume_ratio, trend, max_buy, reward_risk"
 
 
-def signals(q: dict, pattern: str, name: str, days: str = "true") -> str:
+def signals(q: dict, pattern: str, name: str, days: str = "true", bars: int | None = None) -> str:
     """Signals as of every bar d that ``days`` allows, judged for each candidate and bar on its own."""
     cand = CANDIDATES[pattern][1]
     trend = {CUP: "s.sma50 > s.sma200", WOLFE: "false"}.get(pattern, "s.sma50 < s.sma200")
@@ -171,8 +171,14 @@ def signals(q: dict, pattern: str, name: str, days: str = "true") -> str:
     cap = f"tr_*(1 + {q['max_runaway']})"
     if q["max_buy_risk_mult"] is not None:
         cap = f"least({cap}, stop_ + {q['max_buy_risk_mult']}*(entry - stop_))"
+    columns = "c.*"
+    if bars is not None:
+        days += f" AND cand // 100000 >= x.idx - {bars} + 6"
+        high = f"(SELECT max(z.high) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(c.cand // 100000 - 60, x.idx - {bars} + 1) AND c.cand // 100000)"
+        share = q[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
+        columns = f"c.* EXCLUDE (decline_ok), {high} - (SELECT z.low FROM e z WHERE z.symbol = c.symbol AND z.idx = c.cand // 100000) >= {share}*c.height AS decline_ok"
     return f"""
-{name}1 AS (SELECT c.*, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days}),
+{name}1 AS (SELECT {columns}, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days}),
 {name}2 AS (SELECT s.symbol, s.cand, s.start, s.d, min(y.idx) AS fb FROM {name}1 s JOIN e y ON y.symbol = s.symbol AND y.idx >= s.start AND y.idx <= s.d AND y.close > v0 + slope*(y.idx - i0) WHERE s.close > now_ GROUP BY 1, 2, 3, 4),
 {name}3 AS (SELECT s.*, f.fb, y.vr AS fb_vr, v0 + slope*(f.fb - i0) AS at_ FROM {name}1 s LEFT JOIN {name}2 f ON s.symbol = f.symbol AND s.cand = f.cand AND s.start = f.start AND s.d = f.d LEFT JOIN e y ON y.symbol = s.symbol AND y.idx = f.fb
   WHERE (decline_ok OR coalesce({trend}, false))),

@@ -17,7 +17,8 @@ SIGNAL = [c.strip() for c in o.SIGNAL.split(",")]
 
 
 def enriched(spark: SparkSession, sf_dir: str, rules: dict | None = None) -> DataFrame:
-    return ind.enrich(bars(spark, sf_dir), rules or profile())
+    """Bars with all indicators; kept, as detectors join them several times and queries share them."""
+    return ind.enrich(bars(spark, sf_dir), rules or profile()).persist()
 
 
 def _b(body: str) -> str:
