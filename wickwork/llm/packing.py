@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 END_ID = 1
 #: Chunks kept by each Python worker; a memory bound that never changes a result.
-KEPT = 400_000
+KEPT = 100_000
 
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long"
 

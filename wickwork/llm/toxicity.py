@@ -26,6 +26,8 @@ TERMS, FUZZY = 5_000, 200
 LEAST_ROWS, LEAST_PRECISION, STEM_WORDS = 3, 0.8, 3
 THRESHOLD = 0.7
 WINDOW = 6
+#: Automaton states and words that a task remembers.
+STATES, KNOWN = 20_000, 150_000
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$*!](?=[^\W_]))*")
 #: Words of report in the four languages of the tables.
 _REPORT = frozenset("said says wrote writes quoted called told dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
@@ -65,7 +67,7 @@ class Automaton:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
-        self.known: dict[str, tuple[int, float]] = {}
+        self.known = _Known(self)
 
     def _state(self, items) -> int:
         least: dict[int, int] = {}
@@ -101,7 +103,7 @@ class Automaton:
         """The term nearest to ``word`` within its edits, or None."""
         if len(word) < 4 or len(word) > 40 or word[0] not in self.next[0]:
             return None
-        if len(self.sets) > 200_000:
+        if len(self.sets) > STATES:
             self.states, self.sets, self.step = {}, [], []
         state = self._state([(0, 0)])
         for c in word:
@@ -111,23 +113,29 @@ class Automaton:
         found = [(used, self.term[node]) for node, used in self.sets[state] if self.term[node] and used <= edits(self.term[node])]
         return min(found)[1] if found else None
 
-    def look(self, word: str) -> tuple[int, float]:
-        """(kind, weight): 0 none, 1 word, 2 stem, 3 misspelling."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            got = self.known[word] = self._look(word)
-        return got
-
-    def _look(self, word):
+    def look(self, word: str) -> tuple[int, float] | None:
+        """(kind, weight), the kind being 1 for a word, 2 for a stem, 3 for a misspelling; None for no hit."""
         if word in self.words:
             return 1, self.words[word]
         for n in self.stem_lengths:
             if len(word) > n and word[:n] in self.stems:
                 return 2, self.stems[word[:n]]
         term = self.misspelt(word)
-        return (3, self.words[term]) if term else (0, 0.0)
+        return (3, self.words[term]) if term else None
+
+
+class _Known(dict):
+    """What words were found to be, up to a bound that never changes a result."""
+
+    def __init__(self, automaton: Automaton):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str):
+        if len(self) > KNOWN:
+            self.clear()
+        self[word] = hit = self.automaton.look(word)
+        return hit
 
 
 @dataclass
@@ -149,13 +157,13 @@ def _quoted(text: str, at: int, before: list[str]) -> bool:
 
 def features(text: str | None, automaton: Automaton) -> list[float]:
     words = tokens(text or "")
-    kinds = list(map(automaton.look, words))
+    kinds = list(map(automaton.known.__getitem__, words))
     plain, quoted, terms = [0.0] * 4, 0.0, set()
-    if any(k for k, _ in kinds):
+    if any(kinds):
         low = text.lower()
         for i, m in enumerate(_TOKEN.finditer(low)):
-            kind, weight = kinds[i]
-            if kind:
+            if kinds[i]:
+                kind, weight = kinds[i]
                 if _quoted(low, m.start(), words[max(0, i - WINDOW) : i]):
                     quoted += weight
                 else:
@@ -189,6 +197,9 @@ def _terms(rows: DataFrame) -> DataFrame:
                 words = set(tokens(text or ""))
                 out += [(w, "", y) for w in words if 1 < len(w) <= 40]
                 out += [(s, w, y) for w in words for s in {w[:4], w[:5], w[:6]} if len(w) > len(s) >= 4]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=["term", "word", "toxic"])
+                    out = []
             yield pd.DataFrame(out, columns=["term", "word", "toxic"])
 
     found = rows.select("text", "toxic").mapInPandas(run, "term string, word string, toxic int")
