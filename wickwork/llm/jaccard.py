@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.components import Forest, components
-from wickwork.llm.shared import WORD, cut
+from wickwork.llm.shared import WORD, cut, likely
 from wickwork.llm.textkernel import LOWER, Hashes, chunks, mix, words
 
 WIDTH = 4
@@ -175,21 +175,16 @@ def _sets(width: int):
     return run
 
 
-def _lists(column) -> list[np.ndarray]:
-    bounds, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
-    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def _verify(percent: int):
+def _verify(percent: int, decode):
     def run(batches):
         for batch in batches:
-            ok = [linked(x, y, percent) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
+            ok = [linked(x, y, percent) for x, y in zip(decode(batch.column(2)), decode(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
 
     return run
 
 
-def _search_buckets(percent: int):
+def _search_buckets(percent: int, decode):
     """Rows (bucket, i, j, s, c, items) sorted by the first three -> links (u, v)."""
 
     def run(batches):
@@ -201,7 +196,7 @@ def _search_buckets(percent: int):
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for key, s, c, items in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), _lists(batch.column(5)), strict=True):
+            for key, s, c, items in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), decode(batch.column(5)), strict=True):
                 if key != at:
                     if held:
                         yield links()
@@ -222,13 +217,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     rows = cut(_described(docs, width))
     nodes = rows.filter("n > 0").groupBy("s", "t").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
-    placed = cut(nodes.select("s", "k", F.explode("bands").alias("bucket")))
+    nodes = cut(nodes)
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        texts = docs.select("text", F.xxhash64("doc_id", "text").alias("k")).join(wanted, "k").select("s", "text")
-        return texts.mapInArrow(_sets(width), "s long, items array<long>").dropDuplicates(["s"])
+        where = nodes.join(wanted, "s").select("k", "s")
+        texts = likely(docs.select("text", F.xxhash64("doc_id", "text").alias("k")), "k", where.select("k")).filter("_likely")
+        return texts.join(where, "k").select("s", "text").mapInArrow(_sets(width), "s long, items array<long>").dropDuplicates(["s"])
 
-    links = links_between(placed, fetch, percent)
+    links = links_between(nodes.select("s", F.explode("bands").alias("bucket")), fetch, percent)
     classes = components(links)
     named = rows.filter("n > 0").select("doc_id", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
     named = named.select("doc_id", "n", "root")
@@ -257,27 +253,33 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
     return keyed.mapInArrow(_describe(width), f"doc_id {kind}, k long, n long, s long, t long, bands array<long>")
 
 
-def links_between(placed: DataFrame, fetch, percent: int) -> DataFrame:
+def _lists(column) -> list[np.ndarray]:
+    bounds, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def links_between(placed: DataFrame, fetch, percent: int, decode=_lists) -> DataFrame:
     """Links (u, v) between nodes that join all nodes which link, directly or over others.
 
-    ``placed`` has a row (s, k, bucket) for each bucket of node ``s``, ``k`` saying where its text is; ``fetch`` makes
-    (s, items), the sets, from wanted (k, s).
+    ``placed`` has a row (s, bucket) for each bucket of node ``s``, perhaps repeated; ``fetch`` makes (s, items) from wanted
+    (s), and ``decode`` turns a column of items into sets of hashes.
     """
-    buckets = cut(placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("s").alias("pivot")).filter("m > 1"))
-    members = cut(placed.join(buckets, "bucket").select("bucket", "m", "pivot", "s", "k"))
-    items = cut(fetch(members.select("k", "s").distinct()))
+    buckets = placed.groupBy("bucket").agg(F.min("s").alias("pivot"), F.max("s").alias("most")).filter("pivot <> most").drop("most")
+    members = cut(placed.join(cut(buckets), "bucket").select("bucket", "pivot", "s").distinct())
+    items = cut(fetch(members.select("s").distinct()))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
     pairs = members.groupBy("s").agg(F.min("pivot").alias("pivot")).filter("s <> pivot")
     found = (pairs.join(items, "s").join(items.select(F.col("s").alias("pivot"), F.col("items").alias("other")), "pivot")
-             .select("s", "pivot", "items", "other").mapInArrow(_verify(percent), "u long, v long"))
+             .select("s", "pivot", "items", "other").mapInArrow(_verify(percent, decode), "u long, v long"))
     first = cut(found)
     classes = cut(components(first))
-    known = cut(members.join(classes.withColumnRenamed("node", "s"), "s", "left").select("bucket", "m", "s", F.coalesce("component", "s").alias("c")))
+    known = cut(members.join(classes.withColumnRenamed("node", "s"), "s", "left").select("bucket", "s", F.coalesce("component", "s").alias("c")))
     # Buckets with the same members are searched once.
-    open_ = cut(known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("h"), F.first("m").alias("m"))
-                .filter("low <> high").groupBy("h", "m").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks")))
+    open_ = cut(known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("h"))
+                .filter("low <> high").join(sizes, "bucket").groupBy("h", "m").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).cast("int")
     dealt = (known.join(open_, "bucket").withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s", "c"))
     second = (dealt.join(items, "s").select("bucket", "i", "j", "s", "c", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-              .mapInArrow(_search_buckets(percent), "u long, v long"))
+              .mapInArrow(_search_buckets(percent, decode), "u long, v long"))
     return first.unionByName(second)

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.components import components
 from wickwork.llm.jaccard import links_between
-from wickwork.llm.shared import cut
+from wickwork.llm.shared import cut, likely
 from wickwork.llm.textkernel import LOWER, Hashes, chunks, column_bytes, mix
 
 #: Characters (bytes, A-Z lower-cased) in a shingle.
 GRAM = 8
 PERCENT = 80
-#: A pair at the threshold shares no bucket with probability (1 - 0.8**4)**12 = 0.002.
-ROWS, BANDS = 4, 12
+#: A pair at the threshold shares no bucket with probability (1 - 0.8**4)**8 = 0.015, one at 0.9 with 0.0002.
+ROWS, BANDS = 4, 8
 #: Lines with fewer bytes are left alone.
 LEAST = 16
+#: Lines that a task remembers having sent bands of.
+SEEN = 200_000
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -47,6 +49,8 @@ def split(data: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.nda
 
 
 def _signatures(batches):
+    """Lines with their place, and with their bands where the task sees the line for the first time."""
+    seen: set[int] = set()
     for batch in batches:
         keys = np.asarray(batch.column(1))
         for lo, hi, data, off in chunks(batch.column(2)):
@@ -67,25 +71,35 @@ def _signatures(batches):
             key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), 1)
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = np.zeros(len(start), bool)
+            for i, h in enumerate(node.tolist()):
+                if h not in seen:
+                    seen.add(h)
+                    fresh[i] = True
+            bounds = np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(lo + row)), pa.array(keys[lo + row]), pa.array(number), pa.array((start - off[row])), pa.array(end - start), pa.array(node.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1, dtype=np.int32) * BANDS), pa.array(key.T.ravel().view(np.int64)))],
+                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.T[fresh].ravel().view(np.int64)))],
                 ["doc_id", "k", "number", "st", "n", "s", "bands"])
 
 
-def _sets(batches):
+def _texts(batches):
+    """Rows (text, wanted) -> (s, items), the wanted lines in lower case."""
     for batch in batches:
         data, off = column_bytes(batch.column(0))
         ids, items = [], []
         for i, wanted in enumerate(batch.column(1).to_pylist()):
-            text = LOWER[data[off[i] : off[i + 1]]]
-            h = Hashes(text).grams(GRAM)
             for w in wanted:
                 ids.append(w["s"])
-                items.append(np.unique(h[w["st"] : w["st"] + w["n"] - GRAM + 1]).view(np.int64))
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
-        flat = np.concatenate(items) if items else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["s", "items"])
+                items.append(LOWER[data[off[i] + w["st"] : off[i] + w["st"] + w["n"]]].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["s", "items"])
+
+
+def _shingles(column: pa.Array) -> list[np.ndarray]:
+    data, off = column_bytes(column)
+    return [np.unique(Hashes(data[a:b]).grams(GRAM)) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -98,24 +112,27 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= LEAST)
     found = cut(keyed.mapInArrow(_signatures, f"doc_id {kind}, k long, number long, st long, n long, s long, bands array<long>"))
-    nodes = found.groupBy("s").agg(F.min(F.struct("k", "st", "n")).alias("at"), F.first("bands").alias("bands"))
-    placed = cut(nodes.select("s", F.struct("at.k", "at.st", "at.n").alias("k"), F.explode("bands").alias("bucket")))
+    placed = found.select("s", F.explode("bands").alias("bucket"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        by_row = wanted.groupBy(F.col("k.k").alias("k")).agg(F.collect_set(F.struct("s", "k.st", "k.n")).alias("wanted"))
-        return keyed.select("k", "text").join(by_row, "k").select("text", "wanted").mapInArrow(_sets, "s long, items array<long>").dropDuplicates(["s"])
+        at = found.join(wanted, "s").groupBy("s").agg(F.min(F.struct("k", "st", "n")).alias("at"))
+        by_row = cut(at.groupBy("at.k").agg(F.collect_list(F.struct("s", "at.st", "at.n")).alias("wanted")))
+        texts = likely(keyed.select("k", "text"), "k", by_row.select("k")).filter("_likely")
+        return texts.join(by_row, "k").select("text", "wanted").mapInArrow(_texts, "s long, items binary").dropDuplicates(["s"])
 
-    classes = cut(components(links_between(placed, fetch, percent)))
+    classes = cut(components(links_between(placed, fetch, percent, _shingles)))
     lines = found.select("doc_id", "k", "number", "s").join(classes.withColumnRenamed("node", "s"), "s", "left")
     lines = cut(lines.select(F.coalesce("component", "s").alias("root"), "doc_id", "k", "number"))
     keep = cut(lines.groupBy("root").agg(F.min(F.struct("doc_id", "k", "number")).alias("keep"), F.count("*").alias("c")).filter("c > 1").select("root", "keep.k", "keep.number"))
     gone = (lines.join(keep.toDF("root", "kept_k", "kept_number"), "root").filter("k <> kept_k or number <> kept_number")
             .groupBy("k").agg(F.collect_set("number").alias("_gone")).withColumnRenamed("k", "_k"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("doc_id", "text").alias("_k"))
-    joined = whole.join(gone, "_k", "left")
+    gone = cut(gone)
+    whole = likely(whole, "_k", gone.select("_k"))
+    joined = whole.filter("_likely").join(gone, "_k", "left")
     left = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn("doc", F.col("doc").withField("text", text))
     if "n_chars" in docs.columns:
         out = out.withColumn("doc", F.col("doc").withField("n_chars", F.char_length("doc.text").cast(docs.schema["n_chars"].dataType)))
-    return out.select("doc.*")
+    return whole.filter("not _likely").select("doc.*").unionByName(out.select("doc.*"))

@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     true sizes: adaptive execution can broadcast, or split a skewed side, from what is measured.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,3 +40,24 @@ def row_key(*columns: str):
 def fold(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: Positions of the bitmap that :func:`likely` sends to every task: 8 MB, whatever the number of keys.
+BITMAP = 1 << 26
+_GROUP = 1 << 15
+
+
+def likely(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_likely``: true for every row whose ``key`` (a hash) is among ``keys`` (one column), and for few others.
+
+    It is read off a bitmap of hashed keys that has a fixed size, so it can be broadcast beside any number of rows. It
+    keeps rows that a join cannot match out of that join's shuffle; a false alarm only costs the row's shuffle.
+    """
+    at = F.pmod(F.col(keys.columns[0]), F.lit(BITMAP))
+    bits = keys.groupBy((at / _GROUP).cast("int").alias("_group")).agg(
+        F.bitmap_construct_agg(F.pmod(at, F.lit(_GROUP))).alias("_bits"))
+    bits = cut(bits)
+    rows = rows.withColumn("_at", F.pmod(F.col(key), F.lit(BITMAP))).withColumn("_group", (F.col("_at") / _GROUP).cast("int"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, int((_at % {_GROUP}) div 8) + 1, 1)")), 16, 10).cast("int")
+    hit = F.getbit(byte.cast("long"), F.expr("int(_at % 8)")) == 1
+    return rows.join(F.broadcast(bits), "_group", "left").withColumn("_likely", F.coalesce(hit, F.lit(False))).drop("_group", "_at", "_bits")
