@@ -33,7 +33,7 @@ GRAM = 64
 #: An anchor with more different segments or bytes than this is split.
 HOT_SEGMENTS, HOT_BYTES = 2000, 1 << 22
 #: Bytes indexed together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 16
 BLOCK = 16
 
 
