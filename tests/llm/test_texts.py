@@ -189,6 +189,14 @@ def test_near_duplicates_odd(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and 0 in ids and 6 not in ids and {1, 2, 3} <= set(ids)
 
 
+def test_keep_one_of_null_and_equal_ids(spark):
+    """Different texts under one id, or under none, are each kept; only a copy of another row goes."""
+    unlike = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (3, unlike[2]), (4, unlike[3]), (4, unlike[4]), (4, unlike[4]), (5, unlike[3]), (None, unlike[5]), (None, unlike[5])]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == {(None, unlike[0]): 1, (None, unlike[1]): 1, (3, unlike[2]): 1, (4, unlike[3]): 1, (4, unlike[4]): 1, (None, unlike[5]): 1}
+
+
 # op4 ----------------------------------------------------------------------------------------------------------------------
 
 def test_toxicity_on_held_out_labels(spark, tiny):

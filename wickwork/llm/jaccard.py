@@ -208,13 +208,8 @@ def _search_buckets(percent: int, decode):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
-
-    ``component_id`` is the smallest doc_id reachable over links, the row's own included. A null or blank text has no
-    shingles and links with nothing, not even with its like. Equal rows link. A null doc_id takes part but names no
-    component unless it is alone. Other columns are dropped. Words have A-Z lower-cased and no length limit.
-    """
+def _rooted(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as described, and those with shingles as (doc_id, k, n, root): rows that link share a root."""
     rows = cut(_described(docs, width))
     nodes = rows.filter("n > 0").groupBy("s", "t").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
     nodes = cut(nodes)
@@ -226,25 +221,35 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     links = links_between(nodes.select("s", F.explode("bands").alias("bucket")), fetch, percent)
     classes = components(links)
-    named = rows.filter("n > 0").select("doc_id", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
-    named = named.select("doc_id", "n", "root")
+    named = rows.filter("n > 0").select("doc_id", "k", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
+    return rows, named.select("doc_id", "k", "n", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    ``component_id`` is the smallest doc_id reachable over links, the row's own included. A null or blank text has no
+    shingles and links with nothing, not even with its like. Equal rows link. A null doc_id takes part but names no
+    component unless it is alone. Other columns are dropped. Words have A-Z lower-cased and no length limit.
+    """
+    rows, named = _rooted(docs, width, percent)
     smallest = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     out = named.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of linked rows: that of the smallest doc_id, of equal ones the least hash.
+    """``docs`` with one row of each group of linked rows: that of the smallest doc_id (null last), of equal ones the least hash.
 
     Rows without words all stay. Columns are as they were.
     """
-    classes = cut(near_duplicates(docs, width, percent).distinct())
-    first = classes.filter("n_shingles = 0 or doc_id <=> component_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", F.xxhash64("doc_id", "text").alias("k"))
-    kept = kept.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    _, named = _rooted(docs, width, percent)
+    # A doc_id may be null or name several texts; only with the hash does it name a row and its equals.
+    first = cut(named.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k")).alias("least")).select(F.col("least.k").alias("k")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("doc_id", "text").alias("k"))
     empty = ~F.coalesce("doc.text", F.lit("")).rlike(WORD)
-    one = kept.filter(~empty).groupBy("doc_id").agg(F.min_by("doc", "k").alias("doc"))
-    return kept.filter(empty).select("doc.*").unionByName(one.select("doc.*"))
+    one = whole.filter(~empty).join(first, "k", "left_semi").groupBy("k").agg(F.first("doc").alias("doc"))
+    return whole.filter(empty).select("doc.*").unionByName(one.select("doc.*"))
 
 
 def _described(docs: DataFrame, width: int) -> DataFrame:
