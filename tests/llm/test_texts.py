@@ -283,6 +283,35 @@ def test_lines_odd(odd_docs, no_docs):
     assert [r.text for r in rows if r.doc_id == 6] == ["", ""] and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
 
 
+def test_lines_at_the_threshold_share_a_bucket():
+    """Of pairs of lines with Jaccard just over 0.8, at most one in two hundred shares no band."""
+    rng = np.random.default_rng(12)
+    missed = pairs = 0
+    while pairs < 2000:
+        a = rng.integers(97, 123, 87, dtype=np.uint8)
+        b = a.copy()
+        b[rng.choice([0, 86], 1)] = 48  # changes one shingle of 80
+        for at in rng.choice(np.arange(20, 70), 1):
+            b[at] = 49  # eight more: 71 of 89 are common
+        ga, gb = ({bytes(x[p : p + 8]) for p in range(80)} for x in (a, b))
+        if not 0.79 < len(ga & gb) / len(ga | gb) < 0.82:
+            continue
+        data = np.concatenate([a, b])
+        key = lines._bands(lines.Hashes(data), np.array([0, 87]), np.array([87, 174]))
+        pairs += 1
+        missed += not (key[:, 0] == key[:, 1]).any()
+    assert missed <= 10, missed
+
+
+def test_short_lines_lose_their_repeats(spark):
+    rows = [(1, "Menu\nshare this\n\n \nsome longer line of text"), (2, "menu\nShare this\n\n \nOther"), (3, "Menu"), (4, "Men")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs, short=True).collect()}
+    assert got == {1: rows[0][1], 2: "\n \nOther", 3: "", 4: "Men"}
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got[2] == "menu\n\n \nOther" and got[3] == "Menu"
+
+
 # op6 ----------------------------------------------------------------------------------------------------------------------
 
 def check_pieces(got, texts):

@@ -263,14 +263,18 @@ def _lists(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def links_between(placed: DataFrame, fetch, percent: int, decode=_lists) -> DataFrame:
+def links_between(placed: DataFrame, fetch, percent: int, decode=_lists, sieve: bool = False) -> DataFrame:
     """Links (u, v) between nodes that join all nodes which link, directly or over others.
 
     ``placed`` has a row (s, bucket) for each bucket of node ``s``, perhaps repeated; ``fetch`` makes (s, items) from wanted
-    (s), and ``decode`` turns a column of items into sets of hashes.
+    (s), and ``decode`` turns a column of items into sets of hashes. With ``sieve`` a bitmap of the buckets that hold several
+    nodes keeps the others out of the second shuffle of ``placed``.
     """
     buckets = placed.groupBy("bucket").agg(F.min("s").alias("pivot"), F.max("s").alias("most")).filter("pivot <> most").drop("most")
-    members = cut(placed.join(cut(buckets), "bucket").select("bucket", "pivot", "s").distinct())
+    buckets = cut(buckets)
+    if sieve:
+        placed = likely(placed, "bucket", buckets.select("bucket")).filter("_likely")
+    members = cut(placed.join(buckets, "bucket").select("bucket", "pivot", "s").distinct())
     items = cut(fetch(members.select("s").distinct()))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
     pairs = members.groupBy("s").agg(F.min("pivot").alias("pivot")).filter("s <> pivot")

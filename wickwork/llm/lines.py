@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from wickwork.llm.components import components
 from wickwork.llm.jaccard import links_between
 from wickwork.llm.shared import cut, likely
-from wickwork.llm.textkernel import LOWER, Hashes, chunks, column_bytes, mix
+from wickwork.llm.textkernel import BLANK, LOWER, Hashes, chunks, column_bytes, mix
 
 #: Characters (bytes, A-Z lower-cased) in a shingle.
 GRAM = 8
 PERCENT = 80
-#: A pair at the threshold shares no bucket with probability (1 - 0.8**4)**8 = 0.015, one at 0.9 with 0.0002.
-ROWS, BANDS = 4, 8
-#: Lines with fewer bytes are left alone.
-LEAST = 16
+#: A pair at the threshold shares no bucket with probability (1 - 0.8**4)**16 = 0.0002, one at 0.9 with 4e-8.
+ROWS, BANDS = 4, 16
+#: Lines with fewer bytes have no shingle: they are compared by equality or left alone.
+LEAST = GRAM
 #: Lines that a task remembers having sent bands of.
 SEEN = 200_000
 
@@ -48,41 +48,58 @@ def split(data: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.nda
     return start[long], end[long], row[long], number[long]
 
 
-def _signatures(batches):
-    """Lines with their place, and with their bands where the task sees the line for the first time."""
-    seen: set[int] = set()
-    for batch in batches:
-        keys = np.asarray(batch.column(1))
-        for lo, hi, data, off in chunks(batch.column(2)):
-            low = LOWER[data]
-            h = Hashes(low)
-            start, end, row, number = split(data, off)
-            if not len(start):
-                continue
-            node = h.of(start, end)
-            g = (h.grams(GRAM) >> np.uint64(32)).astype(np.uint32)
-            # The shingles of a line are g[start : end - GRAM + 1]; every second bound of reduceat is skipped.
-            bounds = np.stack([start, end - GRAM + 1], 1).ravel()
-            if bounds[-1] >= len(g):
-                g = np.append(g, np.uint32(2**32 - 1))
-            least = np.empty((len(_MUL), len(start)), np.uint64)
-            for p, (a, b) in enumerate(zip(_MUL, _ADD, strict=True)):
-                least[p] = np.minimum.reduceat(g * a + b, bounds)[::2]
-            key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), 1)
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
-            if len(seen) > SEEN:
-                seen.clear()
-            fresh = np.zeros(len(start), bool)
-            for i, h in enumerate(node.tolist()):
-                if h not in seen:
-                    seen.add(h)
-                    fresh[i] = True
-            bounds = np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(lo + row)), pa.array(keys[lo + row]), pa.array(number), pa.array((start - off[row])), pa.array(end - start), pa.array(node.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.T[fresh].ravel().view(np.int64)))],
-                ["doc_id", "k", "number", "st", "n", "s", "bands"])
+def _signatures(short: bool):
+    """Lines with their place, and with their bands where the task sees the line for the first time.
+
+    Lines without a shingle have no bands; they come only if ``short``, and blank ones never."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keys = np.asarray(batch.column(1))
+            for lo, hi, data, off in chunks(batch.column(2)):
+                low = LOWER[data]
+                h = Hashes(low)
+                start, end, row, number = split(data, off, 1 if short else LEAST)
+                long = end - start >= LEAST
+                if short:
+                    filled = np.concatenate([[0], np.cumsum(~BLANK[data])])
+                    on = long | (filled[end] > filled[start])
+                    start, end, row, number, long = start[on], end[on], row[on], number[on], long[on]
+                if not len(start):
+                    continue
+                node = h.of(start, end)
+                key = _bands(h, start[long], end[long])
+                if len(seen) > SEEN:
+                    seen.clear()
+                fresh = np.zeros(len(start), bool)
+                for i, x in zip(np.flatnonzero(long).tolist(), node[long].tolist(), strict=True):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                bounds = np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(lo + row)), pa.array(keys[lo + row]), pa.array(number), pa.array((start - off[row])), pa.array(end - start), pa.array(node.view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.T[fresh[long]].ravel().view(np.int64)))],
+                    ["doc_id", "k", "number", "st", "n", "s", "bands"])
+
+    return run
+
+
+def _bands(h: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The band keys (band, line) of lines with a shingle at least."""
+    if not len(start):
+        return np.empty((BANDS, 0), np.uint64)
+    g = (h.grams(GRAM) >> np.uint64(32)).astype(np.uint32)
+    # The shingles of a line are g[start : end - GRAM + 1]; every second bound of reduceat is skipped.
+    bounds = np.stack([start, end - GRAM + 1], 1).ravel()
+    if bounds[-1] >= len(g):
+        g = np.append(g, np.uint32(2**32 - 1))
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), 1)
+    for band in range(BANDS):
+        for p in range(band * ROWS, band * ROWS + ROWS):
+            key[band] = mix(key[band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(g * _MUL[p] + _ADD[p], bounds)[::2])
+    return key
 
 
 def _texts(batches):
@@ -102,25 +119,26 @@ def _shingles(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(Hashes(data[a:b]).grams(GRAM)) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any others) with each line gone that a kept line repeats or nearly repeats.
 
     Of the lines of a component the first stays, by doc_id (null first), then by a hash of the row, then by its place.
     Every row stays, its text perhaps empty; a null text stays null; ``n_chars``, if there, is counted anew. Lines under
-    ``LEAST`` bytes stay. Rows that are equal in doc_id and text lose the same lines.
+    ``LEAST`` bytes that are not blank lose their repeats (A-Z lower-cased) if ``short``, and stay otherwise. Rows that are equal in doc_id and text lose the same lines.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= LEAST)
-    found = cut(keyed.mapInArrow(_signatures, f"doc_id {kind}, k long, number long, st long, n long, s long, bands array<long>"))
-    placed = found.select("s", F.explode("bands").alias("bucket"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= (1 if short else LEAST))
+    found = cut(keyed.mapInArrow(_signatures(short), f"doc_id {kind}, k long, number long, st long, n long, s long, bands array<long>"))
+    nodes = cut(found.filter(F.size("bands") > 0).groupBy("s").agg(F.min(F.struct("k", "st", "n")).alias("at"), F.first("bands").alias("bands")))
+    placed = nodes.select("s", F.explode("bands").alias("bucket"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        at = found.join(wanted, "s").groupBy("s").agg(F.min(F.struct("k", "st", "n")).alias("at"))
+        at = nodes.select("s", "at").join(wanted, "s")
         by_row = cut(at.groupBy("at.k").agg(F.collect_list(F.struct("s", "at.st", "at.n")).alias("wanted")))
         texts = likely(keyed.select("k", "text"), "k", by_row.select("k")).filter("_likely")
         return texts.join(by_row, "k").select("text", "wanted").mapInArrow(_texts, "s long, items binary").dropDuplicates(["s"])
 
-    classes = cut(components(links_between(placed, fetch, percent, _shingles)))
+    classes = cut(components(links_between(placed, fetch, percent, _shingles, sieve=True)))
     lines = found.select("doc_id", "k", "number", "s").join(classes.withColumnRenamed("node", "s"), "s", "left")
     lines = cut(lines.select(F.coalesce("component", "s").alias("root"), "doc_id", "k", "number"))
     keep = cut(lines.groupBy("root").agg(F.min(F.struct("doc_id", "k", "number")).alias("keep"), F.count("*").alias("c")).filter("c > 1").select("root", "keep.k", "keep.number"))

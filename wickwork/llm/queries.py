@@ -35,7 +35,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return lines.dedup_lines(read(spark, sf_dir, "documents"), short=True)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
