@@ -239,6 +239,20 @@ def test_automaton_equals_edit_distance():
             assert (a.misspelt(word) is not None) == want, word
 
 
+def test_misspellings_of_all_terms_and_first_letters():
+    """Every term of five letters or more is searched for, whatever its weight, and edits at the first letter count."""
+    rng = np.random.default_rng(9)
+    terms = sorted({"".join(rng.choice(list("abcdefghijklmnop"), rng.integers(4, 11))) for _ in range(600)})
+    a = toxicity.Model({w: 6.0 - i / 1000 for i, w in enumerate(terms)}).automaton()
+    for w in rng.choice(terms[300:], 60):
+        w = str(w)
+        for typo in (f"z{w[1:]}", w[1:], f"z{w}", f"{w[:2]}z{w[3:]}"):
+            near = [(distance(typo, t), t) for t in terms if 0 < distance(typo, t) <= toxicity.edits(t)]
+            want = None if typo in terms or len(typo) < 4 or not near else min(near)[1]
+            if typo not in terms:
+                assert a.misspelt(typo) == want, (typo, w)
+
+
 def test_quotation_is_told_apart():
     a = toxicity.Automaton({"idiot": 5.0}, {}, {"idiot"})
     plain, quoted, said = (toxicity.features(t, a) for t in ("you idiot go", 'he was no "idiot" then', "she said idiot there"))

@@ -2,7 +2,7 @@
 
 Terms are words, and stems that begin many words, which the labels tie to toxic documents; they are counted by Spark over
 a bounded sample of labelled rows. A word is run through the product of the trie and the Levenshtein automata of its
-terms, which is built state by state as words need it: states are sets of trie nodes with the edits used. Hits are told
+terms: states are sets of trie nodes with the edits used, on the paths of terms that a few deletions make equal to it. Hits are told
 apart by kind (word, stem, misspelling) and by context: inside quotation marks, or soon after a word of report, or not.
 A logistic regression over these few features, fitted on labelled rows that the lexicon has not seen, gives the score.
 """
@@ -21,13 +21,13 @@ from wickwork.llm.shared import cut, fold
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 SAMPLE = 20_000
-#: Terms kept, and those of them that misspellings are searched for.
-TERMS, FUZZY = 5_000, 200
+#: Terms kept.
+TERMS = 5_000
 LEAST_ROWS, LEAST_PRECISION, STEM_WORDS = 3, 0.8, 3
 THRESHOLD = 0.7
 WINDOW = 6
-#: Automaton states and words that a task remembers.
-STATES, KNOWN = 20_000, 150_000
+#: Words that a task remembers.
+KNOWN = 150_000
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$*!](?=[^\W_]))*")
 #: Words of report in the four languages of the tables.
 _REPORT = frozenset("said says wrote writes quoted called told dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
@@ -43,74 +43,80 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+def _shorter(word: str, most: int):
+    """``word`` and all that is left of it after up to ``most`` (0 to 2) deletions."""
+    yield word
+    if most:
+        for i in range(len(word)):
+            once = word[:i] + word[i + 1 :]
+            yield once
+            if most > 1:
+                for j in range(i, len(once)):
+                    yield once[:j] + once[j + 1 :]
+
+
 class Automaton:
-    """The trie of the terms, and with it the automaton of all words within a term's edits (the first letter is kept)."""
+    """The trie of the terms, and with it the automaton of all words within a term's edits, at any letter."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str]):
         self.words, self.stems = words, stems
         self.stem_lengths = sorted({len(s) for s in stems})
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.path: dict[str, list[int]] = {}
         for w in sorted(fuzzy):
-            at = 0
+            at, self.path[w] = 0, []
             for c in w:
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
                     self.next.append({})
                     self.term.append(None)
                 at = self.next[at][c]
+                self.path[w].append(at)
             self.term[at] = w
+        # A word within k edits of a term shares with it what k deletions leave: only such terms are walked.
+        self.shorter: dict[str, set[str]] = {}
+        for w in fuzzy:
+            for x in _shorter(w, edits(w)):
+                self.shorter.setdefault(x, set()).add(w)
         # The most edits that any term below a node allows.
         self.room = [0] * len(self.next)
         for node in range(len(self.next) - 1, -1, -1):
             self.room[node] = max([edits(self.term[node]) if self.term[node] else 0, *(self.room[x] for x in self.next[node].values())])
-        self.states: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
-        self.step: list[dict[str, int]] = []
         self.known = _Known(self)
 
-    def _state(self, items) -> int:
+    def _state(self, items, near: set[int]) -> dict[int, int]:
+        """Trie nodes, of those ``near``, with the least edits that reach them."""
         least: dict[int, int] = {}
         stack = list(items)
         while stack:  # skipping a letter of the term
             node, used = stack.pop()
             if used <= self.room[node] and least.get(node, 99) > used:
                 least[node] = used
-                if node:
-                    stack += [(x, used + 1) for x in self.next[node].values()]
-        key = frozenset(least.items())
-        if key not in self.states:
-            self.states[key] = len(self.sets)
-            self.sets.append(key)
-            self.step.append({})
-        return self.states[key]
-
-    def _read(self, state: int, c: str) -> int:
-        if c not in self.step[state]:
-            items = []
-            for node, used in self.sets[state]:
-                for letter, x in self.next[node].items():
-                    if letter == c:
-                        items.append((x, used))
-                    elif node:
-                        items.append((x, used + 1))
-                if node:
-                    items.append((node, used + 1))
-            self.step[state][c] = self._state(items)
-        return self.step[state][c]
+                stack += [(x, used + 1) for x in self.next[node].values() if x in near]
+        return least
+
+    def _read(self, state: dict[int, int], c: str, near: set[int]) -> dict[int, int]:
+        items = []
+        for node, used in state.items():
+            items += [(x, used + (letter != c)) for letter, x in self.next[node].items() if x in near]
+            items.append((node, used + 1))
+        return self._state(items, near)
 
     def misspelt(self, word: str) -> str | None:
         """The term nearest to ``word`` within its edits, or None."""
-        if len(word) < 4 or len(word) > 40 or word[0] not in self.next[0]:
+        if len(word) < 4 or len(word) > 40:
+            return None
+        terms = {t for x in _shorter(word, 1 if len(word) < 6 else 2) for t in self.shorter.get(x, ()) if abs(len(t) - len(word)) <= edits(t)}
+        if not terms:
             return None
-        if len(self.sets) > STATES:
-            self.states, self.sets, self.step = {}, [], []
-        state = self._state([(0, 0)])
+        near = {node for t in terms for node in self.path[t]}
+        state = self._state([(0, 0)], near)
         for c in word:
-            state = self._read(state, c)
-            if not self.sets[state]:
+            state = self._read(state, c, near)
+            if not state:
                 return None
-        found = [(used, self.term[node]) for node, used in self.sets[state] if self.term[node] and used <= edits(self.term[node])]
+        found = [(used, self.term[node]) for node, used in state.items() if self.term[node] and used <= edits(self.term[node])]
         return min(found)[1] if found else None
 
     def look(self, word: str) -> tuple[int, float] | None:
@@ -145,8 +151,7 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [0.0] * 9)
 
     def automaton(self) -> Automaton:
-        top = sorted(self.words, key=lambda w: (-self.words[w], w))[:FUZZY]
-        return Automaton(self.words, self.stems, set(top))
+        return Automaton(self.words, self.stems, {w for w in self.words if edits(w)})
 
 
 def _quoted(text: str, at: int, before: list[str]) -> bool:
