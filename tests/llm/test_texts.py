@@ -268,25 +268,49 @@ def test_toxicity_odd(odd_docs, no_docs, labels):
 
 # op5 ----------------------------------------------------------------------------------------------------------------------
 
+def char_grams(line):
+    return frozenset(line[p : p + lines.GRAM] for p in range(len(line) - lines.GRAM + 1))
+
+
+def lower(line):
+    return line.encode().translate(LOWER).decode()
+
+
 def test_lines_equal_brute_force(spark, tiny, docs):
+    """All pairs of different lines that share a shingle are compared; the bands may miss 2 in 10 000 at the threshold."""
     texts = {r.doc_id: r.text for r in lines.dedup_lines(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
-    rows = [(i, n, ln) for i, t in zip(docs.doc_id, docs.text, strict=True) for n, ln in enumerate((t or "").split("\n"))]
-    long = [(i, n, ln.encode().translate(LOWER)) for i, n, ln in rows if len(ln.encode()) >= lines.LEAST]
-    grams = [frozenset(x[p : p + 8] for p in range(len(x) - 7)) for _, _, x in long]
+    rows = [(i, n, lower(ln)) for i, t in zip(docs.doc_id, docs.text, strict=True) for n, ln in enumerate((t or "").split("\n")) if len(ln) >= lines.GRAM]
+    unlike = sorted({x for _, _, x in rows})
+    grams = [char_grams(x) for x in unlike]
     by = collections.defaultdict(list)
     for at, g in enumerate(grams):
         for x in g:
             by[x].append(at)
-    common = collections.Counter((a, b) for ids in by.values() if len(ids) < 400 for n, b in enumerate(ids) for a in ids[:n])
-    links = [(a, b) for (a, b), c in common.items() if 100 * c >= 80 * (len(grams[a]) + len(grams[b]) - c)]
-    root = roots(links, range(len(long)))
+    links = []
+    for b, g in enumerate(grams):
+        common = collections.Counter(a for x in g for a in by[x] if a < b)
+        links += [(a, b) for a, c in common.items() if 100 * c >= 80 * (len(grams[a]) + len(g) - c)]
+    root = roots(links, range(len(unlike)))
+    at = {x: i for i, x in enumerate(unlike)}
     groups = collections.defaultdict(list)
-    for at, x in root.items():
-        groups[x].append(long[at][:2])
-    gone = {at for g in groups.values() for at in sorted(g)[1:]}
+    for i, n, x in rows:
+        groups[root[at[x]]].append((i, n))
+    gone = {p for g in groups.values() for p in sorted(g)[1:]}
     want = {i: "\n".join(ln for n, ln in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in zip(docs.doc_id, docs.text, strict=True)}
-    same = sum((texts[i] or "") == want[i] for i in want)
-    assert same >= 0.99 * len(want), (same, len(want))  # banding finds 99.8 % of the pairs at the threshold
+    assert links and {i for i in want if (texts[i] or "") != want[i]} == set()
+
+
+def test_lines_of_other_alphabets_and_many_near_copies(spark, monkeypatch):
+    """Characters, not bytes, make shingles; a large group of near copies is joined, also when it is dealt out in blocks."""
+    monkeypatch.setattr(lines, "BLOCK_NODES", 8)
+    rng = np.random.default_rng(2)
+    base = "".join(rng.choice(list("абвгдежзиклмнопрст"), 120))
+    near = [base[:p] + "Ж" + base[p + 1 :] for p in range(10, 110)]
+    far = ["".join(rng.choice(list("абвгдежзиклмнопрст"), 60)) for _ in range(20)]
+    rows = [(i, x) for i, x in enumerate([base, *near, *far, "семьзна", "семьзна", "日本語日本語日", "日本語日本語日本"])]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == base and not any(got[i] for i in range(1, 101))
+    assert all(got[i] == t for i, t in rows[101:])
 
 
 def test_lines_odd(odd_docs, no_docs):
@@ -310,8 +334,8 @@ def test_lines_at_the_threshold_share_a_bucket():
         ga, gb = ({bytes(x[p : p + 8]) for p in range(80)} for x in (a, b))
         if not 0.79 < len(ga & gb) / len(ga | gb) < 0.82:
             continue
-        data = np.concatenate([a, b])
-        key = lines._bands(lines.Hashes(data), np.array([0, 87]), np.array([87, 174]))
+        text = lines.Lines(np.concatenate([a, [10], b]).astype(np.uint8), np.array([0, 175]), False)
+        key = lines.bands(text.signatures(np.arange(2)))
         pairs += 1
         missed += not (key[:, 0] == key[:, 1]).any()
     assert missed <= 10, missed

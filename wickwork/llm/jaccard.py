@@ -184,7 +184,7 @@ def _verify(percent: int, decode):
     return run
 
 
-def _search_buckets(percent: int, decode):
+def search_buckets(percent: int, decode):
     """Rows (bucket, i, j, s, c, items) sorted by the first three -> links (u, v)."""
 
     def run(batches):
@@ -290,5 +290,5 @@ def links_between(placed: DataFrame, fetch, percent: int, decode=_lists, sieve:
     dealt = (known.join(open_, "bucket").withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s", "c"))
     second = (dealt.join(items, "s").select("bucket", "i", "j", "s", "c", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-              .mapInArrow(_search_buckets(percent, decode), "u long, v long"))
+              .mapInArrow(search_buckets(percent, decode), "u long, v long"))
     return first.unionByName(second)

@@ -1,8 +1,12 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines that are equal are one node. A node's signature holds the least permuted hashes of its character shingles; bands of
-the signature put nodes into buckets, pairs in buckets are verified by the exact Jaccard similarity of the shingle sets, and
-distributed union-find joins them. One line of each component stays.
+the signature put nodes into buckets. Within a bucket nodes are compared by a sketch of the whole signature (a byte of each
+of its numbers), pairs that pass are verified by the exact Jaccard similarity of the shingle sets, and distributed union-find
+joins them. One line of each component stays.
+
+Band keys outnumber all else, so they travel as packed arrays: a task combines the keys it has seen, and of a bucket that it
+fills itself only one node meets the other tasks' keys. All later tables hold only nodes that share a bucket.
 """
 
 from __future__ import annotations
@@ -13,27 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.components import components
-from wickwork.llm.jaccard import links_between
-from wickwork.llm.shared import cut, likely
+from wickwork.llm.jaccard import BLOCK_NODES, linked, search_buckets
+from wickwork.llm.shared import cut, likely, split_join
 from wickwork.llm.textkernel import BLANK, LOWER, Hashes, chunks, column_bytes, mix
 
-#: Characters (bytes, A-Z lower-cased) in a shingle.
+#: Characters (A-Z lower-cased) in a shingle. Lines with fewer have none: they are compared by equality or left alone.
 GRAM = 8
 PERCENT = 80
 #: A pair at the threshold shares no bucket with probability (1 - 0.8**4)**16 = 0.0002, one at 0.9 with 4e-8.
 ROWS, BANDS = 4, 16
-#: Lines with fewer bytes have no shingle: they are compared by equality or left alone.
-LEAST = GRAM
-#: Lines that a task remembers having sent bands of.
-SEEN = 200_000
+#: Of the 64 bytes of two sketches so many agree, or the pair is dropped; at the threshold fewer do with probability 4e-6.
+AGREE = 36
+#: Nodes that a task remembers having sent bands of, and keys that it combines before it sends them.
+SEEN, HELD = 200_000, 2_000_000
+#: Bytes of text whose bands one task gathers.
+TEXT_PART = 1 << 24
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
 
 
-def split(data: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
-    """Start, end, row and number in its text of each line with ``least`` bytes, line feeds excluded."""
+def split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end, row and number in its text of each line, line feeds excluded."""
     feed = np.flatnonzero(data == 10)
     # A line starts at each row's start and after each feed inside a row.
     start = np.concatenate([off[:-1], feed + 1])
@@ -43,80 +49,252 @@ def split(data: np.ndarray, off: np.ndarray, least: int = LEAST) -> tuple[np.nda
     end = np.append(start[1:] - 1, 0)
     last = np.append(row[1:] != row[:-1], True)
     end[last] = off[row[last] + 1]
-    number = np.arange(len(row)) - np.searchsorted(row, row)
-    long = end - start >= least
-    return start[long], end[long], row[long], number[long]
+    return start, end, row, np.arange(len(row)) - np.searchsorted(row, row)
+
+
+class Lines:
+    """The lines of a run of texts: their places, hashes, and characters."""
 
+    def __init__(self, data: np.ndarray, off: np.ndarray, short: bool):
+        low = LOWER[data]
+        self.hashes = Hashes(low)
+        #: Where characters start, and the end.
+        self.chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        start, end, row, number = split(data, off)
+        first, last = np.searchsorted(self.chars, start), np.searchsorted(self.chars, end)
+        on = self.long = last - first >= GRAM
+        if short:
+            filled = np.concatenate([[0], np.cumsum(~BLANK[data])])
+            on = on | (filled[end] > filled[start])
+        self.start, self.end, self.row, self.number, self.first, self.last, self.long = (x[on] for x in (start, end, row, number, first, last, self.long))
+        self.node = self.hashes.of(self.start, self.end)
 
-def _signatures(short: bool):
-    """Lines with their place, and with their bands where the task sees the line for the first time.
+    def signatures(self, at: np.ndarray) -> np.ndarray:
+        """The least permuted hashes (number, line) of the shingles of the lines ``at``, which have some."""
+        first, n = self.first[at], self.last[at] - self.first[at] - GRAM + 1
+        bounds = np.cumsum(n) - n
+        i = np.repeat(first - bounds, n) + np.arange(int(n.sum()))
+        a, b = self.chars[i], self.chars[i + GRAM]
+        g = (mix((self.hashes.sums[b] - self.hashes.sums[a]) * self.hashes.down[a]) >> np.uint64(32)).astype(np.uint32)
+        out, each = np.empty((ROWS * BANDS, len(at)), np.uint32), np.empty_like(g)
+        for p in range(ROWS * BANDS):
+            np.multiply(g, _MUL[p], out=each)
+            np.add(each, _ADD[p], out=each)
+            np.minimum.reduceat(each, bounds, out=out[p])
+        return out
 
-    Lines without a shingle have no bands; they come only if ``short``, and blank ones never."""
 
+def bands(signatures: np.ndarray) -> np.ndarray:
+    """The bucket (band, line) of each band; the lowest bit is free."""
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], signatures.shape[1], 1)
+    for band in range(BANDS):
+        for p in range(band * ROWS, band * ROWS + ROWS):
+            key[band] = mix(key[band] * np.uint64(0x9E3779B97F4A7C15) + signatures[p])
+    return key & ~np.uint64(1)
+
+
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """A byte of each number (line, number)."""
+    return np.ascontiguousarray(signatures.T.astype(np.uint8))
+
+
+def _found(short: bool):
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
             keys = np.asarray(batch.column(1))
-            for lo, hi, data, off in chunks(batch.column(2)):
-                low = LOWER[data]
-                h = Hashes(low)
-                start, end, row, number = split(data, off, 1 if short else LEAST)
-                long = end - start >= LEAST
-                if short:
-                    filled = np.concatenate([[0], np.cumsum(~BLANK[data])])
-                    on = long | (filled[end] > filled[start])
-                    start, end, row, number, long = start[on], end[on], row[on], number[on], long[on]
-                if not len(start):
-                    continue
-                node = h.of(start, end)
-                key = _bands(h, start[long], end[long])
+            for lo, _, data, off in chunks(batch.column(2), 1 << 18):
+                x = Lines(data, off, short)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(lo + x.row)), pa.array(keys[lo + x.row]), pa.array(x.number.astype(np.int32)), pa.array((x.start - off[x.row]).astype(np.int32)),
+                     pa.array((x.end - x.start).astype(np.int32)), pa.array(x.node.view(np.int64))],
+                    ["doc_id", "k", "number", "st", "n", "s"])
+
+    return run
+
+
+def _grouped(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, node) in order, whether each is the first of its key, and the number of nodes of its key."""
+    by = np.lexsort((node, key))
+    key, node = key[by], node[by]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+    key, node = key[new], node[new]
+    first = np.append(True, key[1:] != key[:-1])
+    return key, node, first, np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1]
+
+
+def _packed(parts: int):
+    """Texts -> rows (part, more, pairs): arrays of (bucket, node), the bucket's lowest bit telling of more nodes in the task,
+    and with ``more`` those other nodes, in any part."""
+
+    def flush(held):
+        key, node, first, n = _grouped(np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held]))
+        rest = np.stack([key[~first], node[~first]], 1)
+        key, node = key[first] | (n[first] > 1).astype(np.uint64), node[first]
+        part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        pairs, at = np.stack([key[by], node[by]], 1), np.searchsorted(part[by], np.arange(parts + 1))
+        out = [(p, False, pairs[a:b].tobytes()) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        out += [(int(rest[a, 0] % np.uint64(parts)), True, rest[a : a + 4096].tobytes()) for a in range(0, len(rest), 4096)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["part", "more", "pairs"])
+
+    def run(batches):
+        seen: set[int] = set()
+        held, size = [], 0
+        for batch in batches:
+            for _, _, data, off in chunks(batch.column(0), 1 << 18):
+                x = Lines(data, off, False)
+                fresh = []
+                for i, s in enumerate(x.node.tolist()):
+                    if s not in seen:
+                        seen.add(s)
+                        fresh.append(i)
                 if len(seen) > SEEN:
                     seen.clear()
-                fresh = np.zeros(len(start), bool)
-                for i, x in zip(np.flatnonzero(long).tolist(), node[long].tolist(), strict=True):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                bounds = np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + row)), pa.array(keys[lo + row]), pa.array(number), pa.array((start - off[row])), pa.array(end - start), pa.array(node.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.T[fresh[long]].ravel().view(np.int64)))],
-                    ["doc_id", "k", "number", "st", "n", "s", "bands"])
+                if fresh:
+                    at = np.array(fresh)
+                    key = bands(x.signatures(at))
+                    held.append((key.ravel(), np.tile(x.node[at], BANDS)))
+                    size += key.size
+                if size > HELD:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
-def _bands(h: Hashes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The band keys (band, line) of lines with a shingle at least."""
-    if not len(start):
-        return np.empty((BANDS, 0), np.uint64)
-    g = (h.grams(GRAM) >> np.uint64(32)).astype(np.uint32)
-    # The shingles of a line are g[start : end - GRAM + 1]; every second bound of reduceat is skipped.
-    bounds = np.stack([start, end - GRAM + 1], 1).ravel()
-    if bounds[-1] >= len(g):
-        g = np.append(g, np.uint32(2**32 - 1))
-    key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), 1)
-    for band in range(BANDS):
-        for p in range(band * ROWS, band * ROWS + ROWS):
-            key[band] = mix(key[band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(g * _MUL[p] + _ADD[p], bounds)[::2])
-    return key
+def _met(batches):
+    """Rows (more, pairs), all of a part in one partition -> (bucket, s) of the buckets with several nodes."""
+    held = []
+    for batch in batches:
+        for more, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(pairs, np.uint64).reshape(-1, 2)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)), pa.array(x[:, 1].view(np.int64))], ["bucket", "s"])
+            else:
+                held.append(x)
+    if held:
+        x = np.concatenate(held)
+        held.clear()
+        more = x[:, 0] & np.uint64(1) == 1
+        key, node, _, n = _grouped(x[:, 0] & ~np.uint64(1), x[:, 1])
+        on = (n > 1) | np.isin(key, np.unique(x[more, 0] & ~np.uint64(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[on].view(np.int64)), pa.array(node[on].view(np.int64))], ["bucket", "s"])
 
 
 def _texts(batches):
-    """Rows (text, wanted) -> (s, items), the wanted lines in lower case."""
+    """Rows (k, text, wanted) -> (s, items, sketch): the wanted lines in lower case with their sketches, once for equal rows."""
+    seen: set[int] = set()
     for batch in batches:
-        data, off = column_bytes(batch.column(0))
-        ids, items = [], []
-        for i, wanted in enumerate(batch.column(1).to_pylist()):
-            for w in wanted:
-                ids.append(w["s"])
-                items.append(LOWER[data[off[i] + w["st"] : off[i] + w["st"] + w["n"]]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["s", "items"])
+        fresh = []
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            if k not in seen:
+                seen.add(k)
+                fresh.append(i)
+        batch = batch.take(pa.array(fresh, pa.int64()))
+        for lo, hi, data, off in chunks(batch.column(1), 1 << 18):
+            x = Lines(data, off, False)
+            want = {(i, w["st"]) for i, wanted in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()) for w in wanted}
+            at = np.array([i for i, place in enumerate(zip(x.row.tolist(), (x.start - off[x.row]).tolist(), strict=True)) if place in want], np.int64)
+            if not len(at):
+                continue
+            low, sk = LOWER[data], sketches(x.signatures(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.node[at].view(np.int64)), pa.array([low[a:b].tobytes() for a, b in zip(x.start[at], x.end[at], strict=True)], pa.binary()),
+                 pa.array([r.tobytes() for r in sk], pa.binary())], ["s", "items", "sketch"])
+
+
+def _alike(batches):
+    """Rows (u, v, one, other) -> the (u, v) whose sketches agree enough."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in (2, 3))
+        on = pa.array((a == b).sum(1) >= AGREE)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], ["u", "v"])
+
+
+def _open(batches):
+    """Rows (bucket, i, j, s, c, sketch) sorted by the first three -> those (bucket, i, j, s, c) alike with one of another c."""
+    held, at = [], None
+
+    def kept(rows):
+        sk = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+        c = np.array([r[4] for r in rows])
+        on = np.zeros(len(rows), bool)
+        for lo in range(0, len(rows), 64):
+            part = slice(lo, lo + 64)
+            on[part] = (((sk[part, None] == sk).sum(2) >= AGREE) & (c[part, None] != c)).any(1)
+        rows = [r for r, x in zip(rows, on, strict=True) if x]
+        return pa.RecordBatch.from_arrays([pa.array([r[t] for r in rows], pa.int64()) for t in range(5)], ["bucket", "i", "j", "s", "c"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != at:
+                if len(held) > 1:
+                    yield kept(held)
+                held, at = [], row[:3]
+            held.append(row)
+    if len(held) > 1:
+        yield kept(held)
 
 
 def _shingles(column: pa.Array) -> list[np.ndarray]:
     data, off = column_bytes(column)
-    return [np.unique(Hashes(data[a:b]).grams(GRAM)) for a, b in zip(off[:-1], off[1:], strict=True)]
+    out = []
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        h = Hashes(data[a:b])
+        chars = np.append(np.flatnonzero((data[a:b] & 0xC0) != 0x80), b - a)
+        i, j = chars[:-GRAM], chars[GRAM:]
+        out.append(np.unique(mix((h.sums[j] - h.sums[i]) * h.down[i])))
+    return out
+
+
+def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose shingle sets are alike enough."""
+
+    def run(batches):
+        for batch in batches:
+            ok = pa.array([linked(x, y, percent) for x, y in zip(_shingles(batch.column(2)), _shingles(batch.column(3)), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+
+    both = pairs.join(items.select(F.col("s").alias("u"), F.col("items").alias("one")), "u").join(items.select(F.col("s").alias("v"), F.col("items").alias("other")), "v")
+    return both.select("u", "v", "one", "other").mapInArrow(run, "u long, v long")
+
+
+def _links(keyed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between nodes that join all nodes which link, directly or over others."""
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // TEXT_PART))
+    packed = keyed.select("text").mapInArrow(_packed(parts), "part int, more boolean, pairs binary")
+    met = packed.repartition(parts, "part").select("more", "pairs").mapInArrow(_met, "bucket long, s long")
+    members = cut(met.distinct())
+    wanted = members.select("s").distinct()
+    places = likely(found.select("k", "st", "s"), "s", wanted).filter("_likely").groupBy("s").agg(F.min(F.struct("k", "st")).alias("at"))
+    by_row = cut(places.join(wanted, "s").groupBy("at.k").agg(F.collect_list(F.struct("s", "at.st")).alias("wanted")))
+    texts = likely(keyed.select("k", "text"), "k", by_row.select("k")).filter("_likely")
+    items = cut(texts.join(by_row, "k").select("k", "text", "wanted").mapInArrow(_texts, "s long, items binary, sketch binary"))
+    sketch = items.select("s", "sketch")
+    buckets = cut(members.groupBy("bucket").agg(F.min("s").alias("pivot"), F.count("*").alias("m")))
+    # Each node against the least of its buckets.
+    pairs = split_join(members, buckets, "bucket", "m").filter("s <> pivot").select(F.col("s").alias("u"), F.col("pivot").alias("v")).distinct()
+    near = (pairs.join(sketch.toDF("u", "one"), "u").join(sketch.toDF("v", "other"), "v").select("u", "v", "one", "other").mapInArrow(_alike, "u long, v long"))
+    first = cut(_verified(near, items, percent))
+    classes = components(first)
+    # Buckets of three and more that are still in several components: nodes that are alike across them.
+    known = cut(split_join(members, buckets.filter("m > 2"), "bucket", "m").join(classes.withColumnRenamed("node", "s"), "s", "left")
+                .select("bucket", "s", "m", F.coalesce("component", "s").alias("c")))
+    still = (known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("m").alias("m")).filter("low <> high")
+             .select("bucket", "m", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks")))
+    dealt = split_join(known.drop("m"), still, "bucket", "m")
+    block = F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = (dealt.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", F.least("b", "o").cast("long").alias("i"), F.greatest("b", "o").cast("long").alias("j"), "s", "c").distinct())
+    alike = (dealt.join(sketch, "s").select("bucket", "i", "j", "s", "c", "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+             .mapInArrow(_open, "bucket long, i long, j long, s long, c long"))
+    alike = cut(alike)
+    second = (alike.join(items.select("s", "items"), "s").select("bucket", "i", "j", "s", "c", "items").repartition("bucket", "i", "j")
+              .sortWithinPartitions("bucket", "i", "j").mapInArrow(search_buckets(percent, _shingles), "u long, v long"))
+    return first.unionByName(second)
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) -> DataFrame:
@@ -124,31 +302,24 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) ->
 
     Of the lines of a component the first stays, by doc_id (null first), then by a hash of the row, then by its place.
     Every row stays, its text perhaps empty; a null text stays null; ``n_chars``, if there, is counted anew. Lines under
-    ``LEAST`` bytes that are not blank lose their repeats (A-Z lower-cased) if ``short``, and stay otherwise. Rows that are equal in doc_id and text lose the same lines.
+    ``GRAM`` characters that are not blank lose their repeats (A-Z lower-cased) if ``short``, and stay otherwise. Rows that are equal in doc_id and text lose the same lines.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= (1 if short else LEAST))
-    found = cut(keyed.mapInArrow(_signatures(short), f"doc_id {kind}, k long, number long, st long, n long, s long, bands array<long>"))
-    nodes = cut(found.filter(F.size("bands") > 0).groupBy("s").agg(F.min(F.struct("k", "st", "n")).alias("at"), F.first("bands").alias("bands")))
-    placed = nodes.select("s", F.explode("bands").alias("bucket"))
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        at = nodes.select("s", "at").join(wanted, "s")
-        by_row = cut(at.groupBy("at.k").agg(F.collect_list(F.struct("s", "at.st", "at.n")).alias("wanted")))
-        texts = likely(keyed.select("k", "text"), "k", by_row.select("k")).filter("_likely")
-        return texts.join(by_row, "k").select("text", "wanted").mapInArrow(_texts, "s long, items binary").dropDuplicates(["s"])
-
-    classes = cut(components(links_between(placed, fetch, percent, _shingles, sieve=True)))
-    lines = found.select("doc_id", "k", "number", "s").join(classes.withColumnRenamed("node", "s"), "s", "left")
-    lines = cut(lines.select(F.coalesce("component", "s").alias("root"), "doc_id", "k", "number"))
-    keep = cut(lines.groupBy("root").agg(F.min(F.struct("doc_id", "k", "number")).alias("keep"), F.count("*").alias("c")).filter("c > 1").select("root", "keep.k", "keep.number"))
-    gone = (lines.join(keep.toDF("root", "kept_k", "kept_number"), "root").filter("k <> kept_k or number <> kept_number")
-            .groupBy("k").agg(F.collect_set("number").alias("_gone")).withColumnRenamed("k", "_k"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= (1 if short else GRAM))
+    found = cut(keyed.mapInArrow(_found(short), f"doc_id {kind}, k long, number int, st int, n int, s long"))
+    classes = components(_links(keyed, found, percent))
+    counts = found.groupBy("s").agg(F.count("*").alias("c"))
+    touched = counts.join(classes.withColumnRenamed("node", "s"), "s", "left").filter("c > 1 or component is not null")
+    touched = cut(touched.select("s", "c", F.coalesce("component", "s").alias("root")))
+    lines = likely(found.select("doc_id", "k", "number", "s"), "s", touched.select("s")).filter("_likely").drop("_likely")
+    lines = cut(split_join(lines, touched, "s", "c").select("root", "doc_id", "k", "number"))
+    keep = cut(lines.groupBy("root").agg(F.min(F.struct("doc_id", "k", "number")).alias("keep"), F.count("*").alias("c")).select("root", "c", F.col("keep.k").alias("kept_k"), F.col("keep.number").alias("kept_number")))
+    gone = cut(split_join(lines, keep, "root", "c").filter("k <> kept_k or number <> kept_number")
+               .groupBy("k").agg(F.collect_set("number").alias("_gone")).withColumnRenamed("k", "_k"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("doc_id", "text").alias("_k"))
-    gone = cut(gone)
     whole = likely(whole, "_k", gone.select("_k"))
     joined = whole.filter("_likely").join(gone, "_k", "left")
-    left = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
+    left = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn("doc", F.col("doc").withField("text", text))
     if "n_chars" in docs.columns:

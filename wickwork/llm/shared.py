@@ -13,12 +13,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only where the session names none."""
+    """The session's own folder in the one that all executors share. Only a local master may leave that unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what :func:`cut` has written in this session; results that read it must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     It ends the lineage, so a lost executor costs a file read and not a recomputation, and later joins see
     true sizes: adaptive execution can broadcast, or split a skewed side, from what is measured.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,3 +69,19 @@ def likely(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.expr(f"substring(_bits, int((_at % {_GROUP}) div 8) + 1, 1)")), 16, 10).cast("int")
     hit = F.getbit(byte.cast("long"), F.expr("int(_at % 8)")) == 1
     return rows.join(F.broadcast(bits), "_group", "left").withColumn("_likely", F.coalesce(hit, F.lit(False))).drop("_group", "_at", "_bits")
+
+
+#: A key with more than this share of the rows is heavy; so there are fewer heavy keys than this number.
+SHARE = 10_000
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has each ``key`` once and in ``count`` about how many rows hold it.
+
+    The heavy keys of the table, fewer than ``SHARE`` by their definition, are broadcast, so no task gets all rows of one;
+    the others are joined by a shuffle. ``rows`` is read twice and should be a written table.
+    """
+    least = (table.agg(F.sum(count)).first()[0] or 0) / SHARE
+    heavy = F.broadcast(table.filter(F.col(count) > least))
+    light = rows.join(heavy.select(key), key, "left_anti").join(table.filter(F.col(count) <= least), key)
+    return rows.join(heavy, key).unionByName(light)
