@@ -395,30 +395,56 @@ def test_base_score_equals_brute_force_and_ppm_learns(spark, tiny, docs):
     assert held.score.sum() / sum(size[i] for i in held.index) > -1.3  # uniform bytes cost 2.41
 
 
-def test_trie_probabilities():
-    """Exact PPM with exclusion by direct counting, and probabilities that sum to one when strings are left out."""
+def ppm(train, text, order):
+    """log10 of the probability of ``text`` and its end: PPM with method C and exclusion, by counting in lists."""
+    after = collections.defaultdict(collections.Counter)
+    run = lambda t: ["^"] * order + list(t.translate(LOWER)) + ["$"]
+    for t in train:
+        x = run(t)
+        for i in range(order, len(x)):
+            for k in range(order + 1):
+                after[tuple(x[i - k : i])][x[i]] += 1
+    total, x = 0.0, run(text)
+    for i in range(order, len(x)):
+        refused = set()
+        for k in range(order, -1, -1):
+            left = {s: n for s, n in after.get(tuple(x[i - k : i]), {}).items() if s not in refused}
+            if not left:
+                continue
+            whole = sum(left.values()) + len(left)
+            if x[i] in left:
+                total += math.log10(left[x[i]] / whole)
+                break
+            total += math.log10(len(left) / whole)
+            refused |= set(left)
+        else:
+            total -= math.log10(257 - len(refused))
+    return total
+
+
+@pytest.mark.parametrize("head", [1 << 20, 3])
+def test_scores_equal_ppm_by_counting(spark, monkeypatch, head):
+    """Whole scores, with all strings broadcast and with nearly all joined."""
+    monkeypatch.setattr(scoring, "HEAD", head)
+    monkeypatch.setattr(scoring, "TRIE_ROWS", 50)
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(list(b"abcB "), rng.integers(0, 60)).tolist()).decode() for _ in range(60)] + ["zq abc", "aaaaaaaaaaaaaaaaaaaaaaaa", "", "é abc"]
+    fold = [zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))]
+    train = [t.encode() for i, t in enumerate(texts) if fold[i] != 1]
+    got = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], ppm(train, t.encode(), scoring.ORDER), rel_tol=1e-5, abs_tol=1e-5), (i, t)
+
+
+def test_chain_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    for order in (1, 2, 4):
-        train = [bytes(rng.integers(97, 101, rng.integers(0, 40)).tolist()) for _ in range(5)]
-        pack = lambda ts: (np.frombuffer(b"".join(ts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in ts])]).astype(np.int64))
-        g = scoring.ngrams(scoring.symbols(*pack(train), order)[0], order)
-        levels = [np.unique(g & ((1 << scoring.BITS * (j + 1)) - 1), return_counts=True) for j in range(order + 1)]
-        for least in (1, 3):
-            kept = [(k[n >= least], n[n >= least]) if j else (k, n) for j, (k, n) in enumerate(levels)]
-            trie = scoring.Trie(kept)
-            context = bytes(rng.integers(97, 101, 7).tolist())
-            total = 0.0
-            for symbol in range(257):
-                text = context + bytes([symbol]) if symbol < 256 else context
-                x, _ = scoring.symbols(*pack([text]), order)
-                lp = trie.log10(x)
-                if 65 <= symbol <= 90:
-                    continue
-                total += 10 ** lp[order + 7]
-            # A-Z never occur, as texts are lower-cased; their share is that of any unseen symbol.
-            x, _ = scoring.symbols(*pack([context + b"\x01"]), order)
-            total += 26 * 10 ** trie.log10(x)[order + 7]
-            assert abs(total - 1) < 1e-4, (order, least, total)
+    data = rng.integers(97, 101, 120).astype(np.uint8)
+    g = scoring.ngrams(scoring.symbols(data, np.array([0, 50, 120]), scoring.ORDER)[0], scoring.ORDER)
+    levels = [np.unique(g & scoring._mask(k + 1), return_counts=True) for k in range(scoring.ORDER + 1)]
+    levels = [(k, n.astype(float)) for k, n in levels]
+    symbols = np.append(np.arange(256), scoring.END)
+    for context in [*rng.choice(g, 5), 0]:
+        assert math.isclose((10 ** scoring.chain(levels, (context >> scoring.BITS << scoring.BITS) | symbols)).sum(), 1, rel_tol=1e-9)
 
 
 def test_scores_odd(odd_docs, no_docs):

@@ -1,13 +1,14 @@
 """Scoring texts by prediction by partial matching over bytes, with a word unigram model as the base.
 
-Counts of all byte strings of ``ORDER`` + 1 symbols in the training texts are gathered by Spark; shorter contexts follow
-by summing. They form a context trie. A symbol is predicted in the longest context that the trie knows; an unseen symbol
-escapes to the next shorter one with the probability of method C (distinct symbols over symbols plus distinct), and symbols
-already refused by the longer context are excluded there. As each context's symbols are also its suffix's symbols, the
-excluded mass is one number per node, so a batch of texts is scored by table reads alone.
-
-A level of the trie keeps at most ``LEVEL_NODES`` strings: the least count kept is the smallest that fits.
-That bounds what is broadcast; what is not kept counts as escape, so all probabilities still sum to one.
+Counts of all byte strings of ``ORDER`` + 1 symbols in the training texts are gathered by Spark; they are the leaves of the
+context trie, and shorter contexts follow by summing. A symbol is predicted in the longest context that was seen; an unseen
+symbol escapes to the next shorter one with the probability of method C (distinct symbols over symbols plus distinct), and
+symbols already refused by the longer context are excluded there.
+
+What a symbol costs depends on itself and the ``ORDER`` symbols before it alone. So every string seen in training has one
+log-probability, from two sums over its context; those of the most frequent strings are broadcast as a cache, all others
+are joined. Strings not seen in training are dealt out by the two symbols before the last: all contexts of two and more
+symbols that they can escape to then lie in one partition, and the shorter ones make a table of bounded size.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from wickwork.llm.shared import cut, fold
 from wickwork.llm.textkernel import LOWER, Hashes, chunks, mix, words
 
 ORDER = 5
-LEVEL_NODES = 1 << 18
-#: Words whose counts are broadcast; all others are joined.
-HEAD_WORDS = 1 << 18
+#: Strings and words that are broadcast; all others are joined, so the numbers do not change a result.
+HEAD, HEAD_WORDS = 1 << 20, 1 << 18
+#: Strings of a partition of the trie that are held together.
+TRIE_ROWS = 2_000_000
 BITS = 9
 START, END = 256, 257
 SYMBOLS = 257
@@ -97,143 +99,154 @@ def _least(counts: DataFrame, most: int) -> int:
     return 1
 
 
-class Trie:
-    """Context strings of 1 to order + 1 symbols with everything that scoring reads, as arrays over nodes."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.order = order = len(levels) - 1
-        keys, counts = [], []
-        for j, (k, c) in enumerate(levels):
-            starts = sum(START << BITS * t for t in range(j + 1))
-            if j < order:  # contexts of starts alone are never predicted
-                k, c = np.append(k, starts), np.append(c, 0)
-            by = np.argsort(k)
-            keys.append(k[by])
-            counts.append(c[by])
-        base = np.cumsum([1, *map(len, keys)])
-        n = int(base[-1])
-        count = np.concatenate([[0], *counts]).astype(np.float64)
-        parent, suffix = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for j in range(1, order + 1):
-            here = slice(base[j], base[j + 1])
-            parent[here] = base[j - 1] + np.searchsorted(keys[j - 1], keys[j] >> BITS)
-            suffix[here] = base[j - 1] + np.searchsorted(keys[j - 1], keys[j] & ((1 << BITS * j) - 1))
-        seen = np.flatnonzero(count > 0)
-        total = np.bincount(parent[seen], count[seen], n)
-        kinds = np.bincount(parent[seen], minlength=n).astype(np.float64)
-        below = np.bincount(parent[seen], count[suffix[seen]], n)  # what the suffix gives to symbols seen here
-        # What followed a context but is not kept adds to its escape.
-        lost = np.maximum(count - total, 0) * (total > 0)
-        new = lost[suffix] + np.maximum(kinds[suffix] - kinds, 0)
-        with np.errstate(divide="ignore"):
-            log = lambda on, x: np.log10(np.where(on, x, 1)).astype(np.float32)
-            self.count = log(count > 0, count)
-            self.all = log(total > 0, total + lost + kinds)
-            self.escape = log(total > 0, lost + kinds)
-            self.rest = log(new > 0, total[suffix] - below + new)
-            self.rest_escape = log(new > 0, new)
-        self.predicts = total > 0
-        self.seen = count > 0
-        self.unseen = -np.log10(max(1.0, SYMBOLS - kinds[0]))
-        self._children(keys, base, parent)
-
-    def _children(self, keys, base, parent):
-        used = np.unique(keys[0])
-        self.symbol = np.full(1 << BITS, len(used), np.int64)
-        self.symbol[used] = np.arange(len(used))
-        self.width = width = len(used) + 1
-        self.dense = []
-        for j in range(min(3 if width <= 200 else 2, self.order + 1)):
-            table = np.full(width ** (j + 1), -1, np.int32)
-            at = np.zeros(len(keys[j]), np.int64)
-            for t in range(j, -1, -1):
-                at = at * width + self.symbol[keys[j] >> BITS * t & ((1 << BITS) - 1)]
-            table[at] = base[j] + np.arange(len(keys[j]))
-            self.dense.append(table)
-        self.hashed = []
-        for j in range(len(self.dense), self.order + 1):
-            key = parent[base[j] : base[j + 1]] * 512 + (keys[j] & 511)
-            bits = max(4, int(len(key) * 2.5).bit_length())
-            slots, value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-            at, left = _slot(key, bits), np.arange(len(key))
-            while len(left):
-                free = left[slots[at[left]] == -1]
-                slots[at[free]] = key[free]
-                placed = free[slots[at[free]] == key[free]]
-                value[at[placed]] = base[j] + placed
-                left = np.setdiff1d(left, placed)
-                at[left] = at[left] + 1 & (1 << bits) - 1
-            self.hashed.append((slots, value, bits))
-
-    def nodes(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each length 1 to order + 1 the node of the string that ends at each symbol, or -1."""
-        s = self.symbol[x]
-        out, at = [], np.zeros(len(x), np.int64)
-        for j, table in enumerate(self.dense):
-            at = s if j == 0 else s[: len(x) - j] * self.width**j + at[1:]
-            node = np.full(len(x), -1, np.int32)
-            node[j:] = table[at]
-            out.append(node)
-        for slots, value, bits in self.hashed:
-            node = np.full(len(x), -1, np.int32)
-            at = np.flatnonzero(out[-1][:-1] >= 0)
-            key = out[-1][at].astype(np.int64) * 512 + x[at + 1]
-            slot = _slot(key, bits)
-            while len(at):
-                got = slots[slot]
-                hit = got == key
-                node[at[hit] + 1] = value[slot[hit]]
-                on = ~hit & (got != -1)
-                at, key, slot = at[on], key[on], slot[on] + 1 & (1 << bits) - 1
-            out.append(node)
-        return out
-
-    def log10(self, x: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability after those before it; 0 at starts."""
-        nodes = self.nodes(x)
-        score = np.zeros(len(x))
-        at = np.flatnonzero(x != START)  # symbols not yet predicted
-        longer = np.full(len(at), -1, np.int64)  # the longer context that refused them
-        for k in range(self.order, -1, -1):
-            context = nodes[k - 1][at - 1].astype(np.int64) if k else np.zeros(len(at), np.int64)
-            known = context >= 0
-            known[known] = self.predicts[context[known]]
-            i = np.flatnonzero(known)
-            fresh = longer[i] < 0
-            share = np.where(fresh, self.all[context[i]], self.rest[longer[i]])
-            node = nodes[k][at[i]].astype(np.int64)
-            hit = (node >= 0) & self.seen[node]
-            gain = np.where(hit, self.count[node], np.where(fresh, self.escape[context[i]], self.rest_escape[longer[i]])) - share
-            score[at[i]] += gain
-            longer[i] = context[i]
-            stay = np.ones(len(at), bool)
-            stay[i[hit]] = False
-            at, longer = at[stay], longer[stay]
-        score[at] += self.unseen
-        return score
+class Table:
+    """Numbers by key: an open hash table over arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, values.dtype)
+        left, at = np.arange(len(keys)), _slot(keys, bits)
+        while len(left):
+            free = self.slots[at] == -1
+            self.slots[at[free]] = keys[left[free]]  # of several the last stays
+            placed = free & (self.slots[at] == keys[left])
+            self.values[at[placed]] = values[left[placed]]
+            left, at = left[~placed], at[~placed] + 1 & (1 << bits) - 1
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 where there is none, and whether there is one."""
+        value, found = np.zeros(len(keys), self.values.dtype), np.zeros(len(keys), bool)
+        i, at = np.arange(len(keys)), _slot(keys, self.bits)
+        while len(i):
+            got = self.slots[at]
+            hit = got == keys[i]
+            value[i[hit]], found[i[hit]] = self.values[at[hit]], True
+            on = ~hit & (got != -1)
+            i, at = i[on], at[on] + 1 & (1 << self.bits) - 1
+        return value, found
 
 
 def _slot(key: np.ndarray, bits: int) -> np.ndarray:
     return (mix(key.view(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
 
 
+_tables: dict[int, tuple] = {}
+
+
+def _table(shared) -> tuple:
+    """The broadcast words as they are and the strings as a table, kept by the Python worker between batches."""
+    if id(shared.value) not in _tables:
+        _tables.clear()
+        keys, logs, words_, n = shared.value
+        _tables[id(shared.value)] = shared.value, Table(keys, logs), words_, np.log10(n + 0.5)
+    return _tables[id(shared.value)][1:]
+
+
+def _at(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in ``sorted_`` and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_, keys), max(0, len(sorted_) - 1))
+    return at, (sorted_[at] == keys if len(sorted_) else np.zeros(len(keys), bool))
+
+
+def _mask(n: int) -> int:
+    return (1 << BITS * n) - 1
+
+
+def chain(levels: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray) -> np.ndarray:
+    """log10 of the probability of the last symbol of each key after those before it.
+
+    ``levels[k]`` has the strings of ``k`` + 1 symbols in order, and their counts; it must hold all that any context of
+    the keys was followed by.
+    """
+    stats = []
+    for k, (strings, n) in enumerate(levels):
+        contexts, at = np.unique(strings >> BITS, return_inverse=True)
+        below = np.zeros(len(strings))
+        if k:  # what the next shorter context gives to the symbols seen in this one
+            shorter, there = _at(levels[k - 1][0], strings & _mask(k))
+            below[there] = levels[k - 1][1][shorter[there]]
+        stats.append((contexts, np.bincount(at, n, len(contexts)), np.bincount(at, minlength=len(contexts)), np.bincount(at, below, len(contexts))))
+    score, open_ = np.zeros(len(keys)), np.arange(len(keys))
+    used = gone = kinds_gone = np.zeros(len(keys))  # whether a longer context is known, what it excludes here, its kinds
+    for k in range(len(levels) - 1, -1, -1):
+        contexts, total, kinds, below = stats[k]
+        key = keys[open_]
+        c, known = _at(contexts, (key >> BITS) & _mask(k))
+        s, seen = _at(levels[k][0], key & _mask(k + 1))
+        if len(contexts):
+            new = np.where(used[open_] > 0, np.maximum(kinds[c] - kinds_gone[open_], 0), kinds[c])
+            rest = np.where(used[open_] > 0, total[c] - gone[open_], total[c]) + new
+            gain = np.where(seen, levels[k][1][s], new)
+            on = known & (new > 0)
+            score[open_[on]] += np.log10(gain[on] / rest[on])
+            used, gone, kinds_gone = used.copy(), gone.copy(), kinds_gone.copy()
+            at = open_[known]
+            used[at], gone[at], kinds_gone[at] = 1, below[c[known]], kinds[c[known]]
+        open_ = open_[~(known & seen)]
+    first = levels[0][0] if levels else ()
+    score[open_] -= np.log10(max(1.0, SYMBOLS - len(first)))
+    return score
+
+
+def _unseen(low):
+    """Rows (c2, key, n) sorted by c2, n = 0 for strings that are asked for -> (key, lp) of those.
+
+    ``low`` has the strings of one and two symbols with their counts."""
+
+    def answer(held):
+        keys, n = (np.concatenate([h[t] for h in held]) for t in (1, 2))
+        ask = np.unique(keys[n == 0])
+        if not len(ask):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], ["key", "lp"])
+        keys, n = keys[n > 0], n[n > 0]
+        levels = list(low.value)
+        for k in range(2, ORDER + 1):
+            strings, at = np.unique(keys & _mask(k + 1), return_inverse=True)
+            levels.append((strings, np.bincount(at, n, len(strings)) if len(strings) else np.empty(0)))
+        return pa.RecordBatch.from_arrays([pa.array(ask), pa.array(chain(levels, ask))], ["key", "lp"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            c2, key, n = (np.asarray(c) for c in batch.columns)
+            if held and size > TRIE_ROWS:
+                # Up to where the contexts of the last row begin all is complete.
+                last = held[-1][0][-1]
+                at = int(np.searchsorted(c2, last, "right"))
+                held.append((c2[:at], key[:at], n[:at]))
+                if at < len(c2):
+                    yield answer(held)
+                    held, size = [], 0
+                c2, key, n = c2[at:], key[at:], n[at:]
+            if len(c2):
+                held.append((c2, key, n))
+                size += len(c2)
+        if held:
+            yield answer(held)
+
+    return run
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """Counts (kind, key, n) of symbol strings and words over all training rows."""
     found = docs.filter("not held_out").select("text").mapInArrow(_count, "kind int, key long, n long")
     return cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def build(counts: DataFrame) -> Trie:
-    """The bounded trie; only its nodes come to the driver."""
-    top = counts.filter(F.col("kind") == _NGRAM)
-    levels, least = [], 1
-    for j in range(ORDER + 1):
-        level = top.groupBy(F.col("key").bitwiseAND((1 << BITS * (j + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")) if j < ORDER else top.select("key", "n")
-        level = cut(level)
-        least = max(least, _least(level, LEVEL_NODES))
-        kept = level.filter(F.col("n") >= least).select("key", "n").toArrow()
-        levels.append((kept["key"].to_numpy(), kept["n"].to_numpy()))
-    return Trie(levels)
+def strings_of(counts: DataFrame) -> DataFrame:
+    """(key, n, lp) of every string seen in training: its count, and log10 of its last symbol's probability after the others."""
+    top = counts.filter(F.col("kind") == _NGRAM).select("key", "n", F.shiftright("key", BITS).alias("context"))
+    sums = top.groupBy("context").agg((F.sum("n") + F.count("*")).alias("all"))
+    return cut(top.join(sums, "context").select("key", "n", (F.log10("n") - F.log10("all")).alias("lp")))
+
+
+def _low(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The strings of one and of two symbols, 257 and 257 * 258 at most, with their counts."""
+    out = []
+    for k in (1, 2):
+        level = (counts.filter(F.col("kind") == _NGRAM).groupBy(F.col("key").bitwiseAND(_mask(k)).alias("key")).agg(F.sum("n").alias("n"))).toArrow().sort_by("key")
+        out.append((level["key"].to_numpy(), level["n"].to_numpy().astype(float)))
+    return out
 
 
 def score(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
@@ -250,39 +263,57 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     tokens = counts.filter(F.col("kind") == _WORD)
     sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    head_least = _least(tokens, HEAD_WORDS)
-    head = tokens.filter(F.col("n") >= head_least).select("key", "n").toArrow().sort_by("key")
-    shared = spark.sparkContext.broadcast((build(counts), head["key"].to_numpy(), head["n"].to_numpy()))
+    word_least = _least(tokens, HEAD_WORDS)
+    words_ = tokens.filter(F.col("n") >= word_least).select("key", "n").toArrow().sort_by("key")
+    strings = strings_of(counts)
+    least = _least(strings, HEAD)
+    head = strings.filter(F.col("n") >= least).select("key", F.col("lp").cast("float").alias("lp")).toArrow()
+    shared = spark.sparkContext.broadcast((head["key"].to_numpy(), head["lp"].to_numpy(), words_["key"].to_numpy(), words_["n"].to_numpy()))
     whole = float(np.log10(train + 0.5 * (distinct + 1)))
 
+    def lists(row, rows, keys):
+        rest = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+        return pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(keys))
+
     def run(batches):
-        trie, keys, n = shared.value
-        logs = np.log10(n + 0.5)
+        table, keys, logs = _table(shared)
         for batch in batches:
-            for lo, hi, data, off in chunks(batch.column(1)):
+            for lo, hi, data, off in chunks(batch.column(1), 1 << 19):
                 rows = hi - lo
-                x, row = symbols(data, off, ORDER)
-                bits = np.bincount(row, trie.log10(x), rows).astype(float)
+                x, of = symbols(data, off, ORDER)
+                of = of[x != START]
+                string = ngrams(x, ORDER)
+                lp, seen = table.find(string)
                 h, row = word_hashes(data, off)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                base = np.bincount(row[found], logs[at[found]], rows).astype(float) if len(keys) else np.zeros(rows)
-                rest = np.concatenate([[0], np.cumsum(np.bincount(row[~found], minlength=rows))])
+                at, found = _at(keys, h)
+                base = np.bincount(row[found], logs[at[found]], rows).astype(float)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, rows), batch.column(2).slice(lo, rows), pa.array(np.bincount(row, minlength=rows) + 1),
-                     pa.array(np.bincount(row[found], minlength=rows)), pa.array(base), pa.array(bits),
-                     pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(h[~found]))],
-                    ["doc_id", "held_out", "n_tokens", "n_head", "base", "score", "tail"])
+                     pa.array(np.bincount(row[found], minlength=rows)), pa.array(base), pa.array(np.bincount(of, lp, rows).astype(float)),
+                     lists(row[~found], rows, h[~found]), lists(of[~seen], rows, string[~seen])],
+                    ["doc_id", "held_out", "n_tokens", "n_head", "base", "head_score", "words", "strings"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = cut(held_docs.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, score double, tail array<long>")
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, n_head long, base double, head_score double, words array<long>, strings array<long>")
         .withColumn("uid", F.monotonically_increasing_id()))
-    tail = rows.select("uid", F.explode("tail").alias("key")).join(tokens.filter(F.col("n") < head_least).select("key", "n"), "key", "left")
-    tail = tail.groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.count("n").alias("tail_known"))
-    end = float(np.log10(ends + 0.5))
-    return rows.drop("tail").join(tail, "uid", "left").select(
+    word_tail = rows.select("uid", F.lit(_WORD).alias("kind"), F.explode("words").alias("key"))
+    string_tail = rows.select("uid", F.lit(_NGRAM).alias("kind"), F.explode("strings").alias("key"))
+    asked = string_tail.select("key").distinct().join(strings.select("key"), "key", "left_anti")
+    c2 = F.shiftright("key", BITS).bitwiseAND(_mask(2)).alias("c2")
+    dealt = strings.select(c2, "key", "n").unionByName(asked.select(c2, "key", F.lit(0).cast("long").alias("n")))
+    unseen = dealt.repartition("c2").sortWithinPartitions("c2").mapInArrow(_unseen(spark.sparkContext.broadcast(_low(counts))), "key long, lp double")
+    known = (tokens.filter(F.col("n") < word_least).select(F.lit(_WORD).alias("kind"), "key", F.log10(F.col("n") + 0.5).alias("value"))
+             .unionByName(strings.filter(F.col("n") < least).select(F.lit(_NGRAM).alias("kind"), "key", F.col("lp").alias("value")))
+             .unionByName(unseen.select(F.lit(_NGRAM).alias("kind"), "key", F.col("lp").alias("value"))))
+    is_word = F.col("kind") == _WORD
+    tail = word_tail.unionByName(string_tail).join(known, ["kind", "key"], "left").groupBy("uid").agg(
+        F.sum(F.when(is_word, F.coalesce("value", F.log10(F.lit(0.5))))).alias("tail_base"), F.count(F.when(is_word, F.col("value"))).alias("tail_known"),
+        F.sum(F.when(~is_word, F.col("value"))).alias("tail_score"))
+    end, zero = float(np.log10(ends + 0.5)), F.lit(0.0)
+    return rows.drop("words", "strings").join(tail, "uid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_head") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("tail_base", zero) + F.lit(end) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.col("head_score") + F.coalesce("tail_score", zero)).alias("score"))
