@@ -100,7 +100,8 @@ def test_mix_meets_targets(spark, tiny, docs):
         capped |= new
     want = {s: min(weight[s] * level, 3.0 * by.n[s]) for s in names}
     assert np.allclose([by.target[s] for s in names], [want[s] for s in names])
-    assert (by["size"] == by.n).all() and abs(by.taken.sum() - total) < 0.02 * total
+    assert (by["size"] == by.n).all() and abs(by.taken.sum() - total) < 0.002 * total
+    assert (np.abs(by.taken - by.target) <= 0.01 * by.target).all(), by
 
 
 def test_mix_reruns_agree(spark, tiny):
@@ -116,6 +117,25 @@ def test_flight_keeps_totals():
     assert abs((q * size).sum() - (p * size).sum()) < 1e-3 and abs(q.sum() - p.sum()) < 1e-6
 
 
+def test_landing_comes_near_what_is_expected():
+    """Sizes over four orders of magnitude, few or many documents, one of them larger than all others together."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 12, 40, 500):
+        size = np.sort(np.exp(rng.uniform(0, 9, n)).round())[::-1]
+        size[0] = size.sum() + 10 if n == 40 else size[0]
+        p = rng.random(n)
+        q = mixing.land(p, size, rng.random(n))
+        assert set(q) <= {0.0, 1.0}
+        off, expected = abs((q * size).sum() - (p * size).sum()), (p * size).sum()
+        if n <= 12:  # all choices
+            sums = np.array([0.0])
+            for x in size:
+                sums = np.concatenate([sums, sums + x])
+            assert math.isclose(off, np.abs(sums - expected).min(), abs_tol=1e-6)
+        elif n == 500:
+            assert off < 0.001 * expected
+
+
 def test_mix_odd(odd_docs, no_docs):
     got = mixing.mix_counts(odd_docs).toPandas()
     assert len(got) == odd_docs.count() and mixing.mix_counts(no_docs).count() == 0

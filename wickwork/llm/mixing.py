@@ -3,8 +3,8 @@
 Each source gets a token target; a document's expected number of copies is target over source size. The whole part is
 certain, the fraction is an inclusion probability. A flight moves the fractions of three documents at a time along the
 direction that keeps both their expected tokens and their expected number, until one is decided; so each chunk ends
-with at most two undecided documents and exact totals. The undecided meet once more by source, with a few small documents
-held back for it; there the tokens lost by rounding are spread over ever smaller documents.
+with at most two undecided documents and exact totals. The undecided meet once more by source, with a few documents of
+well spread sizes that the first chunk holds back for it; this small landing problem is solved by trying all choices.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents flown together in one task, on average.
 CHUNK = 40_000
-#: The smallest documents of a source that one chunk keeps open for landing.
-RESERVE = 256
+#: Documents of a source that one chunk keeps open for landing: 2**(OPEN + 2) choices are tried.
+OPEN = 16
 _NEAR = 1e-9
 
 
@@ -51,21 +51,40 @@ def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
+def spread(size: np.ndarray, most: int = OPEN) -> np.ndarray:
+    """Positions of up to ``most`` documents (sizes in falling order) whose sizes fall in even ratios: they make any sum."""
+    size = size[size > 0]
+    if len(size) <= most:
+        return np.arange(len(size))
+    at = np.searchsorted(-size, -np.geomspace(size[0], size[-1], most))
+    # Where sizes repeat, the next positions serve.
+    for i in range(1, len(at)):
+        at[i] = max(at[i], at[i - 1] + 1)
+    for i in range(len(at) - 1, -1, -1):
+        at[i] = min(at[i], len(size) - len(at) + i)
+    return at
+
+
 def land(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """0 or 1 for all, from the largest document (first) to the smallest.
+    """0 or 1 for all, documents being in falling order of size.
 
-    The larger half flies and the two left open are rounded; the tokens that this adds or loses change the
-    probabilities of the smaller half, which is landed in the same way. So the error ends on the smallest documents.
+    All fly but a few of well spread sizes. Those, and the two that the flight leaves, are the landing problem: of all
+    choices among them the one is taken whose tokens come nearest to what is expected, of equals the one whose number does.
     """
     p = p.copy()
-    if ((p > 0) & (p < 1)).any():
-        half = max(1, len(p) - len(p) // 2)
-        done = np.round(fly(p[:half], size[:half], draw[:half]))
-        rest = p[half:]
-        if rest.size and (tokens := size[half:].sum()):
-            lost = float(((p[:half] - done) * size[:half]).sum())
-            rest = np.clip(rest + lost / tokens, 0, 1)
-        return np.concatenate([done, land(rest, size[half:], draw[half:])])
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    kept = open_[spread(size[open_])]
+    rest = np.setdiff1d(open_, kept)
+    p[rest] = fly(p[rest], size[rest], draw[rest])
+    last = np.append(rest[(p[rest] > 0) & (p[rest] < 1)], kept)
+    if len(last):
+        sums, number = np.zeros(1), np.zeros(1)
+        for i in last:
+            sums, number = np.concatenate([sums, sums + size[i]]), np.concatenate([number, number + 1])
+        off = np.abs(sums - (p[last] * size[last]).sum())
+        near = np.flatnonzero(off <= off.min() + 1e-6)
+        best = near[np.abs(number[near] - p[last].sum()).argmin()]
+        p[last] = best >> np.arange(len(last)) & 1
     return p
 
 
@@ -146,7 +165,8 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
                 p[at] = land(p[at], size[at], draw[at])
                 continue
             if chunk == 0:
-                at = at[: len(at) - min(RESERVE, len(at) // 2)]
+                open_ = at[(p[at] > _NEAR) & (p[at] < 1 - _NEAR)]
+                at = np.setdiff1d(at, open_[spread(size[open_])])
             p[at] = fly(p[at], size[at], draw[at])
         pdf["p"] = p
         return pdf
