@@ -29,9 +29,9 @@ ROWS, BANDS = 4, 16
 #: Of the 64 bytes of two sketches so many agree, or the pair is dropped; at the threshold fewer do with probability 4e-6.
 AGREE = 36
 #: Nodes that a task remembers having sent bands of, and keys that it combines before it sends them.
-SEEN, HELD = 200_000, 2_000_000
+SEEN, HELD = 200_000, 400_000
 #: Bytes of text whose bands one task gathers.
-TEXT_PART = 1 << 24
+TEXT_PART = 1 << 23
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
