@@ -271,13 +271,26 @@ def test_misspellings_of_all_terms_and_first_letters():
             want = None if typo in terms or len(typo) < 4 or not near else min(near)[1]
             if typo not in terms:
                 assert a.misspelt(typo) == want, (typo, w)
+                a.learn([typo])
+                assert a.known[typo] == (want and (3, a.words[want])), (typo, w)
 
 
 def test_quotation_is_told_apart():
     a = toxicity.Automaton({"idiot": 5.0}, {}, {"idiot"})
-    plain, quoted, said = (toxicity.features(t, a) for t in ("you idiot go", 'he was no "idiot" then', "she said idiot there"))
+    plain, quoted, said = toxicity.features(["you idiot go", 'he was no "idiot" then', "she said idiot there"], a)
     assert plain[1] > 0 and plain[4] == 0 and quoted[1] == 0 and quoted[4] > 0 and said[4] > 0
-    assert toxicity.features("you idi0t go", a)[3] > 0
+    assert toxicity.features(["you idi0t go"], a)[0][3] > 0
+
+
+def test_quotation_marks_by_rescanning_each_line():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        text = "".join(rng.choice(list('ab"“”«»„\n'), 40))
+        marks = toxicity._Marks(text)
+        for at in range(len(text)):
+            line = text[text.rfind("\n", 0, at) + 1 : at]
+            want = line.count('"') % 2 == 1 or any(line.rfind(a) > max(map(line.rfind, b)) for a, b in toxicity._MARKS)
+            assert marks.quoted(at) == want
 
 
 def test_toxicity_odd(odd_docs, no_docs, labels):

@@ -10,6 +10,8 @@ A logistic regression over these few features, fitted on labelled rows that the
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,10 +28,14 @@ TERMS = 5_000
 LEAST_ROWS, LEAST_PRECISION, STEM_WORDS = 3, 0.8, 3
 THRESHOLD = 0.7
 WINDOW = 6
-#: Words that a task remembers.
-KNOWN = 150_000
+#: Words that a task remembers, and characters of text that it looks up together.
+KNOWN, TOGETHER = 400_000, 1 << 20
+#: Slots of the table of what deletions leave of the terms (one byte each).
+SLOTS = 24
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 _TOKEN = re.compile(r"[^\W_](?:[^\W_]|[@$*!](?=[^\W_]))*")
-#: Words of report in the four languages of the tables.
+#: Words of report in the four languages of the tables.
 _REPORT = frozenset("said says wrote writes quoted called told dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
 #: Opening marks with those that close them.
 _MARKS = (("“", "”"), ("«", "»"), ("„", "“”"))
@@ -43,18 +49,6 @@ def edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
-def _shorter(word: str, most: int):
-    """``word`` and all that is left of it after up to ``most`` (0 to 2) deletions."""
-    yield word
-    if most:
-        for i in range(len(word)):
-            once = word[:i] + word[i + 1 :]
-            yield once
-            if most > 1:
-                for j in range(i, len(once)):
-                    yield once[:j] + once[j + 1 :]
-
-
 class Automaton:
     """The trie of the terms, and with it the automaton of all words within a term's edits, at any letter."""
 
@@ -74,16 +68,50 @@ class Automaton:
                 at = self.next[at][c]
                 self.path[w].append(at)
             self.term[at] = w
-        # A word within k edits of a term shares with it what k deletions leave: only such terms are walked.
-        self.shorter: dict[str, set[str]] = {}
-        for w in fuzzy:
-            for x in _shorter(w, edits(w)):
-                self.shorter.setdefault(x, set()).add(w)
         # The most edits that any term below a node allows.
         self.room = [0] * len(self.next)
         for node in range(len(self.next) - 1, -1, -1):
             self.room[node] = max([edits(self.term[node]) if self.term[node] else 0, *(self.room[x] for x in self.next[node].values())])
-        self.known = _Known(self)
+        # Where a term and a word within its edits meet: what is left of each when the edits are taken out or blotted.
+        self.longest = max(map(len, fuzzy), default=0) + 2
+        self.terms, keys = [], []
+        for group, n, left in _blotted(fuzzy):
+            k = edits(group[0])
+            for (cuts, blots), hashes in left.items():
+                if cuts + blots <= k:
+                    keys.append((_salted(hashes, k, cuts, blots).ravel(), np.tile(np.arange(len(group)) + len(self.terms), len(hashes))))
+            self.terms += group
+        flat = np.concatenate([h for h, _ in keys]) if keys else np.empty(0, np.uint64)
+        by = np.argsort(flat)
+        self.keys, self.of = flat[by], (np.concatenate([t for _, t in keys])[by] if keys else np.empty(0, np.int64))
+        self.slots = np.zeros(1 << SLOTS if keys else 1, bool)
+        self.slots[_slot(self.keys)] = True
+        self.known: dict[str, tuple[int, float] | None] = {}
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Look up all ``words`` that are not known yet. Forgetting what is known bounds memory and changes no result."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        self.known.update((w, self.exact(w)) for w in new)
+        for word, terms in self.near(w for w in new if self.known[w] is None).items():
+            if term := self.nearest(word, terms):
+                self.known[word] = 3, self.words[term]
+
+    def near(self, words: Iterable[str]) -> dict[str, set[str]]:
+        """The terms that each word is within the edits of."""
+        out: dict[str, set[str]] = {}
+        for group, _, left in _blotted(w for w in words if len(self.keys) and 4 <= len(w) <= self.longest):
+            for (cuts, blots), hashes in left.items():
+                for k, cut_ in _MEET[cuts, blots]:
+                    salted = _salted(hashes, k, cut_, blots)
+                    at = np.flatnonzero(self.slots.take(_slot(salted)))
+                    found = salted.ravel()[at]
+                    lo, hi = np.searchsorted(self.keys, found), np.searchsorted(self.keys, found, "right")
+                    at = at % len(group)
+                    for at, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                        out.setdefault(group[at], set()).update(self.terms[t] for t in self.of[a:b])
+        return out
 
     def _state(self, items, near: set[int]) -> dict[int, int]:
         """Trie nodes, of those ``near``, with the least edits that reach them."""
@@ -103,13 +131,8 @@ class Automaton:
             items.append((node, used + 1))
         return self._state(items, near)
 
-    def misspelt(self, word: str) -> str | None:
-        """The term nearest to ``word`` within its edits, or None."""
-        if len(word) < 4 or len(word) > 40:
-            return None
-        terms = {t for x in _shorter(word, 1 if len(word) < 6 else 2) for t in self.shorter.get(x, ()) if abs(len(t) - len(word)) <= edits(t)}
-        if not terms:
-            return None
+    def nearest(self, word: str, terms: set[str]) -> str | None:
+        """Of ``terms`` the one nearest to ``word``, if within its edits: the automaton's states on the terms' paths."""
         near = {node for t in terms for node in self.path[t]}
         state = self._state([(0, 0)], near)
         for c in word:
@@ -119,29 +142,56 @@ class Automaton:
         found = [(used, self.term[node]) for node, used in state.items() if self.term[node] and used <= edits(self.term[node])]
         return min(found)[1] if found else None
 
-    def look(self, word: str) -> tuple[int, float] | None:
-        """(kind, weight), the kind being 1 for a word, 2 for a stem, 3 for a misspelling; None for no hit."""
+    def misspelt(self, word: str) -> str | None:
+        """The term nearest to ``word`` within its edits, or None."""
+        terms = self.near([word])
+        return self.nearest(word, terms[word]) if terms else None
+
+    def exact(self, word: str) -> tuple[int, float] | None:
+        """(kind, weight), the kind being 1 for a word and 2 for a stem; None for no hit."""
         if word in self.words:
             return 1, self.words[word]
         for n in self.stem_lengths:
             if len(word) > n and word[:n] in self.stems:
                 return 2, self.stems[word[:n]]
-        term = self.misspelt(word)
-        return (3, self.words[term]) if term else None
+        return None
+
+
+#: Letters cut from and blotted in a word -> the edits of the terms, and the letters cut from them, that it may meet.
+_MEET = {(0, 0): ((0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)), (1, 0): ((1, 0), (2, 0), (2, 1)), (2, 0): ((2, 0),), (0, 1): ((1, 0), (2, 0), (2, 1)), (1, 1): ((2, 0),), (0, 2): ((2, 0),)}
+
 
+def _salted(hashes: np.ndarray, k: int, cuts: int, blots: int) -> np.ndarray:
+    return hashes + np.uint64((k * 9 + cuts * 3 + blots) * 0xC2B2AE3D27D4EB4F % 2**64)
 
-class _Known(dict):
-    """What words were found to be, up to a bound that never changes a result."""
 
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
+def _slot(salted: np.ndarray) -> np.ndarray:
+    return (salted * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOTS)).view(np.int64)
 
-    def __missing__(self, word: str):
-        if len(self) > KNOWN:
-            self.clear()
-        self[word] = hit = self.automaton.look(word)
-        return hit
+
+def _blotted(words: Iterable[str]) -> Iterator[tuple[list[str], int, dict[tuple[int, int], np.ndarray]]]:
+    """Words of one length, the length, and by (letters cut, letters blotted) the hashes (choice, word) of what is left."""
+    by: dict[int, list[str]] = {}
+    for w in words:
+        by.setdefault(len(w), []).append(w)
+    for n, all_ in by.items():
+        powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)), dtype=np.uint64)
+        down, down2 = np.uint64(_INVERSE), np.uint64(_INVERSE * _INVERSE % 2**64)
+        for at in range(0, len(all_), 500):
+            group = all_[at : at + 500]
+            letters = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), n).astype(np.uint64).T
+            sums = np.zeros((n + 1, len(group)), np.uint64)
+            np.cumsum(letters * powers[:n, None], axis=0, out=sums[1:])
+            blot = (np.uint64(1) - letters) * powers[:n, None]
+            cut_ = sums[:n] + (sums[n] - sums[1:]) * down
+            pairs, apart = np.triu_indices(n, 1), [np.delete(np.arange(n), i) for i in range(n)]
+            i, j = pairs
+            left = {(0, 0): sums[n:], (1, 0): cut_, (0, 1): sums[n] + blot}
+            if n > 5:
+                left[2, 0] = sums[i] + (sums[j] - sums[i + 1]) * down + (sums[n] - sums[j + 1]) * down2
+                left[0, 2] = sums[n] + blot[i] + blot[j]
+                left[1, 1] = np.concatenate([cut_[t] + np.where((x > t)[:, None], blot[x] * down, blot[x]) for t, x in enumerate(apart)])
+            yield group, n, left
 
 
 @dataclass
@@ -154,22 +204,40 @@ class Model:
         return Automaton(self.words, self.stems, {w for w in self.words if edits(w)})
 
 
-def _quoted(text: str, at: int, before: list[str]) -> bool:
-    """Whether position ``at`` stands inside quotation marks of its line or within a few words of a word of report."""
-    line = text[text.rfind("\n", 0, at) + 1 : at]
-    return line.count('"') % 2 == 1 or any(line.rfind(a) > max(map(line.rfind, b)) for a, b in _MARKS) or not _REPORT.isdisjoint(before)
+class _Marks:
+    """Where the lines and quotation marks of a text are."""
+
+    def __init__(self, text: str):
+        self.feeds, self.straight = _places(text, "\n"), _places(text, '"')
+        self.pairs = [(_places(text, a), _places(text, b)) for a, b in _MARKS]
+
+    def quoted(self, at: int) -> bool:
+        """Whether position ``at`` stands inside quotation marks of its line."""
+        i = bisect_left(self.feeds, at)
+        line = self.feeds[i - 1] if i else -1
+        if (bisect_left(self.straight, at) - bisect_left(self.straight, line)) % 2:
+            return True
+        for opening, closing in self.pairs:
+            i, j = bisect_left(opening, at), bisect_left(closing, at)
+            if i and opening[i - 1] > line and (not j or closing[j - 1] < opening[i - 1]):
+                return True
+        return False
+
+
+def _places(text: str, marks: str) -> list[int]:
+    return [m.start() for m in re.finditer(f"[{marks}]", text)] if any(m in text for m in marks) else []
 
 
-def features(text: str | None, automaton: Automaton) -> list[float]:
-    words = tokens(text or "")
-    kinds = list(map(automaton.known.__getitem__, words))
+def _features(text: str, words: list[str], known: dict) -> list[float]:
+    kinds = [known[w] for w in words]
     plain, quoted, terms = [0.0] * 4, 0.0, set()
     if any(kinds):
         low = text.lower()
+        marks = _Marks(low)
         for i, m in enumerate(_TOKEN.finditer(low)):
             if kinds[i]:
                 kind, weight = kinds[i]
-                if _quoted(low, m.start(), words[max(0, i - WINDOW) : i]):
+                if marks.quoted(m.start()) or not _REPORT.isdisjoint(words[max(0, i - WINDOW) : i]):
                     quoted += weight
                 else:
                     plain[kind] += weight
@@ -178,6 +246,26 @@ def features(text: str | None, automaton: Automaton) -> list[float]:
     return [1.0, *np.log1p(plain[1:]), np.log1p(quoted), float(hits > 0), np.log1p(len(terms)), hits / (len(words) + 10), np.log1p(len(words)) / 10]
 
 
+def features(texts: Iterable[str | None], automaton: Automaton) -> list[list[float]]:
+    """The features of each text; a null is an empty text."""
+    out, held, size = [], [], 0
+
+    def flush():
+        split = [tokens(t) for t in held]
+        automaton.learn(set().union(*split))
+        out.extend(_features(t, words, automaton.known) for t, words in zip(held, split, strict=True))
+        held.clear()
+
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size > TOGETHER:
+            flush()
+            size = 0
+    flush()
+    return out
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     """Newton's method for a ridge logistic regression; the intercept is not held back."""
     w = np.zeros(x.shape[1])
@@ -238,8 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 1, modulus: int = 3) ->
     def measure(batches):
         automaton = model.automaton()
         for pdf in batches:
-            f = [features(t, automaton) for t in pdf["text"]]
-            yield pd.DataFrame({"f": f, "toxic": pdf["toxic"]})
+            yield pd.DataFrame({"f": features(pdf["text"], automaton), "toxic": pdf["toxic"]})
 
     seen = checked.mapInPandas(measure, "f array<double>, toxic int").toPandas()
     y = seen["toxic"].to_numpy(float)
@@ -258,7 +345,7 @@ def scorer(spark, model: Model):
     def score(batches: pd.Series) -> pd.Series:
         automaton = _kept(shared)
         w = shared.value.weights
-        x = np.array([features(t, automaton) for t in batches], float).reshape(len(batches), len(w))
+        x = np.array(features(batches, automaton), float).reshape(len(batches), len(w))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
     return score
