@@ -60,6 +60,8 @@ def test_repeats_equal_brute_force(spark, tiny, docs):
     want = strike([(t or "").encode() for t in docs.sort_values("doc_id").text], 400)
     assert list(zip(got.n_bytes, got.n_removed, got.n_spans, got.kept_sha256, strict=True)) == want
     assert got.n_removed.sum() > 0
+    whole = got[got.n_removed == 0].set_index("doc_id").kept
+    assert (whole == docs.set_index("doc_id").text.fillna("").loc[whole.index]).all() and (got.kept.map(len) <= got.n_bytes).all()
 
 
 @pytest.mark.parametrize("hot", [1, 10_000])

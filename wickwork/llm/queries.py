@@ -19,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), with_text=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ it; neighbouring windows with one anchor form a segment. Equal windows have equa
    runs, with the text position and the shared prefix length of the neighbouring suffix sampled at both ends of each run.
    Between samples the shared length falls by one a byte, so one pass over the text streams its matching statistics
    against everything else in the index; windows with a statistic of at least ``length`` are marked.
-3. An anchor with too many different segments for one task (a passage inside many documents) is split: blocks of 16
-   windows placed relative to the anchor are settled by counting whole blocks and block cores; only blocks that are
-   unlike others although their core is shared go on, window by window. Every step combines before it shuffles.
+3. An index tells the repeats within itself only. So an anchor with too many different segments for one task (a passage
+   inside many documents) is settled by counting, which spreads over tasks: blocks of 16 windows placed relative to the
+   anchor are counted whole and by their cores; only blocks that are unlike others although their core is shared go on,
+   window by window. The result is the same, and every step combines before it shuffles.
 
 Hashes have 64 bits and are used in pairs (anchor and content) wherever equality decides.
 """
@@ -21,7 +22,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,8 +240,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     [pa.array(a), pa.array(s), pa.array(keys[lo + row]), pa.array(st.astype(np.int32)), pa.array(nw.astype(np.int32)), pa.array(several)],
                     ["a", "s", "k", "st", "nw", "several"])
 
-    found = keyed.filter(F.octet_length("text") >= length).mapInArrow(find, "a long, s long, k long, st int, nw int, several boolean")
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    found = cut(keyed.filter(F.octet_length("text") >= length).mapInArrow(find, "a long, s long, k long, st int, nw int, several boolean"))
     contents = cut(found.groupBy("a", "s").agg(F.count("*").alias("n"), F.max("several").alias("several"), F.min(F.struct("k", "st", "nw")).alias("one")))
     equal = (found.select("a", "s", "k", "st", "nw").join(contents.filter("n > 1").select("a", "s"), ["a", "s"])
              .select("k", F.col("st").cast("long").alias("st"), (F.col("st") + F.col("nw") - 1 + length).cast("long").alias("en")))
@@ -278,7 +277,8 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left).
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left as
+    text; a character that is cut through becomes U+FFFD there).
 
     A byte goes if a string of ``length`` bytes over it starts anywhere else in the input too, in the same document or
     another; a first occurrence is not kept. Null text is empty. Equal rows repeat each other. Other columns are dropped.
@@ -314,9 +314,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                arrays.append(pa.array(out[4], pa.binary()))
+                arrays.append(pa.array([x.decode("utf-8", "replace") for x in out[4]], pa.string()))
                 names.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     joined = keyed.join(by_row, "k", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(strike, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return joined.mapInArrow(strike, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else ""))
