@@ -1,5 +1,9 @@
 """Vector and url operators against brute force, and on awkward rows."""
 
+import collections
+import math
+import re
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -99,32 +103,76 @@ def test_rules_and_parsing(spark):
     got = {r.page_id: r for r in urls.filter_urls(d).collect()}
     assert len(urls.filter_urls(d).collect()) == len(rows)
     want = {0: ("www.example.com", "/en/a", "www.example.com/en/", "allow"), 1: ("sub.example.com", "/en/1", "example.com/en/", "block"), 2: ("x.com", "/de/", "com/", "allow"), 3: ("a.net", "/es/1", "net/es/", "block"),
-            4: ("a.net", "/en/1", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("x.com", "", None, "allow"), 8: ("notexample.com", "/en/", "com/", "allow"), 10: ("h", "", None, "allow")}
+            4: ("a.net", "/en/1", None, "block"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("x.com", "", None, "allow"), 8: ("notexample.com", "/en/", "com/", "allow"), 10: ("h", "", None, "allow")}
     for k, v in want.items():
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == v, k
-    # The upper-case path fits no rule; its template is that of blocked pages.
+    # The upper-case path fits no rule; its template is that of blocked pages. /en/ of the same host is judged by its siblings.
     assert got[9].rule is None and got[9].verdict == "block"
     assert urls.filter_urls(d.limit(0)).count() == 0
 
 
-def test_url_verdicts_equal_a_direct_count(spark, tiny):
-    """Verdicts off the rules against counting labelled urls of each host and template directly."""
-    import collections
-    import re
-
+def tree_purities(counts, prior=2.0, apart=2.0):
+    """{(host, template): (n, l, b)} -> purities, node by node."""
+    out = {}
+    whole = sum(b for _, _, b in counts.values()) / sum(n for n, _, _ in counts.values())
+
+    def visit(rows, level, towards):
+        """``rows``: (host, template) below one merged node of this purity."""
+        for r in rows:
+            if len(r[1]) == level:
+                out[r] = towards
+        branches = collections.defaultdict(list)
+        for r in rows:
+            if len(r[1]) > level:
+                branches[r[1][level]].append(r)
+        groups = collections.defaultdict(list)
+        for of in branches.values():
+            lab, bad = (sum(counts[r][i] for r in of) for i in (1, 2))
+            share = (bad + prior * towards) / (lab + prior)
+            error = math.sqrt(share * (1 - share) / (lab + prior))
+            side = 0 if abs(share - towards) <= apart * error else 1 if share > towards else -1
+            groups[frozenset(r[1][level + 1 :] for r in of), side] += of
+        for of in groups.values():
+            lab, bad = (sum(counts[r][i] for r in of) for i in (1, 2))
+            visit(of, level + 1, (bad + prior * towards) / (lab + prior))
+
+    for host in {h for h, _ in counts}:
+        rows = [r for r in counts if r[0] == host]
+        lab, bad = (sum(counts[r][i] for r in rows) for i in (1, 2))
+        visit(rows, 0, (bad + prior * whole) / (lab + prior))
+    return out
+
+
+def test_url_verdicts_equal_a_walk_over_the_tree(spark, tiny):
     big = tiny.replace("sf0.001", "sf0.01")
     got = QUERIES["op9_urls"](spark, big).toPandas()
-    seen = collections.defaultdict(list)
+    counts = collections.defaultdict(lambda: [0, 0, 0])
+    shape = lambda r: (r.host, tuple(s for s in r.template.split("/") if s))
     for r in got.itertuples():
-        t = "/".join(re.sub(r"^(\d+|[0-9a-f]{8,})(?=\.[a-z]{1,5}$|$)", "*", s) for s in r.path.lower().split("/") if s)
-        seen[r.host, t].append(None if r.rule is None else r.verdict == "block")
-    for r in got[got.rule.isna()].itertuples():
-        t = "/".join(re.sub(r"^(\d+|[0-9a-f]{8,})(?=\.[a-z]{1,5}$|$)", "*", s) for s in r.path.lower().split("/") if s)
-        own = [x for x in seen[r.host, t] if x is not None]
-        if own:
-            assert r.verdict == ("block" if sum(own) / len(own) >= 0.5 else "allow")
-        else:
-            assert r.verdict == "allow"
+        by_form = [re.sub(r"^(\d+|[0-9a-f]{8,})(?=\.[a-z]{1,5}$|$)", "*", s) for s in r.path.lower().split("/") if s]
+        assert by_form == list(shape(r)[1])
+        c = counts[shape(r)]
+        c[0] += 1
+        c[1] += r.rule is not None
+        c[2] += r.rule is not None and r.verdict == "block"
+    want = tree_purities(counts)
+    assert np.allclose(got.purity, [want[shape(r)] for r in got.itertuples()])
+    free = got[got.rule.isna()]
+    assert (free.verdict == np.where(free.purity >= 0.5, "block", "allow")).all() and set(free.verdict) == {"allow", "block"}
+
+
+def test_tree_on_deep_paths_and_uneven_branches(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        deep = "/".join(rng.choice(["a", "b", "c"], rng.integers(0, 9)))
+        n = int(rng.integers(1, 9))
+        lab = int(rng.integers(0, n + 1)) if rng.random() < 0.6 else 0
+        rows.append((f"h{rng.integers(4)}", [s for s in deep.split("/") if s], n, lab, int(lab * (rng.random() < 0.4))))
+    d = spark.createDataFrame(rows, "host string, template array<string>, n long, l long, b long").groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in "nlb"])
+    counts = {(r.host, tuple(r.template)): (r.n, r.l, r.b) for r in d.collect()}
+    want, got = tree_purities(counts), urls.purities(d).collect()
+    assert len(got) == len(counts) and np.allclose([r.purity for r in got], [want[r.host, tuple(r.template)] for r in got])
 
 
 def test_many_slugs_become_one_template(spark):

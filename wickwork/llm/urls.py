@@ -1,29 +1,29 @@
 """URL filtering by rules and by a tree of path templates for each host.
 
 Paths become templates level by level: a segment that is a number or a long code is a wildcard by its form, and a level
-below one parent whose segments are many and mostly rare becomes one by statistics. Branches of a parent that have the same
-templates below and whose labelled shares cannot be told apart are merged. A template is rejected when the smoothed share
-of labelled bad urls in it reaches the threshold; one without labelled urls of its own is not.
+below one parent whose segments are many and mostly rare becomes one by statistics. In the tree of a host's templates,
+branches of a node with the same templates below and bad shares that cannot be told apart are merged, and each node's share
+of labelled bad urls is smoothed towards its parent's, up to the host and the whole. A template is rejected when what it
+comes to reaches the threshold; so branches without labelled urls are judged by what is known of their like.
 
 Only the counts of templates go from level to level, so a host with any share of the urls costs no more than others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickwork.llm.shared import cut
+from wickwork.llm.shared import cut, split_join
 
 #: The rules of the production query, as (host, path) texts.
 ALLOW = ("com/", "www.example.com/en/")
 BLOCK = ("example.com/en/", "net/es/", "net/fr/")
 
-LEVELS = 6
 #: A level is variable if it has so many segments and they have fewer than this many urls each on average.
 MANY, RARE = 16, 4
 PRIOR, THRESHOLD = 2.0, 0.5
-#: Two branches differ if their labelled shares lie more standard errors apart.
+#: A branch is like its parent unless their bad shares lie more standard errors apart.
 APART = 2.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,56 +51,66 @@ def _form():
     """Path segments with numbers and codes as wildcards; a file ending stays."""
     low = F.translate("path", _UPPER, _LOWER)
     seg = F.filter(F.split(low, "/"), lambda s: s != "")
-    seg = F.transform(seg, lambda s: F.regexp_replace(s, r"^(\d+|[0-9a-f]{8,}|[0-9a-f-]{32,36})(?=\.[a-z]{1,5}$|$)", "*"))
-    # What lies below the deepest level is one segment.
-    return F.when(F.size(seg) > LEVELS, F.concat(F.slice(seg, 1, LEVELS - 1), F.array(F.lit("**")))).otherwise(seg)
+    return F.transform(seg, lambda s: F.regexp_replace(s, r"^(\d+|[0-9a-f]{8,}|[0-9a-f-]{32,36})(?=\.[a-z]{1,5}$|$)", "*"))
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """host, seg (as by form), template: the statistical wildcards of every level applied."""
-    t = cut(parsed.withColumn("seg", _form()).groupBy("host", "seg").agg(F.count("*").alias("n"), F.lit("").alias("template")))
-    for level in range(LEVELS):
+def templates(counted: DataFrame) -> DataFrame:
+    """``counted`` (host, seg, n, any others; one row each) with template: the statistical wildcards of every level applied."""
+    t = counted.withColumn("template", F.array().cast("array<string>"))
+    level = 0
+    # A level with fewer paths than MANY is not variable, nor is any below it.
+    while t.filter(F.size("seg") > level).limit(MANY).count() >= MANY:
         here = F.get("seg", F.lit(level))
         segs = t.filter(here.isNotNull()).groupBy("host", "template", here.alias("s")).agg(F.sum("n").alias("n"))
         fan = segs.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
         wide = cut(fan.filter((F.col("k") >= MANY) & (F.col("all") < RARE * F.col("k"))).select("host", "template", F.lit(True).alias("wide")))
-        t = t.join(wide, ["host", "template"], "left")
-        step = F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide") & (here != "**"), F.lit("*")).otherwise(here)))
-        t = t.select("host", "seg", "n", step.alias("template"))
-    return cut(t)
+        step = F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("wide"), F.lit("*")).otherwise(here))))
+        t = cut(t.join(wide, ["host", "template"], "left").withColumn("template", step).drop("wide"))
+        level += 1
+    rest = F.slice("seg", level + 1, F.greatest(F.size("seg") - level, F.lit(0)))
+    return t.withColumn("template", F.concat("template", rest))
 
 
-def judge(pages: DataFrame, labelled, url: str = "url", prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
-    """``pages`` with host, path, template, purity and rejected.
+def purities(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """``counts`` (host, template, n, l, b) with purity, the smoothed share of bad urls among labelled ones.
+
+    ``n`` urls have a template, ``l`` of them a label, ``b`` a bad one. Every node of a host's tree is smoothed towards its
+    parent, a host towards the share of known bad ones among all urls. From the top down, branches of a node with the same
+    templates below are merged if their bad share is like the node's; those above it, and those below it, are merged too.
+    """
+    all_ = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.size("template")).alias("depth")).first()
+    whole = (all_["b"] or 0) / all_["n"] if all_["n"] else 0.0
+    smooth = lambda towards: (F.col("b") + F.lit(prior) * towards) / (F.col("l") + F.lit(prior))
+    hosts = counts.groupBy("host").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).select("host", smooth(F.lit(whole)).alias("purity"))
+    t = cut(counts.join(hosts, "host").withColumn("node", F.xxhash64("host")))
+    for level in range(all_["depth"] or 0):
+        live = t.filter(F.size("template") > level).select(
+            "node", "purity", F.get("template", F.lit(level)).alias("branch"), F.xxhash64(F.slice("template", level + 2, 1 << 20)).alias("below"), "l", "b")
+        kinds = live.groupBy("node", "purity", "branch", "below").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+        branches = kinds.groupBy("node", "purity", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.sum(F.col("below").cast("decimal(38,0)")).alias("form"))
+        off, error = smooth(F.col("purity")) - F.col("purity"), F.sqrt(smooth(F.col("purity")) * (1 - smooth(F.col("purity"))) / (F.col("l") + prior))
+        side = F.when(F.abs(off) <= APART * error, 0).otherwise(F.signum(off)).cast("int")
+        branches = cut(branches.withColumn("side", side).withColumn("child", F.xxhash64("node", "form", "side")))
+        pooled = branches.groupBy("child").agg(F.first("purity").alias("purity"), F.sum("l").alias("l"), F.sum("b").alias("b")).select("child", smooth(F.col("purity")).alias("new"))
+        named = branches.join(pooled, "child").select("node", "branch", "child", "new")
+        t = cut(t.withColumn("branch", F.get("template", F.lit(level))).join(named, ["node", "branch"], "left")
+                .withColumn("node", F.coalesce("child", "node")).withColumn("purity", F.coalesce("new", "purity")).drop("branch", "child", "new"))
+    return t.drop("node")
+
+
+def judge(pages: DataFrame, labelled, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
+    """``pages`` (with host and path) with template, purity and rejected.
 
     ``labelled`` is a column over host and path (and rules): 1 for a bad url, 0 for a good one, null without a label. A
     null or malformed url has empty host and path and is one template.
     """
     rows = pages.withColumn("y", labelled).withColumn("seg", _form())
-    shape = templates(pages)
-    counts = (rows.groupBy("host", "seg").agg(F.count("y").alias("l"), F.coalesce(F.sum("y"), F.lit(0)).alias("b"))
-              .join(shape, ["host", "seg"]).groupBy("host", "template").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.sum("n").alias("n")))
-    # A branch is the first level below the host; what lies below it is its shape.
-    branch = F.substring_index(F.expr("substring(template, 2)"), "/", 1)
-    counts = cut(counts.withColumn("branch", branch).withColumn("below", F.expr("substring(template, length(branch) + 2)")))
-    all_ = counts.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
-    start = (all_["b"] or 0) / all_["l"] if all_["l"] else 0.0
-    branches = counts.groupBy("host", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.hash(F.sort_array(F.collect_set("below"))).alias("form"))
-    share = (F.col("b") + prior * start) / (F.col("l") + prior)
-    error = F.sqrt(share * (1 - share) / (F.col("l") + prior))
-    # Walk the like-formed branches by share: a new group begins where the gap to the last is significant.
-    w = Window.partitionBy("host", "form", "has").orderBy("share", "branch")
-    gap = F.col("share") - F.lag("share").over(w)
-    new = F.coalesce((gap > APART * F.sqrt(F.pow("error", F.lit(2)) + F.pow(F.lag("error").over(w), F.lit(2)))).cast("int"), F.lit(1))
-    groups = (branches.withColumn("has", F.col("l") > 0).withColumn("share", share).withColumn("error", error).withColumn("new", new)
-              .withColumn("part", F.sum("new").over(w)).select("host", "branch", F.concat_ws("|", "form", "has", "part").alias("merged")))
-    pooled = counts.join(groups, ["host", "branch"])
-    own = F.sum("l").over(Window.partitionBy("host", "merged", "below"))
-    bad = F.sum("b").over(Window.partitionBy("host", "merged", "below"))
-    verdicts = cut(pooled.withColumn("own", own).withColumn("bad", bad).withColumn("purity", (F.col("bad") + prior * start) / (F.col("own") + prior))
-                   .select("host", "template", "purity", ((F.col("own") > 0) & (F.col("purity") >= threshold)).alias("rejected")))
-    known = cut(shape.join(verdicts, ["host", "template"]).select("host", "seg", "template", "purity", "rejected"))
-    return rows.join(known, ["host", "seg"]).drop("y", "seg")
+    shape = cut(templates(cut(rows.groupBy("host", "seg").agg(F.count("*").alias("n"), F.count("y").alias("l"), F.coalesce(F.sum("y"), F.lit(0)).alias("b")))))
+    counts = shape.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "l", "b")])
+    known = purities(cut(counts), prior).select("host", "template", "purity", (F.col("purity") >= threshold).alias("rejected"))
+    known = cut(shape.select("host", "seg", "template", "n").join(known, ["host", "template"])
+                .select(F.xxhash64("host", "seg").alias("_u"), "n", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", "rejected"))
+    return split_join(rows.withColumn("_u", F.xxhash64("host", "seg")), known, "_u", "n").drop("y", "seg", "_u", "n")
 
 
 def filter_urls(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -111,6 +121,6 @@ def filter_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     """
     rows = ruled(parse(pages.select("page_id", url), url))
     label = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    out = judge(rows, label, url)
+    out = judge(rows, label)
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
