@@ -337,7 +337,7 @@ def test_lines_equal_brute_force(spark, tiny, docs):
 
 def test_lines_of_other_alphabets_and_many_near_copies(spark, monkeypatch):
     """Characters, not bytes, make shingles; a large group of near copies is joined, also when it is dealt out in blocks."""
-    monkeypatch.setattr(lines, "BLOCK_NODES", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 8)
     rng = np.random.default_rng(2)
     base = "".join(rng.choice(list("абвгдежзиклмнопрст"), 120))
     near = [base[:p] + "Ж" + base[p + 1 :] for p in range(10, 110)]

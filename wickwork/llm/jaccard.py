@@ -3,8 +3,10 @@
 1. Documents with equal shingle sets are one node; all that follows works on nodes.
 2. Nodes meet in buckets of ``ROWS`` minhashes, ``BANDS`` of them: a pair at the threshold of 0.85 shares no bucket with
    probability (1 - 0.85**4)**32 < 6e-11, a pair that shares a third of its shingles meets in few.
-3. Each node is compared with the least node of its first bucket. This joins large groups of copies in one round.
-4. Buckets that still hold several components are searched by a signature tree: nodes of the tree hold the union of the
+3. Each node is compared with the least node of each of its buckets, by sketches (a byte of each minhash), and where those
+   agree by the sets. This joins large groups of copies in one round.
+4. Of the buckets that still hold several components, the nodes that are alike by their sketches across components are
+   searched by a signature tree: nodes of the tree hold the union of the
    token bitmaps below them, the range of set sizes and the largest number of bitmap collisions. Both sides are walked
    together; a pair of tree nodes is dropped if its sizes, or the bits it has in common, bound the overlap below what
    the threshold asks, or if all below is already joined. Pairs of leaves that remain are verified on the sets.
@@ -19,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.components import Forest, components
-from wickwork.llm.shared import WORD, cut, likely
-from wickwork.llm.textkernel import LOWER, Hashes, chunks, mix, words
+from wickwork.llm.shared import WORD, cut, likely, split_join
+from wickwork.llm.textkernel import LOWER, Hashes, chunks, column_bytes, mix, words
 
 WIDTH = 4
 #: Links need PERCENT * union <= 100 * intersection.
@@ -28,6 +30,8 @@ PERCENT = 85
 ROWS, BANDS = 4, 32
 BLOCK_NODES = 1024
 LEAF = 8
+#: The longest bitmap. Bits that several tokens of a set share are counted, so a short one only prunes less.
+MAP_BITS = 1 << 16
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -60,13 +64,27 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> list[
     return out
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """One key a band from the least of ``ROWS`` permuted hashes each."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """The least permuted hashes of a set; the sketch is a byte of each."""
     low = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_MUL), 2**32 - 1, np.uint32)
     with np.errstate(over="ignore"):
-        least = np.full(len(_MUL), 2**32 - 1, np.uint32)
         for at in range(0, len(low), 4096):
             least = np.minimum(least, (low[at : at + 4096, None] * _MUL + _ADD).min(0))
+    return least
+
+
+def agreeing(n: int, percent: int) -> int:
+    """So many bytes of two sketches of ``n`` agree, unless a pair at the threshold lies 4.5 deviations below what is expected
+    (4e-6 of such pairs)."""
+    p = percent / 100
+    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """One key a band from the least of ``ROWS`` permuted hashes each."""
+    least = signature(s)
+    with np.errstate(over="ignore"):
         key = np.arange(1, BANDS + 1, dtype=np.uint64)
         for r in least.reshape(BANDS, ROWS).T.astype(np.uint64):
             key = mix(key * _STEP[1] + r)
@@ -87,7 +105,7 @@ class SignatureTree:
 
     def __init__(self, sets: list[np.ndarray], group: np.ndarray):
         size = np.array([len(s) for s in sets])
-        bits = max(64, 1 << int(4 * size.max()).bit_length())
+        bits = max(64, min(MAP_BITS, 1 << int(4 * size.max()).bit_length()))
         maps = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(sets):
             b = s % np.uint64(bits)
@@ -135,9 +153,12 @@ class SignatureTree:
 def search(nodes: list[int], group: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Verified links that join different groups: enough of them to join all that link."""
     by = sorted(range(len(sets)), key=lambda t: (len(sets[t]), group[t]))
-    tree = SignatureTree([sets[t] for t in by], group[by])
+    if len(by) > LEAF:
+        pairs = SignatureTree([sets[t] for t in by], group[by]).pairs(percent)
+    else:  # one leaf
+        pairs = [np.triu_indices(len(by), 1)]
     forest, found = Forest(), []
-    for i, j in tree.pairs(percent):
+    for i, j in pairs:
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             a, b = by[a], by[b]
             ga, gb = int(group[a]), int(group[b])
@@ -147,6 +168,37 @@ def search(nodes: list[int], group: np.ndarray, sets: list[np.ndarray], percent:
     return found
 
 
+#: Bits of a hash that tell tokens apart within a pair or a row of a batch; the others number the row.
+_HASH = 48
+
+
+def overlaps(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sizes of the sets and of their intersections, for rows of ``na`` and ``nb`` hashes (perhaps repeated) in ``a`` and ``b``."""
+    row = np.arange(len(na), dtype=np.uint64) << np.uint64(_HASH)
+    of = lambda x, n, side: (((np.repeat(row, n) | (x >> np.uint64(64 - _HASH))) << np.uint64(1)) | np.uint64(side))
+    key = np.concatenate([of(a, na, 0), of(b, nb, 1)])
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])]
+    at, side = (key >> np.uint64(_HASH + 1)).astype(np.int64), key & np.uint64(1) == 1
+    both = np.zeros(len(key), bool)
+    both[1:] = (key[1:] ^ key[:-1]) == 1
+    return tuple(np.bincount(at[on], minlength=len(na)) for on in (~side, side, both))
+
+
+def distinct(flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The set of the hashes of each row."""
+    out = []
+    for lo in range(0, len(n), 1 << 14):
+        part = n[lo : lo + (1 << 14)]
+        start = int(n[:lo].sum())
+        row = np.arange(len(part) + 1, dtype=np.uint64) << np.uint64(_HASH)
+        key = np.unique(np.repeat(row[:-1], part) | (flat[start : start + int(part.sum())] >> np.uint64(64 - _HASH)))
+        bounds = np.searchsorted(key, row)
+        key &= np.uint64((1 << _HASH) - 1)
+        out += [key[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
 def _describe(width: int):
     def run(batches):
         for batch in batches:
@@ -168,22 +220,71 @@ def _sets(width: int):
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in chunks(batch.column(1)):
-                sets = [x.view(np.int64) for x in shingle_sets(data, off, width)]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))], ["s", "items"])
+                sets = shingle_sets(data, off, width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).astype(np.uint8).tobytes() for x in sets], pa.binary())],
+                    ["s", "items", "sketch"])
 
     return run
 
 
-def _verify(percent: int, decode):
+def _alike(agree: int):
+    """Rows (u, v, one, other) -> the (u, v) whose sketches agree in enough bytes."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in (2, 3))
+            on = pa.array((a == b).sum(1) >= agree if len(batch) else [], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], ["u", "v"])
+
+    return run
+
+
+def _open(agree: int):
+    """Rows (bucket, i, j, s, c, pivot, sketch) sorted by the first three -> those (bucket, i, j, s, c) alike with one of another
+    c; the pivot has been compared with all."""
+
+    def kept(rows):
+        rows = [r for r in rows if r[3] != r[5]]
+        sk = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+        c = np.array([r[4] for r in rows])
+        on = np.zeros(len(rows), bool)
+        for lo in range(0, len(rows), 64):
+            part = slice(lo, lo + 64)
+            on[part] = (((sk[part, None] == sk).sum(2) >= agree) & (c[part, None] != c)).any(1)
+        rows = [r for r, x in zip(rows, on, strict=True) if x]
+        return pa.RecordBatch.from_arrays([pa.array([r[t] for r in rows], pa.int64()) for t in range(5)], ["bucket", "i", "j", "s", "c"])
+
     def run(batches):
+        held, at = [], None
         for batch in batches:
-            ok = [linked(x, y, percent) for x, y in zip(decode(batch.column(2)), decode(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    if len(held) > 1:
+                        yield kept(held)
+                    held, at = [], row[:3]
+                held.append(row)
+        if len(held) > 1:
+            yield kept(held)
 
     return run
 
 
+def _verified(pairs: DataFrame, items: DataFrame, percent: int, decode) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets are alike enough."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                a, b, both = overlaps(*decode(part.column(2)), *decode(part.column(3)))
+                ok = pa.array(100 * both >= percent * (a + b - both))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["u", "v"])
+
+    both = pairs.join(items.select(F.col("s").alias("u"), F.col("items").alias("one")), "u").join(items.select(F.col("s").alias("v"), F.col("items").alias("other")), "v")
+    return both.select("u", "v", "one", "other").mapInArrow(run, "u long, v long")
+
+
 def search_buckets(percent: int, decode):
     """Rows (bucket, i, j, s, c, items) sorted by the first three -> links (u, v)."""
 
@@ -195,13 +296,15 @@ def search_buckets(percent: int, decode):
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for key, s, c, items in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), decode(batch.column(5)), strict=True):
-                if key != at:
-                    if held:
-                        yield links()
-                    held, at = [], key
-                held.append((s, c, items))
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                keys = zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)
+                for key, s, c, items in zip(keys, part.column(3).to_pylist(), part.column(4).to_pylist(), distinct(*decode(part.column(5))), strict=True):
+                    if key != at:
+                        if held:
+                            yield links()
+                        held, at = [], key
+                    held.append((s, c, items))
         if held:
             yield links()
 
@@ -214,12 +317,13 @@ def _rooted(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     nodes = rows.filter("n > 0").groupBy("s", "t").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
     nodes = cut(nodes)
 
-    def fetch(wanted: DataFrame) -> DataFrame:
-        where = nodes.join(wanted, "s").select("k", "s")
-        texts = likely(docs.select("text", F.xxhash64("doc_id", "text").alias("k")), "k", where.select("k")).filter("_likely")
-        return texts.join(where, "k").select("s", "text").mapInArrow(_sets(width), "s long, items array<long>").dropDuplicates(["s"])
-
-    links = links_between(nodes.select("s", F.explode("bands").alias("bucket")), fetch, percent)
+    placed = nodes.select("s", F.explode("bands").alias("bucket"))
+    several = cut(placed.groupBy("bucket").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("m")).filter("low <> high").select("bucket", "m"))
+    members = cut(split_join(placed, several, "bucket", "m").select("bucket", "s").distinct())
+    where = cut(nodes.select("k", "s").join(members.select("s").distinct(), "s"))
+    texts = likely(docs.select("text", F.xxhash64("doc_id", "text").alias("k")), "k", where.select("k")).filter("_likely")
+    items = texts.join(where, "k").select("s", "text").dropDuplicates(["s"]).mapInArrow(_sets(width), "s long, items binary, sketch binary")
+    links = bucket_links(members, cut(items), percent, agreeing(ROWS * BANDS, percent), _sets_of)
     classes = components(links)
     named = rows.filter("n > 0").select("doc_id", "k", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
     return rows, named.select("doc_id", "k", "n", "root")
@@ -258,37 +362,36 @@ def _described(docs: DataFrame, width: int) -> DataFrame:
     return keyed.mapInArrow(_describe(width), f"doc_id {kind}, k long, n long, s long, t long, bands array<long>")
 
 
-def _lists(column) -> list[np.ndarray]:
-    bounds, flat = np.asarray(column.offsets), np.asarray(column.values).view(np.uint64)
-    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def _sets_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows and their number in each."""
+    data, off = column_bytes(column)
+    return np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint64), np.diff(off) // 8
 
 
-def links_between(placed: DataFrame, fetch, percent: int, decode=_lists, sieve: bool = False) -> DataFrame:
-    """Links (u, v) between nodes that join all nodes which link, directly or over others.
+def bucket_links(members: DataFrame, items: DataFrame, percent: int, agree: int, decode) -> DataFrame:
+    """Links (u, v) between nodes that join all nodes which share a bucket and link, directly or over others.
 
-    ``placed`` has a row (s, bucket) for each bucket of node ``s``, perhaps repeated; ``fetch`` makes (s, items) from wanted
-    (s), and ``decode`` turns a column of items into sets of hashes. With ``sieve`` a bitmap of the buckets that hold several
-    nodes keeps the others out of the second shuffle of ``placed``.
+    ``members`` has distinct (bucket, s), ``items`` each s with its items, which ``decode`` turns into hashes and their number a row, and
+    its sketch; pairs whose sketches agree in fewer than ``agree`` bytes are not verified. Both should be written tables.
     """
-    buckets = placed.groupBy("bucket").agg(F.min("s").alias("pivot"), F.max("s").alias("most")).filter("pivot <> most").drop("most")
-    buckets = cut(buckets)
-    if sieve:
-        placed = likely(placed, "bucket", buckets.select("bucket")).filter("_likely")
-    members = cut(placed.join(buckets, "bucket").select("bucket", "pivot", "s").distinct())
-    items = cut(fetch(members.select("s").distinct()))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
-    pairs = members.groupBy("s").agg(F.min("pivot").alias("pivot")).filter("s <> pivot")
-    found = (pairs.join(items, "s").join(items.select(F.col("s").alias("pivot"), F.col("items").alias("other")), "pivot")
-             .select("s", "pivot", "items", "other").mapInArrow(_verify(percent, decode), "u long, v long"))
-    first = cut(found)
-    classes = cut(components(first))
-    known = cut(members.join(classes.withColumnRenamed("node", "s"), "s", "left").select("bucket", "s", F.coalesce("component", "s").alias("c")))
-    # Buckets with the same members are searched once.
-    open_ = cut(known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("h"))
-                .filter("low <> high").join(sizes, "bucket").groupBy("h", "m").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks")))
+    sketch = items.select("s", "sketch")
+    buckets = cut(members.groupBy("bucket").agg(F.min("s").alias("pivot"), F.count("*").alias("m")))
+    # Each node against the least of its buckets.
+    pairs = split_join(members, buckets, "bucket", "m").filter("s <> pivot").select(F.col("s").alias("u"), F.col("pivot").alias("v")).distinct()
+    near = pairs.join(sketch.toDF("u", "one"), "u").join(sketch.toDF("v", "other"), "v").select("u", "v", "one", "other").mapInArrow(_alike(agree), "u long, v long")
+    first = cut(_verified(near, items, percent, decode))
+    classes = components(first)
+    # Buckets of three and more that are still in several components: the nodes that are alike across them.
+    known = cut(split_join(members, buckets.filter("m > 2"), "bucket", "m").join(classes.withColumnRenamed("node", "s"), "s", "left")
+                .select("bucket", "s", "m", "pivot", F.coalesce("component", "s").alias("c")))
+    open_ = cut(known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("m").alias("m"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("h")).filter("low <> high")
+                # Buckets with the same members are searched once.
+                .groupBy("h", "m").agg(F.min("bucket").alias("bucket")).select("bucket", "m", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = (known.join(open_, "bucket").withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s", "c"))
-    second = (dealt.join(items, "s").select("bucket", "i", "j", "s", "c", "items").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = (split_join(known.drop("m"), open_, "bucket", "m").withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", F.least("b", "o").cast("long").alias("i"), F.greatest("b", "o").cast("long").alias("j"), "s", "c", "pivot"))
+    order = ("bucket", "i", "j")
+    alike = cut(dealt.join(sketch, "s").select(*order, "s", "c", "pivot", "sketch").repartition(*order).sortWithinPartitions(*order).mapInArrow(_open(agree), "bucket long, i long, j long, s long, c long"))
+    second = (alike.join(items.select("s", "items"), "s").select(*order, "s", "c", "items").repartition(*order).sortWithinPartitions(*order)
               .mapInArrow(search_buckets(percent, decode), "u long, v long"))
     return first.unionByName(second)

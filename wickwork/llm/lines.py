@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.components import components
-from wickwork.llm.jaccard import BLOCK_NODES, linked, search_buckets
+from wickwork.llm.jaccard import agreeing, bucket_links
 from wickwork.llm.shared import cut, likely, split_join
 from wickwork.llm.textkernel import BLANK, LOWER, Hashes, chunks, column_bytes, mix
 
@@ -26,8 +26,6 @@ GRAM = 8
 PERCENT = 80
 #: A pair at the threshold shares no bucket with probability (1 - 0.8**4)**16 = 0.0002, one at 0.9 with 4e-8.
 ROWS, BANDS = 4, 16
-#: Of the 64 bytes of two sketches so many agree, or the pair is dropped; at the threshold fewer do with probability 4e-6.
-AGREE = 36
 #: Nodes that a task remembers having sent bands of, and keys that it combines before it sends them.
 SEEN, HELD = 200_000, 400_000
 #: Bytes of text whose bands one task gathers.
@@ -205,60 +203,16 @@ def _texts(batches):
                  pa.array([r.tobytes() for r in sk], pa.binary())], ["s", "items", "sketch"])
 
 
-def _alike(batches):
-    """Rows (u, v, one, other) -> the (u, v) whose sketches agree enough."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in (2, 3))
-        on = pa.array((a == b).sum(1) >= AGREE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], ["u", "v"])
-
-
-def _open(batches):
-    """Rows (bucket, i, j, s, c, sketch) sorted by the first three -> those (bucket, i, j, s, c) alike with one of another c."""
-    held, at = [], None
-
-    def kept(rows):
-        sk = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
-        c = np.array([r[4] for r in rows])
-        on = np.zeros(len(rows), bool)
-        for lo in range(0, len(rows), 64):
-            part = slice(lo, lo + 64)
-            on[part] = (((sk[part, None] == sk).sum(2) >= AGREE) & (c[part, None] != c)).any(1)
-        rows = [r for r, x in zip(rows, on, strict=True) if x]
-        return pa.RecordBatch.from_arrays([pa.array([r[t] for r in rows], pa.int64()) for t in range(5)], ["bucket", "i", "j", "s", "c"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != at:
-                if len(held) > 1:
-                    yield kept(held)
-                held, at = [], row[:3]
-            held.append(row)
-    if len(held) > 1:
-        yield kept(held)
-
-
-def _shingles(column: pa.Array) -> list[np.ndarray]:
+def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the shingles of all lines, and their number in each."""
     data, off = column_bytes(column)
-    out = []
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        h = Hashes(data[a:b])
-        chars = np.append(np.flatnonzero((data[a:b] & 0xC0) != 0x80), b - a)
-        i, j = chars[:-GRAM], chars[GRAM:]
-        out.append(np.unique(mix((h.sums[j] - h.sums[i]) * h.down[i])))
-    return out
-
-
-def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose shingle sets are alike enough."""
-
-    def run(batches):
-        for batch in batches:
-            ok = pa.array([linked(x, y, percent) for x, y in zip(_shingles(batch.column(2)), _shingles(batch.column(3)), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
-
-    both = pairs.join(items.select(F.col("s").alias("u"), F.col("items").alias("one")), "u").join(items.select(F.col("s").alias("v"), F.col("items").alias("other")), "v")
-    return both.select("u", "v", "one", "other").mapInArrow(run, "u long, v long")
+    data, off = data[off[0] : off[-1]], off - off[0]
+    h, chars = Hashes(data), np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first = np.searchsorted(chars, off)
+    n = np.maximum(np.diff(first) - GRAM + 1, 0)
+    i = np.repeat(first[:-1] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    a, b = chars[i], chars[i + GRAM]
+    return mix((h.sums[b] - h.sums[a]) * h.down[a]), n
 
 
 def _links(keyed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -273,28 +227,7 @@ def _links(keyed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     by_row = cut(places.join(wanted, "s").groupBy("at.k").agg(F.collect_list(F.struct("s", "at.st")).alias("wanted")))
     texts = likely(keyed.select("k", "text"), "k", by_row.select("k")).filter("_likely")
     items = cut(texts.join(by_row, "k").select("k", "text", "wanted").mapInArrow(_texts, "s long, items binary, sketch binary"))
-    sketch = items.select("s", "sketch")
-    buckets = cut(members.groupBy("bucket").agg(F.min("s").alias("pivot"), F.count("*").alias("m")))
-    # Each node against the least of its buckets.
-    pairs = split_join(members, buckets, "bucket", "m").filter("s <> pivot").select(F.col("s").alias("u"), F.col("pivot").alias("v")).distinct()
-    near = (pairs.join(sketch.toDF("u", "one"), "u").join(sketch.toDF("v", "other"), "v").select("u", "v", "one", "other").mapInArrow(_alike, "u long, v long"))
-    first = cut(_verified(near, items, percent))
-    classes = components(first)
-    # Buckets of three and more that are still in several components: nodes that are alike across them.
-    known = cut(split_join(members, buckets.filter("m > 2"), "bucket", "m").join(classes.withColumnRenamed("node", "s"), "s", "left")
-                .select("bucket", "s", "m", F.coalesce("component", "s").alias("c")))
-    still = (known.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("m").alias("m")).filter("low <> high")
-             .select("bucket", "m", F.ceil(F.col("m") / BLOCK_NODES).cast("int").alias("blocks")))
-    dealt = split_join(known.drop("m"), still, "bucket", "m")
-    block = F.pmod(F.xxhash64("s", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = (dealt.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("bucket", F.least("b", "o").cast("long").alias("i"), F.greatest("b", "o").cast("long").alias("j"), "s", "c").distinct())
-    alike = (dealt.join(sketch, "s").select("bucket", "i", "j", "s", "c", "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-             .mapInArrow(_open, "bucket long, i long, j long, s long, c long"))
-    alike = cut(alike)
-    second = (alike.join(items.select("s", "items"), "s").select("bucket", "i", "j", "s", "c", "items").repartition("bucket", "i", "j")
-              .sortWithinPartitions("bucket", "i", "j").mapInArrow(search_buckets(percent, _shingles), "u long, v long"))
-    return first.unionByName(second)
+    return bucket_links(members, items, percent, agreeing(ROWS * BANDS, percent), _shingles)
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) -> DataFrame:
