@@ -11,8 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Queries that take long on any size because their plans are large; the driver compares all of them.
-QUICK = [q for q in entry.oracle_sql() if q not in ("scan_all_patterns", "scan_last_bar", "detect_cup_handle", "ablation", "profile_compare", "late_entry_pairs", "late_entry_table", "walk_forward_repeats")]
+QUERIES = list(entry.oracle_sql())
 
 
 def plain(df: pd.DataFrame) -> list[tuple]:
@@ -35,7 +34,7 @@ def duck(tiny):
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, tiny, duck, name):
     got = entry.queries()[name](spark, tiny).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).fetchdf()

@@ -22,5 +22,15 @@ def trailing(n: int, skip: int = 0):
     return series().rowsBetween(-(n - 1) - skip, -skip)
 
 
+#: Prices are averaged as whole millionths, so that a mean is the same in any order of summation and equal to a price that it equals.
+TICKS = 10**6
+
+
+def exact_mean(column: str, frame) -> Column:
+    """The mean of a price over a window frame, from one integer sum and one division."""
+    ticks = F.round(F.col(column) * TICKS).cast("long")
+    return F.sum(ticks).over(frame).cast("double") / (F.count(column).over(frame) * float(TICKS))
+
+
 def true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.functions.columns import r, series, trailing, true
+from wickwork.functions.columns import exact_mean, r, series, trailing, true
 
 
 def true_range() -> Column:
@@ -19,12 +19,12 @@ def full(aggregate: Column, column: str, frame, n: int) -> Column:
 
 
 def with_atr(bars: DataFrame, n: int = 14) -> DataFrame:
-    return bars.withColumn("tr", true_range()).withColumn("atr", F.avg("tr").over(trailing(n)))
+    return bars.withColumn("tr", true_range()).withColumn("atr", exact_mean("tr", trailing(n)))
 
 
 def with_smas(bars: DataFrame) -> DataFrame:
-    return (bars.withColumn("sma50", full(F.avg("close"), "close", trailing(50), 50))
-            .withColumn("sma200", full(F.avg("close"), "close", trailing(200), 200)))
+    mean = lambda n: F.when(F.count("close").over(trailing(n)) == n, exact_mean("close", trailing(n)))
+    return bars.withColumn("sma50", mean(50)).withColumn("sma200", mean(200))
 
 
 def with_pivots(bars: DataFrame, order: int = 5) -> DataFrame:

@@ -14,18 +14,28 @@ from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r, series, true
 from wickwork.functions.rules import CUP, DOUBLE, IHS, PATTERNS, WOLFE, max_age
+from wickwork.sources.store import written
 
 #: Symbols need this many bars up to the bar that is looked at.
 HISTORY = 60
+#: A candidate is numbered by its first and last anchor: first * SPAN + last.
+SPAN = 1 << 31
 #: What every candidate table has; ``anchors`` lists what the geometry rests on.
 COMMON = ("symbol", "pattern", "cand", "known", "until", "start", "v0", "i0", "slope", "floor", "last", "last_low", "last_atr",
           "height", "target_at", "score0", "decline_ok", "anchors")
 
 
+#: Bars of a block: a candidate meets the blocks that its range touches, not the whole series.
+BLOCK = 64
+
+
 def interval(c: DataFrame, bars: DataFrame, low: Column, high: Column, *aggregates: Column) -> DataFrame:
     """Aggregates over the bars (as j, jhigh, jlow, jclose, jvolume) of a candidate from ``low`` to ``high``."""
-    b = bars.select(F.col("symbol").alias("jsymbol"), F.col("idx").alias("j"), *[F.col(x).alias(f"j{x}") for x in ("high", "low", "close", "volume")])
-    return c.join(b, (F.col("symbol") == F.col("jsymbol")) & (F.col("j") >= low) & (F.col("j") <= high)).groupBy(*c.columns).agg(*aggregates)
+    b = bars.select(F.col("symbol").alias("jsymbol"), F.col("idx").alias("j"), F.floor(F.col("idx") / BLOCK).alias("jblock"), *[F.col(x).alias(f"j{x}") for x in ("high", "low", "close", "volume")])
+    ranged = c.withColumn("_low", low).withColumn("_high", high).filter(F.col("_low") <= F.col("_high"))
+    ranged = ranged.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_low") / BLOCK), F.floor(F.col("_high") / BLOCK))))
+    same = (F.col("symbol") == F.col("jsymbol")) & (F.col("_block") == F.col("jblock"))
+    return ranged.join(b, same & F.col("j").between(F.col("_low"), F.col("_high"))).groupBy(*c.columns).agg(*aggregates)
 
 
 def anchor(label: str, idx: str, price: str) -> Column:
@@ -68,7 +78,7 @@ def double_bottom(e: DataFrame, rules: dict) -> DataFrame:
              + 10 * (1 - F.abs(F.ln("ratio")) / F.ln(F.lit(rules["db_time_sym"])))
              + 10 * F.greatest(F.lit(0.0), F.least((F.col("peak") / F.col("higher") - 1) / rules["db_min_rise"] - 1, F.lit(1.0))))
     share = rules["db_prior_decline_of_height"]
-    return _common(c, DOUBLE, cand=F.col("i1") * 100000 + F.col("i2"), known=F.col("i2") + 5, start=F.col("i2") + 1, v0=F.col("peak"), floor=F.col("low2"), last=F.col("i2"), last_low=F.col("low2"),
+    return _common(c, DOUBLE, cand=F.col("i1") * SPAN + F.col("i2"), known=F.col("i2") + 5, start=F.col("i2") + 1, v0=F.col("peak"), floor=F.col("low2"), last=F.col("i2"), last_low=F.col("low2"),
                    last_atr=F.col("atr2"), height=height, score0=score, decline_ok=F.lit(False) if share is None else F.col("hi60") - F.col("low1") >= share * height,
                    anchors=F.array(anchor("L1", "i1", "low1"), anchor("peak", "p", "peak"), anchor("L2", "i2", "low2")))
 
@@ -98,7 +108,7 @@ def inverse_hs(e: DataFrame, rules: dict) -> DataFrame:
     score = (50 + 15 * (1 - F.least(F.col("skew") / F.greatest(limit, F.lit(1e-9)), F.lit(1.0))) + 10 * (1 - F.abs(F.ln("ratio")) / F.ln(F.lit(rules["ihs_time_sym"])))
              + 10 * (1 - F.least(F.col("tilt") / rules["ihs_max_neck_slope"], F.lit(1.0))))
     # Without a height the target is measured from the trigger down to the head.
-    return _common(c, IHS, cand=F.col("i1") * 100000 + F.col("i3"), known=F.col("i3") + 5, start=F.col("i3") + 1, v0=F.col("h1"), i0=F.col("n1"), slope=F.col("slope"), floor=F.col("low3"),
+    return _common(c, IHS, cand=F.col("i1") * SPAN + F.col("i3"), known=F.col("i3") + 5, start=F.col("i3") + 1, v0=F.col("h1"), i0=F.col("n1"), slope=F.col("slope"), floor=F.col("low3"),
                    last=F.col("i3"), last_low=F.col("low3"), last_atr=F.col("atr3"), height=F.col("head") if rules["ihs_target_at_head"] else None, target_at=F.col("low2"),
                    score0=score, decline_ok=ok, anchors=F.array(anchor("LS", "i1", "low1"), anchor("head", "i2", "low2"), anchor("RS", "i3", "low3")))
 
@@ -124,7 +134,7 @@ def wolfe(e: DataFrame, rules: dict) -> DataFrame:
     epa = F.when((F.col("eta") > F.col("i3")) & (F.col("eta") <= F.col("i3") + rules["ww_max_eta_bars"]), epa)
     sym = (F.col("i2") - F.col("i1")) / F.greatest(F.col("i3") - F.col("i2"), F.lit(1))
     score = (50 + 15 * (1 - F.least(F.abs("over") / (rules["ww_max_overshoot_atr"] * F.col("atr3")), F.lit(1.0))) + 10 * (1 - F.least(F.abs(F.ln(sym)) / F.ln(F.lit(3.0)), F.lit(1.0))))
-    return _common(c, WOLFE, cand=F.col("i1") * 100000 + F.col("i3"), known=F.col("i3") + 5, until=F.col("i3") + rules["ww_max_bars_since_p5"], start=F.col("i3") + 1, v0=F.col("low1"), i0=F.col("i1"),
+    return _common(c, WOLFE, cand=F.col("i1") * SPAN + F.col("i3"), known=F.col("i3") + 5, until=F.col("i3") + rules["ww_max_bars_since_p5"], start=F.col("i3") + 1, v0=F.col("low1"), i0=F.col("i1"),
                    slope=F.col("s13"), floor=F.col("low3"), last=F.col("i3"), last_low=F.col("low3"), last_atr=F.col("atr3"), target_at=epa, score0=score, decline_ok=F.lit(True),
                    anchors=F.array(anchor("1", "i1", "low1"), anchor("2", "p2", "v2"), anchor("3", "i2", "low2"), anchor("4", "p4", "v4"), anchor("5", "i3", "low3")))
 
@@ -206,7 +216,7 @@ def cup_handle(e: DataFrame, rules: dict) -> DataFrame:
     least = rules["cup_min_roundness"]
     score = (50 + 15 * (F.col("u") - least) / (1 - least) + 10 * (1 - F.least(F.abs(F.col("depth") - 0.25) / 0.25, F.lit(1.0)))
              + 10 * (1 - F.least(F.col("hdepth") / rules["handle_max_depth"], F.lit(1.0))))
-    return _common(c, CUP, cand=F.col("a") * 100000 + F.col("b"), known=F.col("known"), until=F.col("until"), start=F.col("end") + 1, v0=level, last=F.col("hl_i"), last_low=F.col("hl"), last_atr=F.col("hl_atr"),
+    return _common(c, CUP, cand=F.col("a") * SPAN + F.col("b"), known=F.col("known"), until=F.col("until"), start=F.col("end") + 1, v0=level, last=F.col("hl_i"), last_low=F.col("hl"), last_atr=F.col("hl_atr"),
                    height=None if base is None else base - F.col("bottom"), target_at=F.col("bottom"), score0=score,
                    decline_ok=(F.col("rim_a") - F.col("low_prior")) / F.col("low_prior") >= rules["cup_prior_advance"],
                    anchors=F.array(anchor("left rim", "a", "rim_a"), anchor("bottom", "bi", "bottom"), anchor("right rim", "b", "rim_b"), anchor("handle low", "hl_i", "hl")))
@@ -234,8 +244,10 @@ def in_window(s: DataFrame, e: DataFrame, rules: dict, pattern: str, bars: int)
     """States as a scan of the last ``bars`` bars sees them: all anchors are pivots inside it, and the decline into the
     first one is measured from the highs inside it. (The averages need at most 240 bars; the true range of the window's
     first 14 bars is not taken anew.)"""
+    if pattern not in (DOUBLE, IHS):
+        raise ValueError(f"a window of bars is offered for {DOUBLE} and {IHS}, not for {pattern}")
     share = rules[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
-    start, first = F.col("d") - (bars - 1), F.floor(F.col("cand") / 100000)
+    start, first = F.col("d") - (bars - 1), F.floor(F.col("cand") / SPAN)
     s = s.filter(first >= start + 5)
     top = interval(s.select("symbol", "cand", "d"), e, F.greatest(first - 60, start), first, F.max("jhigh").alias("_top"))
     ok = F.lit(False) if share is None else F.col("_top") - F.col("anchors")[0]["price"] >= share * F.col("height")
@@ -251,6 +263,8 @@ def states(c: DataFrame, e: DataFrame, rules: dict, pattern: str, days: DataFram
     if days is not None:
         b = b.join(days, ["symbol", "d"])
     c = breakouts(c, e).join(e.select("symbol", F.col("idx").alias("fb"), F.col("vr").alias("fb_vr")), ["symbol", "fb"], "left")
+    if rules["max_wait_bars"] is not None:  # after its wait a candidate is reported only while its breakout is young
+        c = c.withColumn("until", F.least("until", F.greatest(F.col("last") + rules["max_wait_bars"], F.coalesce(F.col("fb") + max_age(rules, pattern), F.lit(0)))))
     s = c.join(b, ["symbol"]).filter((F.col("d") >= F.col("known")) & (F.col("d") <= F.col("until")))
     s = s.withColumn("now", line(F.col("d"))).withColumn("at_break", line(F.col("fb"))).withColumn("above", F.col("close") > F.col("now"))
     age = F.col("d") - F.col("fb")
@@ -301,10 +315,13 @@ def best(signals: DataFrame) -> DataFrame:
     return signals.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def scan(e: DataFrame, rules: dict, patterns=PATTERNS, days: DataFrame | None = None, bars: int | None = None) -> DataFrame:
-    """The signals of ``patterns`` as of the bars of ``days``, or of every bar."""
-    found = [states(DETECTORS[p](e, rules), e, rules, p, days, bars) for p in patterns]
-    return best(reduce(DataFrame.unionByName, found))
+def scan(e: DataFrame, rules: dict, patterns=PATTERNS, days: DataFrame | None = None, bars: int | None = None, mood: DataFrame | None = None) -> DataFrame:
+    """The signals of ``patterns`` as of the bars of ``days``, or of every bar; with ``mood`` (symbol, idx, fear_greed) each
+    has the symbol's reading of its bar."""
+    # Candidates are few beside the bars; as tables they are found once and planned once.
+    found = [states(written(DETECTORS[p](e, rules)), e, rules, p, days, bars) for p in patterns]
+    out = best(reduce(DataFrame.unionByName, found))
+    return out if mood is None else out.join(mood.select("symbol", F.col("idx").alias("d"), "fear_greed"), ["symbol", "d"], "left")
 
 
 def last_bars(e: DataFrame) -> DataFrame:

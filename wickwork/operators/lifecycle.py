@@ -94,3 +94,9 @@ def demote(signals: DataFrame, rules: dict) -> DataFrame:
     """``signals`` with watch_only, and watch-only patterns' breakouts as WATCHLIST."""
     only = F.col("pattern").isin(*rules["watch_only"]) if rules["watch_only"] else F.lit(False)
     return signals.withColumn("watch_only", only).withColumn("status", F.when(only, "WATCHLIST").otherwise(F.col("status")))
+
+
+def profile_changes(runs: DataFrame) -> DataFrame:
+    """``runs`` (day, profile; one row a run) with previous_run, previous_profile and whether the rules have changed since."""
+    w = Window.orderBy("day")
+    return runs.select("day", "profile", F.lag("day").over(w).alias("previous_run"), F.lag("profile").over(w).alias("previous_profile"), F.coalesce(F.lag("profile").over(w) != F.col("profile"), F.lit(False)).alias("profile_changed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.functions.columns import r
+from wickwork.functions.columns import exact_mean, r
 
 SERIES = ("regime", "vix", "breadth", "breadth_symbols", "index_close", "index_vs_sma200_pct", "index_sma50_vs_sma200_pct")
 
@@ -23,7 +23,7 @@ def regime(index: DataFrame) -> DataFrame:
     An index is one series, so its window is one partition by nature.
     """
     w = Window.orderBy("day")
-    full = lambda n: F.when(F.count("close").over(w.rowsBetween(1 - n, 0)) == n, F.avg("close").over(w.rowsBetween(1 - n, 0)))
+    full = lambda n: F.when(F.count("close").over(w.rowsBetween(1 - n, 0)) == n, exact_mean("close", w.rowsBetween(1 - n, 0)))
     c, s50, s200 = F.col("close"), F.col("s50"), F.col("s200")
     state = F.when(s200.isNull(), None).when((c > s200) & (s50 > s200), "bull").when((c < s200) & (s50 < s200), "bear").otherwise("neutral")
     i = index.withColumn("s50", full(50)).withColumn("s200", full(200))

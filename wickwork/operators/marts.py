@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r
-from wickwork.functions.indicators import fear_greed_zone
 from wickwork.functions.rules import WOLFE
+from wickwork.operators.outcomes import running
 
 #: The day from which an entry is late, and from which there is no edge left.
 LATE_FROM, NO_ENTRY, NO_ENTRY_WOLFE = 3, 7, 6
@@ -65,8 +65,9 @@ def tally(rows: DataFrame) -> DataFrame:
 def track(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Rows with status and, where traded, the running sum of R within ``by``."""
     status = F.when(F.col("outcome").isin("target", "stop", "expired"), "closed").when(F.col("outcome") == "open", "open").otherwise("none")
-    run = F.sum(F.when(status != "none", F.col("r"))).over(Window.partitionBy(*by).orderBy("scan_day", "symbol", "d"))
-    return rows.withColumn("status", status).withColumn("curve", F.when((status != "none") & F.col("r").isNotNull(), r(run, 2)))
+    x = rows.withColumn("status", status).withColumn("_r", F.col("r")).withColumn("r", F.when(F.col("status") != "none", F.col("r")))
+    x = running(x, by, "scan_day", ("symbol", "d")).withColumn("r", F.col("_r"))
+    return x.withColumn("curve", F.when((F.col("status") != "none") & F.col("r").isNotNull(), r(F.col("cum"), 2))).drop("_r", "cum", "peak")
 
 
 def report_rows(s: DataFrame, age_limit: Column, day_limit: Column) -> DataFrame:
@@ -92,12 +93,19 @@ def chart_arrays(bars: DataFrame, n: int) -> DataFrame:
     return out.select("symbol", F.transform("x", lambda v: v["day"].cast("string")).alias("dates"), *map(prices, ("open", "high", "low", "close")))
 
 
-def zones(score: Column) -> Column:
-    return fear_greed_zone(score)
-
-
 def documents(s: DataFrame, meta: DataFrame) -> DataFrame:
     """One JSON document per symbol: its signals in order, with the run's meta row (one row)."""
     item = F.struct("day", "pattern", "status", "entry", "stop", "target", "score")
     d = s.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("signals"))
-    return d.crossJoin(F.broadcast(meta)).select("symbol", F.to_json(F.struct(F.struct(*meta.columns).alias("meta"), "signals")).alias("document"))
+    meta = F.broadcast(meta.select(F.struct(*meta.columns).alias("meta")))
+    return d.crossJoin(meta).select("symbol", F.to_json(F.struct("meta", "signals")).alias("document"))
+
+
+#: The types of a document's fields.
+DOCUMENT = "meta struct<rows: long, last_day: date>, signals array<struct<day: date, pattern: string, status: string, entry: double, stop: double, target: double, score: int>>"
+
+
+def read_documents(texts: DataFrame, column: str = "document") -> DataFrame:
+    """The rows of JSON documents, each with ``symbol`` and the document's meta; a text that is no document gives no rows."""
+    d = texts.withColumn("_d", F.from_json(column, DOCUMENT, {"mode": "PERMISSIVE"})).filter("_d.signals is not null")
+    return d.select("symbol", "_d.meta.rows", "_d.meta.last_day", F.explode("_d.signals").alias("_s")).select("symbol", "rows", "last_day", "_s.*")

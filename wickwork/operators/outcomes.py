@@ -11,6 +11,14 @@ TRADED = ("target", "stop", "open")
 KEY = ("symbol", "d", "pattern", "stop")
 SCORE_BUCKETS = ((60, 69), (70, 79), (80, 89), (90, 100))
 HORIZONS = (5, 10, 20, 40, 60)
+#: Inner right-inclusive edges of the feature buckets.
+FEATURE_EDGES = {
+    "volume_ratio": (0.8, 1.0, 1.3, 2.0), "close_vs_sma200": (-0.05, 0.0, 0.10, 0.25), "sma50_vs_sma200": (-0.05, 0.0, 0.05), "sma200_slope": (-0.02, 0.0, 0.02, 0.05),
+    "dist_sma200_atr": (-2.0, 0.0, 3.0, 6.0), "stop_atr": (1.5, 3.0, 5.0), "risk_pct": (4.0, 8.0, 12.0), "reward_risk": (1.5, 2.5, 4.0), "wait_bars": (10, 20, 40, 60), "bars_since_break": (0, 1, 3, 8),
+    "vix": (15.0, 20.0, 25.0), "breadth": (0.4, 0.55, 0.7), "depth_atr": (3.0, 6.0, 10.0), "break_close_pos": (0.5, 0.8), "break_over_prior_high": (0.5,), "volume_z": (0.0, 1.5, 3.0),
+    "handle_volume_ratio": (0.7, 1.0), "handle_volume_slope": (0.0,), "fg_score": (20.0, 40.0, 60.0, 80.0), "fg_base": (20.0, 40.0, 60.0, 80.0), "fg_rsi": (30.0, 50.0, 70.0), "fg_bb_pctb": (0.0, 0.5, 1.0),
+    "fg_macd_pct": (20.0, 50.0, 80.0),
+}
 
 
 def forward(rows: DataFrame, bars: DataFrame, horizon) -> DataFrame:
@@ -88,9 +96,10 @@ def summary() -> list[Column]:
 def statistics() -> list[Column]:
     x = traded_r()
     traded = F.col("outcome").isin(*TRADED)
-    mean = lambda c, n: r(F.avg(F.when(traded, F.col(c))), n).alias(c)
+    # Excursions have four decimals: summed as whole numbers, their mean is the same in any order.
+    whole = lambda c: F.sum(F.when(traded, F.round(F.col(c) * 1e4).cast("long"))).cast("double") / (F.count(F.when(traded, F.col(c))) * 1e4)
     return [F.count("*").alias("signals"), *counts()[1:], hit_rate().alias("hit_rate"), r(F.avg(x), 3).alias("mean_r"), r(F.percentile(x, 0.5), 3).alias("median_r"), r(F.stddev_samp(x), 3).alias("std_r"), r(F.sum(x), 2).alias("total_r"),
-            r(F.avg(F.when(traded, F.col("success5").cast("double"))), 3).alias("success5"), mean("mfe", 4), mean("mae", 4)]
+            r(F.avg(F.when(traded, F.col("success5").cast("double"))), 3).alias("success5"), r(whole("mfe"), 4).alias("mfe"), r(whole("mae"), 4).alias("mae")]
 
 
 def score_bucket() -> Column:
@@ -100,37 +109,62 @@ def score_bucket() -> Column:
     return out
 
 
-def breakdown(rows: DataFrame) -> DataFrame:
-    """Statistics overall, by pattern, by score bucket and by regime: kind, slice, ..."""
+def breakdown(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Statistics overall, by pattern, by score bucket and by regime: kind, slice, ...; apart for each ``by``."""
     one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("slice"))
     slices = F.array(one("overall", F.lit("all")), one("pattern", F.col("pattern")), one("score", score_bucket()), one("regime", F.col("regime")))
-    return rows.withColumn("_s", F.explode(slices)).filter("_s.slice is not null").groupBy("_s.kind", "_s.slice").agg(*statistics())
+    return rows.withColumn("_s", F.explode(slices)).filter("_s.slice is not null").groupBy(*by, "_s.kind", "_s.slice").agg(*statistics())
 
 
-def drawdown(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+def running(rows: DataFrame, by: tuple[str, ...], day: str, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with cum and peak: the running sum of r in each ``by``, over days and within a day in ``order``, and its
+    highest value so far, which starts at 0.
+
+    Days are summed first; only they go through a window of a whole ``by``, rows through one of their day.
+    """
+    inside = Window.partitionBy(*by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumn("_in", F.sum(F.coalesce("r", F.lit(0.0))).over(inside))
+    x = x.withColumn("_top", F.max("_in").over(inside))
+    earlier = Window.partitionBy(*by).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = x.groupBy(*by, day).agg(F.sum("r").alias("_sum"), F.max("_in").alias("_max"))
+    days = days.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    days = days.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_before") + F.col("_max")).over(earlier), F.lit(0.0)), F.lit(0.0))).drop("_sum", "_max")
+    x = x.join(days, [*by, day])
+    return (x.withColumn("cum", F.col("_before") + F.col("_in")).withColumn("peak", F.greatest("_peak", F.col("_before") + F.col("_top")))
+            .drop("_in", "_top", "_before", "_peak"))
+
+
+def drawdown(rows: DataFrame, by: tuple[str, ...], day: str, order: tuple[str, ...]) -> DataFrame:
     """max_dd: the deepest fall of the cumulative R curve from its peak, which starts at 0."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    c = rows.withColumn("_cum", F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    c = c.withColumn("_peak", F.greatest(F.max("_cum").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    return c.groupBy(*by).agg(r(F.min(F.col("_cum") - F.col("_peak")), 3).alias("max_dd"))
+    return running(rows, by, day, order).groupBy(*by).agg(r(F.min(F.col("cum") - F.col("peak")), 3).alias("max_dd"))
 
 
-def month_bootstrap(rows: DataFrame, by: tuple[str, ...], replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """ci_low, ci_high, blocks: the mean R when months are drawn with replacement.
+def month_bootstrap(rows: DataFrame, by: tuple[str, ...], replicates: int = 2000, seed: int = 0, order: tuple[str, ...] = ("scan_day", "symbol")) -> DataFrame:
+    """ci_low, ci_high, dd_p95, blocks: the mean R, and the drawdown of the trades in ``order``, when months are drawn with
+    replacement.
 
-    Months are summed first, so a replicate joins few rows; a draw is the first 8 hex digits of md5(seed-replicate-position)
-    modulo the months. Under 2 months or 5 trades there is no interval.
+    A month is summed up first (its sum, its number, the highest, the lowest and the deepest fall of its running sum), so a
+    replicate joins few rows; a draw is the first 8 hex digits of md5(seed-replicate-position) modulo the months. Under 2
+    months or 5 trades there is no interval.
     """
-    m = rows.filter("r is not null").groupBy(*by, F.date_format("scan_day", "yyyy-MM").alias("month")).agg(F.sum("r").alias("s"), F.count("*").alias("k"))
+    t = rows.filter("r is not null").withColumn("month", F.date_format("scan_day", "yyyy-MM"))
+    inside = Window.partitionBy(*by, "month").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_in", F.sum("r").over(inside)).withColumn("_top", F.max("_in").over(inside))
+    m = t.groupBy(*by, "month").agg(F.sum("r").alias("s"), F.count("*").alias("k"), F.max("_in").alias("top"), F.min("_in").alias("low"), F.min(F.col("_in") - F.col("_top")).alias("fall"))
     w = Window.partitionBy(*by)
     m = m.withColumn("at", F.row_number().over(w.orderBy("month")) - 1).withColumn("blocks", F.count("*").over(w)).withColumn("trades", F.sum("k").over(w))
     draws = (m.select(*by, "blocks").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))))
     text = F.md5(F.concat_ws("-", F.lit(str(seed)), "rep", "pos").cast("binary"))
     draws = draws.withColumn("at", F.conv(F.substring(text, 1, 8), 16, 10).cast("long") % F.col("blocks")).drop("blocks")
-    means = draws.join(m.drop("month"), [*by, "at"]).groupBy(*by, "blocks", "trades", "rep").agg((F.sum("s") / F.sum("k")).alias("mean"))
-    low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
+    before = Window.partitionBy(*by, "rep").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = draws.join(m.drop("month"), [*by, "at"]).withColumn("_sum", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
+    drawn = drawn.withColumn("_peak", F.greatest(F.coalesce(F.max(F.col("_sum") + F.col("top")).over(before), F.lit(0.0)), F.lit(0.0)))
+    deepest = F.min(F.least(F.col("_sum") + F.col("low") - F.col("_peak"), F.col("fall")))
+    means = drawn.groupBy(*by, "blocks", "trades", "rep").agg((F.sum("s") / F.sum("k")).alias("mean"), deepest.alias("dd"))
     enough = (F.col("blocks") >= 2) & (F.col("trades") >= 5)
-    return means.groupBy(*by, "blocks", "trades").agg(low.alias("l"), high.alias("h")).select(*by, F.when(enough, r(F.col("l"), 3)).alias("ci_low"), F.when(enough, r(F.col("h"), 3)).alias("ci_high"), "blocks")
+    share = lambda c, p: F.percentile(c, p)
+    return (means.groupBy(*by, "blocks", "trades").agg(share("mean", 0.025).alias("l"), share("mean", 0.975).alias("h"), share("dd", 0.05).alias("d"))
+            .select(*by, *[F.when(enough, r(F.col(c), 3)).alias(n) for c, n in (("l", "ci_low"), ("h", "ci_high"), ("d", "dd_p95"))], "blocks"))
 
 
 def variants() -> Column:
@@ -140,25 +174,44 @@ def variants() -> Column:
     return F.flatten(F.flatten(one))
 
 
-def grid(rows: DataFrame, bars: DataFrame, horizon=40) -> DataFrame:
+def paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """``rows`` that have a later bar, with path: their next ``horizon`` bars in order, so that variants join no bars."""
+    f = forward(rows, bars, horizon).filter("j is not null")
+    return f.groupBy(*rows.columns).agg(F.sort_array(F.collect_list(F.struct("j", "o", "h", "l", "c"))).alias("path"))
+
+
+def walk(rows: DataFrame, fill: Column, stop: Column, target: Column, close_basis: Column) -> DataFrame:
+    """``rows`` with the outcome and r of a position along its path, by the rules of :func:`resolve`."""
+    rows = rows.withColumns({"_fill": fill, "_stop": stop, "_target": target, "_basis": close_basis})
+    stopped = lambda b: F.when(F.col("_basis"), b["c"] <= F.col("_stop")).otherwise(b["l"] <= F.col("_stop"))
+    # The first hit is a column of its own, so that the path is searched once.
+    rows = rows.withColumn("_hit", F.get(F.filter("path", lambda b: stopped(b) | F.coalesce(b["h"] >= F.col("_target"), F.lit(False))), F.lit(0)))
+    hit, at_stop = F.col("_hit"), stopped(F.col("_hit"))
+    exit_ = (F.when(hit.isNull(), F.element_at("path", -1)["c"]).when(~at_stop, F.greatest(hit["o"], F.col("_target"))).when(F.col("_basis"), hit["c"]).otherwise(F.least(hit["o"], F.col("_stop"))))
+    rows = rows.withColumn("outcome", F.when(hit.isNull(), "open").when(at_stop, "stop").otherwise("target"))
+    return rows.withColumn("r", F.when(F.col("_fill") > F.col("_stop"), (exit_ - F.col("_fill")) / (F.col("_fill") - F.col("_stop")))).drop("_fill", "_stop", "_target", "_basis", "_hit")
+
+
+def grid(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
     """Traded ``rows`` scored again under every variant: extra, basis, mode and their summary."""
-    v = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", "cup_bottom", "cup_trigger").withColumn("_v", F.explode(variants()))
-    v = v.select("*", "_v.extra", "_v.basis", "_v.mode").drop("_v")
-    v, fill = v.withColumnRenamed("fill", "fill0"), F.col("fill0")
+    v = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", "cup_bottom", "cup_trigger")
+    v = paths(v, bars, horizon).withColumn("_v", F.explode(variants())).select("*", "_v.extra", "_v.basis", "_v.mode").drop("_v")
+    fill = F.col("fill")
     cup = (F.col("mode") == "breakout") & (F.col("pattern") == "Cup & Handle") & F.col("cup_bottom").isNotNull()
     target = F.when(F.col("target").isNull(), None).when(F.col("mode") == "half", fill + 0.5 * (F.col("target") - fill)).when(cup, fill + (F.col("cup_trigger") - F.col("cup_bottom"))).otherwise(F.col("target"))
-    scored = resolve(v, bars, horizon, fill=fill, close_basis=F.col("basis") == "close", stop=F.col("stop") - F.col("extra") * F.col("atr"), target=target)
-    return scored.groupBy("extra", "basis", "mode").agg(*summary())
+    v = walk(v, fill, F.col("stop") - F.col("extra") * F.col("atr"), target, F.col("basis") == "close")
+    return v.groupBy("extra", "basis", "mode").agg(*summary())
 
 
 def horizon_table(rows: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Median excursions and outcome shares by horizon, overall and per pattern, in one pass over horizons."""
-    t = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", F.col("fill").alias("fill0")).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
-    res = resolve(t, bars, F.col("horizon"), fill=F.col("fill0")).select("symbol", "d", "pattern", "stop", "horizon", "fill0", "atr", "outcome")
-    f = forward(res, bars, F.col("horizon")).groupBy(*res.columns).agg(F.max("h").alias("hi"), F.min("l").alias("lo")).filter("hi is not null")
+    """Median excursions and outcome shares by horizon, overall and per pattern; bars are joined once, to the longest."""
+    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill"), bars, max(horizons))
+    t = t.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("path", F.filter("path", lambda b: b["j"] <= F.col("d") + F.col("horizon"))).filter(F.size("path") > 0)
+    t = walk(t, F.col("fill"), F.col("stop"), F.col("target"), F.lit(False))
+    f = t.select("pattern", "horizon", "fill", "atr", "outcome", F.array_max(F.transform("path", lambda b: b["h"])).alias("hi"), F.array_min(F.transform("path", lambda b: b["l"])).alias("lo"))
     f = f.withColumn("slice", F.explode(F.array(F.lit("all"), F.col("pattern"))))
     med = lambda x, n: r(F.percentile(x, 0.5), n)
-    fill = F.col("fill0")
+    fill = F.col("fill")
     share = lambda o: r(F.count_if(F.col("outcome") == o) / F.count("*"), 3).alias(o)
     return f.groupBy("slice", "horizon").agg(F.count("*").alias("n"), med(F.col("hi") / fill - 1, 4).alias("median_mfe"), med(F.col("lo") / fill - 1, 4).alias("median_mae"), med((F.col("hi") - fill) / F.col("atr"), 2).alias("median_mfe_atr"),
                                              med((F.col("lo") - fill) / F.col("atr"), 2).alias("median_mae_atr"), share("target"), share("stop"), share("open"))

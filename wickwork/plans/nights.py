@@ -6,37 +6,33 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r
-from wickwork.functions.rules import CUP, DOUBLE, IHS, WOLFE, profile
+from wickwork.functions.rules import CUP, DOUBLE, IHS, LEGACY, WOLFE, profile
 from wickwork.operators import detectors as det
 from wickwork.operators import lifecycle, marts, outcomes, replay
 from wickwork.plans import oracle as o
 from wickwork.plans.registry import query
-from wickwork.plans.results import E, FATE, POS, _SUMMARY, positions
-from wickwork.plans.scans import enriched
+from wickwork.plans.results import bootstrap_sql, _MEANS, _STATS, _SUMMARY, E, FATE, MARKET, POS, market_table, positions
+from wickwork.plans.scans import _FG, enriched
+from wickwork.functions import indicators as ind
+from wickwork.operators import market
 from wickwork.sources import bars as src
+from wickwork.sources.store import written
 from wickwork.streaming import bars as streaming
 
 TUNED = profile("tuned")
-#: A run looks at every fifth bar.
-STEP = 5
+#: Bars from one run to the next: every session has its run.
+STEP = 1
+LOG = o.scan_all("tuned") + ", slog AS (SELECT *, CAST(d AS BIGINT) AS run FROM allsig)"
 
 
-def _sub(prof="tuned", **over):
-    q = profile(prof, **over)
-    return ",".join([o.enriched(q), o.double_bottom(q), o.signals(q, DOUBLE, "s1_"), o.inverse_hs(q).replace(f"\n{o._lows()},", ""), o.signals(q, IHS, "s2_"), "allsig AS (SELECT * FROM s1_ UNION ALL SELECT * FROM s2_)"])
-
-
-LOG = _sub() + f", slog AS (SELECT *, d // {STEP} AS run FROM allsig WHERE d % {STEP} = 0)"
-
-
-def scan_two(spark, sf_dir, rules=TUNED, e=None):
-    """Double bottoms and inverse head and shoulders as of every bar."""
-    e = enriched(spark, sf_dir, rules) if e is None else e
-    return det.scan(e, rules, (DOUBLE, IHS))
+def scanned(spark, sf_dir, rules=TUNED, e=None):
+    """All four patterns as of every bar."""
+    return det.scan(enriched(spark, sf_dir, rules) if e is None else e, rules)
 
 
 def signal_log(spark, sf_dir, e=None):
-    return scan_two(spark, sf_dir, e=e).filter(F.col("d") % STEP == 0).withColumn("run", F.floor(F.col("d") / STEP))
+    """The signals of every session's run, as a table."""
+    return written(scanned(spark, sf_dir, e=e).withColumn("run", F.col("d").cast("long")))
 
 
 def _l(body, *more):
@@ -171,14 +167,11 @@ def max_buy(spark, sf_dir):
     return positions(spark, sf_dir).select("symbol", "d", r(F.least(F.col("entry") * 1.05, F.col("stop") + 1.5 * (F.col("entry") - F.col("stop"))), 2).alias("max_buy"))
 
 
-@query(o.with_(o.BARS, *o.detector(DOUBLE, "spec")) + "SELECT symbol, d, cand FROM sig WHERE status = 'CONFIRMED' OR d - last <= 60")
+@query(o.with_(o.BARS, *o.detector(DOUBLE, "spec", max_wait_bars=60)) + "SELECT symbol, d, cand FROM sig")
 def watch_patience(spark, sf_dir):
     """Watched rows whose last anchor is too old go; confirmed ones stay."""
     rules = profile("spec", max_wait_bars=60)
-    e = enriched(spark, sf_dir, rules)
-    # A candidate's patience does not change which is the best of a bar, as only one double bottom is open at a time.
-    s = det.scan(e, profile(), (DOUBLE,))
-    return s.filter((F.col("status") == "CONFIRMED") | (F.col("d") - F.col("last") <= 60)).select("symbol", "d", "cand")
+    return det.scan(enriched(spark, sf_dir, rules), rules, (DOUBLE,)).select("symbol", "d", "cand")
 
 
 @query(o.with_(o.BARS, *o.detector(DOUBLE, "spec")) + "SELECT score, status, count(*) AS n FROM sig GROUP BY 1, 2")
@@ -195,9 +188,9 @@ def dedupe_best(spark, sf_dir):
 # Replay -------------------------------------------------------------------------------------------------------------------
 
 def _replay_sql(prof="tuned", extra="", where="true", **over):
-    return f"""{_sub(prof, **over)}{extra},
-rs AS (SELECT s.*, n.no AS sno FROM allsig s JOIN (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM bars)) n USING (day) WHERE status = 'CONFIRMED' AND {where.replace('x.', 's.')}),
-rl AS (SELECT *, min(day) OVER (PARTITION BY symbol, pattern, stop) AS first_day, CAST(sno - min(sno) OVER (PARTITION BY symbol, pattern, stop) + 1 AS INT) AS listed_day FROM rs)"""
+    return f"""{o.scan_all(prof, **over)}{extra},
+rp AS (SELECT s.*, n.no AS sno FROM allsig s JOIN (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM bars)) n USING (day) WHERE status = 'CONFIRMED' AND {where.replace('x.', 's.')}),
+rl AS (SELECT *, min(day) OVER (PARTITION BY symbol, pattern, stop) AS first_day, CAST(sno - min(sno) OVER (PARTITION BY symbol, pattern, stop) + 1 AS INT) AS listed_day FROM rp)"""
 
 
 def _fate_of(table: str) -> str:
@@ -211,7 +204,7 @@ _FIRST = "rf AS (SELECT * FROM rl WHERE day = first_day)"
 
 def replayed(spark, sf_dir, rules=TUNED, members=False):
     e = enriched(spark, sf_dir, rules)
-    rows = replay.listed(scan_two(spark, sf_dir, rules, e), replay.sessions(e, 100000), src.membership_snapshots(spark, sf_dir) if members else None)
+    rows = replay.listed(scanned(spark, sf_dir, rules, e), replay.sessions(e), src.membership_snapshots(spark, sf_dir) if members else None)
     return rows, e
 
 
@@ -261,56 +254,122 @@ def late_entry_pairs(spark, sf_dir):
     return replay.pairs(replay.first_seen(s), replay.repeats(s)).select("symbol", "pattern", "stop", "listed_day", r(F.col("r1"), 4).alias("r1"), r(F.col("diff"), 4).alias("diff"))
 
 
-@query(o.with_(o.BARS, _replay_sql(), "rr AS (SELECT * FROM rl)", _fate_of("rr")) + f"SELECT listed_day, {_SUMMARY}, {o.r('avg(r)', 3)} AS mean_r, {o.r('sum(r)', 2)} AS total_r FROM fate GROUP BY listed_day")
+_LATE = f"""
+a1 AS (SELECT symbol, pattern, stop, first_day, r AS r1 FROM fate WHERE r IS NOT NULL AND day = first_day),
+pr AS (SELECT f.listed_day, a1.first_day AS scan_day, r1, f.r AS rn, f.r - r1 AS r FROM fate f JOIN a1 ON a1.symbol = f.symbol AND a1.pattern = f.pattern AND a1.stop = f.stop AND a1.first_day = f.first_day WHERE f.r IS NOT NULL AND day > f.first_day),
+pm AS (SELECT listed_day, count(*) AS pairs, {o.r('avg(r1)', 3)} AS pair_day1_mean_r, {o.r('avg(rn)', 3)} AS pair_mean_r, {o.r('avg(r)', 3)} AS diff_mean_r FROM pr GROUP BY listed_day),
+ls AS (SELECT listed_day, {_SUMMARY}, {o.r('avg(r)', 3)} AS mean_r, {o.r('sum(r)', 2)} AS total_r FROM fate GROUP BY listed_day),
+{bootstrap_sql("pr", "listed_day", "bt")}"""
+
+
+@query(o.with_(o.BARS, _replay_sql(), "rr AS (SELECT * FROM rl)", _fate_of("rr"), _LATE) + "SELECT ls.*, pairs, pair_day1_mean_r, pair_mean_r, diff_mean_r, ci_low AS diff_ci_low, ci_high AS diff_ci_high FROM ls LEFT JOIN pm USING (listed_day) LEFT JOIN bt USING (listed_day)")
 def late_entry_table(spark, sf_dir):
+    """Outcomes by day on the list, and each later listing against its own first report with a month-block interval."""
     rows, e = replayed(spark, sf_dir)
-    return replay.scored(rows, e).groupBy("listed_day").agg(*outcomes.summary())
+    return replay.late_entry(written(replay.scored(rows, e)))
 
 
-def _compare(names):
-    parts = []
-    for i, (label, prof, over) in enumerate(names):
-        q = _sub(prof, **over)
-        parts.append(f"SELECT '{label}' AS rule, pattern, count(DISTINCT symbol || '|' || stop) AS signals FROM (WITH {o.BARS}, {q} SELECT * FROM allsig) z{i} WHERE status = 'CONFIRMED' GROUP BY pattern")
-    return " UNION ALL ".join(parts)
+def _count_sql(label, prof, over, only=None):
+    q = f"SELECT '{label}' AS rule, pattern, count(DISTINCT symbol || '|' || stop) AS signals FROM (WITH {o.BARS}, {o.scan_all(prof, **over)} SELECT * FROM allsig) WHERE status = 'CONFIRMED'"
+    return q + (f" AND pattern = '{only}'" if only else "") + " GROUP BY pattern"
 
 
-def _counts(spark, sf_dir, label, rules):
-    s = scan_two(spark, sf_dir, rules).filter("status = 'CONFIRMED'").select("symbol", "pattern", "stop").distinct()
+def _counts(spark, sf_dir, label, rules, only=None):
+    s = det.scan(enriched(spark, sf_dir, rules), rules, only or det.PATTERNS).filter("status = 'CONFIRMED'").select("symbol", "pattern", "stop").distinct()
     return s.groupBy("pattern").agg(F.count("*").alias("signals")).select(F.lit(label).alias("rule"), "pattern", "signals")
 
 
-@query(_compare([("tuned", "tuned", {}), ("spec", "spec", {})]))
+@query(" UNION ALL ".join(_count_sql(p, p, {}) for p in ("tuned", "spec")))
 def profile_compare(spark, sf_dir):
     return _counts(spark, sf_dir, "tuned", TUNED).unionByName(_counts(spark, sf_dir, "spec", profile()))
 
 
-_ABLATED = {"volume_confirm": {"volume_confirm": {CUP: None, IHS: None, WOLFE: None, DOUBLE: None}}, "ihs_side_sym_tol": {"ihs_side_sym_tol": None}}
+#: Rules of one pattern, relaxed to their legacy values (any rule can be: ``profile("spec", **{key: LEGACY[key]})``).
+_ABLATED = [(k, p) for k, v in LEGACY.items() for prefix, p in (("ihs_side", IHS), ("ww_time", WOLFE)) if k.startswith(prefix)]
 
 
-@query(_compare([("spec", "spec", {}), *((k, "spec", v) for k, v in _ABLATED.items())]))
+@query(f"""WITH n AS (SELECT rule, pattern, signals FROM ({" UNION ALL ".join([_count_sql("", "spec", {}), *(_count_sql(k, "spec", {k: LEGACY[k]}, p) for k, p in _ABLATED)])})),
+k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{p}', '{LEGACY[k]}')" for k, p in _ABLATED)}) v(rule, pattern, value)),
+dl AS (SELECT k.rule, value, CAST(coalesce(a.signals, 0) AS BIGINT) AS signals, CAST(coalesce(a.signals, 0) - coalesce(b.signals, 0) AS BIGINT) AS delta FROM k LEFT JOIN n a ON a.rule = k.rule AND a.pattern = k.pattern LEFT JOIN n b ON b.rule = '' AND b.pattern = k.pattern)
+SELECT *, CAST(row_number() OVER (ORDER BY abs(delta) DESC, rule) AS INT) AS place FROM dl""")
 def ablation(spark, sf_dir):
-    """Each rule relaxed alone against the base profile."""
-    out = _counts(spark, sf_dir, "spec", profile())
-    for key, over in _ABLATED.items():
-        out = out.unionByName(_counts(spark, sf_dir, key, profile("spec", **over)))
-    return out
+    """Rules relaxed alone to their legacy values: their pattern's signals against the base profile's, largest change first."""
+    return replay.ablation([(k, p, str(LEGACY[k]), _counts(spark, sf_dir, k, profile("spec", **{k: LEGACY[k]}), (p,))) for k, p in _ABLATED], _counts(spark, sf_dir, "", profile(), tuple({p for _, p in _ABLATED})))
+
+
+_CANDS = "cands AS (" + " UNION ALL ".join(f"SELECT symbol, pattern, cand, height, last_low, target_at FROM {c}" for _, c in o.CANDIDATES.values()) + ")"
+_FEATURES = f"""first_ AS (SELECT * FROM rl WHERE day = first_day),
+{_CANDS},
+cd AS (SELECT DISTINCT c.symbol, c.pattern, c.cand, c.last_low, CASE c.pattern WHEN '{IHS}' THEN least(x.low, c.last_low) - c.target_at WHEN '{WOLFE}' THEN x.low - c.last_low ELSE c.height END AS depth FROM cands c JOIN e x ON x.symbol = c.symbol AND x.idx = c.cand // {o.SPAN}),
+hv_ AS (SELECT s.symbol, s.d, s.cand, avg(z.volume) FILTER (WHERE z.idx <= s.cand % {o.SPAN}) AS cup_v, avg(z.volume) FILTER (WHERE z.idx > s.cand % {o.SPAN}) AS handle_v, count(*) FILTER (WHERE z.idx > s.cand % {o.SPAN}) AS n,
+  regr_slope(CASE WHEN z.idx > s.cand % {o.SPAN} THEN z.volume END, z.idx) AS slope FROM first_ s JOIN e z ON z.symbol = s.symbol AND z.idx >= s.cand // {o.SPAN} AND z.idx < s.d - s.bars_since_break WHERE s.pattern = '{CUP}' GROUP BY 1, 2, 3),
+ft_ AS (SELECT s.symbol, s.d, s.pattern, s.stop, {o.r('e.close/e.sma200 - 1', 4)} AS close_vs_sma200, {o.r('e.sma50/e.sma200 - 1', 4)} AS sma50_vs_sma200, {o.r('e.sma200/q.sma200 - 1', 4)} AS sma200_slope, {o.r('(e.close - e.sma200)/e.atr', 3)} AS dist_sma200_atr,
+  {o.r('(s.entry - s.stop)/e.atr', 3)} AS stop_atr, {o.r('(s.target - s.entry)/e.atr', 3)} AS target_atr, CAST(s.d - s.bars_since_break - s.last AS INT) AS wait_bars, {o.r('cd.depth/e.atr', 3)} AS depth_atr,
+  CASE WHEN b.high > b.low THEN {o.r('(b.close - b.low)/(b.high - b.low)', 3)} END AS break_close_pos, CASE WHEN b.close > p.high THEN 1.0 ELSE 0.0 END AS break_over_prior_high, b.vz AS volume_z,
+  CASE WHEN cup_v > 0 THEN {o.r('handle_v/cup_v', 3)} END AS handle_volume_ratio, CASE WHEN h.n >= 3 AND handle_v > 0 THEN {o.r('slope/handle_v', 4)} END AS handle_volume_slope,
+  g.fear_greed AS fg_score, {o.r('f.rsi', 1)} AS fg_rsi, f.macd_pct AS fg_macd_pct, bb.pctb AS fg_bb_pctb, l.fear_greed AS fg_base
+  FROM first_ s JOIN e ON e.symbol = s.symbol AND e.idx = s.d LEFT JOIN e q ON q.symbol = s.symbol AND q.idx = s.d - 40 JOIN e b ON b.symbol = s.symbol AND b.idx = s.d - s.bars_since_break JOIN e p ON p.symbol = s.symbol AND p.idx = b.idx - 1
+  LEFT JOIN (SELECT symbol, pattern, cand, max(depth) AS depth FROM cd GROUP BY 1, 2, 3) cd ON cd.symbol = s.symbol AND cd.pattern = s.pattern AND cd.cand = s.cand LEFT JOIN hv_ h ON h.symbol = s.symbol AND h.d = s.d AND h.cand = s.cand AND s.pattern = '{CUP}'
+  JOIN fgs g ON g.symbol = s.symbol AND g.idx = s.d JOIN fg f ON f.symbol = s.symbol AND f.idx = s.d JOIN bb ON bb.symbol = s.symbol AND bb.idx = s.d LEFT JOIN fgs l ON l.symbol = s.symbol AND l.idx = s.last)"""
+
+
+def _featured(spark, sf_dir):
+    rows, e = replayed(spark, sf_dir)
+    first = written(replay.first_seen(rows))
+    return replay.features(first, e, written(ind.with_fear_greed(src.bars(spark, sf_dir)).select("symbol", "idx", "fear_greed", "rsi", "macd_pct", "pctb"))), e
 
 
-@query(o.with_(o.BARS, _replay_sql(where="d >= 0")) + f"""SELECT s.symbol, s.d, s.pattern, s.stop, {o.r('e.close/e.sma200 - 1', 4)} AS close_vs_sma200, {o.r('(s.entry - s.stop)/e.atr', 3)} AS stop_atr, {o.r('(s.target - s.entry)/e.atr', 3)} AS target_atr,
-  CAST(s.d - s.bars_since_break - s.last AS INT) AS wait_bars, CASE WHEN b.high > b.low THEN {o.r('(b.close - b.low)/(b.high - b.low)', 3)} END AS break_close_pos, CASE WHEN b.close > p.high THEN 1.0 ELSE 0.0 END AS break_over_prior_high, b.vz AS volume_z
-  FROM rl s JOIN e ON e.symbol = s.symbol AND e.idx = s.d JOIN e b ON b.symbol = s.symbol AND b.idx = s.d - s.bars_since_break JOIN e p ON p.symbol = s.symbol AND p.idx = b.idx - 1 WHERE s.day = s.first_day""")
+@query(_FG + "," + _replay_sql() + "," + _FEATURES + " SELECT * FROM ft_")
 def row_features(spark, sf_dir):
-    """Features of first reports at the scan bar and at the breakout bar."""
+    """The 18 features of first reports: at the scan bar, at the breakout bar and at the last anchor."""
+    return _featured(spark, sf_dir)[0].select("symbol", "d", "pattern", "stop", *replay.FEATURES)
+
+
+_VALUES = [k for k in outcomes.FEATURE_EDGES]
+
+
+def _bucket_sql():
+    one = lambda k: f"SELECT outcome, r, '{k}' AS feature, CAST({k} AS DOUBLE) AS value, {' + '.join(f'({k} > {x})::INT' for x in outcomes.FEATURE_EDGES[k])} AS bucket FROM fj"
+    return " UNION ALL ".join(map(one, _VALUES))
+
+
+_ASOF_ONE = ", ".join(f"(SELECT max_by({c}, day) FROM market m WHERE m.day <= x.day AND {c} IS NOT NULL) AS {c}" for c in ("vix", "breadth"))
+
+
+@query(_FG + "," + _replay_sql() + "," + _FEATURES + "," + MARKET + ", rf AS (SELECT * FROM first_)," + _fate_of("rf") + f""",
+fj AS (SELECT x.*, ft_.* EXCLUDE (symbol, d, pattern, stop), {_ASOF_ONE} FROM fate x JOIN ft_ ON ft_.symbol = x.symbol AND ft_.d = x.d AND ft_.pattern = x.pattern AND ft_.stop = x.stop WHERE r IS NOT NULL),
+fl AS ({_bucket_sql()}), fm AS (SELECT *, count(*) FILTER (WHERE value IS NULL) OVER (PARTITION BY feature) AS missing FROM fl)
+SELECT feature, CAST(bucket AS INT) AS bucket, missing, {_SUMMARY}, {_MEANS} FROM fm WHERE value IS NOT NULL GROUP BY feature, bucket, missing""")
+def signal_feature_buckets(spark, sf_dir):
+    """Outcomes of the detectors' first reports by each of 23 features."""
+    f, e = _featured(spark, sf_dir)
+    f = market.as_of(f, "day", market_table(spark, sf_dir, e), ("vix", "breadth"))
+    return outcomes.feature_buckets(replay.scored(f, e), {k: (float("-inf"), *v, float("inf")) for k, v in outcomes.FEATURE_EDGES.items()})
+
+
+def _first_scored(spark, sf_dir):
     rows, e = replayed(spark, sf_dir)
-    s = replay.first_seen(rows).withColumn("b", F.col("d") - F.col("bars_since_break")).drop("day", "trend")
-    at = e.select("symbol", F.col("idx").alias("d"), "close", "sma200", "atr")
-    w = Window.partitionBy("symbol").orderBy("idx")
-    brk = e.withColumn("ph", F.lag("high").over(w)).select("symbol", F.col("idx").alias("b"), F.col("close").alias("bc"), F.col("high").alias("bh"), F.col("low").alias("bl"), "ph", F.col("vz").alias("volume_z"))
-    s = s.join(at, ["symbol", "d"]).join(brk, ["symbol", "b"])
-    return s.select("symbol", "d", "pattern", "stop", r(F.col("close") / F.col("sma200") - 1, 4).alias("close_vs_sma200"), r((F.col("entry") - F.col("stop")) / F.col("atr"), 3).alias("stop_atr"), r((F.col("target") - F.col("entry")) / F.col("atr"), 3).alias("target_atr"),
-                    (F.col("b") - F.col("last")).cast("int").alias("wait_bars"), F.when(F.col("bh") > F.col("bl"), r((F.col("bc") - F.col("bl")) / (F.col("bh") - F.col("bl")), 3)).alias("break_close_pos"),
-                    F.when(F.col("bc") > F.col("ph"), 1.0).otherwise(0.0).alias("break_over_prior_high"), "volume_z")
+    f = market.as_of(written(replay.first_seen(rows)), "day", market_table(spark, sf_dir, e).select("day", "regime"), ("regime",))
+    return replay.scored(f, e)
+
+
+_SCORED = [MARKET, "rf AS (SELECT rl.*, (SELECT max_by(regime, day) FROM market m WHERE m.day <= rl.day AND regime IS NOT NULL) AS regime FROM rl WHERE day = first_day)", _fate_of("rf")]
+
+
+@query(o.with_(o.BARS, _replay_sql(), *_SCORED) + f"""SELECT kind, slice, {_STATS} FROM (SELECT f.*, k.kind, CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern WHEN 'regime' THEN regime
+  ELSE CASE WHEN score <= 69 THEN '60-69' WHEN score <= 79 THEN '70-79' WHEN score <= 89 THEN '80-89' ELSE '90-100' END END AS slice FROM fate f, (VALUES ('overall'), ('pattern'), ('score'), ('regime')) k(kind)) WHERE slice IS NOT NULL GROUP BY kind, slice""")
+def signal_breakdown(spark, sf_dir):
+    """What became of the detectors' first reports: overall, by pattern, score and regime."""
+    return outcomes.breakdown(_first_scored(spark, sf_dir))
+
+
+@query(o.with_(o.BARS, _replay_sql(), *_SCORED) + f"""SELECT label, kind, slice, {_STATS} FROM (SELECT f.*, w.label, k.kind, CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern WHEN 'regime' THEN regime
+  ELSE CASE WHEN score <= 69 THEN '60-69' WHEN score <= 79 THEN '70-79' WHEN score <= 89 THEN '80-89' ELSE '90-100' END END AS slice FROM fate f, (VALUES ('overall'), ('pattern'), ('score'), ('regime')) k(kind), (VALUES ('all sessions'), ('before 1996-01-01'), ('from 1996-01-01')) w(label)
+  WHERE label = 'all sessions' OR (label LIKE 'before%') = (day < DATE '1996-01-01')) WHERE slice IS NOT NULL GROUP BY label, kind, slice""")
+def report_sections(spark, sf_dir):
+    """The breakdown of first reports for all sessions and for both sides of a split day."""
+    rows = replay.windows(_first_scored(spark, sf_dir), "day", "1996-01-01")
+    return outcomes.breakdown(rows, ("label",))
 
 
 @query(o.with_(o.BARS, E, o.cup_pairs(profile())) + f"SELECT c.symbol, a, b, {o.r('avg(volume) FILTER (WHERE idx > b)/avg(volume) FILTER (WHERE idx <= b)', 3)} AS handle_volume_ratio, {o.r('regr_slope(CASE WHEN idx > b THEN volume END, idx)/avg(volume) FILTER (WHERE idx > b)', 4)} AS handle_volume_slope FROM cup_pairs c JOIN e ON e.symbol = c.symbol AND e.idx BETWEEN a AND b + 8 GROUP BY 1, 2, 3")
@@ -404,26 +463,47 @@ def stale_days(spark, sf_dir):
     return src.bars(spark, sf_dir).groupBy("symbol").agg(F.datediff(F.lit("2002-01-01").cast("date"), F.max("day")).alias("stale_days"))
 
 
-@query(o.with_(o.BARS, E, o.double_bottom(profile())) + "SELECT c.symbol, cand, e.idx, e.low AS price FROM cand_db c JOIN e ON e.symbol = c.symbol AND e.idx IN (c.cand // 100000, c.cand % 100000)")
+@query(o.with_(o.BARS, E, o.double_bottom(profile())) + f"SELECT c.symbol, cand, e.idx, e.low AS price FROM cand_db c JOIN e ON e.symbol = c.symbol AND e.idx IN (c.cand // {o.SPAN}, c.cand % {o.SPAN})")
 def notes_pivots(spark, sf_dir):
     """The lows that a double bottom rests on, from its typed anchors."""
     c = det.double_bottom(enriched(spark, sf_dir), profile()).select("symbol", "cand", F.explode(F.filter("anchors", lambda a: a["label"] != "peak")).alias("a"))
     return c.select("symbol", "cand", "a.idx", "a.price")
 
 
-@query()
+_DOC = "day, pattern, status, entry, stop, target, score"
+
+
+@query(_l(f"SELECT symbol, (SELECT count(*) FROM last_) AS \"rows\", day AS last_day, {_DOC} FROM last_", "last_ AS (SELECT * FROM slog WHERE day = (SELECT max(day) FROM slog))"))
 def scan_document_json(spark, sf_dir):
-    """One document per symbol of the latest run with a meta row; checked by a test, as engines write JSON numbers differently."""
+    """The newest day's documents, one for each symbol, written as JSON and read again."""
     s = signal_log(spark, sf_dir)
-    meta = s.agg(F.count("*").alias("signals"), F.max("day").alias("last_day"))
-    return marts.documents(s, meta)
+    s = s.join(s.agg(F.max("day").alias("day")), "day", "left_semi")
+    return marts.read_documents(marts.documents(s, s.agg(F.count("*").alias("rows"), F.max("day").alias("last_day"))))
 
 
-@query()
+@query(_p("SELECT symbol, (SELECT count(*) FROM ev) AS \"rows\", (SELECT max(scan_day) FROM ev) AS last_day, scan_day AS day, pattern, o2 AS status, entry, stop, target, score FROM ev", FATE, _EVAL))
 def view_model_json(spark, sf_dir):
-    """The positions of a symbol with their results as one document."""
+    """The positions of a symbol with their results as one document, read again."""
     f = _evaluated(spark, sf_dir).withColumn("day", F.col("scan_day")).withColumn("status", F.col("outcome"))
-    return marts.documents(f, f.agg(F.count("*").alias("positions")))
+    return marts.read_documents(marts.documents(f, f.agg(F.count("*").alias("rows"), F.max("day").alias("last_day"))))
+
+
+_RUNS = "runs AS (SELECT day, CASE WHEN day < DATE '1996-01-01' THEN 'spec' ELSE 'tuned' END AS profile FROM (SELECT DISTINCT day FROM bars))"
+
+
+@query(o.with_(o.BARS, _RUNS) + "SELECT day, profile, lag(day) OVER (ORDER BY day) AS previous_run, lag(profile) OVER (ORDER BY day) AS previous_profile, coalesce(lag(profile) OVER (ORDER BY day) <> profile, false) AS profile_changed FROM runs")
+def profile_changes(spark, sf_dir):
+    """Runs whose rules differ from those of the run before; here the rules change once."""
+    runs = src.bars(spark, sf_dir).select("day").distinct()
+    return lifecycle.profile_changes(runs.withColumn("profile", F.when(F.col("day") < F.lit("1996-01-01").cast("date"), "spec").otherwise("tuned")))
+
+
+@query(_FG + "," + o.scan_all("tuned", "x.idx = (SELECT max(idx) FROM e z WHERE z.symbol = x.symbol)") + " SELECT s.symbol, s.d, s.pattern, s.status, s.stop, g.fear_greed FROM allsig s LEFT JOIN fgs g ON g.symbol = s.symbol AND g.idx = s.d")
+def scan_last_bar_mood(spark, sf_dir):
+    """The nightly scan with the fear-greed reading of each symbol."""
+    e = enriched(spark, sf_dir, TUNED)
+    mood = ind.with_fear_greed(src.bars(spark, sf_dir))
+    return det.scan(e, TUNED, days=det.last_bars(e), mood=mood).select("symbol", "d", "pattern", "status", "stop", "fear_greed")
 
 
 # Streams ------------------------------------------------------------------------------------------------------------------
@@ -437,7 +517,7 @@ def stream_tumbling_bars(spark, sf_dir):
     return streaming.tumbling(src.trades(spark, sf_dir)).select("symbol", "start", "high", "low", "volume")
 
 
-@query(o.with_(_TR, "g AS (SELECT symbol, ts, sum(CASE WHEN ts > lag_ + INTERVAL 5 DAY OR lag_ IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS lag_ FROM tr))")
+@query(o.with_(_TR, "g AS (SELECT symbol, ts, sum(CASE WHEN ts > lag_ + INTERVAL 5 DAY OR lag_ IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS lag_ FROM tr))")
        + "SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 5 DAY AS \"end\", count(*) AS trades FROM g GROUP BY symbol, k")
 def stream_session_bars(spark, sf_dir):
     return streaming.sessions(src.trades(spark, sf_dir))

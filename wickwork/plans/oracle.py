@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from wickwork.functions.rules import CUP, DOUBLE, IHS, WOLFE, max_age, profile
 
+SPAN = 1 << 31
+
 BARS = """
 t AS (SELECT CAST(l_suppkey AS BIGINT) AS symbol, l_shipdate, l_quantity,
   CAST(SUM(CAST(2*l_quantity - 51 AS BIGINT)) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice
@@ -15,11 +17,11 @@ b AS (SELECT symbol, day, CAST(min_by(cents, seq) AS DOUBLE)/100 AS open, CAST(m
 bars AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY day) - 1 AS INT) AS idx FROM b)"""
 
 INDEX = """
-ix AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS day, SUM(CAST(round(o_totalprice*100) AS BIGINT) % 101 - 50) AS step FROM orders WHERE o_orderkey < 1500 GROUP BY 1),
-index_bars AS (SELECT day, CAST(20000 + 6*SUM(step) OVER (ORDER BY day) AS DOUBLE)/100 AS close, ROW_NUMBER() OVER (ORDER BY day) - 1 AS idx FROM ix)"""
+ix AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS day, CAST(SUM(CAST(round(o_totalprice*100) AS BIGINT)) % 401 AS BIGINT) - 200 AS step FROM orders GROUP BY 1),
+index_bars AS (SELECT day, CAST(greatest(20000 + 2*SUM(step) OVER (ORDER BY day), 100) AS DOUBLE)/100 AS close, ROW_NUMBER() OVER (ORDER BY day) - 1 AS idx FROM ix)"""
 
 VOL = """
-vol_bars AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS day, 4*SUM(round(l_discount*100))/COUNT(*) AS close FROM lineitem WHERE l_orderkey < 1500 GROUP BY 1)"""
+vol_bars AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS day, CAST(4*SUM(CAST(round(l_discount*100) AS BIGINT)) AS DOUBLE)/COUNT(*) AS close FROM lineitem GROUP BY 1)"""
 
 SNAPSHOTS = """
 snapshots AS (SELECT make_date(y, 1, 1) AS snapshot_date, CAST(s_suppkey AS BIGINT) AS symbol FROM supplier, generate_series(1996, 2001) g(y) WHERE (s_suppkey*7 + y) % 10 <> 0)"""
@@ -38,6 +40,11 @@ def r(x: str, n: int) -> str:
     return f"(floor(({x})*1e{n} + 0.5)/1e{n})"
 
 
+def mean(column: str, over: str) -> str:
+    """The mean of a price from whole millionths."""
+    return f"CAST(sum(CAST(round({column}*1e6) AS BIGINT)) {over} AS DOUBLE)/(count({column}) {over}*1e6)"
+
+
 def enriched(rules: dict) -> str:
     s = "PARTITION BY symbol ORDER BY idx"
     w = lambda a, b: f"OVER ({s} ROWS BETWEEN {a} AND {b})"
@@ -47,7 +54,7 @@ def enriched(rules: dict) -> str:
     return f"""
 e0 AS (SELECT *, lag(close) OVER ({s}) AS pc FROM bars),
 e1 AS (SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM e0),
-e2 AS (SELECT *, avg(tr) {back(13)} AS atr, CASE WHEN idx >= 49 THEN avg(close) {back(49)} END AS sma50, CASE WHEN idx >= 199 THEN avg(close) {back(199)} END AS sma200,
+e2 AS (SELECT *, {mean('tr', back(13))} AS atr, CASE WHEN idx >= 49 THEN {mean('close', back(49))} END AS sma50, CASE WHEN idx >= 199 THEN {mean('close', back(199))} END AS sma200,
   max(high) {back(60)} AS hi60, min(low) {back(rules['cup_prior_lookback'])} AS low_prior, min(low) {back(rules['cup_advance_lookback'])} AS low_advance,
   CASE WHEN idx >= 20 AND avg(volume) {vol} <> 0 THEN {r(f"volume / avg(volume) {vol}", 2)} END AS vr,
   CASE WHEN stddev_samp(volume) {vol} > 0 THEN {r(f"(volume - avg(volume) {vol}) / stddev_samp(volume) {vol}", 2)} END AS vz,
@@ -74,7 +81,7 @@ db1 AS (SELECT symbol, idx AS l1, idx1 AS l2, low AS v1, low1 AS v2, atr1 AS uni
 db2 AS (SELECT c.*, x.high AS peak, x.idx AS p FROM db1 c JOIN e x ON x.symbol = c.symbol AND x.idx > l1 AND x.idx < l2
   QUALIFY row_number() OVER (PARTITION BY c.symbol, l1 ORDER BY x.high DESC, x.idx) = 1),
 db3 AS (SELECT *, (p - l1) / CAST(greatest(l2 - p, 1) AS DOUBLE) AS ratio FROM db2 WHERE unit > 0 AND peak - hi >= {q['db_min_depth_atr']}*unit AND peak >= hi*(1 + {q['db_min_rise']})),
-cand_db AS (SELECT symbol, '{DOUBLE}' AS pattern, l1*100000 + l2 AS cand, l2 + 5 AS known, 1073741824 AS until, l2 + 1 AS start, peak AS v0, 0 AS i0, 0.0::DOUBLE AS slope, v2 AS flr, l2 AS last,
+cand_db AS (SELECT symbol, '{DOUBLE}' AS pattern, l1*{SPAN}::BIGINT + l2 AS cand, l2 + 5 AS known, 1073741824 AS until, l2 + 1 AS start, peak AS v0, 0 AS i0, 0.0::DOUBLE AS slope, v2 AS flr, l2 AS last,
   v2 AS last_low, unit AS last_atr, peak - lo AS height, NULL::DOUBLE AS target_at,
   50 + 15*(1 - least(abs(v1 - v2)/({q['db_low_tol']}*lo), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['db_time_sym']})) + 10*greatest(0.0, least((peak/hi - 1)/{q['db_min_rise']} - 1, 1.0)) AS score0,
   hi60 - v1 >= {q['db_prior_decline_of_height']}*(peak - lo) AS decline_ok FROM db3 WHERE ratio <= {q['db_time_sym']} AND ratio >= 1/{q['db_time_sym']})"""
@@ -90,7 +97,7 @@ ih2 AS (SELECT c.*, x.idx AS n1, x.high AS h1 FROM ih1 c JOIN e x ON x.symbol =
 ih3 AS (SELECT c.*, x.idx AS n2, x.high AS h2 FROM ih2 c JOIN e x ON x.symbol = c.symbol AND x.idx > h AND x.idx < rs QUALIFY row_number() OVER (PARTITION BY c.symbol, ls ORDER BY x.high DESC, x.idx) = 1),
 ih4 AS (SELECT *, (h2 - h1)/(n2 - n1) AS slope FROM ih3 WHERE ratio <= {q['ihs_time_sym']} AND ratio >= 1/{q['ihs_time_sym']}),
 ih5 AS (SELECT *, abs(slope*(rs - ls))/hc AS tilt, h1 + slope*(h - n1) - hv AS head FROM ih4),
-cand_ihs AS (SELECT symbol, '{IHS}' AS pattern, ls*100000 + rs AS cand, rs + 5 AS known, 1073741824 AS until, rs + 1 AS start, h1 AS v0, n1 AS i0, slope, rv AS flr, rs AS last, rv AS last_low, ra AS last_atr,
+cand_ihs AS (SELECT symbol, '{IHS}' AS pattern, ls*{SPAN}::BIGINT + rs AS cand, rs + 5 AS known, 1073741824 AS until, rs + 1 AS start, h1 AS v0, n1 AS i0, slope, rv AS flr, rs AS last, rv AS last_low, ra AS last_atr,
   head AS height, hv AS target_at,
   50 + 15*(1 - least(abs(lv - rv)/greatest({q['ihs_shoulder_sym_of_height']}*head, 1e-9), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['ihs_time_sym']})) + 10*(1 - least(tilt/{q['ihs_max_neck_slope']}, 1.0)) AS score0,
   hi60 - lv >= {q['ihs_prior_decline_of_height']}*head AS decline_ok
@@ -107,7 +114,7 @@ ww2 AS (SELECT c.*, x.idx AS p2, x.high AS v2 FROM ww1 c JOIN e x ON x.symbol =
 ww3 AS (SELECT c.*, x.idx AS p4, x.high AS v4 FROM ww2 c JOIN e x ON x.symbol = c.symbol AND x.piv_h AND x.idx > p3 AND x.idx < p5 QUALIFY row_number() OVER (PARTITION BY c.symbol, p1 ORDER BY x.high DESC, x.idx) = 1),
 ww4 AS (SELECT *, (v3 - v1)/(p3 - p1) AS s13, (v4 - v2)/(p4 - p2) AS s24 FROM ww3 WHERE v4 < v2 AND v1 < v4),
 ww5 AS (SELECT *, v1 + s13*(p5 - p1) - v5 AS ov, (v2 - s24*p2 - (v1 - s13*p1))/(s13 - s24) AS eta FROM ww4 WHERE s24 < s13),
-cand_ww AS (SELECT symbol, '{WOLFE}' AS pattern, p1*100000 + p5 AS cand, p5 + 5 AS known, p5 + {q['ww_max_bars_since_p5']} AS until, p5 + 1 AS start, v1 AS v0, p1 AS i0, s13 AS slope, v5 AS flr, p5 AS last,
+cand_ww AS (SELECT symbol, '{WOLFE}' AS pattern, p1*{SPAN}::BIGINT + p5 AS cand, p5 + 5 AS known, p5 + {q['ww_max_bars_since_p5']} AS until, p5 + 1 AS start, v1 AS v0, p1 AS i0, s13 AS slope, v5 AS flr, p5 AS last,
   v5 AS last_low, a5 AS last_atr, NULL::DOUBLE AS height, CASE WHEN eta > p5 AND eta <= p5 + {q['ww_max_eta_bars']} THEN v1 + (v4 - v1)/(p4 - p1)*(eta - p1) END AS target_at,
   50 + 15*(1 - least(abs(ov)/({q['ww_max_overshoot_atr']}*a5), 1.0)) + 10*(1 - least(abs(ln((p3 - p1)/CAST(greatest(p5 - p3, 1) AS DOUBLE)))/ln(3.0), 1.0)) AS score0, true AS decline_ok
   FROM ww5 WHERE ov >= 0 AND v5 >= v3 + s24*(p5 - p3) AND {legs})"""
@@ -145,7 +152,7 @@ hb AS (SELECT c.symbol, c.a, c.b, z.idx AS j, z.close, max(z.high) OVER w AS hh,
 hj AS (SELECT symbol, a, b, min(j) AS jj FROM hb WHERE j >= b + {least_ + 1} AND close > before GROUP BY symbol, a, b),
 hv AS (SELECT hb.*, jj, coalesce(jj - 1, b + m) AS final_end FROM hb LEFT JOIN hj USING (symbol, a, b) WHERE j >= b + {least_} AND j <= coalesce(jj - 1, b + m)),
 hl AS (SELECT hv.*, z.idx AS hi_, z.atr AS ha FROM hv JOIN e z ON z.symbol = hv.symbol AND z.idx > hv.b AND z.idx <= hv.j AND z.low = hv.hl QUALIFY row_number() OVER (PARTITION BY hv.symbol, hv.a, hv.b, hv.j ORDER BY z.idx) = 1),
-cand_cup AS (SELECT c.symbol, '{CUP}' AS pattern, c.a*100000 + c.b AS cand, h.j AS known, CASE WHEN h.j = final_end THEN 1073741824 ELSE h.j END AS until, h.j + 1 AS start, h.hh AS v0, 0 AS i0, 0.0::DOUBLE AS slope, NULL::DOUBLE AS flr,
+cand_cup AS (SELECT c.symbol, '{CUP}' AS pattern, c.a*{SPAN}::BIGINT + c.b AS cand, h.j AS known, CASE WHEN h.j = final_end THEN 1073741824 ELSE h.j END AS until, h.j + 1 AS start, h.hh AS v0, 0 AS i0, 0.0::DOUBLE AS slope, NULL::DOUBLE AS flr,
   h.hi_ AS last, h.hl AS last_low, h.ha AS last_atr, c.rb - c.bottom AS height, c.bottom AS target_at,
   50 + 15*(u - {q['cup_min_roundness']})/(1 - {q['cup_min_roundness']}) + 10*(1 - least(abs(depth - 0.25)/0.25, 1.0)) + 10*(1 - least((c.rb - h.hl)/c.rb/{q['handle_max_depth']}, 1.0)) AS score0,
   (c.ra - low_prior)/low_prior >= {q['cup_prior_advance']} AS decline_ok
@@ -173,10 +180,10 @@ def signals(q: dict, pattern: str, name: str, days: str = "true", bars: int | No
         cap = f"least({cap}, stop_ + {q['max_buy_risk_mult']}*(entry - stop_))"
     columns = "c.*"
     if bars is not None:
-        days += f" AND cand // 100000 >= x.idx - {bars} + 6"
-        high = f"(SELECT max(z.high) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(c.cand // 100000 - 60, x.idx - {bars} + 1) AND c.cand // 100000)"
+        days += f" AND cand // {SPAN} >= x.idx - {bars} + 6"
+        high = f"(SELECT max(z.high) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(c.cand // {SPAN} - 60, x.idx - {bars} + 1) AND c.cand // {SPAN})"
         share = q[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
-        columns = f"c.* EXCLUDE (decline_ok), {high} - (SELECT z.low FROM e z WHERE z.symbol = c.symbol AND z.idx = c.cand // 100000) >= {share}*c.height AS decline_ok"
+        columns = f"c.* EXCLUDE (decline_ok), {high} - (SELECT z.low FROM e z WHERE z.symbol = c.symbol AND z.idx = c.cand // {SPAN}) >= {share}*c.height AS decline_ok"
     return f"""
 {name}1 AS (SELECT {columns}, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days}),
 {name}2 AS (SELECT s.symbol, s.cand, s.start, s.d, min(y.idx) AS fb FROM {name}1 s JOIN e y ON y.symbol = s.symbol AND y.idx >= s.start AND y.idx <= s.d AND y.close > v0 + slope*(y.idx - i0) WHERE s.close > now_ GROUP BY 1, 2, 3, 4),
@@ -202,9 +209,9 @@ def detector(pattern: str, profile_name: str = "spec", name: str = "sig", days:
     return enriched(q), CANDIDATES[pattern][0](q), signals(q, pattern, name, days)
 
 
-def scan_all(profile_name: str = "spec", days: str = "true") -> str:
+def scan_all(profile_name: str = "spec", days: str = "true", **overrides) -> str:
     """``allsig``: the signals of all four patterns."""
-    q = profile(profile_name)
+    q = profile(profile_name, **overrides)
     parts, names, seen = [enriched(q)], [], False
     for i, pattern in enumerate(CANDIDATES):
         text = CANDIDATES[pattern][0](q)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r, series
@@ -16,7 +15,7 @@ from wickwork.sources import bars as src
 E = o.enriched(profile())
 MARKET = f"""{o.INDEX},{o.VOL},
 br AS (SELECT day, count(sma200) AS breadth_symbols, CASE WHEN count(sma200) > 0 THEN {o.r("count(*) FILTER (WHERE close > sma200) / CAST(count(sma200) AS DOUBLE)", 4)} END AS breadth FROM e GROUP BY day),
-ia AS (SELECT *, CASE WHEN idx >= 199 THEN avg(close) OVER (ORDER BY day ROWS 199 PRECEDING) END AS s200, CASE WHEN idx >= 49 THEN avg(close) OVER (ORDER BY day ROWS 49 PRECEDING) END AS s50 FROM index_bars),
+ia AS (SELECT *, CASE WHEN idx >= 199 THEN {o.mean('close', 'OVER (ORDER BY day ROWS 199 PRECEDING)')} END AS s200, CASE WHEN idx >= 49 THEN {o.mean('close', 'OVER (ORDER BY day ROWS 49 PRECEDING)')} END AS s50 FROM index_bars),
 ir AS (SELECT day, {o.r("close", 2)} AS index_close, {o.r("(close/s200 - 1)*100", 2)} AS index_vs_sma200_pct, {o.r("(s50/s200 - 1)*100", 2)} AS index_sma50_vs_sma200_pct,
   CASE WHEN s200 IS NULL THEN NULL WHEN close > s200 AND s50 > s200 THEN 'bull' WHEN close < s200 AND s50 < s200 THEN 'bear' ELSE 'neutral' END AS regime FROM ia),
 vb AS (SELECT day, {o.r("close", 2)} AS vix FROM vol_bars),
@@ -33,7 +32,7 @@ def breadth(spark, sf_dir):
     return market.breadth(enriched(spark, sf_dir))
 
 
-@query(o.with_(o.INDEX, f"""ia AS (SELECT *, CASE WHEN idx >= 199 THEN avg(close) OVER (ORDER BY day ROWS 199 PRECEDING) END AS s200, CASE WHEN idx >= 49 THEN avg(close) OVER (ORDER BY day ROWS 49 PRECEDING) END AS s50 FROM index_bars)""")
+@query(o.with_(o.INDEX, f"""ia AS (SELECT *, CASE WHEN idx >= 199 THEN {o.mean('close', 'OVER (ORDER BY day ROWS 199 PRECEDING)')} END AS s200, CASE WHEN idx >= 49 THEN {o.mean('close', 'OVER (ORDER BY day ROWS 49 PRECEDING)')} END AS s50 FROM index_bars)""")
        + f"""SELECT day, {o.r("close", 2)} AS index_close, {o.r("(close/s200 - 1)*100", 2)} AS index_vs_sma200_pct, {o.r("(s50/s200 - 1)*100", 2)} AS index_sma50_vs_sma200_pct,
   CASE WHEN s200 IS NULL THEN NULL WHEN close > s200 AND s50 > s200 THEN 'bull' WHEN close < s200 AND s50 < s200 THEN 'bear' ELSE 'neutral' END AS regime FROM ia""")
 def market_regime(spark, sf_dir):
@@ -48,11 +47,11 @@ def market_series(spark, sf_dir):
 _ASOF = ", ".join(f"(SELECT max_by({c}, day) FROM market m WHERE m.day <= x.day AND {c} IS NOT NULL) AS {c}" for c in ("regime", "vix", "breadth", "index_vs_sma200_pct"))
 
 
-@query(o.with_(o.BARS, E, MARKET) + f"SELECT symbol, day, {_ASOF} FROM bars x WHERE idx % 20 = 10")
+@query(o.with_(o.BARS, E, MARKET) + f"SELECT symbol, day, {_ASOF} FROM bars x")
 def market_asof(spark, sf_dir):
-    """The market at every twentieth bar; each series at its own last date."""
+    """The market at every bar; each series at its own last date."""
     e = enriched(spark, sf_dir)
-    rows = e.filter("idx % 20 = 10").select("symbol", "day")
+    rows = e.select("symbol", "day")
     return market.as_of(rows, "day", market_table(spark, sf_dir, e), ("regime", "vix", "breadth", "index_vs_sma200_pct"))
 
 
@@ -70,12 +69,12 @@ def membership_union(spark, sf_dir):
     return market.members(src.bars(spark, sf_dir).select("day").distinct(), src.membership_snapshots(spark, sf_dir)).select("symbol").distinct()
 
 
-@query(o.with_(o.BARS, o.SNAPSHOTS, _FORCE) + f"""SELECT CAST(year(day) AS INT) AS year, count(DISTINCT symbol) AS members, count(DISTINCT CASE WHEN symbol IN (SELECT symbol FROM bars WHERE symbol % 3 <> 0) THEN symbol END) AS with_data,
-  {o.r("count(DISTINCT CASE WHEN symbol IN (SELECT symbol FROM bars WHERE symbol % 3 <> 0) THEN symbol END) / CAST(count(DISTINCT symbol) AS DOUBLE)", 3)} AS share FROM force JOIN snapshots USING (snapshot_date) GROUP BY 1""")
+@query(o.with_(o.BARS, o.SNAPSHOTS, _FORCE) + f"""SELECT CAST(year(day) AS INT) AS year, count(DISTINCT symbol) AS members, count(DISTINCT CASE WHEN symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 290) THEN symbol END) AS with_data,
+  {o.r("count(DISTINCT CASE WHEN symbol IN (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 290) THEN symbol END) / CAST(count(DISTINCT symbol) AS DOUBLE)", 3)} AS share FROM force JOIN snapshots USING (snapshot_date) GROUP BY 1""")
 def membership_coverage(spark, sf_dir):
-    """Members per year and how many of them have bars (here: those not divisible by 3)."""
+    """Members per year and how many of them have a long history."""
     b = src.bars(spark, sf_dir)
-    has = b.filter("symbol % 3 <> 0").select(F.col("symbol").alias("have")).distinct()
+    has = b.groupBy(F.col("symbol").alias("have")).agg(F.count("*").alias("n")).filter("n >= 290").drop("n")
     m = market.members(b.select("day").distinct(), src.membership_snapshots(spark, sf_dir)).select(F.year("day").alias("year"), "symbol").distinct().join(has, F.col("symbol") == F.col("have"), "left")
     return m.groupBy("year").agg(F.count("*").alias("members"), F.count("have").alias("with_data"), r(F.count("have") / F.count("*"), 3).alias("share"))
 
@@ -181,8 +180,8 @@ def scan_error_accounting(spark, sf_dir):
 # Outcomes -----------------------------------------------------------------------------------------------------------------
 
 POS = f"""{MARKET},
-pos0 AS (SELECT symbol, idx AS d, day AS scan_day, CASE (idx // 20) % 4 WHEN 0 THEN '{CUP}' WHEN 1 THEN '{IHS}' WHEN 2 THEN '{DOUBLE}' ELSE '{WOLFE}' END AS pattern, CAST(60 + (symbol*7 + idx) % 41 AS INT) AS score, close AS entry,
-  {o.r("low - 0.25*atr", 2)} AS stop, {o.r("close*1.05", 2)} AS max_buy, atr, low AS cup_bottom, close AS cup_trigger FROM e WHERE idx >= 60 AND idx % 20 = 10),
+pos0 AS (SELECT symbol, idx AS d, day AS scan_day, CASE idx % 4 WHEN 0 THEN '{CUP}' WHEN 1 THEN '{IHS}' WHEN 2 THEN '{DOUBLE}' ELSE '{WOLFE}' END AS pattern, CAST(60 + (symbol*7 + idx) % 41 AS INT) AS score, close AS entry,
+  {o.r("low - 0.25*atr", 2)} AS stop, {o.r("close*1.05", 2)} AS max_buy, atr, low AS cup_bottom, close AS cup_trigger FROM e WHERE idx >= 60),
 pos AS (SELECT *, CASE WHEN symbol % 10 <> 9 THEN {o.r("entry + 2*(entry - stop)", 2)} END AS target, (SELECT max_by(regime, day) FROM market m WHERE m.day <= scan_day AND regime IS NOT NULL) AS regime FROM pos0)"""
 # First hit per position over 40 bars: the stop is looked at before the target.
 FATE = f"""
@@ -202,14 +201,14 @@ _SUMMARY = f"""count(*) AS n, {", ".join(f"count(*) FILTER (WHERE outcome = '{x}
   CASE WHEN count(*) FILTER (WHERE outcome IN ('target', 'stop')) > 0 THEN {o.r("count(*) FILTER (WHERE outcome = 'target')/CAST(count(*) FILTER (WHERE outcome IN ('target', 'stop')) AS DOUBLE)", 3)} END AS hit_rate"""
 _MEANS = f"{o.r('avg(r) FILTER (WHERE r IS NOT NULL)', 3)} AS mean_r, {o.r('sum(r)', 2)} AS total_r"
 _STATS = (_SUMMARY.replace("count(*) AS n,", "count(*) AS signals,", 1) + f", {o.r('avg(r)', 3)} AS mean_r, {o.r('quantile_cont(r, 0.5)', 3)} AS median_r, {o.r('stddev_samp(r)', 3)} AS std_r, {o.r('sum(r)', 2)} AS total_r, "
-          f"{o.r('avg(CASE WHEN success5 THEN 1.0 WHEN NOT success5 THEN 0.0 END)', 3)} AS success5, {o.r('avg(mfe)', 4)} AS mfe, {o.r('avg(mae)', 4)} AS mae")
+          f"{o.r('avg(CASE WHEN success5 THEN 1.0 WHEN NOT success5 THEN 0.0 END)', 3)} AS success5, {o.r('CAST(sum(CAST(round(mfe*1e4) AS BIGINT)) AS DOUBLE)/(count(mfe)*1e4)', 4)} AS mfe, {o.r('CAST(sum(CAST(round(mae*1e4) AS BIGINT)) AS DOUBLE)/(count(mae)*1e4)', 4)} AS mae")
 
 
 def positions(spark, sf_dir, e=None):
-    """Deterministic trades on every twentieth bar, independent of the detectors."""
+    """A trade on every bar, independent of the detectors: many rows that reach every case of the accounting."""
     e = enriched(spark, sf_dir) if e is None else e
-    p = e.filter("idx >= 60 and idx % 20 = 10")
-    pattern = F.element_at(F.array(*map(F.lit, (CUP, IHS, DOUBLE, WOLFE))), (F.floor(F.col("idx") / 20) % 4 + 1).cast("int"))
+    p = e.filter("idx >= 60")
+    pattern = F.element_at(F.array(*map(F.lit, (CUP, IHS, DOUBLE, WOLFE))), (F.col("idx") % 4 + 1).cast("int"))
     p = p.select("symbol", F.col("idx").alias("d"), F.col("day").alias("scan_day"), pattern.alias("pattern"), (60 + (F.col("symbol") * 7 + F.col("idx")) % 41).cast("int").alias("score"), F.col("close").alias("entry"),
                  r(F.col("low") - 0.25 * F.col("atr"), 2).alias("stop"), r(F.col("close") * 1.05, 2).alias("max_buy"), "atr", F.col("low").alias("cup_bottom"), F.col("close").alias("cup_trigger"))
     p = p.withColumn("target", F.when(F.col("symbol") % 10 != 9, r(F.col("entry") + 2 * (F.col("entry") - F.col("stop")), 2)))
@@ -293,14 +292,14 @@ _DD = f"""SELECT pattern, {o.r("min(cum - peak)", 3)} AS max_dd FROM (SELECT pat
 
 @query(_pos(_DD, FATE))
 def max_drawdown(spark, sf_dir):
-    return outcomes.drawdown(fates(spark, sf_dir).filter("r is not null"), ("pattern",), ("scan_day", "symbol"))
+    return outcomes.drawdown(fates(spark, sf_dir).filter("r is not null"), ("pattern",), "scan_day", ("symbol",))
 
 
-@query(_pos(f"SELECT symbol, scan_day, {o.r('sum(r) OVER (ORDER BY scan_day, symbol)', 2)} AS curve FROM fate WHERE r IS NOT NULL AND pattern = '{CUP}'", FATE))
+@query(_pos(f"SELECT symbol, scan_day, pattern, {o.r('sum(r) OVER (PARTITION BY pattern ORDER BY scan_day, symbol)', 2)} AS curve FROM fate WHERE r IS NOT NULL", FATE))
 def cumulative_r_curve(spark, sf_dir):
-    """One curve for one pattern; the window is one series by nature."""
-    f = fates(spark, sf_dir).filter(F.col("r").isNotNull() & (F.col("pattern") == CUP))
-    return f.select("symbol", "scan_day", r(F.sum("r").over(Window.partitionBy("pattern").orderBy("scan_day", "symbol")), 2).alias("curve"))
+    """The running sum of R of each pattern."""
+    f = outcomes.running(fates(spark, sf_dir).filter("r is not null"), ("pattern",), "scan_day", ("symbol",))
+    return f.select("symbol", "scan_day", "pattern", r(F.col("cum"), 2).alias("curve"))
 
 
 @query(_pos("""SELECT w.label AS label, count(*) AS n, count(*) FILTER (WHERE outcome = 'target') AS target FROM fate, (VALUES ('all sessions'), ('before 1999-01-01'), ('from 1999-01-01')) w(label)
@@ -340,14 +339,22 @@ def horizon_table(spark, sf_dir):
     return outcomes.horizon_table(fates(spark, sf_dir), src.bars(spark, sf_dir))
 
 
-_BOOT = f"""
-mo AS (SELECT pattern, strftime(scan_day, '%Y-%m') AS month, sum(r) AS s, count(*) AS k FROM fate WHERE r IS NOT NULL GROUP BY 1, 2),
-mb AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY month) - 1 AS at, count(*) OVER (PARTITION BY pattern) AS blocks, sum(k) OVER (PARTITION BY pattern) AS trades FROM mo),
-dr AS (SELECT m.pattern, m.blocks, m.trades, g.rep, p.pos, CAST('0x' || substr(md5('0-' || g.rep || '-' || p.pos), 1, 8) AS BIGINT) % m.blocks AS at FROM (SELECT DISTINCT pattern, blocks, trades FROM mb) m, generate_series(0, 1999) g(rep), generate_series(0, 400) p(pos) WHERE p.pos < m.blocks),
-me AS (SELECT dr.pattern, dr.blocks, dr.trades, rep, sum(s)/sum(k) AS mean FROM dr JOIN mb ON mb.pattern = dr.pattern AND mb.at = dr.at GROUP BY 1, 2, 3, 4)"""
+def bootstrap_sql(table: str, by: str, name: str, order: str = "scan_day, symbol") -> str:
+    """``name`` (by, ci_low, ci_high, dd_p95, blocks): the month bootstrap of a table with scan_day and r."""
+    order = "scan_day" if table == "pr" else order
+    low, high, deep = (f"CASE WHEN blocks >= 2 AND trades >= 5 THEN {o.r(f'quantile_cont({c}, {p})', 3)} END" for c, p in (("mean", 0.025), ("mean", 0.975), ("dd", 0.05)))
+    return f"""{name}_t AS (SELECT {by}, strftime(scan_day, '%Y-%m') AS month, r, sum(r) OVER (PARTITION BY {by}, strftime(scan_day, '%Y-%m') ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (PARTITION BY {by}, strftime(scan_day, '%Y-%m') ORDER BY {order}) AS q FROM {table} WHERE r IS NOT NULL),
+{name}_u AS (SELECT *, max(c) OVER (PARTITION BY {by}, month ORDER BY q) AS p FROM {name}_t),
+{name}_m AS (SELECT {by}, month, sum(r) AS s, count(*) AS k, max(c) AS top, min(c) AS low, min(c - p) AS fall FROM {name}_u GROUP BY 1, 2),
+{name}_b AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY month) - 1 AS at, count(*) OVER (PARTITION BY {by}) AS blocks, sum(k) OVER (PARTITION BY {by}) AS trades FROM {name}_m),
+{name}_d AS (SELECT m.{by}, g.rep, p.pos, CAST('0x' || substr(md5('0-' || g.rep || '-' || p.pos), 1, 8) AS BIGINT) % m.blocks AS at FROM (SELECT DISTINCT {by}, blocks FROM {name}_b) m, generate_series(0, 1999) g(rep), generate_series(0, 400) p(pos) WHERE p.pos < m.blocks),
+{name}_w AS (SELECT d.rep, d.pos, b.*, coalesce(sum(s) OVER w, 0) AS before FROM {name}_d d JOIN {name}_b b ON b.{by} = d.{by} AND b.at = d.at WINDOW w AS (PARTITION BY d.{by}, d.rep ORDER BY d.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_x AS (SELECT *, greatest(coalesce(max(before + top) OVER (PARTITION BY {by}, rep ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS peak FROM {name}_w),
+{name}_r AS (SELECT {by}, blocks, trades, rep, sum(s)/sum(k) AS mean, min(least(before + low - peak, fall)) AS dd FROM {name}_x GROUP BY 1, 2, 3, 4),
+{name} AS (SELECT {by}, {low} AS ci_low, {high} AS ci_high, {deep} AS dd_p95, blocks FROM {name}_r GROUP BY {by}, blocks, trades)"""
 
 
-@query(_pos(f"SELECT pattern, CASE WHEN blocks >= 2 AND trades >= 5 THEN {o.r('quantile_cont(mean, 0.025)', 3)} END AS ci_low, CASE WHEN blocks >= 2 AND trades >= 5 THEN {o.r('quantile_cont(mean, 0.975)', 3)} END AS ci_high, blocks FROM me GROUP BY pattern, blocks, trades", FATE, _BOOT))
+@query(_pos("SELECT * FROM bt", FATE, bootstrap_sql("fate", "pattern", "bt")))
 def month_block_bootstrap(spark, sf_dir):
     return outcomes.month_bootstrap(fates(spark, sf_dir), ("pattern",))
 

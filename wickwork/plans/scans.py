@@ -12,13 +12,14 @@ from wickwork.operators import detectors as det
 from wickwork.plans import oracle as o
 from wickwork.plans.registry import query
 from wickwork.sources.bars import bars
+from wickwork.sources.store import written
 
 SIGNAL = [c.strip() for c in o.SIGNAL.split(",")]
 
 
 def enriched(spark: SparkSession, sf_dir: str, rules: dict | None = None) -> DataFrame:
-    """Bars with all indicators; kept, as detectors join them several times and queries share them."""
-    return ind.enrich(bars(spark, sf_dir), rules or profile()).persist()
+    """Bars with all indicators, as a table, since detectors join them several times."""
+    return written(ind.enrich(bars(spark, sf_dir), rules or profile()))
 
 
 def _b(body: str) -> str:

@@ -29,19 +29,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """day, close: an index walk from orders."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 1500")
-    step = F.round(F.col("o_totalprice") * 100).cast("long") % 101 - 50
-    o = o.withColumn("step", step).withColumn("week", F.date_trunc("week", "o_orderdate").cast("date"))
-    weekly = o.groupBy("week").agg(F.sum("step").alias("step"))
-    return weekly.select(F.col("week").alias("day"), ((20000 + 6 * F.sum("step").over(Window.orderBy("week"))).cast("double") / 100).alias("close"))
+    """day, close: an index walk; a week's step comes from the sum of all its orders."""
+    o = table(spark, sf_dir, "orders").groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("day"))
+    weekly = o.agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) % 401 - 200).alias("step"))
+    return weekly.select("day", (F.greatest(20000 + 2 * F.sum("step").over(Window.orderBy("day")), F.lit(100)).cast("double") / 100).alias("close"))
 
 
 def vol_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """day, close: a volatility level from discounts."""
-    t = table(spark, sf_dir, "lineitem").filter("l_orderkey < 1500")
+    t = table(spark, sf_dir, "lineitem")
     return t.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("day")).agg(
-        (4 * F.sum(F.round(F.col("l_discount") * 100)) / F.count("*")).alias("close"))
+        ((4 * F.sum(F.round(F.col("l_discount") * 100).cast("long"))).cast("double") / F.count("*")).alias("close"))
 
 
 def membership_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
