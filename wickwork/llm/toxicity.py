@@ -9,6 +9,7 @@ A logistic regression over these few features, fitted on labelled rows that the
 
 from __future__ import annotations
 
+import gc
 import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ LEAST_ROWS, LEAST_PRECISION, STEM_WORDS = 3, 0.8, 3
 THRESHOLD = 0.7
 WINDOW = 6
 #: Words that a task remembers, and characters of text that it looks up together.
-KNOWN, TOGETHER = 400_000, 1 << 20
-#: Slots of the table of what deletions leave of the terms (one byte each).
+KNOWN, TOGETHER = 250_000, 1 << 20
+#: Bits of the slots (one bit each) of the table of what edits leave of the terms.
 SLOTS = 24
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -84,8 +86,9 @@ class Automaton:
         flat = np.concatenate([h for h, _ in keys]) if keys else np.empty(0, np.uint64)
         by = np.argsort(flat)
         self.keys, self.of = flat[by], (np.concatenate([t for _, t in keys])[by] if keys else np.empty(0, np.int64))
-        self.slots = np.zeros(1 << SLOTS if keys else 1, bool)
-        self.slots[_slot(self.keys)] = True
+        slots = np.zeros(1 << SLOTS, bool)
+        slots[_slot(self.keys)] = True
+        self.slots = np.packbits(slots, bitorder="little")
         self.known: dict[str, tuple[int, float] | None] = {}
 
     def learn(self, words: Iterable[str]) -> None:
@@ -105,7 +108,8 @@ class Automaton:
             for (cuts, blots), hashes in left.items():
                 for k, cut_ in _MEET[cuts, blots]:
                     salted = _salted(hashes, k, cut_, blots)
-                    at = np.flatnonzero(self.slots.take(_slot(salted)))
+                    slot = _slot(salted).ravel()
+                    at = np.flatnonzero(self.slots.take(slot >> 3) >> (slot & 7).astype(np.uint8) & 1)
                     found = salted.ravel()[at]
                     lo, hi = np.searchsorted(self.keys, found), np.searchsorted(self.keys, found, "right")
                     at = at % len(group)
@@ -113,30 +117,32 @@ class Automaton:
                         out.setdefault(group[at], set()).update(self.terms[t] for t in self.of[a:b])
         return out
 
-    def _state(self, items, near: set[int]) -> dict[int, int]:
-        """Trie nodes, of those ``near``, with the least edits that reach them."""
+    def _state(self, items, below: dict[int, dict[str, int]]) -> dict[int, int]:
+        """Trie nodes, of those ``below``, with the least edits that reach them."""
         least: dict[int, int] = {}
         stack = list(items)
         while stack:  # skipping a letter of the term
             node, used = stack.pop()
             if used <= self.room[node] and least.get(node, 99) > used:
                 least[node] = used
-                stack += [(x, used + 1) for x in self.next[node].values() if x in near]
+                stack += [(x, used + 1) for x in below[node].values()]
         return least
 
-    def _read(self, state: dict[int, int], c: str, near: set[int]) -> dict[int, int]:
-        items = []
-        for node, used in state.items():
-            items += [(x, used + (letter != c)) for letter, x in self.next[node].items() if x in near]
-            items.append((node, used + 1))
-        return self._state(items, near)
-
     def nearest(self, word: str, terms: set[str]) -> str | None:
-        """Of ``terms`` the one nearest to ``word``, if within its edits: the automaton's states on the terms' paths."""
-        near = {node for t in terms for node in self.path[t]}
-        state = self._state([(0, 0)], near)
+        """Of ``terms`` the one nearest to ``word``, if within its edits: the automaton's states on the terms' branches."""
+        below: dict[int, dict[str, int]] = {}
+        for t in terms:
+            at = 0
+            for c, node in zip(t, self.path[t], strict=True):
+                below.setdefault(at, {})[c] = at = node
+            below.setdefault(at, {})
+        state = self._state([(0, 0)], below)
         for c in word:
-            state = self._read(state, c, near)
+            items = []
+            for node, used in state.items():
+                items.append((node, used + 1))
+                items += [(x, used + (letter != c)) for letter, x in below[node].items()]
+            state = self._state(items, below)
             if not state:
                 return None
         found = [(used, self.term[node]) for node, used in state.items() if self.term[node] and used <= edits(self.term[node])]
@@ -257,6 +263,7 @@ def features(texts: Iterable[str | None], automaton: Automaton) -> list[list[flo
         held.clear()
 
     for t in texts:
+        t = t.as_py() if isinstance(t, pa.Scalar) else t
         held.append(t or "")
         size += len(held[-1])
         if size > TOGETHER:
@@ -341,12 +348,16 @@ def scorer(spark, model: Model):
     """A column function text -> score from 0 to 1."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         automaton = _kept(shared)
         w = shared.value.weights
-        x = np.array(features(batches, automaton), float).reshape(len(batches), len(w))
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            x = np.array(features(texts, automaton), float).reshape(len(texts), len(w))
+        finally:
+            gc.enable()
+        return pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
     return score
 
