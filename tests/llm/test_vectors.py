@@ -49,6 +49,22 @@ def test_search_recall_and_scores(spark, tiny):
     assert hit / total >= 0.9
 
 
+def test_codes_find_the_nearest_of_many(spark, monkeypatch):
+    """With few exact products the codes decide: 64 of 6 000 vectors are ranked exactly for each query."""
+    monkeypatch.setattr(neighbours, "RERANK", 64)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(60, 32))
+    x = (centre[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 32))).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.search(d, F.col("vec_id") % 100 == 0).toPandas()
+    hit = 0
+    for q in range(0, 6000, 100):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == q].vec_id))
+    assert hit / (60 * 20) >= 0.9
+
+
 def test_search_odd(spark, odd_vectors):
     got = neighbours.search(odd_vectors, F.col("vec_id") % 20 == 0).toPandas()
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in odd_vectors.collect() if usable(r.embedding, 16)]

@@ -23,7 +23,7 @@ SAMPLE = 8192
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 4
 #: Exactly ranked in each block for each query.
 RERANK = 512
-BLOCK, CHUNK = 8192, 4096
+BLOCK, CHUNK = 8192, 16384
 
 
 def _nearest_words(x: np.ndarray, book: np.ndarray) -> np.ndarray:

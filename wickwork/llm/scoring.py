@@ -68,11 +68,11 @@ def _count(batches):
         held[kind] = [(keys[first], np.add.reduceat(np.concatenate([n for _, n in held[kind]])[order], first))]
 
     for batch in batches:
-        for _, _, data, off in chunks(batch.column(0)):
+        for _, _, data, off in chunks(batch.column(0), 1 << 19):
             x, _ = symbols(data, off, ORDER)
             for kind, keys in ((_NGRAM, ngrams(x, ORDER)), (_WORD, word_hashes(data, off)[0])):
                 held[kind].append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in held[kind]) > 3_000_000:
+                if sum(len(k) for k, _ in held[kind]) > 2_000_000:
                     merged(kind)
     for kind in held:
         if held[kind] and sum(len(k) for k, _ in held[kind]):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.components import components
 from wickwork.llm.neighbours import usable
-from wickwork.llm.shared import cut
+from wickwork.llm.shared import cut, split_join
 
 THRESHOLD = 0.98
 TILE = 2048
@@ -71,9 +71,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     """
     can = usable("embedding") & F.col("label").isNotNull()
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"), can.alias("can"))
-    live = rows.filter("can").withColumn("dim", F.size("embedding"))
-    nodes = cut(live.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-                .withColumn("node", F.xxhash64("label", "dim", "embedding")))
+    live = rows.filter("can").withColumn("dim", F.size("embedding")).withColumn("node", F.xxhash64("label", "dim", "embedding"))
+    nodes = cut(live.groupBy("node").agg(*[F.first(c).alias(c) for c in ("label", "dim", "embedding")], F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     tiles = cut(nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
     placed = nodes.join(tiles, ["label", "dim"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
@@ -100,10 +99,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     classes = components(found.select("node", "root"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = (nodes.join(counts, "node", "left").join(classes, "node", "left")
-             .select("label", "dim", "embedding", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root")))
+             .select("node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root")))
     known = cut(known)
     roots = cut(known.groupBy("root").agg(F.min("first").alias("component_id")))
-    known = cut(known.join(roots, "root").select("label", "dim", "embedding", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"))
-    linked = live.join(known, ["label", "dim", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = cut(known.join(roots, "root").select("node", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"))
+    # Only ids are joined, not vectors.
+    linked = split_join(cut(live.select("vec_id", "node")), known, "node", "copies").select("vec_id", "n_links", "component_id")
     rest = rows.filter("not can").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
