@@ -9,7 +9,7 @@ from wickwork.functions.columns import r
 from wickwork.functions.rules import WOLFE
 from wickwork.operators.outcomes import running
 
-#: The day from which an entry is late, and from which there is no edge left.
+#: The texts of a grade, and the day from which an entry is late, and from which there is no edge left.
 LATE_FROM, NO_ENTRY, NO_ENTRY_WOLFE = 3, 7, 6
 CLOSED_ORDER = ("TARGET_REACHED", "FAILED", "EXPIRED", "RETIRED", "FADED", "DROPPED")
 

@@ -389,8 +389,11 @@ def signals_ranked(spark, sf_dir):
     return marts.ranked(signal_log(spark, sf_dir)).select("symbol", "run", "pattern", "stop", "status", "place")
 
 
-@query(_l(f"""SELECT symbol, run, pattern, stop, CASE WHEN listed_day IS NULL OR listed_day < 3 THEN 'enter' WHEN listed_day >= 7 THEN 'skip' ELSE 'late' END AS grade,
-  CASE WHEN listed_day IS NULL THEN 'First report unknown' WHEN listed_day = 1 THEN 'New today' WHEN listed_day >= 7 THEN 'Day ' || listed_day || ': too late to enter' WHEN listed_day < 3 THEN 'Day ' || listed_day || ' of 6' ELSE 'Day ' || listed_day || ' of 6: late, smaller edge' END AS status_text FROM listed""", _LISTED))
+_SKIP = _case("pattern", {CUP: 7, IHS: 7, WOLFE: 6, DOUBLE: 7})
+
+
+@query(_l(f"""SELECT symbol, run, pattern, stop, CASE WHEN listed_day IS NULL OR listed_day < 3 THEN 'enter' WHEN listed_day >= {_SKIP} THEN 'skip' ELSE 'late' END AS grade,
+  CASE WHEN listed_day IS NULL THEN 'First report unknown' WHEN listed_day = 1 THEN 'New today' WHEN listed_day >= {_SKIP} THEN 'Day ' || listed_day || ': too late to enter' WHEN listed_day < 3 THEN 'Day ' || listed_day || ' of ' || {_LIMIT} ELSE 'Day ' || listed_day || ' of ' || {_LIMIT} || ': late, smaller edge' END AS status_text FROM listed""", _LISTED))
 def grade_by_day(spark, sf_dir):
     s = lifecycle.listings(signal_log(spark, sf_dir), TUNED)
     g, text = marts.grade(F.col("pattern"), F.col("listed_day"), lifecycle.limit(TUNED))
