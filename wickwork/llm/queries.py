@@ -15,6 +15,8 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    # Texts are long: fewer rows in a batch keep the memory of Python workers, and of what feeds them, small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

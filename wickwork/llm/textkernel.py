@@ -6,6 +6,7 @@ inverse power of its start, so it depends on the bytes alone and any substring c
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,15 @@ def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         end = max(row + 1, int(np.searchsorted(off, off[row] + most, "right")) - 1)
         yield row, end, data[off[row] : off[end]], off[row : end + 1] - off[row]
         row = end
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: Python workers stay, and share it with the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickwork.llm.shared import cut, fold
+from wickwork.llm.textkernel import release
 
 #: Labelled rows that the model is fitted on, at most: those with the least hash of their id.
 SAMPLE = 20_000
@@ -31,7 +32,7 @@ LEAST_ROWS, LEAST_PRECISION, STEM_WORDS = 3, 0.8, 3
 THRESHOLD = 0.7
 WINDOW = 6
 #: Words that a task remembers, and characters of text that it looks up together.
-KNOWN, TOGETHER = 250_000, 1 << 20
+KNOWN, TOGETHER = 250_000, 1 << 19
 #: Bits of the slots (one bit each) of the table of what edits leave of the terms.
 SLOTS = 24
 _BASE = 0x9E3779B97F4A7C15
@@ -344,45 +345,42 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 1, modulus: int = 3) ->
     return Model(*_lexicon(rows), weights)
 
 
-def scorer(spark, model: Model):
-    """A column function text -> score from 0 to 1."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        automaton = _kept(shared)
-        w = shared.value.weights
-        gc.disable()  # millions of small objects and no cycles among them
-        try:
-            x = np.array(features(texts, automaton), float).reshape(len(texts), len(w))
-        finally:
-            gc.enable()
-        return pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
-
-    return score
-
-
-_automata: dict[int, tuple[Model, Automaton]] = {}
-
-
-def _kept(shared) -> Automaton:
-    """The automaton of a broadcast model, kept by the Python worker between batches."""
+def _scores(shared, batches, column: str):
+    """Each batch with the scores of its texts; what the task has learned goes when it ends."""
     model = shared.value
-    if id(model) not in _automata:
-        _automata.clear()
-        _automata[id(model)] = model, model.automaton()
-    return _automata[id(model)][1]
+    automaton, w = model.automaton(), np.array(model.weights)
+    gc.disable()  # millions of small objects and no cycles among them
+    try:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column))
+            x = np.array(features(texts, automaton), float).reshape(len(batch), len(w))
+            yield batch, 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    finally:
+        automaton.known.clear()
+        gc.enable()
+        release()
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, held: int = 1, modulus: int = 3) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted. Null and empty texts score like any text
     without hits. Equal texts score alike. Other columns are dropped."""
-    score_of = scorer(docs.sparkSession, fit(docs, labels, held, modulus))
-    return docs.select("doc_id", (fold("doc_id", modulus) == held).alias("held_out"), score_of("text").alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held, modulus))
+
+    def run(batches):
+        for batch, score_ in _scores(shared, batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score_)], ["doc_id", "held_out", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text", (fold("doc_id", modulus) == held).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows predicted toxic, columns as they were."""
-    score_of = scorer(docs.sparkSession, fit(docs, labels))
-    return docs.filter(score_of("text") < threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches):
+        for batch, score_ in _scores(shared, batches, "text"):
+            yield batch.filter(pa.array(score_ < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
