@@ -413,6 +413,18 @@ def test_pack_odd(spark, no_docs, odd_docs):
     assert (whole.ids.map(len) == whole.length).all()
 
 
+def test_pack_random_unicode(spark):
+    """The quick way to ids and the tokenizer agree on mixed scripts, blanks, marks and controls."""
+    rng = np.random.default_rng(8)
+    pools = ["abcXYZ 0123456789", " \t\n\r\u00a0\u2003\u3000", ".,;:!?'\"()[]{}<>|/\\@#$%^&*-_=+~`", "äöüßéèñçøåæ", "дйцукеЖЩ", "日本語漢字かなカナ", "🙂🚀👩‍👩‍👧", "\u0301\u0308\u200d\ufeff\x00\x1f"]
+    texts = []
+    for _ in range(300):
+        letters = list("".join(rng.choice(pools, rng.integers(1, 5))))
+        texts.append("".join(rng.choice(letters, rng.integers(1, 60))))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(packing.pack(d, **tokenizer_files()).toPandas(), list(enumerate(texts)))
+
+
 # op10 ---------------------------------------------------------------------------------------------------------------------
 
 def test_base_score_equals_brute_force_and_ppm_learns(spark, tiny, docs):
@@ -490,6 +502,17 @@ def test_scores_odd(odd_docs, no_docs):
 
 # pipeline -----------------------------------------------------------------------------------------------------------------
 
+def test_pipeline_of_empty_and_awkward_tables(spark, tiny, odd_docs, no_docs):
+    import corpus_pipeline
+
+    for docs in (no_docs, odd_docs):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, tiny)
+            assert docs.columns == columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, tiny).count() >= docs.count()
+
+
 def test_pipeline_stages(spark, tiny, odd_docs):
     import corpus_pipeline
 
