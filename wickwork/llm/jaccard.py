@@ -337,8 +337,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     component unless it is alone. Other columns are dropped. Words have A-Z lower-cased and no length limit.
     """
     rows, named = _rooted(docs, width, percent)
-    smallest = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    out = named.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = cut(named)
+    smallest = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")))
+    out = split_join(named.select("doc_id", "n", "root"), smallest, "root", "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
