@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r
+from wickwork.functions.indicators import fear_greed_zone
 from wickwork.functions.rules import WOLFE
 from wickwork.operators.outcomes import running
 
-#: The texts of a grade, and the day from which an entry is late, and from which there is no edge left.
+#: The texts of a grade.
+TEXTS = {"unknown": "First report unknown", "new": "New today", "over": ": too late to enter", "late": ": late, smaller edge"}
+#: The day from which an entry is late, and from which there is no edge left.
 LATE_FROM, NO_ENTRY, NO_ENTRY_WOLFE = 3, 7, 6
 CLOSED_ORDER = ("TARGET_REACHED", "FAILED", "EXPIRED", "RETIRED", "FADED", "DROPPED")
 
@@ -22,10 +25,13 @@ def grade(pattern: Column, day: Column, limit: Column) -> tuple[Column, Column]:
     """(grade, status) by the day on the list."""
     last = F.when(pattern == WOLFE, NO_ENTRY_WOLFE).otherwise(NO_ENTRY)
     top = F.coalesce(limit, last - 1)
-    of = F.concat(F.lit("Day "), day.cast("string"), F.lit(" of "), top.cast("string"))
-    g = F.when(day.isNull() | (day < LATE_FROM), "enter").when(day >= last, "skip").otherwise("late")
-    text = (F.when(day.isNull(), "First report unknown").when(day == 1, "New today").when(day < LATE_FROM, of)
-            .when(day >= last, F.concat(F.lit("Day "), day.cast("string"), F.lit(": too late to enter"))).otherwise(F.concat(of, F.lit(": late, smaller edge"))))
+    nth = F.concat(F.lit("Day "), day.cast("string"))
+    of = F.concat(nth, F.lit(" of "), top.cast("string"))
+    cases = [(day.isNull(), "enter", F.lit(TEXTS["unknown"])), (day == 1, "enter", F.lit(TEXTS["new"])), (day < LATE_FROM, "enter", of),
+             (day >= last, "skip", F.concat(nth, F.lit(TEXTS["over"])))]
+    g, text = F.lit("late"), F.concat(of, F.lit(TEXTS["late"]))
+    for holds, grade_, words in reversed(cases):
+        g, text = F.when(holds, grade_).otherwise(g), F.when(holds, words).otherwise(text)
     return g, text
 
 
@@ -36,12 +42,22 @@ def day_on_list(signals: DataFrame, evaluation: DataFrame) -> DataFrame:
     return j.withColumn("day_on", F.coalesce("listed_day", F.when(F.col("_last") == F.col("day"), F.col("_days")))).drop("_days", "_last")
 
 
+def chips(s: DataFrame) -> Column:
+    """What a page says of a row beside its levels: the market's trend, the row's own, its volume, and fear and greed if given."""
+    market_ = F.when(F.col("regime").isNotNull(), F.concat(F.lit("Market: "), "regime", F.lit(" trend")))
+    own = F.transform(F.split(F.coalesce("trend", F.lit("")), ", "), lambda p: F.when(p != "", F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000))))
+    times = F.concat(F.lit("Breakout volume "), F.format_string("%.2f", "volume_ratio"))
+    volume = F.when(F.col("volume_ratio") >= 1, F.concat(times, F.lit("× the average"))).when(F.col("volume_ratio") < 1, F.concat(times, F.lit("×, below average")))
+    mood = F.lit(None).cast("string")
+    if "fear_greed" in s.columns:
+        mood = F.when(F.col("fear_greed").isNotNull(), F.concat(F.lit("Fear and greed "), F.format_string("%.0f", "fear_greed"), F.lit(", "), fear_greed_zone(F.col("fear_greed"))))
+    return F.array_compact(F.concat(F.array(market_), own, F.array(volume, mood)))
+
+
 def setup_view(s: DataFrame) -> DataFrame:
     """Confirmed rows as a page shows them."""
-    chips = F.array_compact(F.array(F.when(F.col("regime").isNotNull(), F.concat(F.lit("Market: "), "regime", F.lit(" trend"))),
-                                    F.when(F.col("volume_ratio") < 1, F.lit("below-average volume")).when(F.col("volume_ratio") >= 1, F.lit("breakout volume"))))
     return s.select("symbol", "pattern", "day", "score", "entry", "stop", "target", r(-percent(F.col("stop"), F.col("entry")), 1).alias("risk_pct"),
-                    percent(F.col("target"), F.col("entry")).alias("reward_pct"), F.array_join(chips, "; ").alias("chips"))
+                    percent(F.col("target"), F.col("entry")).alias("reward_pct"), F.array_join(chips(s), "; ").alias("chips"))
 
 
 def watch_view(s: DataFrame) -> DataFrame:

@@ -414,11 +414,12 @@ def report_rows(spark, sf_dir):
 
 
 @query(_p(f"""SELECT symbol, d, {o.r("-" + o.r('(stop/entry - 1)*100', 1), 1)} AS risk_pct, {o.r('(target/entry - 1)*100', 1)} AS reward_pct,
-  CASE WHEN regime IS NULL THEN '' ELSE 'Market: ' || regime || ' trend' END || CASE WHEN vr IS NULL THEN '' ELSE CASE WHEN regime IS NULL THEN '' ELSE '; ' END || CASE WHEN vr < 1 THEN 'below-average volume' ELSE 'breakout volume' END END AS chips
-  FROM pos JOIN (SELECT symbol, idx AS d, vr FROM e) USING (symbol, d)"""))
+  array_to_string(list_filter(list_concat([CASE WHEN regime IS NOT NULL THEN 'Market: ' || regime || ' trend' END], list_transform(string_split(trend, ', '), lambda p: upper(p[1]) || p[2:]),
+    [CASE WHEN vr >= 1 THEN 'Breakout volume ' || printf('%.2f', vr) || '× the average' WHEN vr < 1 THEN 'Breakout volume ' || printf('%.2f', vr) || '×, below average' END]), lambda x: x IS NOT NULL), '; ') AS chips
+  FROM pos JOIN (SELECT symbol, idx AS d, vr, trend FROM e) USING (symbol, d)"""))
 def setup_view(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    p = positions(spark, sf_dir, e).join(e.select("symbol", F.col("idx").alias("d"), F.col("vr").alias("volume_ratio")), ["symbol", "d"]).withColumn("day", F.col("scan_day"))
+    p = positions(spark, sf_dir, e).join(e.select("symbol", F.col("idx").alias("d"), F.col("vr").alias("volume_ratio"), "trend"), ["symbol", "d"]).withColumn("day", F.col("scan_day"))
     key = p.select("symbol", F.col("d"), "day")
     return marts.setup_view(p).join(key, ["symbol", "day"]).select("symbol", "d", "risk_pct", "reward_pct", "chips")
 
