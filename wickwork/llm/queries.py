@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickwork.llm import jaccard, lines, mixing, neighbours, packing, scoring, substrings, toxicity, urls, vectordups
+from wickwork.llm import decontamination, jaccard, lexical, lines, mixing, neighbours, oracle, packing, periodic, scoring, substrings, toxicity, urls, vectordups
 
 
 def tokenizer_files() -> dict[str, str]:
@@ -60,6 +60,18 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(read(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("longest")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapse_runs(periodic.with_planted(read(spark, sf_dir, "documents"))))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_mixing": op2_mixing,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_vectordups": op8_vectordups,
     "op9_urls": op9_urls,
     "op10_ppm": op10_ppm,
+    "op11_decontamination": op11_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op11_decontamination": oracle.CONTAMINATION, "op12_periodic_runs": oracle.RUNS, "op13_lexical_search": oracle.SEARCH}

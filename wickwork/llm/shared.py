@@ -85,3 +85,18 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataF
     heavy = F.broadcast(table.filter(F.col(count) > least))
     light = rows.join(heavy.select(key), key, "left_anti").join(table.filter(F.col(count) <= least), key)
     return rows.join(heavy, key).unionByName(light)
+
+
+#: Bytes of one block of a side that is sent to every task.
+BLOCK_BYTES = 16 << 20
+
+
+def blocks(rows: DataFrame, weight, *key: str, most: int = BLOCK_BYTES):
+    """``rows`` in parts of about ``most`` bytes each, by a hash of ``key``; ``weight`` is a column with the bytes of a row.
+
+    Each part can be sent to every task, whatever the size of the whole: the caller passes over its other side once a part.
+    """
+    rows = cut(rows)
+    n = -(-int(rows.agg(F.sum(weight)).first()[0] or 0) // most)
+    for i in range(max(n, 1)):
+        yield rows if n <= 1 else rows.filter(F.pmod(F.xxhash64(*key), F.lit(n)) == i)

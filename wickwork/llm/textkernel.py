@@ -24,6 +24,9 @@ LOWER[65:91] += 32
 #: Bytes outside words.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes outside ASCII letters, digits and characters beyond ASCII.
+MARKS = np.ones(256, dtype=bool)
+MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = MARKS[128:] = False
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -95,9 +98,9 @@ def release() -> None:
         trim(0)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word; words never cross rows."""
-    inside = ~BLANK[data]
+def words(data: np.ndarray, off: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word, a run of bytes that are not ``blank``; words never cross rows."""
+    inside = ~blank[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
