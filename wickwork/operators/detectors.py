@@ -2,7 +2,8 @@
 
 A candidate's geometry never changes once its last pivot is known, so it is computed once for a whole series. Whether it is
 confirmed or watched on bar d follows from the first close above its trigger line and the bar d itself: a join of candidates
-to bars by symbol, bounded by the candidate's life. The nightly scan is the same job for the last bar alone.
+to bars by symbol and block, and only to blocks whose highest and lowest close do not rule it out. The nightly scan is the same
+job for the last bar alone.
 """
 
 from __future__ import annotations
@@ -232,12 +233,56 @@ def _common(c: DataFrame, pattern: str, *, until=None, i0=None, slope=None, floo
 DETECTORS = {CUP: cup_handle, IHS: inverse_hs, DOUBLE: double_bottom, WOLFE: wolfe}
 
 
-def breakouts(c: DataFrame, e: DataFrame) -> DataFrame:
-    """``c`` with ``fb``, the first bar from ``start`` on whose close is above the trigger line (null without one)."""
-    line = F.col("v0") + F.col("slope") * (F.col("j") - F.col("i0"))
-    b = e.select(F.col("symbol").alias("jsymbol"), F.col("idx").alias("j"), F.col("close").alias("jclose"))
-    hit = c.join(b, (F.col("symbol") == F.col("jsymbol")) & (F.col("j") >= F.col("start")) & (F.col("jclose") > line)).groupBy("symbol", "cand", "start").agg(F.min("j").alias("fb"))
-    return c.join(hit, ["symbol", "cand", "start"], "left")
+#: What a candidate's trigger line rests on.
+LINE = ("symbol", "start", "v0", "slope", "i0")
+
+
+def line(at: Column) -> Column:
+    """The trigger of a candidate at bar ``at``."""
+    return F.col("v0") + F.col("slope") * (at - F.col("i0"))
+
+
+def summaries(e: DataFrame) -> DataFrame:
+    """(symbol, blocks): a symbol's blocks of bars in order, each with its first and last bar, its highest close and a bar
+    that has it, and its lowest close."""
+    b = e.groupBy("symbol", F.floor(F.col("idx") / BLOCK).alias("b")).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.max("close").alias("top"), F.max_by("idx", "close").alias("at"), F.min("close").alias("low"))
+    return b.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("b", "lo", "hi", "top", "at", "low"))).alias("blocks"))
+
+
+def read_blocks(rows: DataFrame, e: DataFrame, blocks: Column, *columns: str) -> DataFrame:
+    """``rows`` joined to the bars of ``blocks`` (an array of block numbers), as j and j + each of ``columns``."""
+    b = e.select(F.col("symbol").alias("jsymbol"), F.floor(F.col("idx") / BLOCK).alias("jblock"), F.col("idx").alias("j"), *[F.col(c).alias(f"j{c}") for c in columns])
+    rows = rows.withColumn("_b", F.explode(blocks))
+    return rows.join(b, (F.col("symbol") == F.col("jsymbol")) & (F.col("_b") == F.col("jblock"))).drop("jsymbol", "jblock", "_b")
+
+
+def passage_blocks() -> Column:
+    """The blocks that can hold the first close above a line, from ``blocks``: the block of the start; and of the later ones,
+    up to the first whose highest close is surely above the line, those whose highest close is above its lowest point."""
+    later = F.filter("blocks", lambda x: (x["b"] > F.floor(F.col("start") / BLOCK)) & (x["top"] > F.least(line(x["lo"]), line(x["hi"]))))
+    sure = F.get(F.filter(later, lambda x: x["top"] > line(x["at"])), F.lit(0))["b"]
+    kept = F.filter(later, lambda x: x["b"] <= F.coalesce(sure, x["b"]))
+    return F.concat(F.array(F.floor(F.col("start") / BLOCK)), F.transform(kept, lambda x: x["b"]))
+
+
+def breakouts(c: DataFrame, e: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """``c`` with ``fb``, the first bar from ``start`` on whose close is above the trigger line (null without one).
+
+    Blocks of bars are ruled out by their highest close, so a line meets the bars of few blocks (:func:`passage_blocks`).
+    """
+    lines = c.select(*LINE).distinct().join(summaries(e) if sums is None else sums, "symbol").withColumn("_read", passage_blocks()).drop("blocks")
+    hit = read_blocks(lines, e, F.col("_read"), "close").filter((F.col("j") >= F.col("start")) & (F.col("jclose") > line(F.col("j"))))
+    return c.join(hit.groupBy(*LINE).agg(F.min("j").alias("fb")), list(LINE), "left")
+
+
+def report_blocks(rules: dict, age: int) -> Column:
+    """The blocks that can hold bars on which a candidate is reported: those right after its breakout, and those with a close
+    near enough below the line (and above the floor)."""
+    near = 1 - rules["watch_proximity"]
+    young = lambda x: (x["lo"] <= F.col("fb") + age) & (x["hi"] >= F.col("fb"))
+    watched = lambda x: (x["top"] >= F.least(line(x["lo"]), line(x["hi"])) * near) & (x["low"] <= F.greatest(line(x["lo"]), line(x["hi"]))) & (F.col("floor").isNull() | (x["top"] > F.col("floor")))
+    on = F.filter("blocks", lambda x: (x["hi"] >= F.greatest(F.col("known"), F.lit(HISTORY - 1))) & (x["lo"] <= F.col("until")) & (true(young(x)) | watched(x)))
+    return F.transform(on, lambda x: x["b"])
 
 
 def in_window(s: DataFrame, e: DataFrame, rules: dict, pattern: str, bars: int) -> DataFrame:
@@ -254,18 +299,21 @@ def in_window(s: DataFrame, e: DataFrame, rules: dict, pattern: str, bars: int)
     return s.join(top, ["symbol", "cand", "d"]).withColumn("decline_ok", ok).drop("_top")
 
 
-def states(c: DataFrame, e: DataFrame, rules: dict, pattern: str, days: DataFrame | None = None, bars: int | None = None) -> DataFrame:
+def states(c: DataFrame, e: DataFrame, rules: dict, pattern: str, days: DataFrame | None = None, bars: int | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Signals of one pattern as of bars d (all bars, or those of ``days`` (symbol, d)), before the best are picked.
 
     With ``bars`` each scan sees that many bars (double bottoms and inverse head and shoulders)."""
-    line = lambda at: F.col("v0") + F.col("slope") * (at - F.col("i0"))
-    b = e.select("symbol", F.col("idx").alias("d"), "day", "close", "sma50", "sma200", "uptrend", "strong_down", "trend").filter(F.col("d") >= HISTORY - 1)
-    if days is not None:
-        b = b.join(days, ["symbol", "d"])
-    c = breakouts(c, e).join(e.select("symbol", F.col("idx").alias("fb"), F.col("vr").alias("fb_vr")), ["symbol", "fb"], "left")
+    sums = written(summaries(e)) if sums is None else sums
+    c = breakouts(c, e, sums).join(e.select("symbol", F.col("idx").alias("fb"), F.col("vr").alias("fb_vr")), ["symbol", "fb"], "left")
     if rules["max_wait_bars"] is not None:  # after its wait a candidate is reported only while its breakout is young
         c = c.withColumn("until", F.least("until", F.greatest(F.col("last") + rules["max_wait_bars"], F.coalesce(F.col("fb") + max_age(rules, pattern), F.lit(0)))))
-    s = c.join(b, ["symbol"]).filter((F.col("d") >= F.col("known")) & (F.col("d") <= F.col("until")))
+    day = ("day", "close", "sma50", "sma200", "uptrend", "strong_down", "trend")
+    if days is not None:  # a candidate meets the bars that are asked for
+        s = c.join(e.select("symbol", F.col("idx").alias("d"), *day).join(days, ["symbol", "d"]), "symbol")
+    else:
+        s = c.join(sums, "symbol").withColumn("_read", report_blocks(rules, max_age(rules, pattern))).drop("blocks")
+        s = read_blocks(s, e, F.col("_read"), *day).drop("_read").withColumnsRenamed({"j": "d"} | {f"j{x}": x for x in day})
+    s = s.filter((F.col("d") >= F.greatest(F.col("known"), F.lit(HISTORY - 1))) & (F.col("d") <= F.col("until")))
     s = s.withColumn("now", line(F.col("d"))).withColumn("at_break", line(F.col("fb"))).withColumn("above", F.col("close") > F.col("now"))
     age = F.col("d") - F.col("fb")
     s = s.filter(F.when(F.col("above"), true((age >= 0) & (age <= max_age(rules, pattern)) & (F.col("close") <= F.col("at_break") * (1 + rules["max_runaway"])))).otherwise(
@@ -319,7 +367,8 @@ def scan(e: DataFrame, rules: dict, patterns=PATTERNS, days: DataFrame | None =
     """The signals of ``patterns`` as of the bars of ``days``, or of every bar; with ``mood`` (symbol, idx, fear_greed) each
     has the symbol's reading of its bar."""
     # Candidates are few beside the bars; as tables they are found once and planned once.
-    found = [states(written(DETECTORS[p](e, rules)), e, rules, p, days, bars) for p in patterns]
+    sums = written(summaries(e))
+    found = [states(written(DETECTORS[p](e, rules)), e, rules, p, days, bars, sums) for p in patterns]
     out = best(reduce(DataFrame.unionByName, found))
     return out if mood is None else out.join(mood.select("symbol", F.col("idx").alias("d"), "fear_greed"), ["symbol", "d"], "left")
 

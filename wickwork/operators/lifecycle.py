@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wickwork.functions.columns import true
 from wickwork.functions.rules import PATTERNS, max_age
+from wickwork.operators.outcomes import first, paths
 
 KEY = ("symbol", "pattern", "stop")
 
@@ -60,15 +61,16 @@ def vanished(log: DataFrame) -> DataFrame:
 def close_out(log: DataFrame, bars: DataFrame, rules: dict, step: int) -> DataFrame:
     """Why each vanished row went, from the ``step`` bars after it: FAILED (a close at or below the stop) before
     TARGET_REACHED (a high at or above the target) on one bar; else EXPIRED, FADED or DROPPED; since, bars, hit_day."""
-    b = bars.select(F.col("symbol").alias("_s"), F.col("idx").alias("j"), F.col("day").alias("jday"), F.col("high").alias("h"), F.col("close").alias("c"))
     v = vanished(log)
-    f = v.join(b, (F.col("symbol") == F.col("_s")) & (F.col("j") > F.col("d")) & (F.col("j") <= F.col("d") + step), "left").drop("_s")
-    kind = F.when(F.col("c") <= F.col("stop"), "FAILED").when(F.col("h") >= F.col("target"), "TARGET_REACHED")
-    g = f.groupBy(*v.columns).agg(F.min(F.when(kind.isNotNull(), F.struct("j", kind.alias("kind"), "jday"))).alias("hit"), F.count("j").alias("n"), F.max_by("c", "j").alias("_last"))
+    g = paths(v, bars, step).withColumn("n", F.size("path").cast("long"))
+    g = g.withColumn("_f", first("path.c", lambda x: x <= F.col("stop"))).withColumn("_t", first("path.h", lambda x: x >= F.col("target")))
+    failed = (F.col("_f") > 0) & ((F.col("_t") == 0) | (F.col("_f") <= F.col("_t")))
     aged = (F.col("status") == "CONFIRMED") & (F.col("bars_since_break") + F.col("n") > age_limit(rules))
-    outcome = (F.when(F.col("n") == 0, "DROPPED").when(F.col("hit").isNotNull(), F.col("hit.kind")).when(true(aged), "EXPIRED")
-               .when(F.col("_last") < F.col("entry") * (1 - rules["watch_proximity"]), "FADED").otherwise("DROPPED"))
-    return g.withColumn("outcome", outcome).withColumn("hit_day", F.col("hit.jday")).withColumnRenamed("n", "bars").drop("hit", "_last")
+    last = F.get("path", F.size("path") - 1)["c"]
+    outcome = (F.when(F.col("n") == 0, "DROPPED").when(failed, "FAILED").when(F.col("_t") > 0, "TARGET_REACHED").when(true(aged), "EXPIRED")
+               .when(last < F.col("entry") * (1 - rules["watch_proximity"]), "FADED").otherwise("DROPPED"))
+    g = g.withColumn("outcome", outcome).withColumn("hit_day", F.get("path", F.when(failed, F.col("_f")).otherwise(F.col("_t")) - 1)["day"])
+    return g.withColumnRenamed("n", "bars").select(*v.columns, "bars", "outcome", "hit_day")
 
 
 def drop_reason(rows: DataFrame, rules: dict, step: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r
+from wickwork.functions.rules import CUP
+from wickwork.operators.quantiles import quantiles
+from wickwork.sources.store import written
 
 TRADED = ("target", "stop", "open")
 KEY = ("symbol", "d", "pattern", "stop")
@@ -21,33 +26,66 @@ FEATURE_EDGES = {
 }
 
 
-def forward(rows: DataFrame, bars: DataFrame, horizon) -> DataFrame:
-    """``rows`` (symbol, d, ...) joined to the ``horizon`` bars after bar d, as j, o, h, l, c."""
-    b = bars.select(F.col("symbol").alias("_s"), F.col("idx").alias("j"), F.col("day").alias("jday"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
-    top = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    return rows.join(b, (F.col("symbol") == F.col("_s")) & (F.col("j") > F.col("d")) & (F.col("j") <= F.col("d") + top), "left").drop("_s")
+#: Least bars of a block of paths.
+BLOCK = 64
+
+
+def paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """``rows`` (symbol, d, ...) with path: the ``horizon`` bars after bar d in order (j, day, o, h, l, c), empty if none.
+
+    A symbol's bars are numbered without gaps. A block of bars and the ``horizon`` after it are one array, so a row meets
+    exactly one array, by equality of symbol and block, and its path is a slice of it: no range join, and nothing to group.
+    """
+    size = max(BLOCK, horizon)
+    bar = F.struct(F.col("idx").alias("j"), "day", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
+    within = F.sequence(F.greatest(F.floor((F.col("idx") - horizon) / size), F.lit(0)), F.floor((F.col("idx") - 1) / size))
+    b = bars.filter("idx > 0").select("symbol", bar.alias("bar"), F.explode(within).alias("_block")).groupBy("symbol", "_block").agg(F.sort_array(F.collect_list("bar")).alias("_bars"))
+    out = rows.withColumn("_block", F.floor(F.col("d") / size)).join(b, ["symbol", "_block"], "left")
+    # The array starts with the bar after the block's first.
+    path = F.when(F.col("_bars").isNull(), F.array().cast(b.schema["_bars"].dataType)).otherwise(F.slice("_bars", (F.col("d") - F.col("_block") * size + 1).cast("int"), horizon))
+    return out.withColumn("path", path).select(*rows.columns, "path")
+
+
+def with_paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """``rows`` with their paths; those that have some keep them."""
+    return rows if "path" in rows.columns else paths(rows, bars, horizon)
+
+
+def first(values: str, holds) -> Column:
+    """The place, from 1, of the first of ``values`` of a path for which ``holds``; 0 without one."""
+    return F.array_position(F.transform(values, holds), True).cast("int")
+
+
+def _meets(at_stop: Column, at_target: Column) -> tuple[Column, Column]:
+    """Whether the stop comes first (with the target it does), and the place of what comes first, 0 if neither."""
+    stopped = (at_stop > 0) & ((at_target == 0) | (at_stop <= at_target))
+    return stopped, F.when(stopped, at_stop).otherwise(at_target)
+
 
+def _exit(stopped: Column, hit: Column, stop: Column, target: Column, at_close: Column) -> Column:
+    """The price at the first hit, beyond a level at the open; the last close without a hit."""
+    bar = F.get("path", hit - 1)
+    return (F.when(hit == 0, F.get("path", F.size("path") - 1)["c"]).when(~stopped, F.greatest(bar["o"], target))
+            .when(at_close, bar["c"]).otherwise(F.least(bar["o"], stop)))
 
-def resolve(rows: DataFrame, bars: DataFrame, horizon=40, fill: Column | None = None, close_basis: Column | None = None, stop: Column | None = None, target: Column | None = None) -> DataFrame:
-    """``rows`` with fill, outcome (no_data, stop, target, open), bars, exit, r, and fill and exit days.
+
+def resolve(rows: DataFrame, bars: DataFrame, horizon: int = 40, fill: Column | None = None, close_basis: bool = False) -> DataFrame:
+    """``rows`` with fill, outcome (no_data, stop, target, open), bars, exit, r, and fill and exit days, and n, the bars seen.
 
     A bar that touches both levels is a stop. Gaps beyond a level fill at the open. Without ``fill`` the next open is it.
+    With ``close_basis`` only a close at or below the stop ends a position.
     """
-    stop_, target_ = F.col("stop") if stop is None else stop, F.col("target") if target is None else target
-    close_basis = F.lit(False) if close_basis is None else close_basis
-    f = forward(rows.withColumn("_stop", stop_).withColumn("_target", target_).withColumn("_basis", close_basis), bars, horizon)
-    hit = F.when(F.when(F.col("_basis"), F.col("c") <= F.col("_stop")).otherwise(F.col("l") <= F.col("_stop")), 0).when(F.col("h") >= F.col("_target"), 1)
-    at = F.min(F.when(hit.isNotNull(), F.struct("j", hit.alias("kind"), "o", "c", "jday"))).alias("hit")
-    names = [*rows.columns, "_stop", "_target", "_basis"]
-    g = f.groupBy(*names).agg(at, F.count("j").alias("n"), F.min_by("o", "j").alias("_open"), F.min("jday").alias("_first"), F.max_by(F.struct("c", "jday"), "j").alias("_last"))
-    g = g.withColumn("fill", F.col("_open") if fill is None else fill)
-    exit_ = (F.when(F.col("hit").isNull(), F.col("_last.c")).when(F.col("hit.kind") == 1, F.greatest("hit.o", "_target"))
-             .when(F.col("_basis"), F.col("hit.c")).otherwise(F.least("hit.o", "_stop")))
-    outcome = F.when(F.col("n") == 0, "no_data").when(F.col("hit").isNull(), "open").when(F.col("hit.kind") == 0, "stop").otherwise("target")
-    g = g.withColumn("outcome", outcome).withColumn("exit", F.when(F.col("n") > 0, exit_)).withColumn("bars", F.when(F.col("hit").isNull(), F.col("n")).otherwise(F.col("hit.j") - F.col("d")).cast("int"))
-    g = g.withColumn("r", F.when(F.col("fill") > F.col("_stop"), (F.col("exit") - F.col("fill")) / (F.col("fill") - F.col("_stop"))))
-    g = g.withColumn("fill_day", F.col("_first")).withColumn("exit_day", F.coalesce("hit.jday", "_last.jday"))
-    return g.drop("_stop", "_target", "_basis", "hit", "_open", "_first", "_last")
+    g = with_paths(rows, bars, horizon)
+    stop, target = F.col("stop"), F.col("target")
+    g = g.withColumn("_s", first("path.c" if close_basis else "path.l", lambda x: x <= stop)).withColumn("_t", first("path.h", lambda x: x >= target))
+    stopped, hit = _meets(F.col("_s"), F.col("_t"))
+    g = g.withColumn("_hit", hit).withColumn("_stopped", stopped).withColumn("n", F.size("path"))
+    hit, stopped, start = F.col("_hit"), F.col("_stopped"), F.get("path", F.lit(0))
+    g = g.withColumn("fill", start["o"] if fill is None else fill).withColumn("exit", _exit(stopped, hit, stop, target, F.lit(close_basis)))
+    g = g.withColumn("outcome", F.when(F.col("n") == 0, "no_data").when(hit == 0, "open").when(stopped, "stop").otherwise("target"))
+    g = g.withColumn("bars", F.when(hit == 0, F.col("n")).otherwise(hit)).withColumn("r", F.when(F.col("fill") > stop, (F.col("exit") - F.col("fill")) / (F.col("fill") - stop)))
+    g = g.withColumn("fill_day", start["day"]).withColumn("exit_day", F.get("path", F.when(hit == 0, F.col("n")).otherwise(hit) - 1)["day"])
+    return g.select(*rows.columns, "fill", "outcome", "bars", "exit", "r", "fill_day", "exit_day", "n")
 
 
 def fill_and_resolve(rows: DataFrame, bars: DataFrame, horizon=40, expire: bool = False) -> DataFrame:
@@ -67,11 +105,17 @@ def fill_and_resolve(rows: DataFrame, bars: DataFrame, horizon=40, expire: bool
 
 def excursions(rows: DataFrame, bars: DataFrame, horizon=40) -> DataFrame:
     """``rows`` (with fill and stop) with mfe, mae and success5: whether +5 % came before a close below the stop."""
-    f = forward(rows, bars, horizon)
-    up, down = F.min(F.when(F.col("h") >= F.col("fill") * 1.05, F.col("j"))), F.min(F.when(F.col("c") < F.col("stop"), F.col("j")))
-    g = f.groupBy(*rows.columns).agg(F.max("h").alias("_h"), F.min("l").alias("_l"), up.alias("_u"), down.alias("_d"))
-    good = F.when(F.col("_u").isNotNull() & (F.col("_d").isNull() | (F.col("_u") <= F.col("_d"))), True).when(F.col("_d").isNotNull(), False)
-    return g.withColumn("mfe", r(F.col("_h") / F.col("fill") - 1, 4)).withColumn("mae", r(F.col("_l") / F.col("fill") - 1, 4)).withColumn("success5", good).drop("_h", "_l", "_u", "_d")
+    up, down = first("path.h", lambda x: x >= F.col("fill") * 1.05), first("path.c", lambda x: x < F.col("stop"))
+    g = with_paths(rows, bars, horizon).withColumn("_u", up).withColumn("_d", down)
+    good = F.when((F.col("_u") > 0) & ((F.col("_d") == 0) | (F.col("_u") <= F.col("_d"))), True).when(F.col("_d") > 0, False)
+    g = g.withColumn("mfe", r(F.array_max("path.h") / F.col("fill") - 1, 4)).withColumn("mae", r(F.array_min("path.l") / F.col("fill") - 1, 4))
+    return g.withColumn("success5", good).select(*rows.columns, "mfe", "mae", "success5")
+
+
+def scored(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
+    """``rows`` bought at the next open, with outcome and, where traded, excursions; both walk one path."""
+    f = excursions(fill_and_resolve(paths(rows, bars, horizon), bars, horizon), bars, horizon).drop("path")
+    return f.withColumns({c: F.when(F.col("r").isNotNull(), F.col(c)) for c in ("mfe", "mae", "success5")})
 
 
 def counts() -> list[Column]:
@@ -94,14 +138,25 @@ def summary() -> list[Column]:
 
 
 def statistics() -> list[Column]:
+    """What :func:`described` returns, but for the median."""
     x = traded_r()
     traded = F.col("outcome").isin(*TRADED)
     # Excursions have four decimals: summed as whole numbers, their mean is the same in any order.
     whole = lambda c: F.sum(F.when(traded, F.round(F.col(c) * 1e4).cast("long"))).cast("double") / (F.count(F.when(traded, F.col(c))) * 1e4)
-    return [F.count("*").alias("signals"), *counts()[1:], hit_rate().alias("hit_rate"), r(F.avg(x), 3).alias("mean_r"), r(F.percentile(x, 0.5), 3).alias("median_r"), r(F.stddev_samp(x), 3).alias("std_r"), r(F.sum(x), 2).alias("total_r"),
+    return [F.count("*").alias("signals"), *counts()[1:], hit_rate().alias("hit_rate"), r(F.avg(x), 3).alias("mean_r"), r(F.stddev_samp(x), 3).alias("std_r"), r(F.sum(x), 2).alias("total_r"),
             r(F.avg(F.when(traded, F.col("success5").cast("double"))), 3).alias("success5"), r(whole("mfe"), 4).alias("mfe"), r(whole("mae"), 4).alias("mae")]
 
 
+def described(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Statistics of each group of ``rows``, with the exact median R of its traded ones."""
+    rows = written(rows.select(*by, "outcome", "r", "success5", "mfe", "mae"))
+    middle = quantiles(rows, by, {"median_r": (traded_r(), 0.5)}).withColumn("median_r", r(F.col("median_r"), 3))
+    stats = rows.groupBy(*by).agg(*statistics())
+    middle = middle.withColumnsRenamed({c: f"_{c}" for c in by})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    return stats.join(middle, match).select(*stats.columns, "median_r")
+
+
 def score_bucket() -> Column:
     out = F.lit(None).cast("string")
     for lo, hi in SCORE_BUCKETS:
@@ -113,7 +168,8 @@ def breakdown(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Statistics overall, by pattern, by score bucket and by regime: kind, slice, ...; apart for each ``by``."""
     one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("slice"))
     slices = F.array(one("overall", F.lit("all")), one("pattern", F.col("pattern")), one("score", score_bucket()), one("regime", F.col("regime")))
-    return rows.withColumn("_s", F.explode(slices)).filter("_s.slice is not null").groupBy(*by, "_s.kind", "_s.slice").agg(*statistics())
+    rows = rows.withColumn("_s", F.explode(slices)).filter("_s.slice is not null").withColumn("kind", F.col("_s.kind")).withColumn("slice", F.col("_s.slice"))
+    return described(rows, (*by, "kind", "slice"))
 
 
 def running(rows: DataFrame, by: tuple[str, ...], day: str, order: tuple[str, ...]) -> DataFrame:
@@ -167,54 +223,54 @@ def month_bootstrap(rows: DataFrame, by: tuple[str, ...], replicates: int = 2000
             .select(*by, *[F.when(enough, r(F.col(c), 3)).alias(n) for c, n in (("l", "ci_low"), ("h", "ci_high"), ("d", "dd_p95"))], "blocks"))
 
 
-def variants() -> Column:
-    """The grid: four stop extras, two stop bases, three target modes."""
-    f = lambda xs: F.array(*map(F.lit, xs))
-    one = F.transform(f([0.0, 0.25, 0.75, 1.0]), lambda x: F.transform(f(["intraday", "close"]), lambda b: F.transform(f(["full", "half", "breakout"]), lambda m: F.struct(x.alias("extra"), b.alias("basis"), m.alias("mode")))))
-    return F.flatten(F.flatten(one))
-
-
-def paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """``rows`` that have a later bar, with path: their next ``horizon`` bars in order, so that variants join no bars."""
-    f = forward(rows, bars, horizon).filter("j is not null")
-    return f.groupBy(*rows.columns).agg(F.sort_array(F.collect_list(F.struct("j", "o", "h", "l", "c"))).alias("path"))
-
-
-def walk(rows: DataFrame, fill: Column, stop: Column, target: Column, close_basis: Column) -> DataFrame:
-    """``rows`` with the outcome and r of a position along its path, by the rules of :func:`resolve`."""
-    rows = rows.withColumns({"_fill": fill, "_stop": stop, "_target": target, "_basis": close_basis})
-    stopped = lambda b: F.when(F.col("_basis"), b["c"] <= F.col("_stop")).otherwise(b["l"] <= F.col("_stop"))
-    # The first hit is a column of its own, so that the path is searched once.
-    rows = rows.withColumn("_hit", F.get(F.filter("path", lambda b: stopped(b) | F.coalesce(b["h"] >= F.col("_target"), F.lit(False))), F.lit(0)))
-    hit, at_stop = F.col("_hit"), stopped(F.col("_hit"))
-    exit_ = (F.when(hit.isNull(), F.element_at("path", -1)["c"]).when(~at_stop, F.greatest(hit["o"], F.col("_target"))).when(F.col("_basis"), hit["c"]).otherwise(F.least(hit["o"], F.col("_stop"))))
-    rows = rows.withColumn("outcome", F.when(hit.isNull(), "open").when(at_stop, "stop").otherwise("target"))
-    return rows.withColumn("r", F.when(F.col("_fill") > F.col("_stop"), (exit_ - F.col("_fill")) / (F.col("_fill") - F.col("_stop")))).drop("_fill", "_stop", "_target", "_basis", "_hit")
+#: The grid's stop extras in ATR, stop bases and target modes.
+EXTRAS, BASES, MODES = (0.0, 0.25, 0.75, 1.0), ("intraday", "close"), ("full", "half", "breakout")
 
 
 def grid(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
-    """Traded ``rows`` scored again under every variant: extra, basis, mode and their summary."""
+    """Traded ``rows`` scored again under every variant: extra, basis, mode and their summary.
+
+    A path is searched once for each of the eight stops and once for each of the three targets; the variants only compare
+    the places found, and leave as an outcome and an R each.
+    """
     v = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", "cup_bottom", "cup_trigger")
-    v = paths(v, bars, horizon).withColumn("_v", F.explode(variants())).select("*", "_v.extra", "_v.basis", "_v.mode").drop("_v")
+    v = paths(v, bars, horizon).filter(F.size("path") > 0)
     fill = F.col("fill")
-    cup = (F.col("mode") == "breakout") & (F.col("pattern") == "Cup & Handle") & F.col("cup_bottom").isNotNull()
-    target = F.when(F.col("target").isNull(), None).when(F.col("mode") == "half", fill + 0.5 * (F.col("target") - fill)).when(cup, fill + (F.col("cup_trigger") - F.col("cup_bottom"))).otherwise(F.col("target"))
-    v = walk(v, fill, F.col("stop") - F.col("extra") * F.col("atr"), target, F.col("basis") == "close")
-    return v.groupBy("extra", "basis", "mode").agg(*summary())
+    cup = (F.col("pattern") == CUP) & F.col("cup_bottom").isNotNull()
+    targets = {"full": F.col("target"), "half": fill + 0.5 * (F.col("target") - fill), "breakout": F.when(cup, fill + (F.col("cup_trigger") - F.col("cup_bottom"))).otherwise(F.col("target"))}
+    v = v.withColumns({f"_t_{m}": F.when(F.col("target").isNotNull(), t) for m, t in targets.items()} | {f"_s_{i}": F.col("stop") - x * F.col("atr") for i, x in enumerate(EXTRAS)})
+    for m in MODES:
+        v = v.withColumn(f"_at_{m}", first("path.h", lambda x: x >= F.col(f"_t_{m}")))
+    for i in range(len(EXTRAS)):
+        for b in BASES:
+            v = v.withColumn(f"_at_{i}_{b}", first("path.c" if b == "close" else "path.l", lambda x: x <= F.col(f"_s_{i}")))
+
+    def one(i, extra, basis, mode):
+        stop, target = F.col(f"_s_{i}"), F.col(f"_t_{mode}")
+        stopped, hit = _meets(F.col(f"_at_{i}_{basis}"), F.col(f"_at_{mode}"))
+        out = F.when(hit == 0, "open").when(stopped, "stop").otherwise("target")
+        gain = F.when(fill > stop, (_exit(stopped, hit, stop, target, F.lit(basis == "close")) - fill) / (fill - stop))
+        return F.struct(F.lit(extra).alias("extra"), F.lit(basis).alias("basis"), F.lit(mode).alias("mode"), out.alias("outcome"), gain.alias("r"))
+
+    every = F.array(*[one(i, x, b, m) for i, x in enumerate(EXTRAS) for b in BASES for m in MODES])
+    return v.select(F.explode(every).alias("v")).select("v.*").groupBy("extra", "basis", "mode").agg(*summary())
 
 
 def horizon_table(rows: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Median excursions and outcome shares by horizon, overall and per pattern; bars are joined once, to the longest."""
-    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill"), bars, max(horizons))
-    t = t.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("path", F.filter("path", lambda b: b["j"] <= F.col("d") + F.col("horizon"))).filter(F.size("path") > 0)
-    t = walk(t, F.col("fill"), F.col("stop"), F.col("target"), F.lit(False))
-    f = t.select("pattern", "horizon", "fill", "atr", "outcome", F.array_max(F.transform("path", lambda b: b["h"])).alias("hi"), F.array_min(F.transform("path", lambda b: b["l"])).alias("lo"))
-    f = f.withColumn("slice", F.explode(F.array(F.lit("all"), F.col("pattern"))))
-    med = lambda x, n: r(F.percentile(x, 0.5), n)
-    fill = F.col("fill")
+    """Exact median excursions and outcome shares by horizon, overall and per pattern; one path a row, to the longest."""
+    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill"), bars, max(horizons)).filter(F.size("path") > 0)
+    t = t.withColumn("_s", first("path.l", lambda x: x <= F.col("stop"))).withColumn("_t", first("path.h", lambda x: x >= F.col("target")))
+    stopped, hit = _meets(F.col("_s"), F.col("_t"))
+    t = t.withColumn("_hit", hit).withColumn("_stopped", stopped)
+    out = lambda h: F.when((F.col("_hit") == 0) | (F.col("_hit") > h), "open").when(F.col("_stopped"), "stop").otherwise("target")
+    at = [F.struct(F.lit(h).alias("horizon"), out(h).alias("outcome"), F.array_max(F.slice("path.h", 1, h)).alias("hi"), F.array_min(F.slice("path.l", 1, h)).alias("lo")) for h in horizons]
+    f = t.select("fill", "atr", F.explode(F.array(F.lit("all"), F.col("pattern"))).alias("slice"), F.array(*at).alias("at")).select("*", F.explode("at").alias("x")).select("fill", "atr", "slice", "x.*")
+    up, down, by = F.col("hi") - F.col("fill"), F.col("lo") - F.col("fill"), ("slice", "horizon")
+    f = written(f.select(*by, "outcome", (F.col("hi") / F.col("fill") - 1).alias("up"), (F.col("lo") / F.col("fill") - 1).alias("down"), (up / F.col("atr")).alias("up_atr"), (down / F.col("atr")).alias("down_atr")))
+    places = {"median_mfe": ("up", 4), "median_mae": ("down", 4), "median_mfe_atr": ("up_atr", 2), "median_mae_atr": ("down_atr", 2)}
+    middle = quantiles(f, by, {k: (F.col(c), 0.5) for k, (c, _) in places.items()}).withColumns({k: r(F.col(k), n) for k, (_, n) in places.items()})
     share = lambda o: r(F.count_if(F.col("outcome") == o) / F.count("*"), 3).alias(o)
-    return f.groupBy("slice", "horizon").agg(F.count("*").alias("n"), med(F.col("hi") / fill - 1, 4).alias("median_mfe"), med(F.col("lo") / fill - 1, 4).alias("median_mae"), med((F.col("hi") - fill) / F.col("atr"), 2).alias("median_mfe_atr"),
-                                             med((F.col("lo") - fill) / F.col("atr"), 2).alias("median_mae_atr"), share("target"), share("stop"), share("open"))
+    return f.groupBy(*by).agg(F.count("*").alias("n"), share("target"), share("stop"), share("open")).join(middle, list(by))
 
 
 def feature_buckets(rows: DataFrame, edges: dict[str, tuple[float, ...]]) -> DataFrame:
@@ -225,5 +281,7 @@ def feature_buckets(rows: DataFrame, edges: dict[str, tuple[float, ...]]) -> Dat
     for key, e in edges.items():
         inner = e[1:-1]
         bucket = F.when(F.col("feature") == key, sum((F.when(F.col("value") > x, 1).otherwise(0) for x in inner), F.lit(0))).otherwise(bucket)
-    long = long.withColumn("bucket", F.when(F.col("value").isNotNull(), bucket)).withColumn("missing", F.count_if(F.col("value").isNull()).over(Window.partitionBy("feature")))
-    return long.filter("bucket is not null").groupBy("feature", "bucket", "missing").agg(*summary())
+    found = long.withColumn("bucket", F.when(F.col("value").isNotNull(), bucket)).groupBy("feature", "bucket").agg(*summary())
+    # Few rows by now: a feature's rows without a value are the bucket null.
+    missing = F.coalesce(F.max(F.when(F.col("bucket").isNull(), F.col("n"))).over(Window.partitionBy("feature")), F.lit(0).cast("long"))
+    return found.withColumn("missing", missing).filter("bucket is not null")

@@ -9,7 +9,7 @@ from wickwork.functions.columns import r
 from wickwork.functions.rules import CUP, DOUBLE, IHS, WOLFE
 from wickwork.operators.detectors import interval
 from wickwork.operators.market import members
-from wickwork.operators.outcomes import excursions, fill_and_resolve, month_bootstrap, summary
+from wickwork.operators.outcomes import month_bootstrap, scored, summary
 
 KEY = ("symbol", "pattern", "stop")
 
@@ -37,14 +37,6 @@ def listed(signals: DataFrame, scan_days: DataFrame, snapshots: DataFrame | None
     return s.withColumn("first_day", F.min("day").over(w)).withColumn("listed_day", (F.col("no") - F.min("no").over(w) + 1).cast("int"))
 
 
-def scored(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
-    """``rows`` bought at the next open, with outcome and excursions (traded rows)."""
-    f = excursions(fill_and_resolve(rows, bars, horizon), bars, horizon)
-    for c in ("mfe", "mae", "success5"):
-        f = f.withColumn(c, F.when(F.col("r").isNotNull(), F.col(c)))
-    return f
-
-
 def first_seen(rows: DataFrame) -> DataFrame:
     return rows.filter("listed_day = 1 and day = first_day")
 

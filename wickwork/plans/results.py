@@ -218,11 +218,7 @@ def positions(spark, sf_dir, e=None):
 def fates(spark, sf_dir, horizon=40):
     """Positions with outcome and excursions."""
     e = enriched(spark, sf_dir)
-    f = outcomes.fill_and_resolve(positions(spark, sf_dir, e), e, horizon)
-    f = outcomes.excursions(f, e, horizon)
-    for c in ("mfe", "mae", "success5"):
-        f = f.withColumn(c, F.when(F.col("r").isNotNull(), F.col(c)))
-    return f
+    return outcomes.scored(positions(spark, sf_dir, e), e, horizon)
 
 
 def _pos(body, *more):
@@ -252,17 +248,17 @@ def evaluate_log(spark, sf_dir):
 
 @query(_pos(f"SELECT p.symbol, p.d, count(x.idx) AS bars, max(x.high) AS top, min(x.low) AS bottom FROM pos p LEFT JOIN bars x ON x.symbol = p.symbol AND x.idx > p.d AND x.idx <= p.d + 20 GROUP BY 1, 2"))
 def signal_forward_bars(spark, sf_dir):
-    """The range join of signals to the 20 bars after them."""
+    """The 20 bars after each signal."""
     e = enriched(spark, sf_dir)
     p = positions(spark, sf_dir, e).select("symbol", "d")
-    return outcomes.forward(p, e, 20).groupBy("symbol", "d").agg(F.count("j").alias("bars"), F.max("h").alias("top"), F.min("l").alias("bottom"))
+    return outcomes.paths(p, e, 20).select("symbol", "d", F.size("path").cast("long").alias("bars"), F.array_max("path.h").alias("top"), F.array_min("path.l").alias("bottom"))
 
 
 @query(_pos(f"""SELECT symbol, d, CASE WHEN n = 0 THEN 'no_data' WHEN js IS NULL AND jt IS NULL THEN 'open' WHEN jt IS NULL OR js <= jt THEN 'stop' ELSE 'target' END AS outcome FROM
   (SELECT symbol, d, count(j) AS n, min(CASE WHEN c_ <= stop THEN j END) AS js, min(CASE WHEN h_ >= target THEN j END) AS jt FROM fw GROUP BY symbol, d)""", FATE))
 def classify_close_basis(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    return outcomes.resolve(positions(spark, sf_dir, e), e, 40, close_basis=F.lit(True)).select("symbol", "d", "outcome")
+    return outcomes.resolve(positions(spark, sf_dir, e), e, 40, close_basis=True).select("symbol", "d", "outcome")
 
 
 @query(_pos("SELECT symbol, d, mfe, mae, success5 FROM fate WHERE r IS NOT NULL", FATE))
@@ -277,7 +273,7 @@ def summarise_outcomes(spark, sf_dir):
 
 @query(_pos(f"SELECT pattern, {_STATS} FROM fate GROUP BY pattern", FATE))
 def summary_stats(spark, sf_dir):
-    return fates(spark, sf_dir).groupBy("pattern").agg(*outcomes.statistics())
+    return outcomes.described(fates(spark, sf_dir), ("pattern",))
 
 
 @query(_pos(f"""SELECT kind, slice, {_STATS} FROM (SELECT f.*, k.kind, CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern WHEN 'regime' THEN regime
