@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickwork.functions.columns import exact_mean, r, series, trailing, true
+from wickwork.functions.columns import TICKS, exact_mean, r, series, trailing, true
 
 
 def true_range() -> Column:
@@ -23,8 +23,12 @@ def with_atr(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def with_smas(bars: DataFrame) -> DataFrame:
-    mean = lambda n: F.when(F.count("close").over(trailing(n)) == n, exact_mean("close", trailing(n)))
-    return bars.withColumn("sma50", mean(50)).withColumn("sma200", mean(200))
+    """sma50, sma200: differences of running sums of whole ticks, so a long frame costs no more than a short one."""
+    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
+    b = bars.withColumn("_sum", F.sum(F.round(F.col("close") * TICKS).cast("long")).over(so_far)).withColumn("_n", F.count("close").over(so_far))
+    since = lambda c, n: F.col(c) - F.coalesce(F.lag(c, n).over(series()), F.lit(0))
+    mean = lambda n: F.when(since("_n", n) == n, since("_sum", n).cast("double") / (n * float(TICKS)))
+    return b.withColumn("sma50", mean(50)).withColumn("sma200", mean(200)).drop("_sum", "_n")
 
 
 def with_pivots(bars: DataFrame, order: int = 5) -> DataFrame:

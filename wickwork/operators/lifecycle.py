@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wickwork.functions.columns import true
 from wickwork.functions.rules import PATTERNS, max_age
-from wickwork.operators.outcomes import first, paths
+from wickwork.operators.outcomes import at, first, paths, seen
 
 KEY = ("symbol", "pattern", "stop")
 
@@ -62,14 +62,14 @@ def close_out(log: DataFrame, bars: DataFrame, rules: dict, step: int) -> DataFr
     """Why each vanished row went, from the ``step`` bars after it: FAILED (a close at or below the stop) before
     TARGET_REACHED (a high at or above the target) on one bar; else EXPIRED, FADED or DROPPED; since, bars, hit_day."""
     v = vanished(log)
-    g = paths(v, bars, step).withColumn("n", F.size("path").cast("long"))
-    g = g.withColumn("_f", first("path.c", lambda x: x <= F.col("stop"))).withColumn("_t", first("path.h", lambda x: x >= F.col("target")))
+    g = paths(v, bars, step).withColumn("n", seen().cast("long"))
+    g = g.withColumn("_f", first("close", lambda x: x <= F.col("stop"))).withColumn("_t", first("high", lambda x: x >= F.col("target")))
     failed = (F.col("_f") > 0) & ((F.col("_t") == 0) | (F.col("_f") <= F.col("_t")))
     aged = (F.col("status") == "CONFIRMED") & (F.col("bars_since_break") + F.col("n") > age_limit(rules))
-    last = F.get("path", F.size("path") - 1)["c"]
+    last = at(seen(), "close")
     outcome = (F.when(F.col("n") == 0, "DROPPED").when(failed, "FAILED").when(F.col("_t") > 0, "TARGET_REACHED").when(true(aged), "EXPIRED")
                .when(last < F.col("entry") * (1 - rules["watch_proximity"]), "FADED").otherwise("DROPPED"))
-    g = g.withColumn("outcome", outcome).withColumn("hit_day", F.get("path", F.when(failed, F.col("_f")).otherwise(F.col("_t")) - 1)["day"])
+    g = g.withColumn("outcome", outcome).withColumn("hit_day", at(F.when(failed, F.col("_f")).otherwise(F.col("_t")), "day"))
     return g.withColumnRenamed("n", "bars").select(*v.columns, "bars", "outcome", "hit_day")
 
 

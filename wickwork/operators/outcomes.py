@@ -30,20 +30,25 @@ FEATURE_EDGES = {
 BLOCK = 64
 
 
+#: What a path has of each bar, as arrays of its own.
+PATH = ("day", "open", "high", "low", "close")
+
+
 def paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """``rows`` (symbol, d, ...) with path: the ``horizon`` bars after bar d in order (j, day, o, h, l, c), empty if none.
+    """``rows`` (symbol, d, ...) with path: the ``horizon`` bars after bar d as a struct of arrays in order (day, open, high,
+    low, close), empty if there are none.
 
-    A symbol's bars are numbered without gaps. A block of bars and the ``horizon`` after it are one array, so a row meets
-    exactly one array, by equality of symbol and block, and its path is a slice of it: no range join, and nothing to group.
+    A symbol's bars are numbered without gaps. A block of bars and the ``horizon`` after it are one row of arrays, so a row
+    meets exactly one of them, by equality of symbol and block, and its path is a slice: no range join, nothing to group.
     """
     size = max(BLOCK, horizon)
-    bar = F.struct(F.col("idx").alias("j"), "day", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
     within = F.sequence(F.greatest(F.floor((F.col("idx") - horizon) / size), F.lit(0)), F.floor((F.col("idx") - 1) / size))
-    b = bars.filter("idx > 0").select("symbol", bar.alias("bar"), F.explode(within).alias("_block")).groupBy("symbol", "_block").agg(F.sort_array(F.collect_list("bar")).alias("_bars"))
+    b = bars.filter("idx > 0").select("symbol", F.struct("idx", *PATH).alias("bar"), F.explode(within).alias("_block")).groupBy("symbol", "_block").agg(F.sort_array(F.collect_list("bar")).alias("bars"))
+    b = b.select("symbol", "_block", *[F.col(f"bars.{c}").alias(f"_{c}") for c in PATH])
     out = rows.withColumn("_block", F.floor(F.col("d") / size)).join(b, ["symbol", "_block"], "left")
-    # The array starts with the bar after the block's first.
-    path = F.when(F.col("_bars").isNull(), F.array().cast(b.schema["_bars"].dataType)).otherwise(F.slice("_bars", (F.col("d") - F.col("_block") * size + 1).cast("int"), horizon))
-    return out.withColumn("path", path).select(*rows.columns, "path")
+    # The arrays start with the bar after the block's first.
+    part = lambda c: F.slice(F.coalesce(f"_{c}", F.array().cast(b.schema[f"_{c}"].dataType)), (F.col("d") - F.col("_block") * size + 1).cast("int"), horizon)
+    return out.select(*rows.columns, F.struct(*[part(c).alias(c) for c in PATH]).alias("path"))
 
 
 def with_paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
@@ -53,7 +58,17 @@ def with_paths(rows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
 
 def first(values: str, holds) -> Column:
     """The place, from 1, of the first of ``values`` of a path for which ``holds``; 0 without one."""
-    return F.array_position(F.transform(values, holds), True).cast("int")
+    return F.array_position(F.transform(f"path.{values}", holds), True).cast("int")
+
+
+def at(place: Column, values: str) -> Column:
+    """One of ``values`` of a path by its place, from 1; null beyond it."""
+    return F.get(f"path.{values}", place - 1)
+
+
+def seen() -> Column:
+    """The number of bars of a path."""
+    return F.size("path.close")
 
 
 def _meets(at_stop: Column, at_target: Column) -> tuple[Column, Column]:
@@ -64,9 +79,8 @@ def _meets(at_stop: Column, at_target: Column) -> tuple[Column, Column]:
 
 def _exit(stopped: Column, hit: Column, stop: Column, target: Column, at_close: Column) -> Column:
     """The price at the first hit, beyond a level at the open; the last close without a hit."""
-    bar = F.get("path", hit - 1)
-    return (F.when(hit == 0, F.get("path", F.size("path") - 1)["c"]).when(~stopped, F.greatest(bar["o"], target))
-            .when(at_close, bar["c"]).otherwise(F.least(bar["o"], stop)))
+    return (F.when(hit == 0, at(seen(), "close")).when(~stopped, F.greatest(at(hit, "open"), target))
+            .when(at_close, at(hit, "close")).otherwise(F.least(at(hit, "open"), stop)))
 
 
 def resolve(rows: DataFrame, bars: DataFrame, horizon: int = 40, fill: Column | None = None, close_basis: bool = False) -> DataFrame:
@@ -77,14 +91,14 @@ def resolve(rows: DataFrame, bars: DataFrame, horizon: int = 40, fill: Column |
     """
     g = with_paths(rows, bars, horizon)
     stop, target = F.col("stop"), F.col("target")
-    g = g.withColumn("_s", first("path.c" if close_basis else "path.l", lambda x: x <= stop)).withColumn("_t", first("path.h", lambda x: x >= target))
+    g = g.withColumn("_s", first("close" if close_basis else "low", lambda x: x <= stop)).withColumn("_t", first("high", lambda x: x >= target))
     stopped, hit = _meets(F.col("_s"), F.col("_t"))
-    g = g.withColumn("_hit", hit).withColumn("_stopped", stopped).withColumn("n", F.size("path"))
-    hit, stopped, start = F.col("_hit"), F.col("_stopped"), F.get("path", F.lit(0))
-    g = g.withColumn("fill", start["o"] if fill is None else fill).withColumn("exit", _exit(stopped, hit, stop, target, F.lit(close_basis)))
+    g = g.withColumn("_hit", hit).withColumn("_stopped", stopped).withColumn("n", seen())
+    hit, stopped, one = F.col("_hit"), F.col("_stopped"), F.lit(1)
+    g = g.withColumn("fill", at(one, "open") if fill is None else fill).withColumn("exit", _exit(stopped, hit, stop, target, F.lit(close_basis)))
     g = g.withColumn("outcome", F.when(F.col("n") == 0, "no_data").when(hit == 0, "open").when(stopped, "stop").otherwise("target"))
     g = g.withColumn("bars", F.when(hit == 0, F.col("n")).otherwise(hit)).withColumn("r", F.when(F.col("fill") > stop, (F.col("exit") - F.col("fill")) / (F.col("fill") - stop)))
-    g = g.withColumn("fill_day", start["day"]).withColumn("exit_day", F.get("path", F.when(hit == 0, F.col("n")).otherwise(hit) - 1)["day"])
+    g = g.withColumn("fill_day", at(one, "day")).withColumn("exit_day", at(F.col("bars"), "day"))
     return g.select(*rows.columns, "fill", "outcome", "bars", "exit", "r", "fill_day", "exit_day", "n")
 
 
@@ -105,10 +119,10 @@ def fill_and_resolve(rows: DataFrame, bars: DataFrame, horizon=40, expire: bool
 
 def excursions(rows: DataFrame, bars: DataFrame, horizon=40) -> DataFrame:
     """``rows`` (with fill and stop) with mfe, mae and success5: whether +5 % came before a close below the stop."""
-    up, down = first("path.h", lambda x: x >= F.col("fill") * 1.05), first("path.c", lambda x: x < F.col("stop"))
+    up, down = first("high", lambda x: x >= F.col("fill") * 1.05), first("close", lambda x: x < F.col("stop"))
     g = with_paths(rows, bars, horizon).withColumn("_u", up).withColumn("_d", down)
     good = F.when((F.col("_u") > 0) & ((F.col("_d") == 0) | (F.col("_u") <= F.col("_d"))), True).when(F.col("_d") > 0, False)
-    g = g.withColumn("mfe", r(F.array_max("path.h") / F.col("fill") - 1, 4)).withColumn("mae", r(F.array_min("path.l") / F.col("fill") - 1, 4))
+    g = g.withColumn("mfe", r(F.array_max("path.high") / F.col("fill") - 1, 4)).withColumn("mae", r(F.array_min("path.low") / F.col("fill") - 1, 4))
     return g.withColumn("success5", good).select(*rows.columns, "mfe", "mae", "success5")
 
 
@@ -230,41 +244,43 @@ EXTRAS, BASES, MODES = (0.0, 0.25, 0.75, 1.0), ("intraday", "close"), ("full", "
 def grid(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
     """Traded ``rows`` scored again under every variant: extra, basis, mode and their summary.
 
-    A path is searched once for each of the eight stops and once for each of the three targets; the variants only compare
-    the places found, and leave as an outcome and an R each.
+    A path is searched once for each of the eight stops and once for each of the three targets: what each leaves is a place
+    and the price of an exit there, and a variant compares a stop's with a target's.
     """
     v = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", "cup_bottom", "cup_trigger")
-    v = paths(v, bars, horizon).filter(F.size("path") > 0)
+    v = paths(v, bars, horizon).filter(seen() > 0)
     fill = F.col("fill")
     cup = (F.col("pattern") == CUP) & F.col("cup_bottom").isNotNull()
     targets = {"full": F.col("target"), "half": fill + 0.5 * (F.col("target") - fill), "breakout": F.when(cup, fill + (F.col("cup_trigger") - F.col("cup_bottom"))).otherwise(F.col("target"))}
     v = v.withColumns({f"_t_{m}": F.when(F.col("target").isNotNull(), t) for m, t in targets.items()} | {f"_s_{i}": F.col("stop") - x * F.col("atr") for i, x in enumerate(EXTRAS)})
     for m in MODES:
-        v = v.withColumn(f"_at_{m}", first("path.h", lambda x: x >= F.col(f"_t_{m}")))
+        v = v.withColumn(f"_at_{m}", first("high", lambda x: x >= F.col(f"_t_{m}")))
     for i in range(len(EXTRAS)):
         for b in BASES:
-            v = v.withColumn(f"_at_{i}_{b}", first("path.c" if b == "close" else "path.l", lambda x: x <= F.col(f"_s_{i}")))
-
-    def one(i, extra, basis, mode):
-        stop, target = F.col(f"_s_{i}"), F.col(f"_t_{mode}")
-        stopped, hit = _meets(F.col(f"_at_{i}_{basis}"), F.col(f"_at_{mode}"))
-        out = F.when(hit == 0, "open").when(stopped, "stop").otherwise("target")
-        gain = F.when(fill > stop, (_exit(stopped, hit, stop, target, F.lit(basis == "close")) - fill) / (fill - stop))
-        return F.struct(F.lit(extra).alias("extra"), F.lit(basis).alias("basis"), F.lit(mode).alias("mode"), out.alias("outcome"), gain.alias("r"))
-
-    every = F.array(*[one(i, x, b, m) for i, x in enumerate(EXTRAS) for b in BASES for m in MODES])
-    return v.select(F.explode(every).alias("v")).select("v.*").groupBy("extra", "basis", "mode").agg(*summary())
+            v = v.withColumn(f"_at_{i}_{b}", first("close" if b == "close" else "low", lambda x: x <= F.col(f"_s_{i}")))
+    ends = [F.struct(F.lit(m).alias("mode"), F.col(f"_at_{m}").alias("place"), F.greatest(at(F.col(f"_at_{m}"), "open"), F.col(f"_t_{m}")).alias("exit")) for m in MODES]
+    falls = []
+    for i, x in enumerate(EXTRAS):
+        for b in BASES:
+            place, stop = F.col(f"_at_{i}_{b}"), F.col(f"_s_{i}")
+            price = at(place, "close") if b == "close" else F.least(at(place, "open"), stop)
+            falls.append(F.struct(F.lit(x).alias("extra"), F.lit(b).alias("basis"), place.alias("place"), stop.alias("stop"), price.alias("exit")))
+    v = v.select("fill", at(seen(), "close").alias("last"), F.array(*ends).alias("ends"), F.explode(F.array(*falls)).alias("s")).select("fill", "last", "s", F.explode("ends").alias("t"))
+    stopped, hit = _meets(F.col("s.place"), F.col("t.place"))
+    exit_ = F.when(hit == 0, F.col("last")).when(stopped, F.col("s.exit")).otherwise(F.col("t.exit"))
+    v = v.withColumn("outcome", F.when(hit == 0, "open").when(stopped, "stop").otherwise("target")).withColumn("r", F.when(fill > F.col("s.stop"), (exit_ - fill) / (fill - F.col("s.stop"))))
+    return v.groupBy("s.extra", "s.basis", "t.mode").agg(*summary())
 
 
 def horizon_table(rows: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Exact median excursions and outcome shares by horizon, overall and per pattern; one path a row, to the longest."""
-    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill"), bars, max(horizons)).filter(F.size("path") > 0)
-    t = t.withColumn("_s", first("path.l", lambda x: x <= F.col("stop"))).withColumn("_t", first("path.h", lambda x: x >= F.col("target")))
+    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill"), bars, max(horizons)).filter(seen() > 0)
+    t = t.withColumn("_s", first("low", lambda x: x <= F.col("stop"))).withColumn("_t", first("high", lambda x: x >= F.col("target")))
     stopped, hit = _meets(F.col("_s"), F.col("_t"))
     t = t.withColumn("_hit", hit).withColumn("_stopped", stopped)
     out = lambda h: F.when((F.col("_hit") == 0) | (F.col("_hit") > h), "open").when(F.col("_stopped"), "stop").otherwise("target")
-    at = [F.struct(F.lit(h).alias("horizon"), out(h).alias("outcome"), F.array_max(F.slice("path.h", 1, h)).alias("hi"), F.array_min(F.slice("path.l", 1, h)).alias("lo")) for h in horizons]
-    f = t.select("fill", "atr", F.explode(F.array(F.lit("all"), F.col("pattern"))).alias("slice"), F.array(*at).alias("at")).select("*", F.explode("at").alias("x")).select("fill", "atr", "slice", "x.*")
+    each = [F.struct(F.lit(h).alias("horizon"), out(h).alias("outcome"), F.array_max(F.slice("path.high", 1, h)).alias("hi"), F.array_min(F.slice("path.low", 1, h)).alias("lo")) for h in horizons]
+    f = t.select("fill", "atr", "pattern", F.explode(F.array(*each)).alias("x")).select("fill", "atr", F.explode(F.array(F.lit("all"), F.col("pattern"))).alias("slice"), "x.*")
     up, down, by = F.col("hi") - F.col("fill"), F.col("lo") - F.col("fill"), ("slice", "horizon")
     f = written(f.select(*by, "outcome", (F.col("hi") / F.col("fill") - 1).alias("up"), (F.col("lo") / F.col("fill") - 1).alias("down"), (up / F.col("atr")).alias("up_atr"), (down / F.col("atr")).alias("down_atr")))
     places = {"median_mfe": ("up", 4), "median_mae": ("down", 4), "median_mfe_atr": ("up_atr", 2), "median_mae_atr": ("down_atr", 2)}

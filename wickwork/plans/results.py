@@ -251,7 +251,7 @@ def signal_forward_bars(spark, sf_dir):
     """The 20 bars after each signal."""
     e = enriched(spark, sf_dir)
     p = positions(spark, sf_dir, e).select("symbol", "d")
-    return outcomes.paths(p, e, 20).select("symbol", "d", F.size("path").cast("long").alias("bars"), F.array_max("path.h").alias("top"), F.array_min("path.l").alias("bottom"))
+    return outcomes.paths(p, e, 20).select("symbol", "d", outcomes.seen().cast("long").alias("bars"), F.array_max("path.high").alias("top"), F.array_min("path.low").alias("bottom"))
 
 
 @query(_pos(f"""SELECT symbol, d, CASE WHEN n = 0 THEN 'no_data' WHEN js IS NULL AND jt IS NULL THEN 'open' WHEN jt IS NULL OR js <= jt THEN 'stop' ELSE 'target' END AS outcome FROM
