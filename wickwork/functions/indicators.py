@@ -69,6 +69,22 @@ def enrich(bars: DataFrame, rules: dict) -> DataFrame:
     return out.withColumn("low_advance", F.min("low").over(back(rules["cup_advance_lookback"])))
 
 
+def enrich_for(bars: DataFrame, variants: list[dict]) -> DataFrame:
+    """:func:`enrich` by the first of several rules, with vr, low_prior and low_advance for every length among them, named by
+    it. The other lengths of the panel have to be equal."""
+    base = variants[0]
+    for key in ("atr_len", "pivot_order", "strong_down", "strong_down_sma50", "slope_lookback"):
+        if any(v[key] != base[key] for v in variants):
+            raise ValueError(f"{key} has to be the same in all variants")
+    out = enrich(bars, base)
+    for n in sorted({v["volume_len"] for v in variants}):
+        out = with_volume(out.drop("vz"), n).withColumn(f"vr_{n}", F.col("vr"))
+    for name, key in (("low_prior", "cup_prior_lookback"), ("low_advance", "cup_advance_lookback")):
+        for n in sorted({v[key] for v in variants}):
+            out = out.withColumn(f"{name}_{n}", F.min("low").over(series().rowsBetween(-n, 0)))
+    return out
+
+
 def with_bollinger(bars: DataFrame) -> DataFrame:
     w = trailing(20)
     sd = full(F.stddev_pop("close"), "close", w, 20)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 CUP, IHS, WOLFE, DOUBLE = "Cup & Handle", "Inverse Head & Shoulders", "Bullish Wolfe Wave", "Double Bottom"
 PATTERNS = (CUP, IHS, DOUBLE, WOLFE)
 ALIASES = {"cup": CUP, "ihs": IHS, "wolfe": WOLFE, "db": DOUBLE}
@@ -57,6 +62,64 @@ def profile(name: str = "spec", **overrides) -> dict:
     return SPEC | PROFILES[name] | overrides
 
 
+def _kind(values: list) -> str:
+    known = [v for v in values if v is not None]
+    if all(isinstance(v, bool) for v in known) and known:
+        return "boolean"
+    if all(isinstance(v, int) for v in known) and known:
+        return "int"
+    return "string" if known and all(isinstance(v, str) for v in known) else "double"
+
+
+def kinds() -> dict[str, str]:
+    """The type of each flat rule, over all profiles and patterns."""
+    every = [flat(profile(name), p) for name in PROFILES for p in PATTERNS]
+    return {key: _kind([f[key] for f in every]) for key in every[0]}
+
+
+def rules_table(spark: SparkSession, variants: dict[int, dict]) -> DataFrame:
+    """(variant, rule): flat rules as data, one row a variant and one field a rule, null where a rule is off."""
+    types = kinds()
+    cast = lambda k, v: None if v is None else {"int": int, "double": float}.get(types[k], lambda x: x)(v)
+    fields = ", ".join(f"{k}: {t}" for k, t in types.items())
+    return spark.createDataFrame([(n, tuple(cast(k, f[k]) for k in types)) for n, f in variants.items()], f"variant int, rule struct<{fields}>")
+
+
+class Fixed:
+    """The rules of one profile as literals. ``span`` is what any of the rules lets through."""
+
+    def __init__(self, rules: dict, pattern: str):
+        self.flat, self.types = flat(rules, pattern), kinds()
+
+    def __call__(self, key: str) -> Column:
+        return F.lit(self.flat[key]).cast(self.types[key])
+
+    def loosest(self, key: str, least: bool):
+        return self.flat[key]
+
+    def panel(self, column: str, key: str) -> Column:
+        """A column of the enriched bars that was made with this rule."""
+        return F.col(column)
+
+
+class Joined:
+    """The rules of many variants as fields of a joined column ``rule``."""
+
+    def __init__(self, variants: dict[int, dict]):
+        self.variants = variants
+
+    def __call__(self, key: str) -> Column:
+        return F.col(f"rule.{key}")
+
+    def loosest(self, key: str, least: bool):
+        values = [f[key] for f in self.variants.values()]
+        return None if None in values else (min if least else max)(values)
+
+    def panel(self, column: str, key: str) -> Column:
+        made = sorted({f[key] for f in self.variants.values()})
+        return F.coalesce(*[F.when(self(key) == n, F.col(f"{column}_{n}")) for n in made])
+
+
 def patterns(names: str | None) -> tuple[str, ...]:
     """Patterns by alias or full name, comma separated; all of them for None."""
     if not names:
@@ -64,5 +127,38 @@ def patterns(names: str | None) -> tuple[str, ...]:
     return tuple(ALIASES.get(n.strip().lower(), n.strip()) for n in names.split(","))
 
 
+def flat(rules: dict, pattern: str) -> dict:
+    """The rules that a pattern's scan reads, one value a name: spans as _lo and _hi, values per pattern as the pattern's own."""
+    out = {}
+    for key, value in rules.items():
+        if key in ("max_listed_days", "watch_only"):  # read by the nightly list, not by a scan
+            continue
+        if isinstance(value, tuple):
+            out |= {f"{key}_lo": value[0], f"{key}_hi": value[1]}
+        else:
+            out[key] = value.get(pattern) if isinstance(value, dict) else value
+    return out | {"max_age": max_age(rules, pattern)}
+
+
 def max_age(rules: dict, pattern: str) -> int:
     return rules["max_breakout_age"] + rules["age_lag"].get(pattern, 0)
+
+
+def override(text: str) -> tuple[str, object]:
+    """A rule and its value from ``KEY=VALUE``: a literal where it is one, else text. An unknown rule, a text without ``=``
+    and a value of another type than the rule's raise ValueError; None turns a rule off."""
+    key, equals, raw = (x.strip() for x in text.partition("="))
+    if not equals:
+        raise ValueError(f"expected KEY=VALUE, got {text!r}")
+    if key not in SPEC:
+        raise ValueError(f"unknown rule {key!r}")
+    try:
+        value = ast.literal_eval(raw)
+    except (ValueError, SyntaxError):
+        value = raw
+    known = [v for v in (SPEC[key], TUNED.get(key), LEGACY.get(key)) if v is not None]
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    alike = lambda a, b: number(a) and number(b) or type(a) is type(b) and (not isinstance(a, tuple) or key == "watch_only" or len(a) == len(b))
+    if value is not None and not any(alike(value, v) for v in known):
+        raise ValueError(f"{key} takes a value like {known[0]!r}, not {value!r}")
+    return key, value

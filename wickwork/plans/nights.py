@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r
-from wickwork.functions.rules import CUP, DOUBLE, IHS, LEGACY, WOLFE, profile
+from wickwork.functions.rules import CUP, DOUBLE, IHS, LEGACY, WOLFE, Fixed, profile
 from wickwork.operators import detectors as det
 from wickwork.operators import lifecycle, marts, outcomes, replay
 from wickwork.plans import oracle as o
@@ -182,7 +182,7 @@ def quality_score(spark, sf_dir):
 @query(o.with_(o.BARS, *o.detector(IHS, "tuned")) + "SELECT symbol, d, status, cand, score FROM sig")
 def dedupe_best(spark, sf_dir):
     e = enriched(spark, sf_dir, TUNED)
-    return det.best(det.states(det.inverse_hs(e, TUNED), e, TUNED, IHS)).select("symbol", "d", "status", "cand", "score")
+    return det.best(det.states(det.candidates(e, TUNED, IHS), e, Fixed(TUNED, IHS), IHS)).select("symbol", "d", "status", "cand", "score")
 
 
 # Replay -------------------------------------------------------------------------------------------------------------------
@@ -376,7 +376,7 @@ def report_sections(spark, sf_dir):
 def cup_volume_features(spark, sf_dir):
     """The volume of the eight bars after the right rim against the cup's."""
     e = enriched(spark, sf_dir)
-    c = det.cup_pairs(e, profile())
+    c = det.cup_pairs(e, Fixed(profile(), CUP)).select("symbol", "a", "b")
     v = F.when(F.col("j") > F.col("b"), F.col("jvolume"))
     ratio = F.avg(v) / F.avg(F.when(F.col("j") <= F.col("b"), F.col("jvolume")))
     return det.interval(c, e, F.col("a"), F.col("b") + 8, r(ratio, 3).alias("handle_volume_ratio"), r(F.regr_slope(v, F.col("j")) / F.avg(v), 4).alias("handle_volume_slope")).select("symbol", "a", "b", "handle_volume_ratio", "handle_volume_slope")
@@ -470,7 +470,7 @@ def stale_days(spark, sf_dir):
 @query(o.with_(o.BARS, E, o.double_bottom(profile())) + f"SELECT c.symbol, cand, e.idx, e.low AS price FROM cand_db c JOIN e ON e.symbol = c.symbol AND e.idx IN (c.cand // {o.SPAN}, c.cand % {o.SPAN})")
 def notes_pivots(spark, sf_dir):
     """The lows that a double bottom rests on, from its typed anchors."""
-    c = det.double_bottom(enriched(spark, sf_dir), profile()).select("symbol", "cand", F.explode(F.filter("anchors", lambda a: a["label"] != "peak")).alias("a"))
+    c = det.candidates(enriched(spark, sf_dir), profile(), DOUBLE).select("symbol", "cand", F.explode(F.filter("anchors", lambda a: a["label"] != "peak")).alias("a"))
     return c.select("symbol", "cand", "a.idx", "a.price")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wickwork.functions import indicators as ind
 from wickwork.functions.columns import r, series, trailing
-from wickwork.functions.rules import CUP, DOUBLE, IHS, WOLFE, patterns, profile
+from wickwork.functions.rules import CUP, DOUBLE, IHS, WOLFE, Fixed, patterns, profile
 from wickwork.operators import detectors as det
 from wickwork.plans import oracle as o
 from wickwork.plans.registry import query
@@ -159,7 +159,7 @@ def _candidates(pattern, cte):
 
     def run(spark, sf_dir):
         rules = profile()
-        c = det.DETECTORS[pattern](enriched(spark, sf_dir, rules), rules)
+        c = det.candidates(enriched(spark, sf_dir, rules), rules, pattern)
         return c.select("symbol", "cand", "known", "start", r(F.col("v0"), 4).alias("v0"), r(F.col("slope"), 6).alias("slope"), "last", r(F.col("last_low"), 2).alias("last_low"), r(F.col("height"), 4).alias("height"),
                         r(F.col("score0"), 4).alias("score0"), "decline_ok")
 
@@ -177,21 +177,21 @@ def _fits():
 @query(_fits()[0])
 def cup_u_shape_r2(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    return det.u_shape(det.cup_pairs(e, profile()), e).select("symbol", "a", "b", r(F.col("u"), 6).alias("u"))
+    return det.u_shape(det.cup_pairs(e, Fixed(profile(), CUP)), e).select("symbol", "a", "b", r(F.col("u"), 6).alias("u"))
 
 
 @query(_fits()[1])
 def cup_v_shape_r2(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    return det.v_shape(det.cup_pairs(e, profile()), e).select("symbol", "a", "b", r(F.col("v"), 6).alias("v"))
+    return det.v_shape(det.cup_pairs(e, Fixed(profile(), CUP)).select("symbol", "a", "b", "bi"), e).select("symbol", "a", "b", r(F.col("v"), 6).alias("v"))
 
 
 @query(_e("SELECT symbol, a, b, j AS \"end\", hh, hl, hi_ AS hl_i, j = final_end AS final FROM hl", o.cup_handle(profile())))
 def cup_handle(spark, sf_dir):
     e = enriched(spark, sf_dir)
     rules = profile()
-    pairs = det.v_shape(det.u_shape(det.cup_pairs(e, rules), e).filter(F.col("u") >= 0.7), e).filter("v <= u")
-    return det.handles(e, rules, pairs).select("symbol", "a", "b", "end", "hh", "hl", "hl_i", (F.col("until") == 2**30).alias("final"))
+    q = Fixed(rules, CUP)
+    return det.handles(e, det.rounded(det.cup_pairs(e, q), e, q)).select("symbol", "a", "b", "end", "hh", "hl", "hl_i", (F.col("until") == 2**30).alias("final"))
 
 
 def _signals(pattern, prof):
@@ -235,4 +235,4 @@ def detector_subset(spark, sf_dir):
 def breakout_state(spark, sf_dir):
     """The first close above each sloping neckline."""
     e = enriched(spark, sf_dir)
-    return det.breakouts(det.inverse_hs(e, profile()), e).select("symbol", "cand", F.col("fb").alias("first_break"))
+    return det.breakouts(det.candidates(e, profile(), IHS), e).select("symbol", "cand", F.col("fb").alias("first_break"))
