@@ -74,12 +74,12 @@ def _kind(values: list) -> str:
 def kinds() -> dict[str, str]:
     """The type of each flat rule, over all profiles and patterns."""
     every = [flat(profile(name), p) for name in PROFILES for p in PATTERNS]
-    return {key: _kind([f[key] for f in every]) for key in every[0]}
+    return {key: _kind([f[key] for f in every if key in f]) for key in dict.fromkeys(k for f in every for k in f)}
 
 
 def rules_table(spark: SparkSession, variants: dict[int, dict]) -> DataFrame:
     """(variant, rule): flat rules as data, one row a variant and one field a rule, null where a rule is off."""
-    types = kinds()
+    types = {k: t for k, t in kinds().items() if k in next(iter(variants.values()))}
     cast = lambda k, v: None if v is None else {"int": int, "double": float}.get(types[k], lambda x: x)(v)
     fields = ", ".join(f"{k}: {t}" for k, t in types.items())
     return spark.createDataFrame([(n, tuple(cast(k, f[k]) for k in types)) for n, f in variants.items()], f"variant int, rule struct<{fields}>")
@@ -127,11 +127,20 @@ def patterns(names: str | None) -> tuple[str, ...]:
     return tuple(ALIASES.get(n.strip().lower(), n.strip()) for n in names.split(","))
 
 
+#: Whose rules begin with what.
+OWNERS = {"cup": CUP, "handle": CUP, "ihs": IHS, "db": DOUBLE, "ww": WOLFE}
+
+
+def reads(pattern: str, key: str) -> bool:
+    """Whether the scan of a pattern reads a rule; two of them are read by the nightly list only."""
+    return OWNERS.get(key.split("_")[0], pattern) == pattern and key not in ("max_listed_days", "watch_only") and not (key == "veto_reversals" and pattern == CUP)
+
+
 def flat(rules: dict, pattern: str) -> dict:
     """The rules that a pattern's scan reads, one value a name: spans as _lo and _hi, values per pattern as the pattern's own."""
     out = {}
     for key, value in rules.items():
-        if key in ("max_listed_days", "watch_only"):  # read by the nightly list, not by a scan
+        if not reads(pattern, key):
             continue
         if isinstance(value, tuple):
             out |= {f"{key}_lo": value[0], f"{key}_hi": value[1]}

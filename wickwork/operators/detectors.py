@@ -334,7 +334,7 @@ def states(c: DataFrame, e: DataFrame, q, pattern: str, days: DataFrame | None =
     if pattern == CUP:
         s = s.filter((F.col("decline_ok") | (q("cup_sma_or") & true(F.col("sma50") > F.col("sma200")))) & (~q("cup_above_sma200") | F.col("uptrend")))
     else:
-        either = {IHS: q("ihs_sma_or"), DOUBLE: q("db_sma_or"), WOLFE: F.lit(False)}[pattern]
+        either = F.lit(False) if pattern == WOLFE else q({IHS: "ihs_sma_or", DOUBLE: "db_sma_or"}[pattern])
         s = s.filter((F.col("decline_ok") | (either & true(F.col("sma50") < F.col("sma200")))) & (~q("veto_reversals") | ~F.col("strong_down")))
     loud = q("volume_confirm").isNull() | true(F.col("fb_vr") >= q("volume_confirm"))
     s = s.withColumn("vr", F.when(F.col("above"), F.col("fb_vr"))).withColumn("confirmed", F.col("above") & loud)

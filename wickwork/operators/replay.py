@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r
-from wickwork.functions.rules import CUP, DOUBLE, IHS, WOLFE
-from wickwork.operators.detectors import interval
+from wickwork.functions.indicators import enrich_for
+from wickwork.functions.rules import CUP, DOUBLE, IHS, LEGACY, PATTERNS, WOLFE, flat, profile
+from wickwork.operators.detectors import interval, scan_variants, summaries
 from wickwork.operators.market import members
-from wickwork.operators.outcomes import month_bootstrap, scored, summary
+from wickwork.operators.outcomes import described, month_bootstrap, scored, summary
+from wickwork.sources.store import written
 
 KEY = ("symbol", "pattern", "stop")
 
@@ -28,12 +32,13 @@ def sessions(bars: DataFrame, days: int = 2**31 - 1, end: str | None = None) ->
     return d.select("day", (F.row_number().over(Window.orderBy("day")) - 1).alias("no"))
 
 
-def listed(signals: DataFrame, scan_days: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
-    """Confirmed signals on the scan days (of members only, given snapshots) with the session number, first_day, listed_day."""
+def listed(signals: DataFrame, scan_days: DataFrame, snapshots: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Confirmed signals on the scan days (of members only, given snapshots) with the session number, first_day, listed_day;
+    counted apart for each ``by``."""
     s = signals.filter("status = 'CONFIRMED'").join(F.broadcast(scan_days), "day")  # one row per session
     if snapshots is not None:
         s = s.join(members(scan_days.select("day"), snapshots), ["day", "symbol"], "left_semi")
-    w = Window.partitionBy(*KEY)
+    w = Window.partitionBy(*KEY, *by)
     return s.withColumn("first_day", F.min("day").over(w)).withColumn("listed_day", (F.col("no") - F.min("no").over(w) + 1).cast("int"))
 
 
@@ -69,19 +74,40 @@ def windows(rows: DataFrame, day: str, split: str) -> DataFrame:
     return rows.withColumn("label", F.explode(F.array(F.lit("all sessions"), side)))
 
 
-def ablation(relaxed: list[tuple[str, str, str, DataFrame]], base: DataFrame) -> DataFrame:
-    """(rule, value, signals, delta, place) of rules relaxed alone, each given as rule, pattern, value and its counts by pattern
-    (rule, pattern, signals), against the ``base`` counts; largest change first."""
-    spark = base.sparkSession
-    keys = spark.createDataFrame([t[:3] for t in relaxed], "rule string, pattern string, value string")
-    counts = relaxed[0][3]
-    for t in relaxed[1:]:
-        counts = counts.unionByName(t[3])
-    was = base.select("pattern", F.col("signals").alias("_was"))
-    out = keys.join(counts, ["rule", "pattern"], "left").join(was, "pattern", "left")
-    n, before = F.coalesce("signals", F.lit(0)), F.coalesce("_was", F.lit(0))
-    out = out.select("rule", "value", n.alias("signals"), (n - before).alias("delta"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("delta")), "rule")).cast("int"))
+def under(bars: DataFrame, variants: dict[str, dict], horizon: int = 40) -> DataFrame:
+    """First reports under each of the labelled rules, scored, with ``label``.
+
+    Each pattern is scanned once for all labels: those whose rules are the same for it share a variant, and the variants are
+    a table that the pattern's candidates meet. A signal is scored once and then counted for every label that has it.
+    """
+    e = written(enrich_for(bars, list(variants.values())))
+    sums, found, uses = written(summaries(e)), [], []
+    for pattern in PATTERNS:
+        different: dict[str, int] = {}
+        flats = {}
+        for label, rules in variants.items():
+            f = flat(rules, pattern)
+            n = different.setdefault(repr(sorted(f.items())), len(different))
+            flats[n] = f
+            uses.append((label, pattern, n))
+        found.append(written(scan_variants(e, flats, pattern, sums)))
+    rows = first_seen(listed(reduce(DataFrame.unionByName, found), sessions(e), by=("variant",)))
+    labels = bars.sparkSession.createDataFrame(uses, "label string, pattern string, variant int")
+    return scored(rows, e, horizon).join(F.broadcast(labels), ["pattern", "variant"])  # a row for each label and pattern
+
+
+def ablation(bars: DataFrame, base: str = "spec", relaxed: dict | None = None, horizon: int = 40) -> DataFrame:
+    """What each rule of ``relaxed`` (the legacy profile's) does to the base profile when it alone takes that value: rule,
+    value, delta (signals against the base), place (largest change first, the base last) and the statistics of its first reports."""
+    relaxed = LEGACY if relaxed is None else relaxed
+    whole = f"{base} (all rules)"
+    rows = under(bars, {whole: profile(base)} | {k: profile(base, **{k: v}) for k, v in relaxed.items()}, horizon)
+    stats = written(described(rows, ("label",)).withColumnRenamed("label", "rule"))
+    keys = bars.sparkSession.createDataFrame([(whole, "-"), *((k, str(v)) for k, v in relaxed.items())], "rule string, value string")
+    before = stats.filter(F.col("rule") == whole).agg(F.coalesce(F.max("signals"), F.lit(0).cast("long")).alias("_before"))
+    out = keys.join(stats, "rule", "left").crossJoin(F.broadcast(before)).withColumn("signals", F.coalesce("signals", F.lit(0).cast("long")))
+    out = out.withColumn("delta", F.col("signals") - F.col("_before")).drop("_before")
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("rule") == whole, F.desc(F.abs("delta")), "rule")).cast("int"))
 
 
 def _price(label: str):

@@ -187,12 +187,19 @@ def dedupe_best(spark, sf_dir):
 
 # Replay -------------------------------------------------------------------------------------------------------------------
 
-def _replay_sql(prof="tuned", extra="", where="true", **over):
-    return f"""{o.scan_all(prof, **over)}{extra},
+def _replayed_sql(where="true"):
+    return f""",
 rp AS (SELECT s.*, n.no AS sno FROM allsig s JOIN (SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM bars)) n USING (day) WHERE status = 'CONFIRMED' AND {where.replace('x.', 's.')}),
 rl AS (SELECT *, min(day) OVER (PARTITION BY symbol, pattern, stop) AS first_day, CAST(sno - min(sno) OVER (PARTITION BY symbol, pattern, stop) + 1 AS INT) AS listed_day FROM rp)"""
 
 
+_REPLAYED = _replayed_sql()
+
+
+def _replay_sql(prof="tuned", extra="", where="true", **over):
+    return o.scan_all(prof, **over) + extra + _replayed_sql(where)
+
+
 def _fate_of(table: str) -> str:
     """The accounting of FATE over another table of signals."""
     return FATE.replace("FROM pos p", f"FROM {table} p")
@@ -211,14 +218,14 @@ def replayed(spark, sf_dir, rules=TUNED, members=False):
 @query(o.with_(o.BARS, _replay_sql(), _FIRST, _fate_of("rf")) + _ALL)
 def walk_forward_first_seen(spark, sf_dir):
     rows, e = replayed(spark, sf_dir)
-    f = replay.scored(replay.first_seen(rows), e)
+    f = outcomes.scored(replay.first_seen(rows), e)
     return f.select("symbol", "day", "pattern", "stop", "entry", "score", "outcome", r(F.col("fill"), 2).alias("fill"), r(F.col("r"), 4).alias("r"))
 
 
 @query(o.with_(o.BARS, _replay_sql(), "rr AS (SELECT * FROM rl WHERE day > first_day)", _fate_of("rr")) + "SELECT symbol, day, pattern, stop, first_day, listed_day, outcome FROM fate")
 def walk_forward_repeats(spark, sf_dir):
     rows, e = replayed(spark, sf_dir)
-    return replay.scored(replay.repeats(rows), e).select("symbol", "day", "pattern", "stop", "first_day", "listed_day", "outcome")
+    return outcomes.scored(replay.repeats(rows), e).select("symbol", "day", "pattern", "stop", "first_day", "listed_day", "outcome")
 
 
 _MEMBER = "EXISTS (SELECT 1 FROM snapshots m WHERE m.symbol = x.symbol AND m.snapshot_date = coalesce((SELECT max(snapshot_date) FROM snapshots q WHERE q.snapshot_date <= x.day), (SELECT min(snapshot_date) FROM snapshots)))"
@@ -250,7 +257,7 @@ def scan_sessions(spark, sf_dir):
        + f"SELECT f.symbol, f.pattern, f.stop, f.listed_day, {o.r('r1', 4)} AS r1, {o.r('r - r1', 4)} AS diff FROM fate f JOIN a USING (symbol, pattern, stop, first_day) WHERE r IS NOT NULL AND day > first_day")
 def late_entry_pairs(spark, sf_dir):
     rows, e = replayed(spark, sf_dir)
-    s = replay.scored(rows, e)
+    s = outcomes.scored(rows, e)
     return replay.pairs(replay.first_seen(s), replay.repeats(s)).select("symbol", "pattern", "stop", "listed_day", r(F.col("r1"), 4).alias("r1"), r(F.col("diff"), 4).alias("diff"))
 
 
@@ -266,35 +273,58 @@ ls AS (SELECT listed_day, {_SUMMARY}, {o.r('avg(r)', 3)} AS mean_r, {o.r('sum(r)
 def late_entry_table(spark, sf_dir):
     """Outcomes by day on the list, and each later listing against its own first report with a month-block interval."""
     rows, e = replayed(spark, sf_dir)
-    return replay.late_entry(written(replay.scored(rows, e)))
+    return replay.late_entry(written(outcomes.scored(rows, e)))
+
+
+def _under_sql(variants, base=None):
+    """``every``: the scored first reports under each of (label, profile, overrides, patterns), each from a scan of its own;
+    patterns that a label's rules do not touch are taken from the label ``base``."""
+    def one(i, label, prof, over, chosen):
+        q = profile(prof, **over)
+        panel = panels.setdefault(o.enriched(q), f"panel{len(panels)}")
+        scans = [f"e AS (SELECT * FROM {panel})"]
+        for k, p in enumerate(chosen):
+            text = o.CANDIDATES[p][0](q)
+            scans += [text.replace(f"\n{o._lows()},", "") if any(o._lows() in x for x in scans) else text, o.signals(q, p, f"s{k}_")]
+        union = "allsig AS (" + " UNION ALL ".join(f"SELECT * FROM s{k}_" for k in range(len(chosen))) + ")"
+        return f"v{i} AS MATERIALIZED (SELECT '{label}' AS label, * FROM (WITH {', '.join(scans)}, {union}{_REPLAYED}, {_FIRST}, {_fate_of('rf')} SELECT pattern, score, outcome, r, success5, mfe, mae FROM fate))"
+
+    panels: dict[str, str] = {}
+    tables = [one(i, *v) for i, v in enumerate(variants)]
+    tables = [f"{name} AS MATERIALIZED (WITH {text} SELECT * FROM e)" for text, name in panels.items()] + tables
+    rows = [f"SELECT * FROM v{i}" for i in range(len(variants))]
+    rows += [f"SELECT '{label}' AS label, * EXCLUDE (label) FROM v{base} WHERE pattern NOT IN ({', '.join(repr(p) for p in chosen)})" for label, _, _, chosen in variants if base is not None and len(chosen) < 4]
+    return ",".join([o.BARS.replace("bars AS (", "bars AS MATERIALIZED ("), *tables, "every AS (" + " UNION ALL ".join(rows) + ")"])
 
 
-def _count_sql(label, prof, over, only=None):
-    q = f"SELECT '{label}' AS rule, pattern, count(DISTINCT symbol || '|' || stop) AS signals FROM (WITH {o.BARS}, {o.scan_all(prof, **over)} SELECT * FROM allsig) WHERE status = 'CONFIRMED'"
-    return q + (f" AND pattern = '{only}'" if only else "") + " GROUP BY pattern"
+_FOUR = (CUP, IHS, WOLFE, DOUBLE)
 
 
-def _counts(spark, sf_dir, label, rules, only=None):
-    s = det.scan(enriched(spark, sf_dir, rules), rules, only or det.PATTERNS).filter("status = 'CONFIRMED'").select("symbol", "pattern", "stop").distinct()
-    return s.groupBy("pattern").agg(F.count("*").alias("signals")).select(F.lit(label).alias("rule"), "pattern", "signals")
+def _touched(key):
+    """The patterns that a rule's name says it is for."""
+    return next((ps for prefix, ps in (("cup_", (CUP,)), ("handle_", (CUP,)), ("ihs_", (IHS,)), ("ww_", (WOLFE,)), ("db_", (DOUBLE,)), ("veto_", (IHS, WOLFE, DOUBLE))) if key.startswith(prefix)), _FOUR)
 
 
-@query(" UNION ALL ".join(_count_sql(p, p, {}) for p in ("tuned", "spec")))
+@query("WITH " + _under_sql([(p, p, {}, _FOUR) for p in ("tuned", "spec", "legacy")]) + f""" SELECT label, kind, slice, {_STATS} FROM (SELECT every.*, k.kind, CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern
+  ELSE CASE WHEN score <= 69 THEN '60-69' WHEN score <= 79 THEN '70-79' WHEN score <= 89 THEN '80-89' ELSE '90-100' END END AS slice FROM every, (VALUES ('overall'), ('pattern'), ('score')) k(kind)) GROUP BY label, kind, slice""")
 def profile_compare(spark, sf_dir):
-    return _counts(spark, sf_dir, "tuned", TUNED).unionByName(_counts(spark, sf_dir, "spec", profile()))
+    """What became of the first reports under each rule profile, from one replay."""
+    rows = replay.under(src.bars(spark, sf_dir), {p: profile(p) for p in ("tuned", "spec", "legacy")})
+    return outcomes.breakdown(rows.withColumn("regime", F.lit(None).cast("string")), ("label",))
 
 
-#: Rules of one pattern, relaxed to their legacy values (any rule can be: ``profile("spec", **{key: LEGACY[key]})``).
-_ABLATED = [(k, p) for k, v in LEGACY.items() for prefix, p in (("ihs_side", IHS), ("ww_time", WOLFE)) if k.startswith(prefix)]
+_ALL_RULES = "spec (all rules)"
+_VALUES_OF = {_ALL_RULES: "-"} | {k: str(v) for k, v in LEGACY.items()}
 
 
-@query(f"""WITH n AS (SELECT rule, pattern, signals FROM ({" UNION ALL ".join([_count_sql("", "spec", {}), *(_count_sql(k, "spec", {k: LEGACY[k]}, p) for k, p in _ABLATED)])})),
-k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{p}', '{LEGACY[k]}')" for k, p in _ABLATED)}) v(rule, pattern, value)),
-dl AS (SELECT k.rule, value, CAST(coalesce(a.signals, 0) AS BIGINT) AS signals, CAST(coalesce(a.signals, 0) - coalesce(b.signals, 0) AS BIGINT) AS delta FROM k LEFT JOIN n a ON a.rule = k.rule AND a.pattern = k.pattern LEFT JOIN n b ON b.rule = '' AND b.pattern = k.pattern)
-SELECT *, CAST(row_number() OVER (ORDER BY abs(delta) DESC, rule) AS INT) AS place FROM dl""")
+@query("WITH " + _under_sql([(_ALL_RULES, "spec", {}, _FOUR), *((k, "spec", {k: v}, _touched(k)) for k, v in LEGACY.items())], 0) + f""",
+st AS (SELECT label AS rule, {_STATS} FROM every GROUP BY label),
+kv AS (SELECT * FROM (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in _VALUES_OF.items())}) v(rule, value)),
+dl AS (SELECT rule, value, coalesce(signals, 0) AS signals, coalesce(signals, 0) - coalesce((SELECT signals FROM st WHERE rule = '{_ALL_RULES}'), 0) AS delta, st.* EXCLUDE (rule, signals) FROM kv LEFT JOIN st USING (rule))
+SELECT *, CAST(row_number() OVER (ORDER BY rule = '{_ALL_RULES}', abs(delta) DESC, rule) AS INT) AS place FROM dl""")
 def ablation(spark, sf_dir):
-    """Rules relaxed alone to their legacy values: their pattern's signals against the base profile's, largest change first."""
-    return replay.ablation([(k, p, str(LEGACY[k]), _counts(spark, sf_dir, k, profile("spec", **{k: LEGACY[k]}), (p,))) for k, p in _ABLATED], _counts(spark, sf_dir, "", profile(), tuple({p for _, p in _ABLATED})))
+    """Each rule of the legacy profile relaxed alone: signals gained or lost and what became of them, from one replay."""
+    return replay.ablation(src.bars(spark, sf_dir))
 
 
 _CANDS = "cands AS (" + " UNION ALL ".join(f"SELECT symbol, pattern, cand, height, last_low, target_at FROM {c}" for _, c in o.CANDIDATES.values()) + ")"
@@ -344,13 +374,13 @@ def signal_feature_buckets(spark, sf_dir):
     """Outcomes of the detectors' first reports by each of 23 features."""
     f, e = _featured(spark, sf_dir)
     f = market.as_of(f, "day", market_table(spark, sf_dir, e), ("vix", "breadth"))
-    return outcomes.feature_buckets(replay.scored(f, e), {k: (float("-inf"), *v, float("inf")) for k, v in outcomes.FEATURE_EDGES.items()})
+    return outcomes.feature_buckets(outcomes.scored(f, e), {k: (float("-inf"), *v, float("inf")) for k, v in outcomes.FEATURE_EDGES.items()})
 
 
 def _first_scored(spark, sf_dir):
     rows, e = replayed(spark, sf_dir)
     f = market.as_of(written(replay.first_seen(rows)), "day", market_table(spark, sf_dir, e).select("day", "regime"), ("regime",))
-    return replay.scored(f, e)
+    return outcomes.scored(f, e)
 
 
 _SCORED = [MARKET, "rf AS (SELECT rl.*, (SELECT max_by(regime, day) FROM market m WHERE m.day <= rl.day AND regime IS NOT NULL) AS regime FROM rl WHERE day = first_day)", _fate_of("rf")]

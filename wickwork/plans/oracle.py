@@ -88,6 +88,11 @@ cand_db AS (SELECT symbol, '{DOUBLE}' AS pattern, l1*{SPAN}::BIGINT + l2 AS cand
 
 
 def inverse_hs(q: dict) -> str:
+    sym, share, fall, drop = q["ihs_shoulder_sym"], q["ihs_shoulder_sym_of_height"], q["ihs_prior_decline"], q["ihs_prior_decline_of_height"]
+    shallow = "(least(lv, rv) - hv)"
+    limit = f"{sym}*{shallow}" if sym is not None else f"{share or 0.0}*head"
+    alike = " AND ".join(f"abs(lv - rv) <= {x}" for x in ([f"{sym}*{shallow}"] if sym is not None else []) + ([f"{share}*head"] if share is not None else [])) or "true"
+    ok = " OR ".join(([f"(hi60 - lv)/hi60 >= {fall}"] if fall is not None else []) + ([f"hi60 - lv >= {drop}*head"] if drop is not None else [])) or "false"
     side = "true" if q["ihs_side_sym_tol"] is None else f"abs((n1 - ls) - (rs - n2)) / CAST(greatest(n1 - ls, rs - n2) AS DOUBLE) <= {q['ihs_side_sym_tol']}"
     return f"""
 {_lows()},
@@ -98,10 +103,10 @@ ih3 AS (SELECT c.*, x.idx AS n2, x.high AS h2 FROM ih2 c JOIN e x ON x.symbol =
 ih4 AS (SELECT *, (h2 - h1)/(n2 - n1) AS slope FROM ih3 WHERE ratio <= {q['ihs_time_sym']} AND ratio >= 1/{q['ihs_time_sym']}),
 ih5 AS (SELECT *, abs(slope*(rs - ls))/hc AS tilt, h1 + slope*(h - n1) - hv AS head FROM ih4),
 cand_ihs AS (SELECT symbol, '{IHS}' AS pattern, ls*{SPAN}::BIGINT + rs AS cand, rs + 5 AS known, 1073741824 AS until, rs + 1 AS start, h1 AS v0, n1 AS i0, slope, rv AS flr, rs AS last, rv AS last_low, ra AS last_atr,
-  head AS height, hv AS target_at,
-  50 + 15*(1 - least(abs(lv - rv)/greatest({q['ihs_shoulder_sym_of_height']}*head, 1e-9), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['ihs_time_sym']})) + 10*(1 - least(tilt/{q['ihs_max_neck_slope']}, 1.0)) AS score0,
-  hi60 - lv >= {q['ihs_prior_decline_of_height']}*head AS decline_ok
-  FROM ih5 WHERE tilt <= {q['ihs_max_neck_slope']} AND abs(lv - rv) <= {q['ihs_shoulder_sym_of_height']}*head AND {side})"""
+  {'head' if q['ihs_target_at_head'] else 'NULL::DOUBLE'} AS height, hv AS target_at,
+  50 + 15*(1 - least(abs(lv - rv)/greatest({limit}, 1e-9), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['ihs_time_sym']})) + 10*(1 - least(tilt/{q['ihs_max_neck_slope']}, 1.0)) AS score0,
+  {ok} AS decline_ok
+  FROM ih5 WHERE tilt <= {q['ihs_max_neck_slope']} AND {alike} AND {side})"""
 
 
 def wolfe(q: dict) -> str:
@@ -117,17 +122,19 @@ ww5 AS (SELECT *, v1 + s13*(p5 - p1) - v5 AS ov, (v2 - s24*p2 - (v1 - s13*p1))/(
 cand_ww AS (SELECT symbol, '{WOLFE}' AS pattern, p1*{SPAN}::BIGINT + p5 AS cand, p5 + 5 AS known, p5 + {q['ww_max_bars_since_p5']} AS until, p5 + 1 AS start, v1 AS v0, p1 AS i0, s13 AS slope, v5 AS flr, p5 AS last,
   v5 AS last_low, a5 AS last_atr, NULL::DOUBLE AS height, CASE WHEN eta > p5 AND eta <= p5 + {q['ww_max_eta_bars']} THEN v1 + (v4 - v1)/(p4 - p1)*(eta - p1) END AS target_at,
   50 + 15*(1 - least(abs(ov)/({q['ww_max_overshoot_atr']}*a5), 1.0)) + 10*(1 - least(abs(ln((p3 - p1)/CAST(greatest(p5 - p3, 1) AS DOUBLE)))/ln(3.0), 1.0)) AS score0, true AS decline_ok
-  FROM ww5 WHERE ov >= 0 AND v5 >= v3 + s24*(p5 - p3) AND {legs})"""
+  FROM ww5 WHERE {"ov >= 0 AND v5 >= v3 + s24*(p5 - p3)" if q['ww_sweet_zone'] else f"ov >= -0.5*a5 AND ov <= {q['ww_max_overshoot_atr']}*a5"} AND {legs})"""
 
 
 def cup_pairs(q: dict) -> str:
+    near = f"{q['cup_rim_tol']}*ra" if q["cup_rim_tol_of_depth"] is None else f"{q['cup_rim_tol_of_depth']}*(ra - bottom)"
+    back = "true" if q["cup_max_retrace"] is None else f"ra - bottom <= {q['cup_max_retrace']}*(ra - low_advance)"
     return f"""
 cu1 AS (SELECT x.symbol, x.idx AS a, y.idx AS b, x.high AS ra, y.high AS rb, x.low_prior, x.low_advance FROM e x JOIN e y ON x.symbol = y.symbol AND x.piv_h AND y.piv_h
   AND y.idx - x.idx BETWEEN {q['cup_len'][0]} AND {q['cup_len'][1]}),
 cu2 AS (SELECT c.*, z.low AS bottom, z.idx AS bi FROM cu1 c JOIN e z ON z.symbol = c.symbol AND z.idx BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY c.symbol, a, b ORDER BY z.low, z.idx) = 1),
 cu3 AS (SELECT *, (ra - bottom)/ra AS depth, (bi - a)/CAST(b - a AS DOUBLE) AS pos FROM cu2),
-cup_pairs AS (SELECT * FROM cu3 WHERE depth BETWEEN {q['cup_depth'][0]} AND {q['cup_depth'][1]} AND abs(rb - ra) <= {q['cup_rim_tol_of_depth']}*(ra - bottom)
-  AND pos BETWEEN {q['cup_bottom_zone'][0]} AND {q['cup_bottom_zone'][1]} AND ra - bottom <= {q['cup_max_retrace']}*(ra - low_advance))"""
+cup_pairs AS (SELECT * FROM cu3 WHERE depth BETWEEN {q['cup_depth'][0]} AND {q['cup_depth'][1]} AND abs(rb - ra) <= {near}
+  AND pos BETWEEN {q['cup_bottom_zone'][0]} AND {q['cup_bottom_zone'][1]} AND {back})"""
 
 
 def cup_fits() -> str:
@@ -143,17 +150,19 @@ fit_v AS (SELECT symbol, a, b, max(v) AS v FROM cv2 GROUP BY symbol, a, b)"""
 
 def cup_handle(q: dict) -> str:
     least_, most = q["handle_len"]
+    share = q["handle_max_len_of_cup"]
+    m = f"{most}" if share is None else f"least({most}, CAST(floor((c.b - c.a)*{share}) AS INT))"
     return f"""
 {cup_pairs(q)},
 {cup_fits()},
 cu5 AS (SELECT c.*, u FROM cup_pairs c JOIN fit_u f USING (symbol, a, b) JOIN fit_v v USING (symbol, a, b) WHERE u >= {q['cup_min_roundness']} AND v - u <= {q['cup_max_v_advantage']}),
-hb AS (SELECT c.symbol, c.a, c.b, z.idx AS j, z.close, max(z.high) OVER w AS hh, min(z.low) OVER w AS hl, max(z.high) OVER w2 AS before, least({most}, b - a) AS m FROM cu5 c JOIN e z ON z.symbol = c.symbol AND z.idx > b AND z.idx <= b + least({most}, b - a)
+hb AS (SELECT c.symbol, c.a, c.b, z.idx AS j, z.close, max(z.high) OVER w AS hh, min(z.low) OVER w AS hl, max(z.high) OVER w2 AS before, {m} AS m FROM cu5 c JOIN e z ON z.symbol = c.symbol AND z.idx > b AND z.idx <= b + {m}
   WINDOW w AS (PARTITION BY c.symbol, c.a, c.b ORDER BY z.idx), w2 AS (PARTITION BY c.symbol, c.a, c.b ORDER BY z.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 hj AS (SELECT symbol, a, b, min(j) AS jj FROM hb WHERE j >= b + {least_ + 1} AND close > before GROUP BY symbol, a, b),
 hv AS (SELECT hb.*, jj, coalesce(jj - 1, b + m) AS final_end FROM hb LEFT JOIN hj USING (symbol, a, b) WHERE j >= b + {least_} AND j <= coalesce(jj - 1, b + m)),
 hl AS (SELECT hv.*, z.idx AS hi_, z.atr AS ha FROM hv JOIN e z ON z.symbol = hv.symbol AND z.idx > hv.b AND z.idx <= hv.j AND z.low = hv.hl QUALIFY row_number() OVER (PARTITION BY hv.symbol, hv.a, hv.b, hv.j ORDER BY z.idx) = 1),
 cand_cup AS (SELECT c.symbol, '{CUP}' AS pattern, c.a*{SPAN}::BIGINT + c.b AS cand, h.j AS known, CASE WHEN h.j = final_end THEN 1073741824 ELSE h.j END AS until, h.j + 1 AS start, h.hh AS v0, 0 AS i0, 0.0::DOUBLE AS slope, NULL::DOUBLE AS flr,
-  h.hi_ AS last, h.hl AS last_low, h.ha AS last_atr, c.rb - c.bottom AS height, c.bottom AS target_at,
+  h.hi_ AS last, h.hl AS last_low, h.ha AS last_atr, {'c.ra' if q['cup_target_base'] == 'left_rim' else 'c.rb'} - c.bottom AS height, c.bottom AS target_at,
   50 + 15*(u - {q['cup_min_roundness']})/(1 - {q['cup_min_roundness']}) + 10*(1 - least(abs(depth - 0.25)/0.25, 1.0)) + 10*(1 - least((c.rb - h.hl)/c.rb/{q['handle_max_depth']}, 1.0)) AS score0,
   (c.ra - low_prior)/low_prior >= {q['cup_prior_advance']} AS decline_ok
   FROM cu5 c JOIN hl h ON c.symbol = h.symbol AND c.a = h.a AND c.b = h.b
@@ -168,10 +177,12 @@ def signals(q: dict, pattern: str, name: str, days: str = "true", bars: int | No
     """Signals as of every bar d that ``days`` allows, judged for each candidate and bar on its own."""
     cand = CANDIDATES[pattern][1]
     trend = {CUP: "s.sma50 > s.sma200", WOLFE: "false"}.get(pattern, "s.sma50 < s.sma200")
+    trend = trend if {CUP: q["cup_sma_or"], IHS: q["ihs_sma_or"], DOUBLE: q["db_sma_or"], WOLFE: True}[pattern] else "false"
+    veto = ("s.uptrend" if q["cup_above_sma200"] else "true") if pattern == CUP else ("NOT s.strong_down" if q["veto_reversals"] else "true")
     volume = q["volume_confirm"][pattern]
     loud = "true" if volume is None else f"coalesce(fb_vr >= {volume}, false)"
     wait = "true" if q["max_wait_bars"] is None else f"(conf OR d - last <= {q['max_wait_bars']})"
-    target = (f"CASE WHEN target_at <= close*(1 + {q['ww_max_target_gain']}) AND target_at > entry THEN target_at END" if pattern == WOLFE else "entry + height")
+    target = (f"CASE WHEN target_at <= close*(1 + {q['ww_max_target_gain']}) AND target_at > entry THEN target_at END" if pattern == WOLFE else "entry + coalesce(height, tr_ - target_at)")
     reward = "true" if q["min_reward_risk"] is None else f"(rr IS NULL OR rr >= {q['min_reward_risk']})"
     limit, weight = q["max_risk_pct"][pattern], 10 if pattern in (CUP, WOLFE) else 5
     up = "0.0" if pattern == CUP else "CASE WHEN uptrend THEN 5.0 ELSE 0.0 END"
@@ -185,10 +196,10 @@ def signals(q: dict, pattern: str, name: str, days: str = "true", bars: int | No
         share = q[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
         columns = f"c.* EXCLUDE (decline_ok), {high} - (SELECT z.low FROM e z WHERE z.symbol = c.symbol AND z.idx = c.cand // {SPAN}) >= {share}*c.height AS decline_ok"
     return f"""
-{name}1 AS (SELECT {columns}, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days}),
+{name}1 AS (SELECT {columns}, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.strong_down, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days}),
 {name}2 AS (SELECT s.symbol, s.cand, s.start, s.d, min(y.idx) AS fb FROM {name}1 s JOIN e y ON y.symbol = s.symbol AND y.idx >= s.start AND y.idx <= s.d AND y.close > v0 + slope*(y.idx - i0) WHERE s.close > now_ GROUP BY 1, 2, 3, 4),
 {name}3 AS (SELECT s.*, f.fb, y.vr AS fb_vr, v0 + slope*(f.fb - i0) AS at_ FROM {name}1 s LEFT JOIN {name}2 f ON s.symbol = f.symbol AND s.cand = f.cand AND s.start = f.start AND s.d = f.d LEFT JOIN e y ON y.symbol = s.symbol AND y.idx = f.fb
-  WHERE (decline_ok OR coalesce({trend}, false))),
+  WHERE (decline_ok OR coalesce({trend}, false)) AND {veto}),
 {name}4 AS (SELECT *, close > now_ AND {loud} AS conf FROM {name}3 WHERE CASE WHEN close > now_ THEN d - fb <= {max_age(q, pattern)} AND close <= at_*(1 + {q['max_runaway']})
   ELSE close >= now_*(1 - {q['watch_proximity']}) AND (flr IS NULL OR close > flr) END),
 {name}5 AS (SELECT *, CASE WHEN conf THEN at_ ELSE now_ END AS tr_, CASE WHEN conf AND close > at_ THEN close WHEN conf THEN at_ ELSE now_ END AS entry, last_low - 0.25*last_atr AS stop_ FROM {name}4),

@@ -186,17 +186,17 @@ pos AS (SELECT *, CASE WHEN symbol % 10 <> 9 THEN {o.r("entry + 2*(entry - stop)
 # First hit per position over 40 bars: the stop is looked at before the target.
 FATE = f"""
 fw AS (SELECT p.*, x.idx AS j, x.day AS jday, x.open AS o_, x.high AS h_, x.low AS l_, x.close AS c_ FROM pos p LEFT JOIN bars x ON x.symbol = p.symbol AND x.idx > p.d AND x.idx <= p.d + 40),
-f1 AS (SELECT symbol, d, count(j) AS n, min(CASE WHEN l_ <= stop THEN j END) AS js, min(CASE WHEN h_ >= target THEN j END) AS jt, min_by(o_, j) AS fill, min(jday) AS fill_day, max_by(c_, j) AS lc, max(jday) AS ld FROM fw GROUP BY symbol, d),
+f1 AS (SELECT symbol, d, pattern, count(j) AS n, min(CASE WHEN l_ <= stop THEN j END) AS js, min(CASE WHEN h_ >= target THEN j END) AS jt, min_by(o_, j) AS fill, min(jday) AS fill_day, max_by(c_, j) AS lc, max(jday) AS ld FROM fw GROUP BY symbol, d, pattern),
 f2 AS (SELECT *, CASE WHEN n = 0 THEN 'no_data' WHEN js IS NULL AND jt IS NULL THEN 'open' WHEN jt IS NULL OR js <= jt THEN 'stop' ELSE 'target' END AS o1 FROM f1),
 f3 AS (SELECT p.*, f2.n, f2.fill, f2.fill_day, o1, CASE o1 WHEN 'stop' THEN least(x.open, stop) WHEN 'target' THEN greatest(x.open, target) WHEN 'open' THEN lc END AS x1,
   CASE o1 WHEN 'stop' THEN js - p.d WHEN 'target' THEN jt - p.d ELSE n END AS b1, CASE WHEN o1 IN ('stop', 'target') THEN x.day ELSE ld END AS d1
-  FROM pos p JOIN f2 ON p.symbol = f2.symbol AND p.d = f2.d LEFT JOIN bars x ON x.symbol = p.symbol AND x.idx = CASE o1 WHEN 'stop' THEN js WHEN 'target' THEN jt END),
+  FROM pos p JOIN f2 ON p.symbol = f2.symbol AND p.d = f2.d AND p.pattern = f2.pattern LEFT JOIN bars x ON x.symbol = p.symbol AND x.idx = CASE o1 WHEN 'stop' THEN js WHEN 'target' THEN jt END),
 f4 AS (SELECT *, CASE WHEN o1 = 'no_data' THEN o1 WHEN fill > max_buy THEN 'gap' WHEN fill <= stop THEN 'below_stop' ELSE o1 END AS outcome FROM f3),
 f5 AS (SELECT *, CASE WHEN outcome IN ('stop', 'target', 'open') THEN x1 END AS exit, CASE WHEN outcome IN ('stop', 'target', 'open') THEN b1 ELSE 0 END AS bars,
   CASE WHEN outcome IN ('stop', 'target', 'open') THEN (x1 - fill)/(fill - stop) END AS r, CASE WHEN outcome IN ('stop', 'target', 'open') THEN d1 END AS exit_day FROM f4),
-ex AS (SELECT w.symbol, w.d, max(h_) AS mh, min(l_) AS ml, min(CASE WHEN h_ >= fill*1.05 THEN j END) AS ju, min(CASE WHEN c_ < w.stop THEN j END) AS jd FROM fw w JOIN f5 ON f5.symbol = w.symbol AND f5.d = w.d GROUP BY w.symbol, w.d),
+ex AS (SELECT w.symbol, w.d, w.pattern, max(h_) AS mh, min(l_) AS ml, min(CASE WHEN h_ >= fill*1.05 THEN j END) AS ju, min(CASE WHEN c_ < w.stop THEN j END) AS jd FROM fw w JOIN f5 ON f5.symbol = w.symbol AND f5.d = w.d AND f5.pattern = w.pattern GROUP BY w.symbol, w.d, w.pattern),
 fate AS (SELECT f5.*, CASE WHEN r IS NULL THEN NULL ELSE {o.r("mh/fill - 1", 4)} END AS mfe, CASE WHEN r IS NULL THEN NULL ELSE {o.r("ml/fill - 1", 4)} END AS mae,
-  CASE WHEN r IS NULL THEN NULL WHEN ju IS NOT NULL AND (jd IS NULL OR ju <= jd) THEN true WHEN jd IS NOT NULL THEN false END AS success5 FROM f5 LEFT JOIN ex ON f5.symbol = ex.symbol AND f5.d = ex.d)"""
+  CASE WHEN r IS NULL THEN NULL WHEN ju IS NOT NULL AND (jd IS NULL OR ju <= jd) THEN true WHEN jd IS NOT NULL THEN false END AS success5 FROM f5 LEFT JOIN ex ON f5.symbol = ex.symbol AND f5.d = ex.d AND f5.pattern = ex.pattern)"""
 _SUMMARY = f"""count(*) AS n, {", ".join(f"count(*) FILTER (WHERE outcome = '{x}') AS {'open' if x == 'open' else x}" for x in ("target", "stop", "open", "expired", "gap", "below_stop", "no_data"))},
   CASE WHEN count(*) FILTER (WHERE outcome IN ('target', 'stop')) > 0 THEN {o.r("count(*) FILTER (WHERE outcome = 'target')/CAST(count(*) FILTER (WHERE outcome IN ('target', 'stop')) AS DOUBLE)", 3)} END AS hit_rate"""
 _MEANS = f"{o.r('avg(r) FILTER (WHERE r IS NOT NULL)', 3)} AS mean_r, {o.r('sum(r)', 2)} AS total_r"
