@@ -22,6 +22,16 @@ def with_atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return bars.withColumn("tr", true_range()).withColumn("atr", exact_mean("tr", trailing(n)))
 
 
+def with_restarted_atr(bars: DataFrame, n: int = 14) -> DataFrame:
+    """atr_parts: what atr would be if the series began k - 1 bars earlier, for k = 1 ... n - 1, when its first true range is
+    that bar's high less its low."""
+    ticks = lambda c: F.round(c * TICKS).cast("long")
+    b = bars.withColumn("_t", ticks(F.col("tr"))).withColumn("_f", ticks(F.col("high") - F.col("low")))
+    before = lambda c, k: F.lag(c, k).over(series()) if k else F.col(c)
+    part = lambda k: sum((before("_t", m) for m in range(k - 1)), before("_f", k - 1)).cast("double") / (k * float(TICKS))
+    return b.withColumn("atr_parts", F.array(*[part(k) for k in range(1, n)])).drop("_t", "_f")
+
+
 def with_smas(bars: DataFrame) -> DataFrame:
     """sma50, sma200: differences of running sums of whole ticks, so a long frame costs no more than a short one."""
     so_far = series().rowsBetween(Window.unboundedPreceding, 0)

@@ -86,10 +86,10 @@ def rules_table(spark: SparkSession, variants: dict[int, dict]) -> DataFrame:
 
 
 class Fixed:
-    """The rules of one profile as literals. ``span`` is what any of the rules lets through."""
+    """The rules of one profile as literals. With ``windowed`` a candidate is judged by what a part of the series shows."""
 
-    def __init__(self, rules: dict, pattern: str):
-        self.flat, self.types = flat(rules, pattern), kinds()
+    def __init__(self, rules: dict, pattern: str, windowed: bool = False):
+        self.flat, self.types, self.windowed = flat(rules, pattern), kinds(), windowed
 
     def __call__(self, key: str) -> Column:
         return F.lit(self.flat[key]).cast(self.types[key])
@@ -103,7 +103,9 @@ class Fixed:
 
 
 class Joined:
-    """The rules of many variants as fields of a joined column ``rule``."""
+    """The rules of many variants as fields of a joined column ``rule``; ``loosest`` is what any of them lets through."""
+
+    windowed = False
 
     def __init__(self, variants: dict[int, dict]):
         self.variants = variants

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickwork.functions.columns import r, series, true
+from wickwork.functions.indicators import with_restarted_atr
 from wickwork.functions.rules import CUP, DOUBLE, IHS, PATTERNS, WOLFE, Fixed, Joined, rules_table
 from wickwork.sources.store import written
 
@@ -23,7 +24,7 @@ HISTORY = 60
 SPAN = 1 << 31
 #: What every candidate table has; ``anchors`` lists what the geometry rests on.
 COMMON = ("symbol", "pattern", "cand", "known", "until", "start", "v0", "i0", "slope", "floor", "last", "last_low", "last_atr",
-          "height", "target_at", "score0", "decline_ok", "anchors")
+          "height", "size", "target_at", "score0", "decline_ok", "anchors")
 
 
 #: What candidates and signals also have when many rules are applied at once.
@@ -59,10 +60,11 @@ def _within(value: Column, q, key: str) -> Column:
 def _lows(e: DataFrame, n: int, q, key: str) -> DataFrame:
     """Each swing low with the next ``n - 1`` ones: i1, low1, atr1, ... and hi60 at the first; no wider or narrower than any
     of the rules allows."""
-    lows = e.filter("piv_l").select("symbol", F.col("idx").alias("i1"), F.col("low").alias("low1"), F.col("atr").alias("atr1"), F.col("close").alias("close1"), "hi60")
+    shallowest = F.least("atr", F.array_min("atr_parts")) if q.windowed else F.col("atr")
+    lows = e.filter("piv_l").select("symbol", F.col("idx").alias("i1"), F.col("low").alias("low1"), F.col("atr").alias("atr1"), F.col("close").alias("close1"), shallowest.alias("unit1"), "hi60")
     w = Window.partitionBy("symbol").orderBy("i1")
     for k in range(2, n + 1):
-        for c in ("i", "low", "atr", "close"):
+        for c in ("i", "low", "atr", "close", "unit"):
             lows = lows.withColumn(f"{c}{k}", F.lead(f"{c}1", k - 1).over(w))
     return lows.filter((F.col(f"i{n}") - F.col("i1")).between(q.loosest(f"{key}_lo", True), q.loosest(f"{key}_hi", False)))
 
@@ -91,13 +93,14 @@ def double_bottom(e: DataFrame, q, table: DataFrame | None = None) -> DataFrame:
              + 10 * (1 - F.abs(F.ln("ratio")) / F.ln(q("db_time_sym")))
              + 10 * F.greatest(F.lit(0.0), F.least((F.col("peak") / F.col("higher") - 1) / q("db_min_rise") - 1, F.lit(1.0))))
     return _common(c, DOUBLE, cand=F.col("i1") * SPAN + F.col("i2"), known=F.col("i2") + 5, start=F.col("i2") + 1, v0=F.col("peak"), floor=F.col("low2"), last=F.col("i2"), last_low=F.col("low2"),
-                   last_atr=F.col("atr2"), height=height, score0=score, decline_ok=true(F.col("hi60") - F.col("low1") >= q("db_prior_decline_of_height") * height),
+                   last_atr=F.col("atr2"), height=height, size=height, score0=score, decline_ok=true(F.col("hi60") - F.col("low1") >= q("db_prior_decline_of_height") * height),
                    anchors=F.array(anchor("L1", "i1", "low1"), anchor("peak", "p", "peak"), anchor("L2", "i2", "low2")))
 
 
 def inverse_hs(e: DataFrame, q, table: DataFrame | None = None) -> DataFrame:
     c = _lows(e, 3, q, "ihs_len")
-    deep = lambda rule: (F.col("low2") < F.col("low1") - rule * F.col("atr2")) & (F.col("low2") < F.col("low3") - rule * F.col("atr2"))
+    # Seen through a window, the head's range may be less than in the whole series; such candidates are judged with it.
+    deep = lambda rule: (F.col("low2") < F.col("low1") - rule * F.col("unit2")) & (F.col("low2") < F.col("low3") - rule * F.col("unit2"))
     c = c.filter(deep(q.loosest("ihs_min_head_atr", True))).withColumn("ratio", (F.col("i2") - F.col("i1")) / F.greatest(F.col("i3") - F.col("i2"), F.lit(1)))
     c = c.withColumn("shallow", F.least(F.col("low1"), F.col("low3")) - F.col("low2")).withColumn("skew", F.abs(F.col("low1") - F.col("low3")))
     c = interval(c, e, F.col("i1") + 1, F.col("i3") - 1, _first_max("t1", F.col("j") < F.col("i2")), _first_max("t2", F.col("j") > F.col("i2")))
@@ -116,7 +119,7 @@ def inverse_hs(e: DataFrame, q, table: DataFrame | None = None) -> DataFrame:
              + 10 * (1 - F.least(F.col("tilt") / q("ihs_max_neck_slope"), F.lit(1.0))))
     # Without a height the target is measured from the trigger down to the head.
     return _common(c, IHS, cand=F.col("i1") * SPAN + F.col("i3"), known=F.col("i3") + 5, start=F.col("i3") + 1, v0=F.col("h1"), i0=F.col("n1"), slope=F.col("slope"), floor=F.col("low3"),
-                   last=F.col("i3"), last_low=F.col("low3"), last_atr=F.col("atr3"), height=F.when(q("ihs_target_at_head"), F.col("head")), target_at=F.col("low2"),
+                   last=F.col("i3"), last_low=F.col("low3"), last_atr=F.col("atr3"), height=F.when(q("ihs_target_at_head"), F.col("head")), size=F.col("head"), target_at=F.col("low2"),
                    score0=score, decline_ok=ok, anchors=F.array(anchor("LS", "i1", "low1"), anchor("head", "i2", "low2"), anchor("RS", "i3", "low3")))
 
 
@@ -231,10 +234,10 @@ def cup_handle(e: DataFrame, q, table: DataFrame | None = None) -> DataFrame:
                    anchors=F.array(anchor("left rim", "a", "rim_a"), anchor("bottom", "bi", "bottom"), anchor("right rim", "b", "rim_b"), anchor("handle low", "hl_i", "hl")))
 
 
-def _common(c: DataFrame, pattern: str, *, until=None, i0=None, slope=None, floor=None, height=None, target_at=None, **columns) -> DataFrame:
+def _common(c: DataFrame, pattern: str, *, until=None, i0=None, slope=None, floor=None, height=None, size=None, target_at=None, **columns) -> DataFrame:
     number = lambda x: F.lit(None).cast("double") if x is None else x.cast("double")
     columns |= {"until": F.lit(2**30) if until is None else until, "i0": F.lit(0) if i0 is None else i0, "slope": F.lit(0.0) if slope is None else slope,
-                "floor": number(floor), "height": number(height), "target_at": number(target_at), "pattern": F.lit(pattern)}
+                "floor": number(floor), "height": number(height), "size": number(size), "target_at": number(target_at), "pattern": F.lit(pattern)}
     return c.select("symbol", *[columns[x].alias(x) for x in COMMON[1:]], *[x for x in VARIANT if x in c.columns])
 
 
@@ -273,9 +276,9 @@ def passage_blocks() -> Column:
     return F.concat(F.array(F.floor(F.col("start") / BLOCK)), F.transform(kept, lambda x: x["b"]))
 
 
-def candidates(e: DataFrame, rules: dict, pattern: str) -> DataFrame:
+def candidates(e: DataFrame, rules: dict, pattern: str, windowed: bool = False) -> DataFrame:
     """The candidates of one pattern under one profile."""
-    return DETECTORS[pattern](e, Fixed(rules, pattern))
+    return DETECTORS[pattern](e, Fixed(rules, pattern, windowed))
 
 
 def breakouts(c: DataFrame, e: DataFrame, sums: DataFrame | None = None) -> DataFrame:
@@ -298,19 +301,62 @@ def report_blocks(q) -> Column:
     return F.transform(on, lambda x: x["b"])
 
 
-def in_window(s, e, q, pattern, bars):
-    share = q.flat[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
-    start, first = F.col("d") - (bars - 1), F.floor(F.col("cand") / SPAN)
-    s = s.filter(first >= start + 5)
-    top = interval(s.select("symbol", "cand", "d"), e, F.greatest(first - 60, start), first, F.max("jhigh").alias("_top"))
-    ok = F.lit(False) if share is None else F.col("_top") - F.col("anchors")[0]["price"] >= share * F.col("height")
-    return s.join(top, ["symbol", "cand", "d"]).withColumn("decline_ok", ok).drop("_top")
+def extremes(e: DataFrame, longest: int) -> DataFrame:
+    """(symbol, level, at, hi, lo): the highest high and lowest low of the 2^level bars from bar ``at`` on, up to ``longest``
+    bars: two rows that overlap cover any stretch of bars, so a stretch is looked up by equality."""
+    b, w = e.select("symbol", "idx", F.col("high").alias("hi0"), F.col("low").alias("lo0")), series()
+    top = longest.bit_length() - 1
+    for k in range(top):
+        ahead = lambda c: F.lead(c, 2**k).over(w)  # noqa: B023, E731
+        b = b.withColumn(f"hi{k + 1}", F.greatest(f"hi{k}", ahead(f"hi{k}"))).withColumn(f"lo{k + 1}", F.least(f"lo{k}", ahead(f"lo{k}")))
+    rows = F.array(*[F.struct(F.lit(k).alias("level"), F.col(f"hi{k}").alias("hi"), F.col(f"lo{k}").alias("lo")) for k in range(top + 1)])
+    return b.select("symbol", F.col("idx").alias("at"), F.explode(rows).alias("x")).select("symbol", "at", "x.*")
 
 
-def states(c: DataFrame, e: DataFrame, q, pattern: str, days: DataFrame | None = None, bars: int | None = None, sums: DataFrame | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """``rows`` with name_hi and name_lo, the extremes of the bars from ``low`` to ``high``."""
+    level = F.length(F.bin(high - low + 1)) - 1
+    out = rows.withColumn("level", level).withColumn("_one", low.cast("long")).withColumn("_two", (high - F.call_function("shiftleft", F.lit(1), F.col("level")) + 1).cast("long"))
+    for k in ("_one", "_two"):
+        out = out.join(table.select("symbol", "level", F.col("at").cast("long").alias(k), F.col("hi").alias(f"hi{k}"), F.col("lo").alias(f"lo{k}")), ["symbol", "level", k])
+    return out.withColumn(f"{name}_hi", F.greatest("hi_one", "hi_two")).withColumn(f"{name}_lo", F.least("lo_one", "lo_two")).drop("level", "_one", "_two", "hi_one", "lo_one", "hi_two", "lo_two")
+
+
+def in_window(s: DataFrame, e: DataFrame, q, pattern: str, bars: int, table: DataFrame) -> DataFrame:
+    """States as a scan of the last ``bars`` bars sees them: all anchors are pivots inside it, looks back from the first of
+    them end at its first bar, and so does the range that a head's depth is measured in. ``table`` has the :func:`extremes`.
+
+    The averages need 240 bars and the volume 20, so a shorter window or a longer volume raises.
+    """
+    if bars < 240 or q.flat["volume_len"] > 20:
+        raise ValueError("a window has at least 240 bars, and volume_len of at most 20")
+    price = lambda i: F.col("anchors")[i]["price"]
+    s = s.withColumn("_start", F.col("d") - (bars - 1)).withColumn("_first", F.floor(F.col("cand") / SPAN)).filter(F.col("_first") >= F.col("_start") + 5)
+    back = lambda n: F.greatest(F.col("_first") - n, F.col("_start"), F.lit(0))
+    if pattern in (DOUBLE, IHS):
+        s = looked_up(s, table, back(60), F.col("_first"), "w")
+        fall = F.col("w_hi") - price(0)
+    if pattern == DOUBLE:
+        s = s.withColumn("decline_ok", true(fall >= q("db_prior_decline_of_height") * F.col("size")))
+    if pattern == IHS:
+        s = s.withColumn("decline_ok", true(fall / F.col("w_hi") >= q("ihs_prior_decline")) | true(fall >= q("ihs_prior_decline_of_height") * F.col("size")))
+        at = e.select("symbol", F.col("idx").alias("_head"), F.col("atr").alias("_atr"), F.col("atr_parts").alias("_parts"))
+        s = s.withColumn("_head", F.col("anchors")[1]["idx"]).join(at, ["symbol", "_head"])
+        since = F.col("_head") - F.greatest(F.col("_start"), F.lit(0))
+        deep = q("ihs_min_head_atr") * F.when(since >= F.size("_parts"), F.col("_atr")).otherwise(F.get("_parts", since.cast("int")))
+        s = s.filter((price(1) < price(0) - deep) & (price(1) < price(2) - deep))
+    if pattern == CUP:
+        s = looked_up(s, table, back(q("cup_prior_lookback")), F.col("_first"), "w")
+        s = looked_up(s, table, back(q("cup_advance_lookback")), F.col("_first"), "v")
+        s = s.withColumn("decline_ok", (price(0) - F.col("w_lo")) / F.col("w_lo") >= q("cup_prior_advance"))
+        s = s.filter(_off(q("cup_max_retrace"), price(0) - price(1) <= q("cup_max_retrace") * (price(0) - F.col("v_lo"))))
+    return s
+
+
+def states(c: DataFrame, e: DataFrame, q, pattern: str, days: DataFrame | None = None, bars: int | None = None, sums: DataFrame | None = None, table: DataFrame | None = None) -> DataFrame:
     """Signals of one pattern as of bars d (all bars, or those of ``days`` (symbol, d)), before the best are picked.
 
-    With ``bars`` each scan sees that many bars."""
+    With ``bars`` each scan sees that many bars; ``table`` has their :func:`extremes`."""
     sums = written(summaries(e)) if sums is None else sums
     volume = [x for x in e.columns if x == "vr" or x.startswith("vr_")]
     c = breakouts(c, e, sums).join(e.select("symbol", F.col("idx").alias("fb"), *volume), ["symbol", "fb"], "left")
@@ -329,7 +375,7 @@ def states(c: DataFrame, e: DataFrame, q, pattern: str, days: DataFrame | None =
     s = s.filter(F.when(F.col("above"), true((age >= 0) & (age <= q("max_age")) & (F.col("close") <= F.col("at_break") * (1 + q("max_runaway"))))).otherwise(
         (F.col("close") >= F.col("now") * (1 - q("watch_proximity"))) & (F.col("floor").isNull() | (F.col("close") > F.col("floor")))))
     if bars is not None:
-        s = in_window(s, e, q, pattern, bars)
+        s = in_window(s, e, q, pattern, bars, table)
     # Trend rules of the day.
     if pattern == CUP:
         s = s.filter((F.col("decline_ok") | (q("cup_sma_or") & true(F.col("sma50") > F.col("sma200")))) & (~q("cup_above_sma200") | F.col("uptrend")))
@@ -369,11 +415,14 @@ def best(signals: DataFrame) -> DataFrame:
 
 
 def scan(e: DataFrame, rules: dict, patterns=PATTERNS, days: DataFrame | None = None, bars: int | None = None, mood: DataFrame | None = None) -> DataFrame:
-    """The signals of ``patterns`` as of the bars of ``days``, or of every bar; with ``mood`` (symbol, idx, fear_greed) each
+    """The signals of ``patterns`` as of the bars of ``days``, or of every bar; with ``bars`` as scans of so many bars see
+    them; with ``mood`` (symbol, idx, fear_greed) each
     has the symbol's reading of its bar."""
     # Candidates are few beside the bars; as tables they are found once and planned once.
-    sums = written(summaries(e))
-    found = [states(written(candidates(e, rules, p)), e, Fixed(rules, p), p, days, bars, sums) for p in patterns]
+    sums, table = written(summaries(e)), None
+    if bars is not None:
+        e, table = written(with_restarted_atr(e, rules["atr_len"])), written(extremes(e, max(rules["cup_prior_lookback"], rules["cup_advance_lookback"], 60) + 1))
+    found = [states(written(candidates(e, rules, p, bars is not None)), e, Fixed(rules, p), p, days, bars, sums, table) for p in patterns]
     out = best(reduce(DataFrame.unionByName, found))
     return out if mood is None else out.join(mood.select("symbol", F.col("idx").alias("d"), "fear_greed"), ["symbol", "d"], "left")
 

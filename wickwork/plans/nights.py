@@ -237,15 +237,21 @@ def walk_forward_members(spark, sf_dir):
     return replay.first_seen(rows).select("symbol", "day", "pattern", "stop")
 
 
-_Q = profile("tuned")
+def _windowed_sql(bars):
+    parts, names = [o.enriched(TUNED)], []
+    for i, (p, (candidates, _)) in enumerate(o.CANDIDATES.items()):
+        text = candidates(TUNED, True) if p == IHS else candidates(TUNED)
+        parts += [text.replace(f"\n{o._lows()},", "") if any(o._lows() in x for x in parts) else text, o.signals(TUNED, p, f"s{i}_", bars=bars)]
+        names.append(f"SELECT * FROM s{i}_")
+    return ",".join(parts) + ", allsig AS (" + " UNION ALL ".join(names) + ")"
 
 
-@query(o.with_(o.BARS, o.enriched(_Q), o.double_bottom(_Q), o.signals(_Q, DOUBLE, "sig", bars=250)) + "SELECT symbol, pattern, stop, min(d) AS d FROM sig WHERE status = 'CONFIRMED' GROUP BY 1, 2, 3")
+@query(o.with_(o.BARS, _windowed_sql(250)) + "SELECT symbol, pattern, stop, min(d) AS d, count(*) AS reports FROM allsig WHERE status = 'CONFIRMED' GROUP BY 1, 2, 3")
 def walk_forward_bars_window(spark, sf_dir):
-    """First reports of double bottoms when each scan sees the last 250 bars."""
+    """First reports of all four patterns, and how often each came, when every scan sees the last 250 bars."""
     e = enriched(spark, sf_dir, TUNED)
-    s = det.scan(e, TUNED, (DOUBLE,), bars=250).filter("status = 'CONFIRMED'")
-    return s.groupBy("symbol", "pattern", "stop").agg(F.min("d").alias("d"))
+    s = det.scan(e, TUNED, bars=250).filter("status = 'CONFIRMED'")
+    return s.groupBy("symbol", "pattern", "stop").agg(F.min("d").alias("d"), F.count("*").alias("reports"))
 
 
 @query(o.with_(o.BARS) + "SELECT day, row_number() OVER (ORDER BY day) - 1 AS no FROM (SELECT DISTINCT day FROM bars WHERE day <= DATE '2000-12-31' ORDER BY day DESC LIMIT 63)")

@@ -87,7 +87,8 @@ cand_db AS (SELECT symbol, '{DOUBLE}' AS pattern, l1*{SPAN}::BIGINT + l2 AS cand
   hi60 - v1 >= {q['db_prior_decline_of_height']}*(peak - lo) AS decline_ok FROM db3 WHERE ratio <= {q['db_time_sym']} AND ratio >= 1/{q['db_time_sym']})"""
 
 
-def inverse_hs(q: dict) -> str:
+def inverse_hs(q: dict, windowed: bool = False) -> str:
+    """With ``windowed`` the depth of the head is left to the signals, which know where the window begins."""
     sym, share, fall, drop = q["ihs_shoulder_sym"], q["ihs_shoulder_sym_of_height"], q["ihs_prior_decline"], q["ihs_prior_decline_of_height"]
     shallow = "(least(lv, rv) - hv)"
     limit = f"{sym}*{shallow}" if sym is not None else f"{share or 0.0}*head"
@@ -97,13 +98,13 @@ def inverse_hs(q: dict) -> str:
     return f"""
 {_lows()},
 ih1 AS (SELECT symbol, idx AS ls, idx1 AS h, idx2 AS rs, low AS lv, low1 AS hv, low2 AS rv, atr2 AS ra, close1 AS hc, hi60, (idx1 - idx) / CAST(greatest(idx2 - idx1, 1) AS DOUBLE) AS ratio FROM lows
-  WHERE idx2 - idx BETWEEN {q['ihs_len'][0]} AND {q['ihs_len'][1]} AND low1 < low - {q['ihs_min_head_atr']}*atr1 AND low1 < low2 - {q['ihs_min_head_atr']}*atr1),
+  WHERE idx2 - idx BETWEEN {q['ihs_len'][0]} AND {q['ihs_len'][1]} AND {"low1 < low AND low1 < low2" if windowed else f"low1 < low - {q['ihs_min_head_atr']}*atr1 AND low1 < low2 - {q['ihs_min_head_atr']}*atr1"}),
 ih2 AS (SELECT c.*, x.idx AS n1, x.high AS h1 FROM ih1 c JOIN e x ON x.symbol = c.symbol AND x.idx > ls AND x.idx < h QUALIFY row_number() OVER (PARTITION BY c.symbol, ls ORDER BY x.high DESC, x.idx) = 1),
 ih3 AS (SELECT c.*, x.idx AS n2, x.high AS h2 FROM ih2 c JOIN e x ON x.symbol = c.symbol AND x.idx > h AND x.idx < rs QUALIFY row_number() OVER (PARTITION BY c.symbol, ls ORDER BY x.high DESC, x.idx) = 1),
 ih4 AS (SELECT *, (h2 - h1)/(n2 - n1) AS slope FROM ih3 WHERE ratio <= {q['ihs_time_sym']} AND ratio >= 1/{q['ihs_time_sym']}),
 ih5 AS (SELECT *, abs(slope*(rs - ls))/hc AS tilt, h1 + slope*(h - n1) - hv AS head FROM ih4),
 cand_ihs AS (SELECT symbol, '{IHS}' AS pattern, ls*{SPAN}::BIGINT + rs AS cand, rs + 5 AS known, 1073741824 AS until, rs + 1 AS start, h1 AS v0, n1 AS i0, slope, rv AS flr, rs AS last, rv AS last_low, ra AS last_atr,
-  {'head' if q['ihs_target_at_head'] else 'NULL::DOUBLE'} AS height, hv AS target_at,
+  {'head' if q['ihs_target_at_head'] else 'NULL::DOUBLE'} AS height, hv AS target_at, lv, hv, rv, h, head,
   50 + 15*(1 - least(abs(lv - rv)/greatest({limit}, 1e-9), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['ihs_time_sym']})) + 10*(1 - least(tilt/{q['ihs_max_neck_slope']}, 1.0)) AS score0,
   {ok} AS decline_ok
   FROM ih5 WHERE tilt <= {q['ihs_max_neck_slope']} AND {alike} AND {side})"""
@@ -164,7 +165,7 @@ hl AS (SELECT hv.*, z.idx AS hi_, z.atr AS ha FROM hv JOIN e z ON z.symbol = hv.
 cand_cup AS (SELECT c.symbol, '{CUP}' AS pattern, c.a*{SPAN}::BIGINT + c.b AS cand, h.j AS known, CASE WHEN h.j = final_end THEN 1073741824 ELSE h.j END AS until, h.j + 1 AS start, h.hh AS v0, 0 AS i0, 0.0::DOUBLE AS slope, NULL::DOUBLE AS flr,
   h.hi_ AS last, h.hl AS last_low, h.ha AS last_atr, {'c.ra' if q['cup_target_base'] == 'left_rim' else 'c.rb'} - c.bottom AS height, c.bottom AS target_at,
   50 + 15*(u - {q['cup_min_roundness']})/(1 - {q['cup_min_roundness']}) + 10*(1 - least(abs(depth - 0.25)/0.25, 1.0)) + 10*(1 - least((c.rb - h.hl)/c.rb/{q['handle_max_depth']}, 1.0)) AS score0,
-  (c.ra - low_prior)/low_prior >= {q['cup_prior_advance']} AS decline_ok
+  (c.ra - low_prior)/low_prior >= {q['cup_prior_advance']} AS decline_ok, c.ra, c.bottom
   FROM cu5 c JOIN hl h ON c.symbol = h.symbol AND c.a = h.a AND c.b = h.b
   WHERE (c.rb - h.hl)/c.rb <= {q['handle_max_depth']} AND h.hl >= c.bottom + 0.5*(c.rb - c.bottom) AND (c.rb - h.hl)/c.rb <= {q['handle_fraction_of_cup']}*depth)"""
 
@@ -189,14 +190,21 @@ def signals(q: dict, pattern: str, name: str, days: str = "true", bars: int | No
     cap = f"tr_*(1 + {q['max_runaway']})"
     if q["max_buy_risk_mult"] is not None:
         cap = f"least({cap}, stop_ + {q['max_buy_risk_mult']}*(entry - stop_))"
-    columns = "c.*"
+    columns, seen = "c.*", "true"
     if bars is not None:
         days += f" AND cand // {SPAN} >= x.idx - {bars} + 6"
-        high = f"(SELECT max(z.high) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(c.cand // {SPAN} - 60, x.idx - {bars} + 1) AND c.cand // {SPAN})"
-        share = q[{DOUBLE: "db_prior_decline_of_height", IHS: "ihs_prior_decline_of_height"}[pattern]]
-        columns = f"c.* EXCLUDE (decline_ok), {high} - (SELECT z.low FROM e z WHERE z.symbol = c.symbol AND z.idx = c.cand // {SPAN}) >= {share}*c.height AS decline_ok"
+        low, high = (lambda n: f"(SELECT min(z.low) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(c.cand // {SPAN} - {n}, x.idx - {bars} + 1) AND c.cand // {SPAN})"), f"(SELECT max(z.high) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(c.cand // {SPAN} - 60, x.idx - {bars} + 1) AND c.cand // {SPAN})"
+        if pattern == DOUBLE:
+            columns = f"c.* EXCLUDE (decline_ok), {high} - (SELECT z.low FROM e z WHERE z.symbol = c.symbol AND z.idx = c.cand // {SPAN}) >= {q['db_prior_decline_of_height']}*c.height AS decline_ok"
+        if pattern == IHS:
+            columns = f"c.* EXCLUDE (decline_ok), {high} - c.lv >= {q['ihs_prior_decline_of_height']}*c.head AS decline_ok"
+            unit = f"(SELECT CAST(sum(CAST(round((CASE WHEN z.idx = greatest(x.idx - {bars} + 1, 0) THEN z.high - z.low ELSE z.tr END)*1e6) AS BIGINT)) AS DOUBLE)/(count(*)*1e6) FROM e z WHERE z.symbol = c.symbol AND z.idx BETWEEN greatest(x.idx - {bars} + 1, c.h - 13) AND c.h)"
+            seen = f"c.hv < c.lv - {q['ihs_min_head_atr']}*{unit} AND c.hv < c.rv - {q['ihs_min_head_atr']}*{unit}"
+        if pattern == CUP:
+            columns = f"c.* EXCLUDE (decline_ok), (c.ra - {low(q['cup_prior_lookback'])})/{low(q['cup_prior_lookback'])} >= {q['cup_prior_advance']} AS decline_ok"
+            seen = f"c.ra - c.bottom <= {q['cup_max_retrace']}*(c.ra - {low(q['cup_advance_lookback'])})"
     return f"""
-{name}1 AS (SELECT {columns}, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.strong_down, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days}),
+{name}1 AS (SELECT {columns}, x.idx AS d, x.day, x.close, x.sma50, x.sma200, x.uptrend, x.strong_down, x.trend, v0 + slope*(x.idx - i0) AS now_ FROM {cand} c JOIN e x ON x.symbol = c.symbol AND x.idx >= greatest(known, 59) AND x.idx <= until AND {days} WHERE {seen}),
 {name}2 AS (SELECT s.symbol, s.cand, s.start, s.d, min(y.idx) AS fb FROM {name}1 s JOIN e y ON y.symbol = s.symbol AND y.idx >= s.start AND y.idx <= s.d AND y.close > v0 + slope*(y.idx - i0) WHERE s.close > now_ GROUP BY 1, 2, 3, 4),
 {name}3 AS (SELECT s.*, f.fb, y.vr AS fb_vr, v0 + slope*(f.fb - i0) AS at_ FROM {name}1 s LEFT JOIN {name}2 f ON s.symbol = f.symbol AND s.cand = f.cand AND s.start = f.start AND s.d = f.d LEFT JOIN e y ON y.symbol = s.symbol AND y.idx = f.fb
   WHERE (decline_ok OR coalesce({trend}, false)) AND {veto}),
