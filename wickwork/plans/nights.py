@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from wickwork.plans.scans import _FG, enriched
 from wickwork.functions import indicators as ind
 from wickwork.operators import market
 from wickwork.sources import bars as src
-from wickwork.sources.store import written
+from wickwork.sources import runs as store
+from wickwork.sources.store import shared_dir, written
 from wickwork.streaming import bars as streaming
+from wickwork.streaming import listings
 
 TUNED = profile("tuned")
 #: Bars from one run to the next: every session has its run.
@@ -145,6 +149,38 @@ def demote_watch_only(spark, sf_dir):
     return lifecycle.demote(p, profile()).select("symbol", "d", "pattern", "status", "watch_only")
 
 
+# The list as a stream, and the store of runs -----------------------------------------------------------------------------
+
+#: Days of bars that the stream is given between two starts.
+_DAYS = 700
+
+
+@query(_l("SELECT symbol, run, pattern, stop, status, state AS event, CAST(first_listed AS VARCHAR) AS first_listed, listed_day, NULL AS outcome FROM listed UNION ALL SELECT symbol, run, pattern, stop, status, 'closed', NULL, NULL, outcome FROM closed WHERE n > 0", _LISTED, _CLOSE))
+def follow_stream(spark, sf_dir):
+    """The whole log fed to the keyed stream in stretches of days; for each it starts again from its checkpoint."""
+    e = enriched(spark, sf_dir, TUNED)
+    folder = f"{shared_dir(spark)}/follow-{uuid.uuid4().hex}"
+    rows = written(listings.runs(signal_log(spark, sf_dir, e), e).withColumn("part", F.floor(F.datediff("day", F.lit("1990-01-01").cast("date")) / _DAYS)))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", listings.PROVIDER)
+    stream = None
+    for part in sorted(r.part for r in rows.select("part").distinct().collect()):
+        rows.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/runs")
+        stream = listings.follow(spark.readStream.schema(listings.RUN).parquet(f"{folder}/runs"), TUNED)
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    if stream is None:
+        return spark.createDataFrame([], listings.EVENT).drop("bars")
+    return spark.read.schema(listings.EVENT).parquet(f"{folder}/events").filter("bars is null or bars > 0").drop("bars")
+
+
+@query(_l("SELECT CAST(symbol AS VARCHAR) AS symbol, run, pattern, status, entry, stop, target, score, 'tuned' AS profile FROM slog WHERE run = (SELECT max(run) FROM slog WHERE run < 200)"))
+def run_store_previous(spark, sf_dir):
+    """The log as a store of documents by run; the newest run before run 200, read back from its folder alone."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.write(store.documents(signal_log(spark, sf_dir), "tuned"), path)
+    return store.signals(store.latest(spark, path, 200)).select("symbol", "run", "pattern", "status", "entry", "stop", "target", "score", "profile")
+
+
 # Trade levels on the positions --------------------------------------------------------------------------------------------
 
 def _p(body, *more):
