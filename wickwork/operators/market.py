@@ -55,7 +55,20 @@ def memberships(snapshots: DataFrame) -> DataFrame:
                     F.coalesce(F.date_sub(F.lead("snapshot_date").over(w), 1), F.lit("9999-12-31").cast("date")).alias("valid_to"))
 
 
+def intervals(snapshots: DataFrame) -> DataFrame:
+    """(symbol, valid_from, valid_to): each stretch of consecutive snapshots that have a symbol, as one row."""
+    spans = memberships(snapshots).withColumn("no", F.row_number().over(Window.orderBy("snapshot_date")))
+    s = snapshots.select("snapshot_date", "symbol").distinct().join(F.broadcast(spans), "snapshot_date")  # one row per snapshot date
+    island = F.col("no") - F.row_number().over(Window.partitionBy("symbol").orderBy("no"))
+    return s.withColumn("_i", island).groupBy("symbol", "_i").agg(F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to")).drop("_i")
+
+
+def only_members(rows: DataFrame, day: str, snapshots: DataFrame) -> DataFrame:
+    """The ``rows`` (with symbol) whose symbol was a member on their day: a row meets its symbol's few intervals."""
+    i = intervals(snapshots).withColumnRenamed("symbol", "_s")
+    return rows.join(i, (F.col("symbol") == F.col("_s")) & F.col(day).between(F.col("valid_from"), F.col("valid_to")), "left_semi")
+
+
 def members(days: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(day, symbol): who was a member on each day."""
-    spans = F.broadcast(memberships(snapshots))  # one row per snapshot date
-    return days.join(spans, F.col("day").between(F.col("valid_from"), F.col("valid_to"))).select("day", "snapshot_date").join(snapshots, "snapshot_date").select("day", "symbol")
+    """(day, symbol): who was a member on each day; ``days`` has one row per session."""
+    return intervals(snapshots).join(F.broadcast(days), F.col("day").between(F.col("valid_from"), F.col("valid_to"))).select("day", "symbol")

@@ -42,6 +42,30 @@ def day_on_list(signals: DataFrame, evaluation: DataFrame) -> DataFrame:
     return j.withColumn("day_on", F.coalesce("listed_day", F.when(F.col("_last") == F.col("day"), F.col("_days")))).drop("_days", "_last")
 
 
+#: An anchor in a note: label, day and price. Older notes write "on" before the day, "at" or a blank after the sign.
+ANCHOR = r"([A-Za-z0-9][A-Za-z0-9 ]*?) (?:on )?(\d{4}-\d{2}-\d{2}) (?:@|at )\s?(\d+(?:\.\d+)?)"
+
+
+def notes(rows: DataFrame, e: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """(key..., notes): what a row's anchors are, in words: label, day and price of each in order, then the trigger.
+
+    ``rows`` have symbol, ``key`` (unique), anchors (label, idx, price) and v0 or trigger; days come from the bars ``e``.
+    """
+    level = "trigger" if "trigger" in rows.columns else "v0"
+    days = e.select("symbol", F.col("idx").alias("_idx"), F.col("day").alias("_day"))
+    a = rows.select("symbol", *[k for k in key if k != "symbol"], level, F.posexplode("anchors").alias("_at", "a")).withColumn("_idx", F.col("a.idx")).join(days, ["symbol", "_idx"])
+    words = F.concat_ws(" ", "a.label", F.col("_day").cast("string"), F.concat(F.lit("@"), F.format_string("%.2f", "a.price")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", words.alias("words")))), lambda x: x["words"]), ", ")
+    return a.groupBy(*key, level).agg(text.alias("_text")).select(*key, F.concat("_text", F.lit("; trigger "), F.format_string("%.2f", level)).alias("notes"))
+
+
+def read_notes(rows: DataFrame, column: str = "notes") -> DataFrame:
+    """``rows`` once for each anchor that a note names, with label, day and price; a note without any gives no rows."""
+    found = F.arrays_zip(*[F.regexp_extract_all(column, F.lit(ANCHOR), F.lit(k)).alias(n) for k, n in ((1, "label"), (2, "day"), (3, "price"))])
+    out = rows.withColumn("_a", F.explode(found)).drop(column)
+    return out.select(*[c for c in out.columns if c != "_a"], F.col("_a.label").alias("label"), F.to_date("_a.day").alias("day"), F.col("_a.price").cast("double").alias("price"))
+
+
 def chips(s: DataFrame) -> Column:
     """What a page says of a row beside its levels: the market's trend, the row's own, its volume, and fear and greed if given."""
     market_ = F.when(F.col("regime").isNotNull(), F.concat(F.lit("Market: "), "regime", F.lit(" trend")))

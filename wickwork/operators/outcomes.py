@@ -171,6 +171,22 @@ def described(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return stats.join(middle, match).select(*stats.columns, "median_r")
 
 
+def reported(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """:func:`described` with the deepest drawdown of the groups' traded rows by scan_day and ``order``, and the month
+    bootstrap of their mean and drawdown; the columns of ``by`` are not null."""
+    rows = written(rows.select(*by, "scan_day", *order, "outcome", "r", "success5", "mfe", "mae"))
+    traded = rows.filter("r is not null")
+    out = described(rows, by).join(drawdown(traded, by, "scan_day", order), list(by), "left")
+    return out.join(month_bootstrap(traded, by, order=("scan_day", *order)).drop("blocks"), list(by), "left")
+
+
+def slices(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each slice they are in: kind and slice, for all, the pattern, the score bucket and the regime."""
+    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("slice"))
+    every = F.array(one("overall", F.lit("all")), one("pattern", F.col("pattern")), one("score", score_bucket()), one("regime", F.col("regime")))
+    return rows.withColumn("_s", F.explode(every)).filter("_s.slice is not null").withColumn("kind", F.col("_s.kind")).withColumn("slice", F.col("_s.slice")).drop("_s")
+
+
 def score_bucket() -> Column:
     out = F.lit(None).cast("string")
     for lo, hi in SCORE_BUCKETS:
@@ -180,10 +196,7 @@ def score_bucket() -> Column:
 
 def breakdown(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Statistics overall, by pattern, by score bucket and by regime: kind, slice, ...; apart for each ``by``."""
-    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("slice"))
-    slices = F.array(one("overall", F.lit("all")), one("pattern", F.col("pattern")), one("score", score_bucket()), one("regime", F.col("regime")))
-    rows = rows.withColumn("_s", F.explode(slices)).filter("_s.slice is not null").withColumn("kind", F.col("_s.kind")).withColumn("slice", F.col("_s.slice"))
-    return described(rows, (*by, "kind", "slice"))
+    return described(slices(rows), (*by, "kind", "slice"))
 
 
 def running(rows: DataFrame, by: tuple[str, ...], day: str, order: tuple[str, ...]) -> DataFrame:
@@ -241,13 +254,13 @@ def month_bootstrap(rows: DataFrame, by: tuple[str, ...], replicates: int = 2000
 EXTRAS, BASES, MODES = (0.0, 0.25, 0.75, 1.0), ("intraday", "close"), ("full", "half", "breakout")
 
 
-def grid(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
-    """Traded ``rows`` scored again under every variant: extra, basis, mode and their summary.
+def grid(rows: DataFrame, bars: DataFrame, horizon: int = 40, by: tuple[str, ...] = ()) -> DataFrame:
+    """Traded ``rows`` scored again under every variant: extra, basis, mode and their summary, apart for each ``by``.
 
     A path is searched once for each of the eight stops and once for each of the three targets: what each leaves is a place
     and the price of an exit there, and a variant compares a stop's with a target's.
     """
-    v = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", "cup_bottom", "cup_trigger")
+    v = rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", "cup_bottom", "cup_trigger", *by)
     v = paths(v, bars, horizon).filter(seen() > 0)
     fill = F.col("fill")
     cup = (F.col("pattern") == CUP) & F.col("cup_bottom").isNotNull()
@@ -265,23 +278,24 @@ def grid(rows: DataFrame, bars: DataFrame, horizon: int = 40) -> DataFrame:
             place, stop = F.col(f"_at_{i}_{b}"), F.col(f"_s_{i}")
             price = at(place, "close") if b == "close" else F.least(at(place, "open"), stop)
             falls.append(F.struct(F.lit(x).alias("extra"), F.lit(b).alias("basis"), place.alias("place"), stop.alias("stop"), price.alias("exit")))
-    v = v.select("fill", at(seen(), "close").alias("last"), F.array(*ends).alias("ends"), F.explode(F.array(*falls)).alias("s")).select("fill", "last", "s", F.explode("ends").alias("t"))
+    v = v.select(*by, "fill", at(seen(), "close").alias("last"), F.array(*ends).alias("ends"), F.explode(F.array(*falls)).alias("s")).select(*by, "fill", "last", "s", F.explode("ends").alias("t"))
     stopped, hit = _meets(F.col("s.place"), F.col("t.place"))
     exit_ = F.when(hit == 0, F.col("last")).when(stopped, F.col("s.exit")).otherwise(F.col("t.exit"))
     v = v.withColumn("outcome", F.when(hit == 0, "open").when(stopped, "stop").otherwise("target")).withColumn("r", F.when(fill > F.col("s.stop"), (exit_ - fill) / (fill - F.col("s.stop"))))
-    return v.groupBy("s.extra", "s.basis", "t.mode").agg(*summary())
+    return v.groupBy(*by, "s.extra", "s.basis", "t.mode").agg(*summary())
 
 
-def horizon_table(rows: DataFrame, bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Exact median excursions and outcome shares by horizon, overall and per pattern; one path a row, to the longest."""
-    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill"), bars, max(horizons)).filter(seen() > 0)
+def horizon_table(rows: DataFrame, bars: DataFrame, horizons=HORIZONS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact median excursions and outcome shares by horizon, overall and per pattern, apart for each ``by``; one path a row,
+    to the longest."""
+    t = paths(rows.filter(F.col("outcome").isin(*TRADED)).select("symbol", "d", "pattern", "stop", "target", "atr", "fill", *by), bars, max(horizons)).filter(seen() > 0)
     t = t.withColumn("_s", first("low", lambda x: x <= F.col("stop"))).withColumn("_t", first("high", lambda x: x >= F.col("target")))
     stopped, hit = _meets(F.col("_s"), F.col("_t"))
     t = t.withColumn("_hit", hit).withColumn("_stopped", stopped)
     out = lambda h: F.when((F.col("_hit") == 0) | (F.col("_hit") > h), "open").when(F.col("_stopped"), "stop").otherwise("target")
     each = [F.struct(F.lit(h).alias("horizon"), out(h).alias("outcome"), F.array_max(F.slice("path.high", 1, h)).alias("hi"), F.array_min(F.slice("path.low", 1, h)).alias("lo")) for h in horizons]
-    f = t.select("fill", "atr", "pattern", F.explode(F.array(*each)).alias("x")).select("fill", "atr", F.explode(F.array(F.lit("all"), F.col("pattern"))).alias("slice"), "x.*")
-    up, down, by = F.col("hi") - F.col("fill"), F.col("lo") - F.col("fill"), ("slice", "horizon")
+    f = t.select(*by, "fill", "atr", "pattern", F.explode(F.array(*each)).alias("x")).select(*by, "fill", "atr", F.explode(F.array(F.lit("all"), F.col("pattern"))).alias("slice"), "x.*")
+    up, down, by = F.col("hi") - F.col("fill"), F.col("lo") - F.col("fill"), (*by, "slice", "horizon")
     f = written(f.select(*by, "outcome", (F.col("hi") / F.col("fill") - 1).alias("up"), (F.col("lo") / F.col("fill") - 1).alias("down"), (up / F.col("atr")).alias("up_atr"), (down / F.col("atr")).alias("down_atr")))
     places = {"median_mfe": ("up", 4), "median_mae": ("down", 4), "median_mfe_atr": ("up_atr", 2), "median_mae_atr": ("down_atr", 2)}
     middle = quantiles(f, by, {k: (F.col(c), 0.5) for k, (c, _) in places.items()}).withColumns({k: r(F.col(k), n) for k, (_, n) in places.items()})

@@ -11,7 +11,7 @@ from wickwork.functions.columns import r
 from wickwork.functions.indicators import enrich_for
 from wickwork.functions.rules import CUP, DOUBLE, IHS, LEGACY, PATTERNS, WOLFE, flat, profile
 from wickwork.operators.detectors import interval, scan_variants, summaries
-from wickwork.operators.market import members
+from wickwork.operators.market import only_members
 from wickwork.operators.outcomes import described, month_bootstrap, scored, summary
 from wickwork.sources.store import written
 
@@ -37,7 +37,7 @@ def listed(signals: DataFrame, scan_days: DataFrame, snapshots: DataFrame | None
     counted apart for each ``by``."""
     s = signals.filter("status = 'CONFIRMED'").join(F.broadcast(scan_days), "day")  # one row per session
     if snapshots is not None:
-        s = s.join(members(scan_days.select("day"), snapshots), ["day", "symbol"], "left_semi")
+        s = only_members(s, "day", snapshots)
     w = Window.partitionBy(*KEY, *by)
     return s.withColumn("first_day", F.min("day").over(w)).withColumn("listed_day", (F.col("no") - F.min("no").over(w) + 1).cast("int"))
 

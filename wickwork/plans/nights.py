@@ -13,7 +13,7 @@ from wickwork.operators import detectors as det
 from wickwork.operators import lifecycle, marts, outcomes, replay
 from wickwork.plans import oracle as o
 from wickwork.plans.registry import query
-from wickwork.plans.results import bootstrap_sql, _MEANS, _STATS, _SUMMARY, E, FATE, MARKET, POS, market_table, positions
+from wickwork.plans.results import bootstrap_sql, _GRID, _HOR, _HORIZONS, _MEANS, _STATS, _SUMMARY, E, FATE, MARKET, POS, market_table, positions
 from wickwork.plans.scans import _FG, enriched
 from wickwork.functions import indicators as ind
 from wickwork.operators import market
@@ -420,28 +420,67 @@ def signal_feature_buckets(spark, sf_dir):
 
 
 def _first_scored(spark, sf_dir):
+    """The detectors' first reports with market, levels for the grid, and what became of them."""
     rows, e = replayed(spark, sf_dir)
     f = market.as_of(written(replay.first_seen(rows)), "day", market_table(spark, sf_dir, e).select("day", "regime"), ("regime",))
-    return outcomes.scored(f, e)
+    f = f.join(e.select("symbol", F.col("idx").alias("d"), "atr"), ["symbol", "d"]).withColumn("scan_day", F.col("day"))
+    bottom = F.filter("anchors", lambda a: a["label"] == "bottom")[0]["price"]
+    return outcomes.scored(f.withColumn("cup_bottom", F.when(F.col("pattern") == CUP, bottom)).withColumn("cup_trigger", F.col("trigger")), e), e
 
 
-_SCORED = [MARKET, "rf AS (SELECT rl.*, (SELECT max_by(regime, day) FROM market m WHERE m.day <= rl.day AND regime IS NOT NULL) AS regime FROM rl WHERE day = first_day)", _fate_of("rf")]
+_SCORED = [MARKET, f"""rf AS (SELECT rl.*, rl.day AS scan_day, e.atr, cb.target_at AS cup_bottom, rl.trigger AS cup_trigger, (SELECT max_by(regime, day) FROM market m WHERE m.day <= rl.day AND regime IS NOT NULL) AS regime
+  FROM rl JOIN e ON e.symbol = rl.symbol AND e.idx = rl.d LEFT JOIN (SELECT DISTINCT symbol, cand, target_at FROM cand_cup) cb ON rl.pattern = '{CUP}' AND cb.symbol = rl.symbol AND cb.cand = rl.cand WHERE rl.day = first_day)""", _fate_of("rf")]
+_SLICED = """CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern WHEN 'regime' THEN regime
+  ELSE CASE WHEN score <= 69 THEN '60-69' WHEN score <= 79 THEN '70-79' WHEN score <= 89 THEN '80-89' ELSE '90-100' END END"""
+_KINDS = "(VALUES ('overall'), ('pattern'), ('score'), ('regime')) k(kind)"
+_SPLIT = "1996-01-01"
+_LABELS = f"(VALUES ('all sessions'), ('before {_SPLIT}'), ('from {_SPLIT}')) w(label)"
+_ON_SIDE = f"(label = 'all sessions' OR (label LIKE 'before%') = (scan_day < DATE '{_SPLIT}'))"
 
 
-@query(o.with_(o.BARS, _replay_sql(), *_SCORED) + f"""SELECT kind, slice, {_STATS} FROM (SELECT f.*, k.kind, CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern WHEN 'regime' THEN regime
-  ELSE CASE WHEN score <= 69 THEN '60-69' WHEN score <= 79 THEN '70-79' WHEN score <= 89 THEN '80-89' ELSE '90-100' END END AS slice FROM fate f, (VALUES ('overall'), ('pattern'), ('score'), ('regime')) k(kind)) WHERE slice IS NOT NULL GROUP BY kind, slice""")
+@query(o.with_(o.BARS, _replay_sql(), *_SCORED) + f"SELECT kind, slice, {_STATS} FROM (SELECT f.*, k.kind, {_SLICED} AS slice FROM fate f, {_KINDS}) WHERE slice IS NOT NULL GROUP BY kind, slice")
 def signal_breakdown(spark, sf_dir):
     """What became of the detectors' first reports: overall, by pattern, score and regime."""
-    return outcomes.breakdown(_first_scored(spark, sf_dir))
+    return outcomes.breakdown(_first_scored(spark, sf_dir)[0])
 
 
-@query(o.with_(o.BARS, _replay_sql(), *_SCORED) + f"""SELECT label, kind, slice, {_STATS} FROM (SELECT f.*, w.label, k.kind, CASE k.kind WHEN 'overall' THEN 'all' WHEN 'pattern' THEN pattern WHEN 'regime' THEN regime
-  ELSE CASE WHEN score <= 69 THEN '60-69' WHEN score <= 79 THEN '70-79' WHEN score <= 89 THEN '80-89' ELSE '90-100' END END AS slice FROM fate f, (VALUES ('overall'), ('pattern'), ('score'), ('regime')) k(kind), (VALUES ('all sessions'), ('before 1996-01-01'), ('from 1996-01-01')) w(label)
-  WHERE label = 'all sessions' OR (label LIKE 'before%') = (day < DATE '1996-01-01')) WHERE slice IS NOT NULL GROUP BY label, kind, slice""")
+_SECTIONS = f"""sl AS (SELECT label || '|' || kind || '|' || slice AS part, * FROM (SELECT f.*, w.label, k.kind, {_SLICED} AS slice FROM fate f, {_KINDS}, {_LABELS} WHERE {_ON_SIDE}) WHERE slice IS NOT NULL),
+sd AS (SELECT part, {o.r('min(cum - peak)', 3)} AS max_dd FROM (SELECT part, cum, greatest(max(cum) OVER (PARTITION BY part ORDER BY scan_day, symbol, pattern, stop), 0.0) AS peak FROM
+  (SELECT *, sum(r) OVER (PARTITION BY part ORDER BY scan_day, symbol, pattern, stop) AS cum FROM sl WHERE r IS NOT NULL)) GROUP BY part),
+{bootstrap_sql("sl", "part", "bt", "scan_day, symbol, pattern, stop")}"""
+
+
+@query(o.with_(o.BARS, _replay_sql(), *_SCORED, _SECTIONS) + f"SELECT x.* EXCLUDE (part), max_dd, ci_low, ci_high, dd_p95 FROM (SELECT part, label, kind, slice, {_STATS} FROM sl GROUP BY part, label, kind, slice) x LEFT JOIN sd USING (part) LEFT JOIN bt USING (part)")
 def report_sections(spark, sf_dir):
-    """The breakdown of first reports for all sessions and for both sides of a split day."""
-    rows = replay.windows(_first_scored(spark, sf_dir), "day", "1996-01-01")
-    return outcomes.breakdown(rows, ("label",))
+    """The first reports of all sessions and of both sides of a split day: statistics, drawdown and month-block interval of
+    every slice."""
+    rows = outcomes.slices(replay.windows(_first_scored(spark, sf_dir)[0], "day", _SPLIT))
+    return outcomes.reported(rows, ("label", "kind", "slice"), ("symbol", "pattern", "stop"))
+
+
+def _labelled(text):
+    """The SQL of the grid or the horizons over first reports, with their labels."""
+    return text.replace("f.symbol, f.d, f.pattern,", "f.label, f.symbol, f.d, f.pattern,").replace("FROM fate f,", "FROM lf f,")
+
+
+_LF = f"lf AS (SELECT fate.*, w.label FROM fate, {_LABELS} WHERE {_ON_SIDE})"
+_HOR_L = (_labelled(_HOR).replace("SELECT symbol, d, pattern, horizon, any", "SELECT label, symbol, d, pattern, horizon, any").replace("FROM hw GROUP BY 1, 2, 3, 4)", "FROM hw GROUP BY 1, 2, 3, 4, 5)"))
+_GRID_L = (_labelled(_GRID).replace("SELECT symbol, d, extra, basis, mode, min", "SELECT label, symbol, d, pattern, extra, basis, mode, min").replace("FROM vw GROUP BY 1, 2, 3, 4, 5)", "FROM vw GROUP BY 1, 2, 3, 4, 5, 6, 7)")
+           .replace("ON vw.symbol = vh.symbol", "ON vw.label = vh.label AND vw.pattern = vh.pattern AND vw.symbol = vh.symbol"))
+
+
+@query(o.with_(o.BARS, _replay_sql(), *_SCORED, _LF, _HOR_L) + f"SELECT label, {_HORIZONS} FROM ha GROUP BY label, slice, horizon")
+def report_horizons(spark, sf_dir):
+    """The horizon table of first reports, for all sessions and both sides of a split day."""
+    f, e = _first_scored(spark, sf_dir)
+    return outcomes.horizon_table(replay.windows(f, "day", _SPLIT), e, by=("label",))
+
+
+@query(o.with_(o.BARS, _replay_sql(), *_SCORED, _LF, _GRID_L) + f"SELECT label, extra, basis, mode, {_SUMMARY}, {_MEANS} FROM gr GROUP BY label, extra, basis, mode")
+def report_grid(spark, sf_dir):
+    """First reports scored again under every stop and target variant, for all sessions and both sides of a split day."""
+    f, e = _first_scored(spark, sf_dir)
+    return outcomes.grid(replay.windows(f, "day", _SPLIT), e, by=("label",))
 
 
 @query(o.with_(o.BARS, E, o.cup_pairs(profile())) + f"SELECT c.symbol, a, b, {o.r('avg(volume) FILTER (WHERE idx > b)/avg(volume) FILTER (WHERE idx <= b)', 3)} AS handle_volume_ratio, {o.r('regr_slope(CASE WHEN idx > b THEN volume END, idx)/avg(volume) FILTER (WHERE idx > b)', 4)} AS handle_volume_slope FROM cup_pairs c JOIN e ON e.symbol = c.symbol AND e.idx BETWEEN a AND b + 8 GROUP BY 1, 2, 3")
@@ -539,11 +578,27 @@ def stale_days(spark, sf_dir):
     return src.bars(spark, sf_dir).groupBy("symbol").agg(F.datediff(F.lit("2002-01-01").cast("date"), F.max("day")).alias("stale_days"))
 
 
-@query(o.with_(o.BARS, E, o.double_bottom(profile())) + f"SELECT c.symbol, cand, e.idx, e.low AS price FROM cand_db c JOIN e ON e.symbol = c.symbol AND e.idx IN (c.cand // {o.SPAN}, c.cand % {o.SPAN})")
+#: Of each pattern's anchors the label, bar and price in its SQL.
+_ANCHORS = {CUP: (("left rim", "a", "ra"), ("bottom", "bi", "bottom"), ("right rim", "b", "rb"), ("handle low", "hi_", "hl")), IHS: (("LS", "ls", "lv"), ("head", "h", "hv"), ("RS", "rs", "rv")),
+            DOUBLE: (("L1", "l1", "v1"), ("peak", "p", "peak"), ("L2", "l2", "v2")), WOLFE: tuple((str(i), f"p{i}", f"v{i}") for i in range(1, 6))}
+
+
+def _notes_sql():
+    parts = [E]
+    for f, _ in o.CANDIDATES.values():
+        text = f(profile())
+        parts.append(text.replace(f"\n{o._lows()},", "") if any(o._lows() in x for x in parts) else text)
+    rows = [f"SELECT DISTINCT symbol, pattern, cand, known, '{label}' AS label, {at} AS at_, {price} AS price FROM {o.CANDIDATES[p][1]}" for p, anchors in _ANCHORS.items() for label, at, price in anchors]
+    return o.with_(o.BARS, *parts, "an AS (" + " UNION ALL ".join(rows) + ")") + f"SELECT an.symbol, pattern, cand, known, label, day, {o.r('price', 2)} AS price FROM an JOIN e ON e.symbol = an.symbol AND e.idx = at_"
+
+
+@query(_notes_sql())
 def notes_pivots(spark, sf_dir):
-    """The lows that a double bottom rests on, from its typed anchors."""
-    c = det.candidates(enriched(spark, sf_dir), profile(), DOUBLE).select("symbol", "cand", F.explode(F.filter("anchors", lambda a: a["label"] != "peak")).alias("a"))
-    return c.select("symbol", "cand", "a.idx", "a.price")
+    """The anchors of all candidates, written into notes and read back from the text."""
+    e = enriched(spark, sf_dir)
+    c = [det.candidates(e, profile(), p).select("symbol", "pattern", "cand", "known", "v0", "anchors") for p in det.PATTERNS]
+    texts = marts.notes(written(c[0].unionByName(c[1]).unionByName(c[2]).unionByName(c[3])), e, ("symbol", "pattern", "cand", "known"))
+    return marts.read_notes(texts)
 
 
 _DOC = "day, pattern, status, entry, stop, target, score"

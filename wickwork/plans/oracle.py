@@ -84,7 +84,7 @@ db3 AS (SELECT *, (p - l1) / CAST(greatest(l2 - p, 1) AS DOUBLE) AS ratio FROM d
 cand_db AS (SELECT symbol, '{DOUBLE}' AS pattern, l1*{SPAN}::BIGINT + l2 AS cand, l2 + 5 AS known, 1073741824 AS until, l2 + 1 AS start, peak AS v0, 0 AS i0, 0.0::DOUBLE AS slope, v2 AS flr, l2 AS last,
   v2 AS last_low, unit AS last_atr, peak - lo AS height, NULL::DOUBLE AS target_at,
   50 + 15*(1 - least(abs(v1 - v2)/({q['db_low_tol']}*lo), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['db_time_sym']})) + 10*greatest(0.0, least((peak/hi - 1)/{q['db_min_rise']} - 1, 1.0)) AS score0,
-  hi60 - v1 >= {q['db_prior_decline_of_height']}*(peak - lo) AS decline_ok FROM db3 WHERE ratio <= {q['db_time_sym']} AND ratio >= 1/{q['db_time_sym']})"""
+  hi60 - v1 >= {q['db_prior_decline_of_height']}*(peak - lo) AS decline_ok, l1, p, l2, v1, peak, v2 FROM db3 WHERE ratio <= {q['db_time_sym']} AND ratio >= 1/{q['db_time_sym']})"""
 
 
 def inverse_hs(q: dict, windowed: bool = False) -> str:
@@ -104,7 +104,7 @@ ih3 AS (SELECT c.*, x.idx AS n2, x.high AS h2 FROM ih2 c JOIN e x ON x.symbol =
 ih4 AS (SELECT *, (h2 - h1)/(n2 - n1) AS slope FROM ih3 WHERE ratio <= {q['ihs_time_sym']} AND ratio >= 1/{q['ihs_time_sym']}),
 ih5 AS (SELECT *, abs(slope*(rs - ls))/hc AS tilt, h1 + slope*(h - n1) - hv AS head FROM ih4),
 cand_ihs AS (SELECT symbol, '{IHS}' AS pattern, ls*{SPAN}::BIGINT + rs AS cand, rs + 5 AS known, 1073741824 AS until, rs + 1 AS start, h1 AS v0, n1 AS i0, slope, rv AS flr, rs AS last, rv AS last_low, ra AS last_atr,
-  {'head' if q['ihs_target_at_head'] else 'NULL::DOUBLE'} AS height, hv AS target_at, lv, hv, rv, h, head,
+  {'head' if q['ihs_target_at_head'] else 'NULL::DOUBLE'} AS height, hv AS target_at, lv, hv, rv, ls, h, rs, head,
   50 + 15*(1 - least(abs(lv - rv)/greatest({limit}, 1e-9), 1.0)) + 10*(1 - abs(ln(ratio))/ln({q['ihs_time_sym']})) + 10*(1 - least(tilt/{q['ihs_max_neck_slope']}, 1.0)) AS score0,
   {ok} AS decline_ok
   FROM ih5 WHERE tilt <= {q['ihs_max_neck_slope']} AND {alike} AND {side})"""
@@ -122,7 +122,7 @@ ww4 AS (SELECT *, (v3 - v1)/(p3 - p1) AS s13, (v4 - v2)/(p4 - p2) AS s24 FROM ww
 ww5 AS (SELECT *, v1 + s13*(p5 - p1) - v5 AS ov, (v2 - s24*p2 - (v1 - s13*p1))/(s13 - s24) AS eta FROM ww4 WHERE s24 < s13),
 cand_ww AS (SELECT symbol, '{WOLFE}' AS pattern, p1*{SPAN}::BIGINT + p5 AS cand, p5 + 5 AS known, p5 + {q['ww_max_bars_since_p5']} AS until, p5 + 1 AS start, v1 AS v0, p1 AS i0, s13 AS slope, v5 AS flr, p5 AS last,
   v5 AS last_low, a5 AS last_atr, NULL::DOUBLE AS height, CASE WHEN eta > p5 AND eta <= p5 + {q['ww_max_eta_bars']} THEN v1 + (v4 - v1)/(p4 - p1)*(eta - p1) END AS target_at,
-  50 + 15*(1 - least(abs(ov)/({q['ww_max_overshoot_atr']}*a5), 1.0)) + 10*(1 - least(abs(ln((p3 - p1)/CAST(greatest(p5 - p3, 1) AS DOUBLE)))/ln(3.0), 1.0)) AS score0, true AS decline_ok
+  50 + 15*(1 - least(abs(ov)/({q['ww_max_overshoot_atr']}*a5), 1.0)) + 10*(1 - least(abs(ln((p3 - p1)/CAST(greatest(p5 - p3, 1) AS DOUBLE)))/ln(3.0), 1.0)) AS score0, true AS decline_ok, p1, p2, p3, p4, p5, v1, v2, v3, v4, v5
   FROM ww5 WHERE {"ov >= 0 AND v5 >= v3 + s24*(p5 - p3)" if q['ww_sweet_zone'] else f"ov >= -0.5*a5 AND ov <= {q['ww_max_overshoot_atr']}*a5"} AND {legs})"""
 
 
@@ -165,7 +165,7 @@ hl AS (SELECT hv.*, z.idx AS hi_, z.atr AS ha FROM hv JOIN e z ON z.symbol = hv.
 cand_cup AS (SELECT c.symbol, '{CUP}' AS pattern, c.a*{SPAN}::BIGINT + c.b AS cand, h.j AS known, CASE WHEN h.j = final_end THEN 1073741824 ELSE h.j END AS until, h.j + 1 AS start, h.hh AS v0, 0 AS i0, 0.0::DOUBLE AS slope, NULL::DOUBLE AS flr,
   h.hi_ AS last, h.hl AS last_low, h.ha AS last_atr, {'c.ra' if q['cup_target_base'] == 'left_rim' else 'c.rb'} - c.bottom AS height, c.bottom AS target_at,
   50 + 15*(u - {q['cup_min_roundness']})/(1 - {q['cup_min_roundness']}) + 10*(1 - least(abs(depth - 0.25)/0.25, 1.0)) + 10*(1 - least((c.rb - h.hl)/c.rb/{q['handle_max_depth']}, 1.0)) AS score0,
-  (c.ra - low_prior)/low_prior >= {q['cup_prior_advance']} AS decline_ok, c.ra, c.bottom
+  (c.ra - low_prior)/low_prior >= {q['cup_prior_advance']} AS decline_ok, c.ra, c.bottom, c.a, c.b, c.bi, h.hi_, c.rb, h.hl
   FROM cu5 c JOIN hl h ON c.symbol = h.symbol AND c.a = h.a AND c.b = h.b
   WHERE (c.rb - h.hl)/c.rb <= {q['handle_max_depth']} AND h.hl >= c.bottom + 0.5*(c.rb - c.bottom) AND (c.rb - h.hl)/c.rb <= {q['handle_fraction_of_cup']}*depth)"""
 

@@ -64,6 +64,15 @@ def membership_asof(spark, sf_dir):
     return m.groupBy("day").agg(F.count("*").alias("members"), F.min("symbol").alias("lowest"), F.sum("symbol").alias("total"))
 
 
+@query(o.with_(o.SNAPSHOTS, """sn AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS no, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS nxt FROM (SELECT DISTINCT snapshot_date FROM snapshots)),
+sm AS (SELECT symbol, no, snapshot_date, nxt, CASE WHEN lag(no) OVER (PARTITION BY symbol ORDER BY no) = no - 1 THEN 0 ELSE 1 END AS fresh FROM snapshots JOIN sn USING (snapshot_date)),
+si AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY no) AS island FROM sm)""") + """SELECT symbol, CASE WHEN min(no) = 1 THEN DATE '0001-01-01' ELSE min(snapshot_date) END AS valid_from, CASE WHEN bool_or(nxt IS NULL) THEN DATE '9999-12-31' ELSE CAST(max(nxt) AS DATE) - 1 END AS valid_to FROM
+  (SELECT symbol, island, no, snapshot_date, nxt FROM si) GROUP BY symbol, island""")
+def membership_intervals(spark, sf_dir):
+    """Snapshots as stretches of membership."""
+    return market.intervals(src.membership_snapshots(spark, sf_dir))
+
+
 @query(o.with_(o.BARS, o.SNAPSHOTS, _FORCE) + "SELECT DISTINCT symbol FROM force JOIN snapshots USING (snapshot_date)")
 def membership_union(spark, sf_dir):
     return market.members(src.bars(spark, sf_dir).select("day").distinct(), src.membership_snapshots(spark, sf_dir)).select("symbol").distinct()
@@ -329,8 +338,11 @@ hs AS (SELECT *, CASE WHEN js IS NULL AND jt IS NULL THEN 'open' WHEN jt IS NULL
 ha AS (SELECT 'all' AS slice, * FROM hs UNION ALL SELECT pattern, * FROM hs)"""
 
 
-@query(_pos(f"""SELECT slice, horizon, count(*) AS n, {o.r('quantile_cont(hi/fill - 1, 0.5)', 4)} AS median_mfe, {o.r('quantile_cont(lo/fill - 1, 0.5)', 4)} AS median_mae, {o.r('quantile_cont((hi - fill)/atr, 0.5)', 2)} AS median_mfe_atr,
-  {o.r('quantile_cont((lo - fill)/atr, 0.5)', 2)} AS median_mae_atr, {", ".join(o.r(f"count(*) FILTER (WHERE outcome = '{x}')/CAST(count(*) AS DOUBLE)", 3) + f" AS {x}" for x in ("target", "stop", "open"))} FROM ha GROUP BY slice, horizon""", FATE, _HOR))
+_HORIZONS = f"""slice, horizon, count(*) AS n, {o.r('quantile_cont(hi/fill - 1, 0.5)', 4)} AS median_mfe, {o.r('quantile_cont(lo/fill - 1, 0.5)', 4)} AS median_mae, {o.r('quantile_cont((hi - fill)/atr, 0.5)', 2)} AS median_mfe_atr,
+  {o.r('quantile_cont((lo - fill)/atr, 0.5)', 2)} AS median_mae_atr, {", ".join(o.r(f"count(*) FILTER (WHERE outcome = '{x}')/CAST(count(*) AS DOUBLE)", 3) + f" AS {x}" for x in ("target", "stop", "open"))}"""
+
+
+@query(_pos(f"SELECT {_HORIZONS} FROM ha GROUP BY slice, horizon", FATE, _HOR))
 def horizon_table(spark, sf_dir):
     return outcomes.horizon_table(fates(spark, sf_dir), src.bars(spark, sf_dir))
 
