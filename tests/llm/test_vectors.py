@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -156,6 +157,14 @@ def tree_purities(counts, prior=2.0, apart=2.0):
         rows = [r for r in counts if r[0] == host]
         lab, bad = (sum(counts[r][i] for r in rows) for i in (1, 2))
         visit(rows, 0, (bad + prior * whole) / (lab + prior))
+    # The odds move by what the template is on other hosts.
+    logit = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    for (host, template), p in out.items():
+        others = [v for (h, t), v in counts.items() if t == template and h != host]
+        lab, bad = sum(v[1] for v in others), sum(v[2] for v in others)
+        shift = (logit((bad + prior * whole) / (lab + prior)) - logit(whole)) * prior / (counts[host, template][1] + prior)
+        if shift:
+            out[host, template] = 1 / (1 + math.exp(-logit(p) - shift))
     return out
 
 
@@ -191,6 +200,29 @@ def test_tree_on_deep_paths_and_uneven_branches(spark):
     assert len(got) == len(counts) and np.allclose([r.purity for r in got], [want[r.host, tuple(r.template)] for r in got])
 
 
+def test_templates_decide_below_the_host(spark, tiny):
+    """On hosts without a rule for a branch, its urls go as the same template goes on hosts that have one."""
+    got = QUERIES["op9_urls"](spark, tiny.replace("sf0.001", "sf0.1")).toPandas()
+    free = got[got.rule.isna() & (got.host != "")]
+    mixed = free.groupby("host").verdict.nunique()
+    assert (mixed > 1).sum() >= 5
+    known = got[got.rule.notna()].assign(branch=lambda d: d.path.str.split("/").str[1])
+    share = known.groupby("branch").verdict.apply(lambda v: (v == "block").mean())
+    orgs = free[free.host.str.endswith(".org")].assign(branch=lambda d: d.path.str.split("/").str[1])  # no rule and no label
+    for branch, verdicts in orgs.groupby("branch").verdict:
+        if not 0.2 < share.get(branch, 0) < 0.8:  # labels that agree
+            assert (verdicts == "block").mean() == float(share.get(branch, 0) >= 0.5), branch
+
+
+def test_paths_of_thousands_of_segments(spark):
+    deep = "/".join(f"s{i}" for i in range(2000))
+    rows = [(i, f"http://deep.net/{'es/' if i % 2 else ''}{deep}/{i}") for i in range(40)] + [(100, f"http://deep.net/{deep}"), (101, "http://a.net/es/1")]
+    began = time.time()
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert time.time() - began < 60 and len(got) == 42
+    assert got[1].verdict == "block" and got[2].template.endswith("/s1999/*") and got[100].template.endswith("/s1999")
+
+
 def test_many_slugs_become_one_template(spark):
     rows = [(i, f"http://blog.org/p/slug{'abcdefghij'[i % 10]}x{i}y") for i in range(60)] + [(100 + i, f"http://blog.org/{s}/") for i, s in enumerate(("about", "team"))]
     got = {r.page_id: r.template for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}

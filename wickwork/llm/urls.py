@@ -4,7 +4,8 @@ Paths become templates level by level: a segment that is a number or a long code
 below one parent whose segments are many and mostly rare becomes one by statistics. In the tree of a host's templates,
 branches of a node with the same templates below and bad shares that cannot be told apart are merged, and each node's share
 of labelled bad urls is smoothed towards its parent's, up to the host and the whole. A template is rejected when what it
-comes to reaches the threshold; so branches without labelled urls are judged by what is known of their like.
+comes to reaches the threshold; so branches without labelled urls are judged by what is known of their like: on the host by
+their parents, and on other hosts by the labels of the same template, which shift the odds.
 
 Only the counts of templates go from level to level, so a host with any share of the urls costs no more than others.
 """
@@ -54,21 +55,45 @@ def _form():
     return F.transform(seg, lambda s: F.regexp_replace(s, r"^(\d+|[0-9a-f]{8,}|[0-9a-f-]{32,36})(?=\.[a-z]{1,5}$|$)", "*"))
 
 
+def _ahead(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, tail, ...) with what their node has: k rows, and ``common``, the number of levels at which all their
+    tails are the same (the least and the greatest of sorted paths share what all of them share)."""
+    same = F.zip_with("_lo", "_hi", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    apart = F.array_position(same, False).cast("int")
+    common = F.when(apart > 0, apart - 1).otherwise(F.size("_lo"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("k"), F.min("tail").alias("_lo"), F.max("tail").alias("_hi"))
+    return rows.join(nodes.select("node", "k", common.alias("common")), "node")
+
+
+def _from(path: str, level):
+    """A path without its first ``level`` levels."""
+    return F.slice(path, level + F.lit(1), F.greatest(F.size(path) - level, F.lit(0)))
+
+
 def templates(counted: DataFrame) -> DataFrame:
-    """``counted`` (host, seg, n, any others; one row each) with template: the statistical wildcards of every level applied."""
-    t = counted.withColumn("template", F.array().cast("array<string>"))
-    level = 0
-    # A level with fewer paths than MANY is not variable, nor is any below it.
-    while t.filter(F.size("seg") > level).limit(MANY).count() >= MANY:
-        here = F.get("seg", F.lit(level))
-        segs = t.filter(here.isNotNull()).groupBy("host", "template", here.alias("s")).agg(F.sum("n").alias("n"))
-        fan = segs.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
-        wide = cut(fan.filter((F.col("k") >= MANY) & (F.col("all") < RARE * F.col("k"))).select("host", "template", F.lit(True).alias("wide")))
-        step = F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("wide"), F.lit("*")).otherwise(here))))
-        t = cut(t.join(wide, ["host", "template"], "left").withColumn("template", step).drop("wide"))
-        level += 1
-    rest = F.slice("seg", level + 1, F.greatest(F.size("seg") - level, F.lit(0)))
-    return t.withColumn("template", F.concat("template", rest))
+    """``counted`` (host, seg, n, any others; one row each) with template: the statistical wildcards of every level applied.
+
+    Nodes with fewer paths than MANY have no variable level below, and levels at which a node's paths are all the same are
+    passed in one step; so rounds are as many as there are branchings one below the other, whatever the length of a path.
+    """
+    done = counted.limit(0).withColumn("template", F.col("seg"))
+    t = cut(counted.withColumn("template", F.array().cast("array<string>")).withColumn("node", F.xxhash64("host")).withColumn("tail", F.col("seg")))
+    while not t.isEmpty():
+        t = cut(_ahead(t))
+        branching = (F.col("k") >= MANY) & (F.size("tail") > F.col("common"))
+        done = done.unionByName(t.filter(~branching).withColumn("template", F.concat("template", "tail")).select(*counted.columns, "template"))
+        live = t.filter(branching).withColumn("here", F.get("tail", F.col("common"))).withColumn("template", F.concat("template", F.slice("tail", F.lit(1), F.col("common"))))
+        fan = live.groupBy("node", "here").agg(F.sum("n").alias("n")).groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
+        wide = fan.select("node", ((F.col("k") >= MANY) & (F.col("all") < RARE * F.col("k"))).alias("wide"))
+        live = live.join(wide, "node").withColumn("template", F.concat("template", F.array(F.when(F.col("wide"), F.lit("*")).otherwise(F.col("here")))))
+        live = live.withColumn("tail", _from("tail", F.col("common") + 1)).withColumn("node", F.xxhash64("host", "template"))
+        t = cut(live.select(*counted.columns, "template", "node", "tail"))
+    return done
+
+
+def _odds(p):
+    p = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
+    return F.log(p / (1 - p))
 
 
 def purities(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
@@ -77,25 +102,38 @@ def purities(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
     ``n`` urls have a template, ``l`` of them a label, ``b`` a bad one. Every node of a host's tree is smoothed towards its
     parent, a host towards the share of known bad ones among all urls. From the top down, branches of a node with the same
     templates below are merged if their bad share is like the node's; those above it, and those below it, are merged too.
+    Last, what the same template is on other hosts shifts the odds of a template, the less the more labels it has itself: so
+    branches of one host without labels of their own are told apart. Rounds are as in :func:`templates`.
     """
-    all_ = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.size("template")).alias("depth")).first()
+    all_ = counts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     whole = (all_["b"] or 0) / all_["n"] if all_["n"] else 0.0
     smooth = lambda towards: (F.col("b") + F.lit(prior) * towards) / (F.col("l") + F.lit(prior))
+    # ``steps`` levels with the same labels below, one after the other.
+    fall = lambda p, l, b, steps: F.when(l == 0, p).otherwise(b / l + (p - b / l) * F.pow(F.lit(prior) / (l + prior), steps))  # noqa: E731, E741
     hosts = counts.groupBy("host").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).select("host", smooth(F.lit(whole)).alias("purity"))
-    t = cut(counts.join(hosts, "host").withColumn("node", F.xxhash64("host")))
-    for level in range(all_["depth"] or 0):
-        live = t.filter(F.size("template") > level).select(
-            "node", "purity", F.get("template", F.lit(level)).alias("branch"), F.xxhash64(F.slice("template", level + 2, 1 << 20)).alias("below"), "l", "b")
-        kinds = live.groupBy("node", "purity", "branch", "below").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+    t = cut(counts.join(hosts, "host").withColumn("node", F.xxhash64("host")).withColumn("tail", F.col("template")))
+    columns = [*counts.columns, "purity"]
+    done = t.limit(0).select(columns)
+    while not t.isEmpty():
+        t = _ahead(t)
+        below = t.groupBy("node").agg(F.sum("l").alias("_l"), F.sum("b").alias("_b"))
+        t = t.join(below, "node").withColumn("purity", fall(F.col("purity"), F.col("_l"), F.col("_b"), F.col("common"))).withColumn("tail", _from("tail", F.col("common")))
+        t = cut(t.select(*columns, "node", "tail"))
+        done = done.unionByName(t.filter(F.size("tail") == 0).select(columns))
+        live = t.filter(F.size("tail") > 0).withColumn("branch", F.get("tail", F.lit(0))).withColumn("tail", _from("tail", F.lit(1)))
+        kinds = live.groupBy("node", "purity", "branch", F.xxhash64("tail").alias("below")).agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
         branches = kinds.groupBy("node", "purity", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.sum(F.col("below").cast("decimal(38,0)")).alias("form"))
         off, error = smooth(F.col("purity")) - F.col("purity"), F.sqrt(smooth(F.col("purity")) * (1 - smooth(F.col("purity"))) / (F.col("l") + prior))
         side = F.when(F.abs(off) <= APART * error, 0).otherwise(F.signum(off)).cast("int")
         branches = cut(branches.withColumn("side", side).withColumn("child", F.xxhash64("node", "form", "side")))
         pooled = branches.groupBy("child").agg(F.first("purity").alias("purity"), F.sum("l").alias("l"), F.sum("b").alias("b")).select("child", smooth(F.col("purity")).alias("new"))
         named = branches.join(pooled, "child").select("node", "branch", "child", "new")
-        t = cut(t.withColumn("branch", F.get("template", F.lit(level))).join(named, ["node", "branch"], "left")
-                .withColumn("node", F.coalesce("child", "node")).withColumn("purity", F.coalesce("new", "purity")).drop("branch", "child", "new"))
-    return t.drop("node")
+        t = cut(live.join(named, ["node", "branch"]).withColumn("purity", F.col("new")).withColumn("node", F.col("child")).select(*columns, "node", "tail"))
+    done = cut(done)
+    everywhere = done.groupBy("template").agg(F.sum("l").alias("_l"), F.sum("b").alias("_b"))
+    others = (F.col("_b") - F.col("b") + F.lit(prior) * whole) / (F.col("_l") - F.col("l") + F.lit(prior))
+    shift = (_odds(others) - _odds(F.lit(whole))) * F.lit(prior) / (F.col("l") + F.lit(prior))
+    return done.join(everywhere, "template").withColumn("purity", F.when(shift == 0, F.col("purity")).otherwise(1 / (1 + F.exp(-_odds(F.col("purity")) - shift)))).select(columns)
 
 
 def judge(pages: DataFrame, labelled, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
