@@ -4,11 +4,13 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from wickwork.llm import jaccard, lines, mixing, packing, scoring, substrings, toxicity
 from wickwork.llm.queries import QUERIES, tokenizer_files
@@ -525,3 +527,16 @@ def test_pipeline_stages(spark, tiny, odd_docs):
     packed = corpus_pipeline.run(spark, tiny)
     kept = docs.select("doc_id").distinct().count()
     assert packed.select("doc_id").distinct().count() == kept
+
+
+def test_many_equal_rows_cost_no_more_each(spark):
+    """Rows that are equal in id and text share one key; their spans and segments are held once."""
+    text = " ".join(f"t{i * 7919 % 9973}" for i in range(900))
+    took = {}
+    for n in (200, 2000):
+        d = spark.createDataFrame([(1, text)] * n + [(2, text[500:1500]), (3, "short")], "doc_id long, text string")
+        began = time.time()
+        got = substrings.remove_repeats(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_removed").alias("least"), F.max("n_removed").alias("most")).collect()
+        took[n] = time.time() - began
+        assert {r.doc_id: (r.n, r.least, r.most) for r in got} == {1: (n, len(text), len(text)), 2: (1, 1000, 1000), 3: (1, 0, 0)}
+    assert took[2000] < 3 * took[200] + 5, took

@@ -252,11 +252,15 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     by_row = wanted.groupBy("k").agg(F.collect_list(F.struct("a", "hot", "n", "st", "nw")).alias("parts"))
 
     def fetch(batches):
+        fetched: set[int] = set()  # equal rows have one key, and one of them serves
         for batch in batches:
             keys, parts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, off = column_bytes(batch.column(1))
             out = [[] for _ in range(7)]
             for i, key in enumerate(keys):
+                if key in fetched:
+                    continue
+                fetched.add(key)
                 for p in parts[i]:
                     at = off[i] + p["st"]
                     row = (p["a"], p["hot"], p["n"], key, p["st"], p["nw"], data[at : at + p["nw"] - 1 + length].tobytes())
@@ -285,7 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select("k", "text"), length, gram)
-    by_row = spans.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("st", "en"))).alias("spans"))
+    by_row = spans.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("st", "en"))).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def strike(batches):
