@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from wickwork.plans import QUERIES
+from wickwork.sources.store import sweep
 
 HEADLINE = ("swing_pivots", "sma_50_200", "fear_greed", "candidates_db", "candidates_cup", "detect_double_bottom", "detect_inverse_hs", "detect_wolfe", "scan_all_patterns", "market_series", "grid_rescore", "horizon_table",
             "month_block_bootstrap", "breakdown_grouping_sets", "walk_forward_first_seen")
@@ -25,6 +26,7 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        sweep(spark)
     bars = QUERIES["swing_pivots"].__globals__["bars"](spark, sf_dir).count()
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rsplit("sf", 1)[-1], "symbol_days": bars,
                       "replay_symbol_days_per_second": round(bars / took["scan_all_patterns"], 1)}))

@@ -26,6 +26,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that this session has written; results that read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def save(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:
     """Evaluation and replay tables for other programs: Parquet or lines of JSON, in folders by ``by``."""
     df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
