@@ -358,6 +358,24 @@ def test_lines_odd(odd_docs, no_docs):
     assert [r.text for r in rows if r.doc_id == 6] == ["", ""] and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
 
 
+def test_of_repeated_rows_one_keeps_its_lines(spark):
+    text = "a first line of some length\n\nshort\na second line, not like it"
+    docs = spark.createDataFrame([(1, text, "a")] * 4 + [(1, text, "b")] * 2 + [(2, "a first line of some length\nits own words stay here", "c"), (3, "its own words stay here", "c")], "doc_id long, text string, source string")
+    got = [tuple(r) for r in lines.dedup_lines(docs).collect()]
+    assert len(got) == 8 and [r[1] for r in got if r[0] == 1].count(text) == 1 and [r[1] for r in got if r[0] == 1].count("\nshort") == 5
+    assert sorted(r[2] for r in got if r[0] == 1) == ["a"] * 4 + ["b"] * 2
+    assert sorted(r for r in got if r[0] > 1) == [(2, "its own words stay here", "c"), (3, "", "c")]
+
+
+def test_a_text_of_many_lines_is_cut_in_linear_time(spark):
+    body = "\n".join(f"{i:06d} {i * 7919 % 100003:06d} {i * i % 99991:06d} words" for i in range(150_000))
+    began = time.time()
+    got = dict(lines.dedup_lines(spark.createDataFrame([(1, body), (2, body + "\nand one line more")], "doc_id long, text string")).collect())
+    # Some of these lines are near duplicates of each other; whole they are gone from the second text.
+    assert got[2] == "and one line more" and got[1].split("\n")[0] == body.split("\n")[0]
+    assert time.time() - began < 120
+
+
 def test_lines_at_the_threshold_share_a_bucket():
     """Of pairs of lines with Jaccard just over 0.8, at most one in two hundred shares no band."""
     rng = np.random.default_rng(12)

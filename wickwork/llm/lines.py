@@ -235,7 +235,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) ->
 
     Of the lines of a component the first stays, by doc_id (null first), then by a hash of the row, then by its place.
     Every row stays, its text perhaps empty; a null text stays null; ``n_chars``, if there, is counted anew. Lines under
-    ``GRAM`` characters that are not blank lose their repeats (A-Z lower-cased) if ``short``, and stay otherwise. Rows that are equal in doc_id and text lose the same lines.
+    ``GRAM`` characters that are not blank lose their repeats (A-Z lower-cased) if ``short``, and stay otherwise. Of rows that
+    are equal in doc_id and text one keeps its lines, that of the least hash of all columns; the others lose all that count.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text").filter(F.octet_length("text") >= (1 if short else GRAM))
@@ -247,14 +248,36 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) ->
     lines = likely(found.select("doc_id", "k", "number", "s"), "s", touched.select("s")).filter("_likely").drop("_likely")
     lines = cut(split_join(lines, touched, "s", "c").select("root", "doc_id", "k", "number"))
     keep = cut(lines.groupBy("root").agg(F.min(F.struct("doc_id", "k", "number")).alias("keep"), F.count("*").alias("c")).select("root", "c", F.col("keep.k").alias("kept_k"), F.col("keep.number").alias("kept_number")))
-    gone = cut(split_join(lines, keep, "root", "c").filter("k <> kept_k or number <> kept_number")
-               .groupBy("k").agg(F.collect_set("number").alias("_gone")).withColumnRenamed("k", "_k"))
+    other = (F.col("k") != F.col("kept_k")) | (F.col("number") != F.col("kept_number"))
+    # A row that occurs m times has each of its lines m times.
+    cuts = split_join(lines, keep, "root", "c").groupBy("k").agg(F.collect_set(F.when(other, F.col("number"))).alias("_gone"), F.collect_set("number").alias("_all"), F.count("*").alias("_n"))
+    gone = cut(cuts.select(F.col("k").alias("_k"), "_gone", "_all", (F.col("_n") > F.size("_all")).alias("_again")).filter("_again or size(_gone) > 0"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("doc_id", "text").alias("_k"))
-    whole = likely(whole, "_k", gone.select("_k"))
-    joined = whole.filter("_likely").join(gone, "_k", "left")
-    left = F.filter(F.split("doc.text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("doc", F.col("doc").withField("text", text))
+    marked = likely(whole, "_k", gone.select("_k"))
+    once = gone.filter("not _again").select("_k", "_gone")
+    again = gone.filter("_again").select("_k", "_gone", "_all")
+    # Lines are split below the join, so that a text's lines are made once and then taken by their numbers.
+    split_ = lambda d: d.withColumn("_lines", F.split("doc.text", "\n", -1)).withColumn("doc", F.col("doc").dropFields("text")).drop("_likely")
+    joined = split_(marked.filter("_likely")).join(once, "_k", "left")
+    if again.isEmpty():
+        out = _without(joined, docs)
+    else:
+        single = joined.join(again.select("_k"), "_k", "left_anti")
+        copies = likely(whole, "_k", again.select("_k")).filter("_likely").withColumn("_row", F.xxhash64(F.to_json("doc")))
+        copies = split_(copies).join(again, "_k").groupBy("_k", "_row").agg(*[F.first(c).alias(c) for c in ("doc", "_lines", "_gone", "_all")], F.count("*").alias("_n"))
+        copies = cut(copies)
+        least = cut(copies.groupBy("_k").agg(F.min("_row").alias("_least"), F.count("*").alias("_c")))
+        each = split_join(copies, least, "_k", "_c").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+        first = (F.col("_row") == F.col("_least")) & (F.col("_copy") == 1)
+        each = each.withColumn("_gone", F.when(first, F.col("_gone")).otherwise(F.col("_all")))
+        out = _without(single, docs).unionByName(_without(each, docs))
+    return marked.filter("not _likely").select("doc.*").unionByName(out)
+
+
+def _without(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows (doc, _lines, _gone), the text being the lines whose numbers are not in _gone."""
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_gone", F.array().cast("array<int>"))), lambda i: F.get("_lines", i))
+    out = rows.withColumn("text", F.array_join(left, "\n")).select("doc.*", "text")
     if "n_chars" in docs.columns:
-        out = out.withColumn("doc", F.col("doc").withField("n_chars", F.char_length("doc.text").cast(docs.schema["n_chars"].dataType)))
-    return whole.filter("not _likely").select("doc.*").unionByName(out.select("doc.*"))
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
