@@ -3,14 +3,17 @@
 1. Documents with equal shingle sets are one node; all that follows works on nodes.
 2. Nodes meet in buckets of ``ROWS`` minhashes, ``BANDS`` of them: a pair at the threshold of 0.85 shares no bucket with
    probability (1 - 0.85**4)**32 < 6e-11, a pair that shares a third of its shingles meets in few.
-3. Each node is compared with the least node of each of its buckets, by sketches (a byte of each minhash), and where those
-   agree by the sets. This joins large groups of copies in one round.
-4. Of the buckets that still hold several components, the nodes that are alike by their sketches across components are
-   searched by a signature tree: nodes of the tree hold the union of the
-   token bitmaps below them, the range of set sizes and the largest number of bitmap collisions. Both sides are walked
-   together; a pair of tree nodes is dropped if its sizes, or the bits it has in common, bound the overlap below what
-   the threshold asks, or if all below is already joined. Pairs of leaves that remain are verified on the sets.
-A bucket with more than ``BLOCK_NODES`` nodes is dealt out as pairs of blocks.
+3. The buckets of the first ``TREE_BANDS`` bands, up to ``BLOCK_NODES`` nodes each, are searched by signature trees over the
+   sets: nodes of a tree hold the union of the token bitmaps below them, the range of set sizes and the largest number
+   of bitmap collisions. Both sides are walked together; a pair of tree nodes is dropped if its sizes, or the bits it has
+   in common, bound the overlap below what the threshold asks, or if all below is already joined. Pairs of leaves that
+   remain are verified on the sets. A pair at the threshold meets here with probability 1 - (1 - 0.85**4)**4 = 0.95.
+4. What is still apart then, in any band and in buckets of any size, is compared with the least node of each of its
+   buckets, by sketches (a byte of each minhash), and where those agree by the sets. It joins groups of copies that are
+   too large for one tree in one round.
+5. Of the buckets that still hold several components, a tree over the sketches (their 128 bytes are the tokens) finds the
+   nodes that are alike across components, and a tree over the sets links them. A bucket with more than ``BLOCK_NODES``
+   nodes is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ WIDTH = 4
 PERCENT = 85
 ROWS, BANDS = 4, 32
 BLOCK_NODES = 1024
+#: Bands whose buckets are searched by trees before anything else is compared.
+TREE_BANDS = 4
 LEAF = 8
 #: The longest bitmap. Bits that several tokens of a set share are counted, so a short one only prunes less.
 MAP_BITS = 1 << 16
+#: The bitmap of a sketch.
+MAP_SKETCH = 1 << 12
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -103,9 +110,9 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 class SignatureTree:
     """Levels of bitmaps over sets ordered by size; level 0 is the sets themselves."""
 
-    def __init__(self, sets: list[np.ndarray], group: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], group: np.ndarray, bits: int | None = None):
         size = np.array([len(s) for s in sets])
-        bits = max(64, min(MAP_BITS, 1 << int(4 * size.max()).bit_length()))
+        bits = bits or max(64, min(MAP_BITS, 1 << int(4 * size.max()).bit_length()))
         maps = np.zeros((len(sets), bits // 64), np.uint64)
         for i, s in enumerate(sets):
             b = s % np.uint64(bits)
@@ -120,6 +127,17 @@ class SignatureTree:
 
     def pairs(self, percent: int = PERCENT):
         """Arrays (i, j) of sets that may link, i < j."""
+
+        def need(low_i, high_i, low_j, high_j):
+            return -(-percent * np.maximum(low_i, low_j) // 100), (100 * high_i >= percent * low_j) & (100 * high_j >= percent * low_i)
+
+        yield from self._walk(need)
+
+    def candidates(self, common: int):
+        """Arrays (i, j) of sets that may have ``common`` members in common, i < j."""
+        yield from self._walk(lambda low_i, high_i, low_j, high_j: (np.full(len(low_i), common), np.minimum(high_i, high_j) >= common))
+
+    def _walk(self, bound):
         i = j = np.zeros(1, np.int64)
         stack = [(len(self.levels) - 1, i, j)]
         while stack:
@@ -129,8 +147,8 @@ class SignatureTree:
                 continue
             maps, low, high, lost, first, last = self.levels[level]
             joined = (first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j])
-            need = -(-percent * np.maximum(low[i], low[j]) // 100)
-            keep = ~joined & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+            need, fits = bound(low[i], high[i], low[j], high[j])
+            keep = ~joined & fits
             i, j, need = i[keep], j[keep], need[keep]
             common = np.empty(len(i), np.int64)
             step = max(1, (1 << 21) // maps.shape[1])
@@ -158,13 +176,18 @@ def search(nodes: list[int], group: np.ndarray, sets: list[np.ndarray], percent:
     else:  # one leaf
         pairs = [np.triu_indices(len(by), 1)]
     forest, found = Forest(), []
+    name = group[by]
     for i, j in pairs:
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = by[a], by[b]
-            ga, gb = int(group[a]), int(group[b])
-            if forest.find(ga) != forest.find(gb) and linked(sets[a], sets[b], percent):
-                forest.join(ga, gb)
-                found.append((nodes[a], nodes[b]))
+        for lo in range(0, len(i), 1024):
+            # What earlier links have joined is not looked at again.
+            root = np.array([forest.find(g) for g in name.tolist()]) if lo == 0 or fresh else root
+            fresh, a_, b_ = False, i[lo : lo + 1024], j[lo : lo + 1024]
+            apart = root[a_] != root[b_]
+            for a, b in zip(a_[apart].tolist(), b_[apart].tolist(), strict=True):
+                ga, gb, a, b = int(name[a]), int(name[b]), by[a], by[b]
+                if forest.find(ga) != forest.find(gb) and linked(sets[a], sets[b], percent):
+                    fresh = forest.join(ga, gb)
+                    found.append((nodes[a], nodes[b]))
     return found
 
 
@@ -240,19 +263,34 @@ def _alike(agree: int):
     return run
 
 
+def across(sketches: np.ndarray, group: np.ndarray, agree: int) -> np.ndarray:
+    """Which rows of ``sketches`` agree in ``agree`` bytes with one of another group, by a signature tree: a byte and its place
+    are a token. The rows are laid out by group, so that an inner node holds like sketches and its bitmap stays small."""
+    by = np.lexsort((*sketches.T[:4], group))
+    sketches, group, on = sketches[by], group[by], np.zeros(len(by), bool)
+    tokens = sketches.astype(np.uint64) + np.arange(sketches.shape[1], dtype=np.uint64) * np.uint64(256)
+    for i, j in SignatureTree(list(mix(tokens)), group, MAP_SKETCH).candidates(agree):
+        new = (group[i] != group[j]) & ~(on[i] & on[j])
+        i, j = i[new], j[new]
+        for lo in range(0, len(i), 1 << 14):
+            a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+            same = (sketches[a] == sketches[b]).sum(1) >= agree
+            on[a[same]] = on[b[same]] = True
+    out = np.empty(len(by), bool)
+    out[by] = on
+    return out
+
+
 def _open(agree: int):
     """Rows (bucket, i, j, s, c, pivot, sketch) sorted by the first three -> those (bucket, i, j, s, c) alike with one of another
     c; the pivot has been compared with all."""
 
     def kept(rows):
         rows = [r for r in rows if r[3] != r[5]]
-        sk = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-        c = np.array([r[4] for r in rows])
-        on = np.zeros(len(rows), bool)
-        for lo in range(0, len(rows), 64):
-            part = slice(lo, lo + 64)
-            on[part] = (((sk[part, None] == sk).sum(2) >= agree) & (c[part, None] != c)).any(1)
-        rows = [r for r, x in zip(rows, on, strict=True) if x]
+        if rows:
+            sketches = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+            on = across(sketches, np.array([r[4] for r in rows]), agree)
+            rows = [r for r, x in zip(rows, on, strict=True) if x]
         return pa.RecordBatch.from_arrays([pa.array([r[t] for r in rows], pa.int64()) for t in range(5)], ["bucket", "i", "j", "s", "c"])
 
     def run(batches):
@@ -317,14 +355,15 @@ def _rooted(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     nodes = rows.filter("n > 0").groupBy("s", "t").agg(F.min("k").alias("k"), F.first("bands").alias("bands"))
     nodes = cut(nodes)
 
-    placed = nodes.select("s", F.explode("bands").alias("bucket"))
+    placed = nodes.select("s", F.posexplode("bands").alias("band", "bucket"))
     several = cut(placed.groupBy("bucket").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.count("*").alias("m")).filter("low <> high").select("bucket", "m"))
-    members = cut(split_join(placed, several, "bucket", "m").select("bucket", "s").distinct())
+    members = cut(split_join(placed, several, "bucket", "m").select("band", "bucket", "m", "s").distinct())
     where = cut(nodes.select("k", "s").join(members.select("s").distinct(), "s"))
     texts = likely(docs.select("text", F.xxhash64("doc_id", "text").alias("k")), "k", where.select("k")).filter("_likely")
     items = texts.join(where, "k").select("s", "text").dropDuplicates(["s"]).mapInArrow(_sets(width), "s long, items binary, sketch binary")
-    links = bucket_links(members, cut(items), percent, agreeing(ROWS * BANDS, percent), _sets_of)
-    classes = components(links)
+    items = cut(items)
+    trees = cut(tree_links(members.filter((F.col("band") < TREE_BANDS) & (F.col("m") <= BLOCK_NODES)), items, percent, _sets_of))
+    classes = components(trees.unionByName(bucket_links(members, items, percent, agreeing(ROWS * BANDS, percent), _sets_of, components(trees))))
     named = rows.filter("n > 0").select("doc_id", "k", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
     return rows, named.select("doc_id", "k", "n", "root")
 
@@ -369,19 +408,37 @@ def _sets_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint64), np.diff(off) // 8
 
 
-def bucket_links(members: DataFrame, items: DataFrame, percent: int, agree: int, decode) -> DataFrame:
+def tree_links(members: DataFrame, items: DataFrame, percent: int, decode) -> DataFrame:
+    """Links (u, v) that signature trees find within the buckets of ``members`` (bucket, s), each small enough for one task."""
+    # Buckets with the same members are searched once.
+    alike = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("h"))
+    one = cut(alike.groupBy("h", "m").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    order = ("bucket", "i", "j")
+    dealt = members.join(one, "bucket").join(items.select("s", "items"), "s").select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "s", F.col("s").alias("c"), "items")
+    return dealt.repartition("bucket").sortWithinPartitions(*order).mapInArrow(search_buckets(percent, decode), "u long, v long")
+
+
+def bucket_links(members: DataFrame, items: DataFrame, percent: int, agree: int, decode, joined: DataFrame | None = None) -> DataFrame:
     """Links (u, v) between nodes that join all nodes which share a bucket and link, directly or over others.
 
     ``members`` has distinct (bucket, s), ``items`` each s with its items, which ``decode`` turns into hashes and their number a row, and
     its sketch; pairs whose sketches agree in fewer than ``agree`` bytes are not verified. Both should be written tables.
+    ``joined`` (node, component) are nodes that other links join already; pairs of one component are passed over.
     """
     sketch = items.select("s", "sketch")
     buckets = cut(members.groupBy("bucket").agg(F.min("s").alias("pivot"), F.count("*").alias("m")))
     # Each node against the least of its buckets.
+    members = members.select("bucket", "s")
     pairs = split_join(members, buckets, "bucket", "m").filter("s <> pivot").select(F.col("s").alias("u"), F.col("pivot").alias("v")).distinct()
+    if joined is not None:
+        # A pivot may have many partners, so its component is joined by a split; all others are partners of few pivots.
+        joined = cut(joined)
+        named = pairs.join(joined.toDF("u", "cu"), "u", "left").withColumn("cu", F.coalesce("cu", "u"))
+        pivots = cut(buckets.groupBy("pivot").agg(F.sum("m").alias("c")).join(joined.toDF("pivot", "cv"), "pivot", "left").select(F.col("pivot").alias("v"), F.coalesce("cv", "pivot").alias("cv"), "c"))
+        pairs = split_join(cut(named), pivots, "v", "c").filter("cu <> cv").select("u", "v")
     near = pairs.join(sketch.toDF("u", "one"), "u").join(sketch.toDF("v", "other"), "v").select("u", "v", "one", "other").mapInArrow(_alike(agree), "u long, v long")
     first = cut(_verified(near, items, percent, decode))
-    classes = components(first)
+    classes = components(first if joined is None else first.unionByName(joined.toDF("u", "v")))
     # Buckets of three and more that are still in several components: the nodes that are alike across them.
     known = cut(split_join(members, buckets.filter("m > 2"), "bucket", "m").join(classes.withColumnRenamed("node", "s"), "s", "left")
                 .select("bucket", "s", "m", "pivot", F.coalesce("component", "s").alias("c")))
