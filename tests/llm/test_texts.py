@@ -176,6 +176,14 @@ def test_near_duplicates_equal_brute_force(spark, tiny, docs):
 def test_chains_and_split_buckets(spark, monkeypatch, block):
     """Chains of edits whose ends are unlike, in one component through their middle."""
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+    by_trees, trees = [], jaccard.tree_links
+
+    def counted(*args):
+        found = jaccard.cut(trees(*args))
+        by_trees.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "tree_links", counted)
     rng = np.random.default_rng(6)
     texts = []
     for c in range(4):
@@ -189,6 +197,21 @@ def test_chains_and_split_buckets(spark, monkeypatch, block):
     n, root = classes(rows, 4, 85)
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == root and {r.doc_id: r.n_shingles for r in got} == n
+    # 96 links join the four chains; nearly all come from the trees, unless the buckets are larger than one tree takes.
+    assert by_trees[0] > (86 if block > 100 else 0)
+
+
+def test_tree_of_sketches_equals_all_pairs():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 256, (12, 128), dtype=np.uint8)
+    group = rng.integers(0, 9, 150)
+    sketches = base[rng.integers(0, 12, 150)]
+    for row in sketches:
+        at = rng.permutation(128)[: rng.integers(0, 70)]
+        row[at] = rng.integers(0, 256, len(at))
+    for agree in (40, 90, 120):
+        want = [any((x == y).sum() >= agree and g != h for y, h in zip(sketches, group, strict=True)) for x, g in zip(sketches, group, strict=True)]
+        assert jaccard.across(sketches, group, agree).tolist() == want
 
 
 def test_signature_tree_loses_no_link():
@@ -367,6 +390,15 @@ def test_of_repeated_rows_one_keeps_its_lines(spark):
     assert sorted(r for r in got if r[0] > 1) == [(2, "its own words stay here", "c"), (3, "", "c")]
 
 
+def test_many_copies_of_a_row_are_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "COPIES", 7)
+    text = "a first line of some length\na second line, not like it"
+    docs = spark.createDataFrame([(1, text, 0)] * 40 + [(1, text, None)] * 15 + [(2, "a first line of some length", 0), (3, None, 0)], "doc_id long, text string, n_chars long")
+    got = [tuple(r) for r in lines.dedup_lines(docs).collect()]
+    assert got.count((1, text, len(text))) == 1 and got.count((1, "", 0)) == 54 and len(got) == 57
+    assert (2, "", 0) in got and any(r[:2] == (3, None) for r in got)
+
+
 def test_a_text_of_many_lines_is_cut_in_linear_time(spark):
     body = "\n".join(f"{i:06d} {i * 7919 % 100003:06d} {i * i % 99991:06d} words" for i in range(150_000))
     began = time.time()

@@ -30,6 +30,8 @@ ROWS, BANDS = 4, 16
 SEEN, HELD = 200_000, 400_000
 #: Bytes of text whose bands one task gathers.
 TEXT_PART = 1 << 23
+#: Copies of a repeated row that one task writes.
+COPIES = 1000
 
 _rng = np.random.default_rng(5)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -254,23 +256,24 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, short: bool = False) ->
     gone = cut(cuts.select(F.col("k").alias("_k"), "_gone", "_all", (F.col("_n") > F.size("_all")).alias("_again")).filter("_again or size(_gone) > 0"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("doc_id", "text").alias("_k"))
     marked = likely(whole, "_k", gone.select("_k"))
-    once = gone.filter("not _again").select("_k", "_gone")
-    again = gone.filter("_again").select("_k", "_gone", "_all")
+    again = gone.filter("_again").select("_k")
     # Lines are split below the join, so that a text's lines are made once and then taken by their numbers.
-    split_ = lambda d: d.withColumn("_lines", F.split("doc.text", "\n", -1)).withColumn("doc", F.col("doc").dropFields("text")).drop("_likely")
-    joined = split_(marked.filter("_likely")).join(once, "_k", "left")
+    split_ = lambda d: d.withColumn("_lines", F.split("doc.text", "\n", -1)).withColumn("doc", F.col("doc").dropFields("text"))
+    single = marked.filter("_likely").drop("_likely")
     if again.isEmpty():
-        out = _without(joined, docs)
+        out = _without(split_(single).join(gone.select("_k", "_gone"), "_k", "left"), docs)
     else:
-        single = joined.join(again.select("_k"), "_k", "left_anti")
-        copies = likely(whole, "_k", again.select("_k")).filter("_likely").withColumn("_row", F.xxhash64(F.to_json("doc")))
-        copies = split_(copies).join(again, "_k").groupBy("_k", "_row").agg(*[F.first(c).alias(c) for c in ("doc", "_lines", "_gone", "_all")], F.count("*").alias("_n"))
-        copies = cut(copies)
-        least = cut(copies.groupBy("_k").agg(F.min("_row").alias("_least"), F.count("*").alias("_c")))
-        each = split_join(copies, least, "_k", "_c").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-        first = (F.col("_row") == F.col("_least")) & (F.col("_copy") == 1)
-        each = each.withColumn("_gone", F.when(first, F.col("_gone")).otherwise(F.col("_all")))
-        out = _without(single, docs).unionByName(_without(each, docs))
+        # Rows that may be repeated are counted before any join; no task gets all that are equal, neither here nor below.
+        single = likely(single, "_k", again)
+        rows = single.filter("_likely").groupBy("_k", F.xxhash64(F.to_json("doc")).alias("_row")).agg(F.first("doc").alias("doc"), F.count("*").alias("_n"))
+        rows = cut(rows)
+        least = cut(rows.groupBy("_k").agg(F.min("_row").alias("_least"), F.count("*").alias("_c")).join(gone, "_k", "left"))
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}")))
+        each = split_join(rows, least, "_k", "_c").withColumn("_part", part).repartition("_k", "_row", "_part")
+        each = each.withColumn("_copy", F.explode(F.expr(f"sequence(_part * {COPIES}, least(_n, (_part + 1) * {COPIES}) - 1)")))
+        keeps = ~F.coalesce("_again", F.lit(False)) | (F.col("_row") == F.col("_least")) & (F.col("_copy") == 0)
+        copies = _without(split_(each.withColumn("_gone", F.when(keeps, F.col("_gone")).otherwise(F.col("_all")))), docs)
+        out = _without(split_(single.filter("not _likely")).join(gone.select("_k", "_gone"), "_k", "left"), docs).unionByName(copies)
     return marked.filter("not _likely").select("doc.*").unionByName(out)
 
 
