@@ -37,8 +37,6 @@ TREE_BANDS = 4
 LEAF = 8
 #: The longest bitmap. Bits that several tokens of a set share are counted, so a short one only prunes less.
 MAP_BITS = 1 << 16
-#: The bitmap of a sketch.
-MAP_SKETCH = 1 << 12
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -134,10 +132,10 @@ class SignatureTree:
         yield from self._walk(need)
 
     def candidates(self, common: int):
-        """Arrays (i, j) of sets that may have ``common`` members in common, i < j."""
-        yield from self._walk(lambda low_i, high_i, low_j, high_j: (np.full(len(low_i), common), np.minimum(high_i, high_j) >= common))
+        """Arrays (i, j) of sets below inner nodes that may have ``common`` members in common, i < j."""
+        yield from self._walk(lambda low_i, high_i, low_j, high_j: (np.full(len(low_i), common), np.minimum(high_i, high_j) >= common), False)
 
-    def _walk(self, bound):
+    def _walk(self, bound, leaves: bool = True):
         i = j = np.zeros(1, np.int64)
         stack = [(len(self.levels) - 1, i, j)]
         while stack:
@@ -150,6 +148,10 @@ class SignatureTree:
             need, fits = bound(low[i], high[i], low[j], high[j])
             keep = ~joined & fits
             i, j, need = i[keep], j[keep], need[keep]
+            if level == 0 and not leaves:
+                on = i < j
+                yield i[on], j[on]
+                continue
             common = np.empty(len(i), np.int64)
             step = max(1, (1 << 21) // maps.shape[1])
             for at in range(0, len(i), step):
@@ -268,8 +270,10 @@ def across(sketches: np.ndarray, group: np.ndarray, agree: int) -> np.ndarray:
     are a token. The rows are laid out by group, so that an inner node holds like sketches and its bitmap stays small."""
     by = np.lexsort((*sketches.T[:4], group))
     sketches, group, on = sketches[by], group[by], np.zeros(len(by), bool)
+    # Every token has a bit of its own: bits shared by chance would hide which inner nodes are unlike.
     tokens = sketches.astype(np.uint64) + np.arange(sketches.shape[1], dtype=np.uint64) * np.uint64(256)
-    for i, j in SignatureTree(list(mix(tokens)), group, MAP_SKETCH).candidates(agree):
+    one_leaf = len(by) <= LEAF
+    for i, j in [np.triu_indices(len(by), 1)] if one_leaf else SignatureTree(list(tokens), group, 256 * sketches.shape[1]).candidates(agree):
         new = (group[i] != group[j]) & ~(on[i] & on[j])
         i, j = i[new], j[new]
         for lo in range(0, len(i), 1 << 14):
