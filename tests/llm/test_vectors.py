@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from wickwork.llm import components as graph
 from wickwork.llm import neighbours, urls, vectordups
 from wickwork.llm.components import components
 from wickwork.llm.queries import QUERIES
@@ -113,6 +114,22 @@ def test_components_on_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Rounds over many edges, and one task over few, give the same components; few start a small number of jobs."""
+    rng = np.random.default_rng(4)
+    pairs = [(a, a + 1) for a in range(200) if a % 50 != 49] + [(-5, -9), (-9, 4000)]
+    rows = spark.createDataFrame([pairs[i] for i in rng.permutation(len(pairs))], "a long, b long").repartition(7)
+    sc, jobs = spark.sparkContext, {}
+    for few in (0, graph.FEW):
+        monkeypatch.setattr(graph, "FEW", few)
+        sc.setJobGroup(f"few {few}", "components")
+        got = components(rows)
+        jobs[few] = len(sc.statusTracker().getJobIdsForGroup(f"few {few}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted((r.node, r.component) for r in got.collect()) == sorted([(a, a - a % 50) for a in range(200)] + [(-5, -9), (-9, -9), (4000, -9)])
+    assert 0 < 3 * jobs[graph.FEW] < jobs[0]
+
+
 def test_rules_and_parsing(spark):
     rows = [(0, "http://WWW.Example.com/en/a?x"), (1, "https://sub.example.com/en/1"), (2, "http://x.com/de/"), (3, "http://a.net/es/1"), (4, "http://a.net/en/1#t"), (5, None), (6, "no scheme"), (7, "http://x.com"), (8, "http://notexample.com/en/"),
             (9, "http://a.net/ES/1"), (10, "ftp://h?q=/es/"), (10, "ftp://h?q=/es/"), (11, "http://a.net/es/2"), (12, "http://a.net/es/3")]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wickwork.llm.components import Forest, components
 from wickwork.llm.shared import WORD, cut, likely, split_join
-from wickwork.llm.textkernel import LOWER, Hashes, chunks, column_bytes, mix, words
+from wickwork.llm.textkernel import LOWER, Hashes, ascending, chunks, column_bytes, mix, words
 
 WIDTH = 4
 #: Links need PERCENT * union <= 100 * intersection.
@@ -58,7 +58,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> list[
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(s[a : b - width + 1]))
+            out.append(ascending(s[a : b - width + 1]))
         elif b > a:
             h = np.full(1, b - a, np.uint64)
             for t in range(a, b):
@@ -217,7 +217,7 @@ def distinct(flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         part = n[lo : lo + (1 << 14)]
         start = int(n[:lo].sum())
         row = np.arange(len(part) + 1, dtype=np.uint64) << np.uint64(_HASH)
-        key = np.unique(np.repeat(row[:-1], part) | (flat[start : start + int(part.sum())] >> np.uint64(64 - _HASH)))
+        key = ascending(np.repeat(row[:-1], part) | (flat[start : start + int(part.sum())] >> np.uint64(64 - _HASH)))
         bounds = np.searchsorted(key, row)
         key &= np.uint64((1 << _HASH) - 1)
         out += [key[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -366,8 +366,10 @@ def _rooted(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     texts = likely(docs.select("text", F.xxhash64("doc_id", "text").alias("k")), "k", where.select("k")).filter("_likely")
     items = texts.join(where, "k").select("s", "text").dropDuplicates(["s"]).mapInArrow(_sets(width), "s long, items binary, sketch binary")
     items = cut(items)
-    trees = cut(tree_links(members.filter((F.col("band") < TREE_BANDS) & (F.col("m") <= BLOCK_NODES)), items, percent, _sets_of))
-    classes = components(trees.unionByName(bucket_links(members, items, percent, agreeing(ROWS * BANDS, percent), _sets_of, components(trees))))
+    trees = tree_links(members.filter((F.col("band") < TREE_BANDS) & (F.col("m") <= BLOCK_NODES)), items, percent, _sets_of)
+    joined = components(trees)
+    # The components of the trees' links stand for these links.
+    classes = components(joined.toDF("u", "v").unionByName(bucket_links(members, items, percent, agreeing(ROWS * BANDS, percent), _sets_of, joined)))
     named = rows.filter("n > 0").select("doc_id", "k", "n", "s").join(classes.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("component", "s"))
     return rows, named.select("doc_id", "k", "n", "root")
 
@@ -436,7 +438,6 @@ def bucket_links(members: DataFrame, items: DataFrame, percent: int, agree: int,
     pairs = split_join(members, buckets, "bucket", "m").filter("s <> pivot").select(F.col("s").alias("u"), F.col("pivot").alias("v")).distinct()
     if joined is not None:
         # A pivot may have many partners, so its component is joined by a split; all others are partners of few pivots.
-        joined = cut(joined)
         named = pairs.join(joined.toDF("u", "cu"), "u", "left").withColumn("cu", F.coalesce("cu", "u"))
         pivots = cut(buckets.groupBy("pivot").agg(F.sum("m").alias("c")).join(joined.toDF("pivot", "cv"), "pivot", "left").select(F.col("pivot").alias("v"), F.coalesce("cv", "pivot").alias("cv"), "c"))
         pairs = split_join(cut(named), pivots, "v", "c").filter("cu <> cv").select("u", "v")
