@@ -493,6 +493,24 @@ def test_pack_random_unicode(spark):
     check_pieces(packing.pack(d, **tokenizer_files()).toPandas(), list(enumerate(texts)))
 
 
+def test_pack_encodes_the_distinct_chunks_of_a_batch_together():
+    """The vocabulary is asked once a batch, not once a chunk; texts with other blanks keep the tokenizer's ids."""
+    import pyarrow as pa
+
+    enc = packing.Encoder(**tokenizer_files())
+    texts = ["\n".join(f"word{i} w{i * 7} x{i}" for i in range(1500)), "alpha beta\ngamma", None, "", " lead", "a\n\nb", "word1 <|endoftext|>", "x\x1c y", "alpha beta\ngamma"]
+    want = [np.array(enc.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    calls, ranks = [], enc.by_rank
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return ranks.encode_ordinary(text)
+
+    enc.by_rank = Counted()
+    assert list(enc(pa.array(texts))) == want and len(calls) == 1
+
+
 # op10 ---------------------------------------------------------------------------------------------------------------------
 
 def test_base_score_equals_brute_force_and_ppm_learns(spark, tiny, docs):

@@ -8,26 +8,30 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickwork.llm.textkernel import ascending, chunks
+
 LIMIT = 2048
 END_ID = 1
-#: Chunks kept by each Python worker; a memory bound that never changes a result.
-KEPT = 100_000
+#: Bytes of text whose chunks are looked up together.
+TEXT_PART = 1 << 22
 
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Encoder:
-    """Token ids of whole texts, as the tokenizers library gives them, with a memory for blank-free chunks.
+    """Token ids of whole texts, as the tokenizers library gives them, from those of their distinct blank-free chunks.
 
     The vocabulary's pattern lets a token begin with one space but never reach from a letter, digit or sign into a
     following blank. So where all blanks are single spaces or line feeds between other characters, a text's ids are
-    those of its chunks, each with the space before it. Any other text is given to the tokenizer as a whole.
+    those of its chunks, each with the space or line feed before it. Any other text is given to the tokenizer as a whole.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -41,48 +45,53 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.by_rank = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.feed = self._ids("\n")
-        self.spaced: dict[str, bytes] = _Chunks(self, " ")
-        self.bare: dict[str, bytes] = _Chunks(self, "")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.by_rank.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if not any(s in text for s in self.special):
-            try:
-                spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
-                lines = []
-                for line in text.split("\n"):
-                    head, *rest = line.split(" ")
-                    lines.append(bare(head) + b"".join(map(spaced, rest)))
-                return self.feed.join(lines)
-            except _Blank:
-                pass
-            finally:
-                for kept in (self.spaced, self.bare):
-                    if len(kept) > KEPT:
-                        kept.clear()
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-
-class _Blank(Exception):
-    """Blanks beside the chunk touch others in the text."""
-
-
-class _Chunks(dict):
-    def __init__(self, encoder: Encoder, before: str):
-        super().__init__()
-        self.encoder, self.before = encoder, before
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Blank
-        self[chunk] = ids = self.encoder._ids(self.before + chunk)
-        return ids
+        #: Bytes of each token.
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = [len(x) for x in ranks]
+
+    def _encoded(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that each start with a space or line feed, end to end, and where each chunk's start."""
+        ids = np.array(self.by_rank.encode_ordinary("".join(found)), dtype="<u4")
+        start = np.concatenate([[0], np.cumsum(self.size[ids])])
+        want = np.concatenate([[0], np.cumsum([len(x.encode()) for x in found], dtype=np.int64)])
+        at = np.searchsorted(start, want)
+        if not np.array_equal(start[at], want):
+            raise ValueError("a token of this vocabulary reaches from a chunk into the next")
+        return ids, at
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; those of a null are none."""
+        for lo, hi, data, off in chunks(texts, TEXT_PART):
+            part = texts.slice(lo, hi - lo)
+            # A chunk starts with each row and at each space or line feed in it; equal chunks are encoded once.
+            cuts = ascending(np.concatenate([off[:-1], np.flatnonzero((data == 32) | (data == 10))]))
+            cuts = cuts[cuts < len(data)]
+            bounds = pa.py_buffer(np.append(cuts, len(data)).astype(np.int64))
+            coded = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            # A row's first chunk is given a line feed, whose id is left out again.
+            found = [x.decode() for x in coded.dictionary.to_pylist()]
+            bare = np.array([x[0] not in " \n" for x in found], bool)
+            found = ["\n" + x if b else x for x, b in zip(found, bare.tolist(), strict=True)]
+            # Without ids are chunks whose blank before or after touches others in the text.
+            lacks = np.array([x[-1].isspace() or x[1].isspace() for x in found], bool)
+            ids, at = self._encoded([x for x, lack in zip(found, lacks.tolist(), strict=True) if not lack])
+            n, first = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+            first[~lacks] = at[:-1] + bare[~lacks]
+            n[~lacks] = at[1:] - first[~lacks]
+            index = np.asarray(coded.indices)
+            n_at = n[index]
+            ends = np.concatenate([[0], np.cumsum(n_at)])
+            ids = ids[np.repeat(first[index] - ends[:-1], n_at) + np.arange(ends[-1])]
+            # Rows as stretches of chunks; those that start with a blank, or hold a chunk without ids, go to the tokenizer whole.
+            row = np.searchsorted(cuts, off)
+            lacking = np.concatenate([[0], np.cumsum(lacks[index])])
+            whole = lacking[row[1:]] > lacking[row[:-1]]
+            filled = off[1:] > off[:-1]
+            whole[filled] |= (data[off[:-1][filled]] == 32) | (data[off[:-1][filled]] == 10)
+            for s in self.special:
+                whole |= np.asarray(pc.fill_null(pc.match_substring(part, s), False))
+            for i, (a, b) in enumerate(zip(ends[row[:-1]].tolist(), ends[row[1:]].tolist(), strict=True)):
+                yield np.array(self.whole.encode(part[i].as_py(), add_special_tokens=False).ids, dtype="<u4").tobytes() if whole[i] else ids[a:b].tobytes()
 
 
 @functools.lru_cache(2)
@@ -125,8 +134,8 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, limit:
                     names.append("ids")
                 return pa.RecordBatch.from_arrays(out, names)
 
-            for i in range(len(text)):
-                raw = enc(text[i].as_py() or "") + end
+            for i, raw in enumerate(enc(text)):
+                raw += end
                 n = len(raw) // 4
                 for start, length in pieces(n, limit):
                     part = raw[4 * start : 4 * (start + length)]
