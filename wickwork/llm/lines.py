@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wickwork.llm.components import components
 from wickwork.llm.jaccard import agreeing, bucket_links
 from wickwork.llm.shared import cut, likely, split_join
-from wickwork.llm.textkernel import BLANK, LOWER, Hashes, chunks, column_bytes, mix
+from wickwork.llm.textkernel import BLANK, LOWER, Hashes, ascending, chunks, column_bytes, mix
 
 #: Characters (A-Z lower-cased) in a shingle. Lines with fewer have none: they are compared by equality or left alone.
 GRAM = 8
@@ -179,7 +179,7 @@ def _met(batches):
         held.clear()
         more = x[:, 0] & np.uint64(1) == 1
         key, node, _, n = _grouped(x[:, 0] & ~np.uint64(1), x[:, 1])
-        on = (n > 1) | np.isin(key, np.unique(x[more, 0] & ~np.uint64(1)))
+        on = (n > 1) | np.isin(key, ascending(x[more, 0] & ~np.uint64(1)))
         yield pa.RecordBatch.from_arrays([pa.array(key[on].view(np.int64)), pa.array(node[on].view(np.int64))], ["bucket", "s"])
 
 
