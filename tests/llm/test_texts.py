@@ -230,6 +230,43 @@ def test_distinct_hashes_are_sorted_not_hashed():
     assert textkernel.ascending(np.array([3, 1, 3, 2**63], np.uint64)).tolist() == [1, 3, 2**63] and len(textkernel.ascending(np.empty(0, np.uint64))) == 0
 
 
+def test_small_groups_are_compared_at_once_and_lose_no_link(monkeypatch):
+    """Neither a tree nor most of the pairs' exact comparisons are needed for a bucket of a few dozen nodes."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (6, 200), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.integers(6)][: rng.integers(170, 201)], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)])) for _ in range(60)]
+    want = roots([(a, b) for a in range(60) for b in range(a) if jaccard.linked(sets[a], sets[b])], range(60))
+    compared, exact = [], jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda *a: compared.append(a) or exact(*a))
+    monkeypatch.setattr(jaccard, "SignatureTree", None)
+    got = jaccard.search(list(range(60)), np.arange(60), sets)
+    assert roots(got, range(60)) == want and len(set(want.values())) < 60 and len(compared) < 60 * 59 // 2 // 2
+    odd = [np.empty(0, np.uint64), np.array([7], np.uint64), np.array([7], np.uint64), np.array([8], np.uint64)]
+    assert jaccard.search([0, 1, 2, 3], np.arange(4), odd) == [(1, 2)]
+    sketches = rng.integers(0, 3, (100, 64), dtype=np.uint8)
+    group = rng.integers(0, 9, 100)
+    for agree in (25, 30):
+        alike = [any((x == y).sum() >= agree and g != h for y, h in zip(sketches, group, strict=True)) for x, g in zip(sketches, group, strict=True)]
+        assert jaccard.across(sketches, group, agree).tolist() == alike
+
+
+def test_band_keys_are_grouped_without_ordering_all_nodes():
+    rng = np.random.default_rng(3)
+    key = np.concatenate([rng.integers(0, 2**63, 300_000, dtype=np.uint64), rng.integers(0, 99, 2000, dtype=np.uint64)])
+    node = rng.integers(0, 50, len(key), dtype=np.uint64)
+    began = time.perf_counter()
+    k, s, first, n = lines._grouped(key, node)
+    took = time.perf_counter() - began
+    pairs = sorted(set(zip(key.tolist(), node.tolist(), strict=True)))
+    assert list(zip(k.tolist(), s.tolist(), strict=True)) == pairs
+    times = collections.Counter(a for a, _ in pairs)
+    assert n.tolist() == [times[a] for a, _ in pairs] and first.tolist() == [i == 0 or pairs[i - 1][0] != pairs[i][0] for i in range(len(pairs))]
+    began = time.perf_counter()
+    np.lexsort((node, key))
+    assert took < time.perf_counter() - began
+    assert [len(x) for x in lines._grouped(key[:1], node[:1])] == [1, 1, 1, 1]
+
+
 def test_signature_tree_loses_no_link():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, (6, 60), dtype=np.uint64)

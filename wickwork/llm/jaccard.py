@@ -35,6 +35,8 @@ BLOCK_NODES = 1024
 #: Bands whose buckets are searched by trees before anything else is compared.
 TREE_BANDS = 4
 LEAF = 8
+#: Up to so many nodes are all compared at once, which takes less time than a tree; their bitmaps take 32 MB at most.
+FEW_NODES = 128
 #: The longest bitmap. Bits that several tokens of a set share are counted, so a short one only prunes less.
 MAP_BITS = 1 << 16
 
@@ -170,13 +172,24 @@ class SignatureTree:
                 stack.append((level - 1, ci[on], cj[on]))
 
 
+def may_link(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (i, j) of all sets that may link, i < j: one product of their bitmaps bounds what all pairs have in common."""
+    size = np.array([len(s) for s in sets])
+    bits = max(64, min(MAP_BITS, 1 << int(4 * size.max()).bit_length()))
+    maps = np.zeros((len(sets), bits), np.float32)  # counts below 2**24 are exact
+    maps[np.repeat(np.arange(len(size)), size), (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    lost = size - maps.sum(1).astype(np.int64)
+    most = (maps @ maps.T).astype(np.int64) + np.minimum(lost[:, None], lost)
+    return np.nonzero(np.triu((100 + percent) * np.minimum(most, np.minimum(size[:, None], size)) >= percent * (size[:, None] + size), 1))
+
+
 def search(nodes: list[int], group: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Verified links that join different groups: enough of them to join all that link."""
     by = sorted(range(len(sets)), key=lambda t: (len(sets[t]), group[t]))
-    if len(by) > LEAF:
+    if len(by) > FEW_NODES:
         pairs = SignatureTree([sets[t] for t in by], group[by]).pairs(percent)
-    else:  # one leaf
-        pairs = [np.triu_indices(len(by), 1)]
+    else:
+        pairs = [may_link([sets[t] for t in by], percent)]
     forest, found = Forest(), []
     name = group[by]
     for i, j in pairs:
@@ -270,10 +283,13 @@ def across(sketches: np.ndarray, group: np.ndarray, agree: int) -> np.ndarray:
     are a token. The rows are laid out by group, so that an inner node holds like sketches and its bitmap stays small."""
     by = np.lexsort((*sketches.T[:4], group))
     sketches, group, on = sketches[by], group[by], np.zeros(len(by), bool)
-    # Every token has a bit of its own: bits shared by chance would hide which inner nodes are unlike.
-    tokens = sketches.astype(np.uint64) + np.arange(sketches.shape[1], dtype=np.uint64) * np.uint64(256)
-    one_leaf = len(by) <= LEAF
-    for i, j in [np.triu_indices(len(by), 1)] if one_leaf else SignatureTree(list(tokens), group, 256 * sketches.shape[1]).candidates(agree):
+    if len(by) <= FEW_NODES:
+        pairs = [np.triu_indices(len(by), 1)]
+    else:
+        # Every token has a bit of its own: bits shared by chance would hide which inner nodes are unlike.
+        tokens = sketches.astype(np.uint64) + np.arange(sketches.shape[1], dtype=np.uint64) * np.uint64(256)
+        pairs = SignatureTree(list(tokens), group, 256 * sketches.shape[1]).candidates(agree)
+    for i, j in pairs:
         new = (group[i] != group[j]) & ~(on[i] & on[j])
         i, j = i[new], j[new]
         for lo in range(0, len(i), 1 << 14):

@@ -64,8 +64,12 @@ class Lines:
         first, last = np.searchsorted(self.chars, start), np.searchsorted(self.chars, end)
         on = self.long = last - first >= GRAM
         if short:
-            filled = np.concatenate([[0], np.cumsum(~BLANK[data])])
-            on = on | (filled[end] > filled[start])
+            # Only lines under GRAM characters may be blank.
+            few = np.flatnonzero(~on)
+            n = end[few] - start[few]
+            at = np.repeat(start[few] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            on = on.copy()
+            on[np.repeat(few, n)[~BLANK[data[at]]]] = True
         self.start, self.end, self.row, self.number, self.first, self.last, self.long = (x[on] for x in (start, end, row, number, first, last, self.long))
         self.node = self.hashes.of(self.start, self.end)
 
@@ -114,8 +118,12 @@ def _found(short: bool):
 
 def _grouped(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (key, node) in order, whether each is the first of its key, and the number of nodes of its key."""
-    by = np.lexsort((node, key))
+    by = np.argsort(key)
     key, node = key[by], node[by]
+    # Few keys are equal: only their nodes are put in order.
+    tie = np.append(False, key[1:] == key[:-1])
+    tie[:-1] |= tie[1:]
+    node[tie] = node[tie][np.lexsort((node[tie], key[tie]))]
     new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
     key, node = key[new], node[new]
     first = np.append(True, key[1:] != key[:-1])
@@ -219,14 +227,14 @@ def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(keyed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between nodes that join all nodes which link, directly or over others."""
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = found.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-size // TEXT_PART))
     packed = keyed.select("text").mapInArrow(_packed(parts), "part int, more boolean, pairs binary")
     met = packed.repartition(parts, "part").select("more", "pairs").mapInArrow(_met, "bucket long, s long")
     members = cut(met.distinct())
-    wanted = members.select("s").distinct()
-    places = likely(found.select("k", "st", "s"), "s", wanted).filter("_likely").groupBy("s").agg(F.min(F.struct("k", "st")).alias("at"))
-    by_row = cut(places.join(wanted, "s").groupBy("at.k").agg(F.collect_list(F.struct("s", "at.st")).alias("wanted")))
+    wanted = cut(members.select("s").distinct())
+    places = likely(found.select("k", "st", "s"), "s", wanted).filter("_likely").groupBy("s").agg(F.first("k").alias("k"), F.first("st").alias("st"))
+    by_row = cut(places.join(wanted, "s").groupBy("k").agg(F.collect_list(F.struct("s", "st")).alias("wanted")))
     texts = likely(keyed.select("k", "text"), "k", by_row.select("k")).filter("_likely")
     items = cut(texts.join(by_row, "k").select("k", "text", "wanted").mapInArrow(_texts, "s long, items binary, sketch binary"))
     return bucket_links(members, items, percent, agreeing(ROWS * BANDS, percent), _shingles)
