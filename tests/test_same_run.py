@@ -6,9 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tests.test_queries import plain
 from wickwork.functions.rules import DOUBLE, WOLFE, profile
-from wickwork.operators import lifecycle
+from wickwork.operators import lifecycle, marts
 from wickwork.plans import nights
 
 TUNED = profile("tuned")
@@ -45,6 +46,17 @@ def sql(log):
     return lambda body: plain(con.execute(f"WITH {nights._LISTED} {body}").fetchdf())
 
 
+def _body(name):
+    """What follows the listings in a query's SQL."""
+    return entry.oracle_sql()[name].split(nights._LISTED)[1]
+
+
 def test_listings(log, sql):
     columns = "symbol, run, pattern, stop, status, first_listed, listed_day, state"
     assert plain(lifecycle.listings(log, TUNED).select(*columns.split(", ")).toPandas()) == sql(f"SELECT {columns} FROM listed")
+
+
+def test_day_on_list(log, sql):
+    columns = "symbol, run, pattern, stop, status, day_on"
+    got = marts.day_on_list(lifecycle.listings(log, TUNED), lifecycle.history(log)).withColumn("day_on", F.col("day_on").cast("int"))
+    assert plain(got.select(*columns.split(", ")).toPandas()) == sql(_body("day_on_list"))
