@@ -60,3 +60,9 @@ def test_day_on_list(log, sql):
     columns = "symbol, run, pattern, stop, status, day_on"
     got = marts.day_on_list(lifecycle.listings(log, TUNED), lifecycle.history(log)).withColumn("day_on", F.col("day_on").cast("int"))
     assert plain(got.select(*columns.split(", ")).toPandas()) == sql(_body("day_on_list"))
+
+
+def test_grade_by_day(log, sql):
+    grade, text = marts.grade(F.col("pattern"), F.col("listed_day"), lifecycle.limit(TUNED))
+    got = lifecycle.listings(log, TUNED).select("symbol", "run", "pattern", "stop", grade.alias("grade"), text.alias("status_text"))
+    assert plain(got.toPandas()) == sql(_body("grade_by_day"))
