@@ -66,3 +66,9 @@ def test_grade_by_day(log, sql):
     grade, text = marts.grade(F.col("pattern"), F.col("listed_day"), lifecycle.limit(TUNED))
     got = lifecycle.listings(log, TUNED).select("symbol", "run", "pattern", "stop", grade.alias("grade"), text.alias("status_text"))
     assert plain(got.toPandas()) == sql(_body("grade_by_day"))
+
+
+def test_report_rows(log, sql):
+    kept = lifecycle.listings(log, TUNED).filter("state = 'kept'")
+    got = marts.report_rows(kept, lifecycle.age_limit(TUNED), lifecycle.limit(TUNED)).select("symbol", "run", "pattern", "stop", "status", "age", "on_list")
+    assert plain(got.toPandas()) == sql(_body("report_rows"))
